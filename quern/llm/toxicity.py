@@ -5,8 +5,8 @@ log-odds come from a chain of Dirichlet (here two-class) priors: a word's toxic
 prefix, that one to the next shorter, down to the share of all training documents, so inflected forms that were never
 seen borrow from their stem. A text is scanned once, in linear time, for all maximal-scoring segments (W. Ruzzo and
 M. Tompa, 1999). Under random clean text a best segment follows an extreme-value law (S. Karlin and S. Altschul, 1990):
-its score becomes a log E-value, whose weights towards a probability are fitted on the same training documents with each
-document's own counts left out.
+the scores of a text's best segments become one log P-value (S. Karlin and S. Altschul, 1993), which a logistic
+regression on the same training documents, each document's own counts left out, turns into a probability.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ MAX_FEATURES = 150_000
 #: A word's prefixes of these lengths (in UTF-8 bytes) are its priors; the word itself comes last.
 PREFIXES = (4, 5, 6, 7, 8, 10)
 #: How many documents the prior of each level counts for, and how far scores drift down a token.
-STRENGTH, DRIFT = 2.0, 0.4
-#: Segments below this score are not reported.
-LEAST_SEGMENT = 2.0
+STRENGTH, DRIFT = 10.0, 1.3
+#: Segments below this score are not considered, and at most this many of a text are summed.
+LEAST_SEGMENT, SUMMED = 0.5, 20
 _FLUSH = 400_000
 
 
@@ -51,8 +51,7 @@ class Model:
     counts: dict[bytes, tuple[int, int]]
     lam: float = 1.0
     log_k: float = -3.0
-    weights: tuple[float, float] = (0.0, 1.0)
-    empty: float = 0.0
+    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
     memo: dict = field(default_factory=dict, repr=False)
 
     def token(self, word: bytes, own: int | None = None) -> float:
@@ -76,16 +75,19 @@ class Model:
         return np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
 
     def signal(self, segments: list[tuple[float, int, int]], n_words: int) -> float:
-        """Minus the log E-value of the best segment in a text of n words, other significant ones added in part."""
+        """Minus the log of the least P-value of a text's r best segments taken together, over r (sum statistics)."""
         if not segments:
-            return -5.0
-        reach = self.log_k + math.log(n_words + 1)
-        each = sorted((self.lam * s - reach for s, _, _ in segments), reverse=True)
-        more = sum(max(0.0, x) for x in each[1:])
-        return each[0] + math.log1p(more)
+            return -3.0
+        reach, total, best = self.log_k + math.log(n_words + 1), 0.0, -8.0
+        for r, (s, _, _) in enumerate(sorted(segments, reverse=True)[:SUMMED], 1):
+            total += self.lam * s - reach
+            tail = total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) if total > r else total
+            best = max(best, tail)
+        return min(best, 60.0)
 
     def probability(self, segments: list[tuple[float, int, int]], n_words: int) -> float:
-        z = self.weights[0] + self.weights[1] * self.signal(segments, n_words)
+        w = self.weights
+        z = w[0] + w[1] * self.signal(segments, n_words) + w[2] * math.log(n_words + 1)
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
@@ -164,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, max_
     model = Model(totals.get(1, 0), totals.get(0, 0), {})
     if not model.toxic or not model.clean:
         share = model.toxic / max(model.toxic + model.clean, 1)
-        model.weights, model.empty = (math.log((share + 1e-3) / (1 - share + 1e-3)), 0.0), share
+        model.weights = (math.log((share + 1e-3) / (1 - share + 1e-3)), 0.0, 0.0)
         return model
     rate = model.toxic / (model.toxic + model.clean)
     a, b = F.col("a"), F.col("b")
@@ -174,6 +176,28 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, max_
     return _calibrate(rows, model)
 
 
+def logistic(x: np.ndarray, y: np.ndarray, prior: float = 1e-2) -> np.ndarray:
+    """Weights by Newton's method with backtracking; all but the first have a weak prior around zero."""
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], prior)
+    ridge[0] = 1e-6
+
+    def loss(w):
+        z = x @ w
+        return (np.logaddexp(0, z) - y * z).sum() + (ridge * w * w).sum() / 2
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - y) + ridge * w
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), grad)
+        t, now = 1.0, loss(w)
+        while t > 1e-6 and loss(w - t * move) > now - 1e-4 * t * (grad @ move):
+            t /= 2
+        if t <= 1e-6 or t * np.abs(move).max() < 1e-8:
+            break
+        w = w - t * move
+    return w
+
+
 def _calibrate(rows: DataFrame, model: Model) -> Model:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -185,7 +209,7 @@ def _calibrate(rows: DataFrame, model: Model) -> Model:
                 words = words_of(text)
                 s = model.scores(words, toxic)
                 hist = Counter(np.round(s, 1).tolist()) if not toxic else {}
-                found = sorted(segments(s), reverse=True)[:50]
+                found = sorted(segments(s), reverse=True)[:SUMMED]
                 out.append((toxic, len(words), [x[0] for x in found], list(hist), list(hist.values())))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
@@ -198,18 +222,10 @@ def _calibrate(rows: DataFrame, model: Model) -> Model:
     seen.unpersist()
     sent.unpersist()
     # K from the median of the clean documents' best segments: lambda * S - log(K n) has median -log(log 2)
-    clean = [model.lam * b[0] - math.log(n + 1) for y, n, b in zip(each["toxic"], each["n"], each["best"], strict=True) if not y and b]
+    clean = [model.lam * (b[0] if b else 0.0) - math.log(n + 1) for y, n, b in zip(each["toxic"], each["n"], each["best"], strict=True) if n and not y]
     model.log_k = (float(np.median(clean)) if clean else -3.0) + math.log(math.log(2))
-    x = np.array([model.signal([(s, 0, 0) for s in b], n) for n, b in zip(each["n"], each["best"], strict=True)])
-    y = np.array(each["toxic"], float)
-    w = np.array([math.log(model.toxic / model.clean), 1.0])
-    design = np.stack([np.ones_like(x), x], axis=1)
-    for _ in range(50):  # logistic regression with a weak prior, by Newton's steps
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (y - p) - 1e-2 * (w - [0, 1])
-        hess = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(hess, grad), -2, 2)
-    model.weights = (float(w[0]), float(max(w[1], 0.0)))
+    design = [(1.0, model.signal([(s, 0, 0) for s in b], n), math.log(n + 1)) for n, b in zip(each["n"], each["best"], strict=True)]
+    model.weights = tuple(logistic(np.array(design), np.array(each["toxic"], float)).tolist())
     model.memo = {}
     return model
 
