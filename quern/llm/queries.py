@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, packing, simhash, toxicity
+from quern.llm import chat, decontam, licences, mainhtml, media, packing, simhash, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,50 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     return toxicity.train(docs, labels.where(fold(F.col("doc_id")) != 1))
 
 
+#: The rules of op4: host, path, verdict.
+RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = warc.archive(spark, table(spark, sf_dir, "pages"))
+    return records
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.formatted(rows))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -58,9 +102,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_url_rules": op4_url_rules,
+    "op5_main_text": op5_main_text,
+    "op6_licences": op6_licences,
     "op7_toxicity": op7_toxicity,
+    "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,
+    "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {}

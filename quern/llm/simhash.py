@@ -86,7 +86,6 @@ def _link(radius: int, hot: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("mask", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-        rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
         def solve(mask, key, fp):
             new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
