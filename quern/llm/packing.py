@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import struct
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -27,44 +30,78 @@ BUFFER_TOKENS, GROUP = 2_000_000, 16
 #: The end-of-document id.
 END_ID = 1
 #: Words whose ids are kept; beyond it the memory is emptied, so it stays bounded.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
+_RUNS = re.compile(r"[^\W_]+|[\W_]+")
+_KEPT_WHOLE = re.compile(r"['\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if visible, else the next from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)}
+
+
+class _Memo(dict):
+    """Makes the value of a key that is asked for the first time."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class WordTokenizer:
     """Ids of a vocabulary file of ``tokenizers`` whose pieces never cross ASCII white space.
 
-    That holds for a pre-tokenizer that drops white space, with a normalizer that keeps it apart; texts are then split
-    at ASCII white space and each distinct chunk is encoded once. Texts with a special token's string go through the
-    tokenizer as a whole.
+    That holds for a pre-tokenizer that drops white space, with a normalizer that keeps it apart. Texts are split at
+    ASCII white space, and each distinct chunk is encoded once. With ``split_runs``, for a byte-level vocabulary, a chunk's runs of
+    letters and digits are also encoded apart from what stands between them, as the pre-tokenizer must do; chunks with an
+    apostrophe (contractions), a control character or decomposed letters are left whole. Texts with a special token's
+    string go through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, split_runs: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
-        self.memo: dict[bytes, bytes] = {}
+        self.normalize, self.model, self.as_chars = self.inner.normalizer.normalize_str, self.inner.model, _byte_chars()
+        self.pieces, self.chunks = _Memo(self._piece), _Memo(self._chunk if split_runs else lambda c: self._whole(c.decode("utf-8")))
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.inner.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, text: str) -> bytes:
+        """A word of letters alone is one pre-token: its bytes, as the characters that stand for them, go to the model."""
+        if text.isalpha() and (word := text if text.isascii() else self.normalize(text)).isalpha():
+            ids = [t.id for t in self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.as_chars))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return self._whole(text)
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8")
+        if text.isascii():
+            text = text.lower()
+        elif not unicodedata.is_normalized("NFC", text):
+            return self._whole(text)
+        if _KEPT_WHOLE.search(text):
+            return self._whole(text)
+        return b"".join(map(self.pieces.__getitem__, _RUNS.findall(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode("utf-8").split() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        missing = list(set().union(*split).difference(self.memo)) if split else []
-        for lo in range(0, len(missing), 4096):
-            part = missing[lo : lo + 4096]
-            for word, got in zip(part, self.inner.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(got.ids, "<u4").tobytes()
-        get = self.memo.__getitem__
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if any(s in text for s in self.special):
-                out.append(np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(get, words)))
-        return out
+        for memo in (self.pieces, self.chunks):
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+        get = self.chunks.__getitem__
+        return [self._whole(t) if any(s in t for s in self.special) else b"".join(map(get, t.encode("utf-8").split())) for t in texts]
 
 
 def tokenizer(path: str) -> WordTokenizer:
