@@ -80,7 +80,7 @@ class WordTokenizer:
 
     def _piece(self, text: str) -> bytes:
         """A word of letters alone is one pre-token: its bytes, as the characters that stand for them, go to the model."""
-        if text.isalpha() and (word := text if text.isascii() else self.normalize(text)).isalpha():
+        if text.isalpha() and (word := text.lower() if text.isascii() else self.normalize(text)).isalpha():
             ids = [t.id for t in self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.as_chars))]
             return struct.pack(f"<{len(ids)}I", *ids)
         return self._whole(text)
