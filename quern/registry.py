@@ -1,8 +1,6 @@
-"""Name -> query and name -> DuckDB SQL of everything outside the training-text operators."""
+"""All queries and oracles outside the training-text operators; importing the plans registers them."""
 
 from __future__ import annotations
 
-from quern.plans import heldout
-
-QUERIES = {**heldout.QUERIES}
-ORACLES = {**heldout.ORACLES}
+from quern.plans import heldout, q_metrics, q_relational, q_sampling, q_tasks, q_text, q_tokens  # noqa: F401
+from quern.queryset import ORACLES, QUERIES  # noqa: F401
