@@ -95,7 +95,7 @@ def parse_temporal(text: Column) -> Column:
 def parse_score(text: Column, low: float = 0.0, high: float = 5.0, default: float = 2.5) -> Column:
     """Struct (score, failed): the first number within bounds, or the default."""
     found = F.nullif(F.regexp_extract(text, r"(\d+\.?\d*)", 1), F.lit("")).try_cast("double")
-    return F.struct(F.coalesce(F.least(F.greatest(found, F.lit(low)), F.lit(high)), F.lit(default)).alias("score"), found.isNull().alias("failed"))
+    return F.struct(F.when(found.isNull(), F.lit(default)).otherwise(F.least(F.greatest(found, F.lit(low)), F.lit(high))).alias("score"), found.isNull().alias("failed"))
 
 
 def match_label(prediction: Column, labels: list[str]) -> Column:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators.relational import average_rank, clipped_overlap
+from quern.operators.relational import average_rank
 
 
 def mean_of(condition: Column) -> Column:
@@ -38,10 +39,14 @@ def correlations(df: DataFrame, x: str, y: str, flat: float = 1e-8) -> DataFrame
     """One row: Pearson, Spearman (average ranks), mean absolute error; correlations of a constant prediction are 0."""
     ranked = average_rank(average_rank(df.select(x, y), x, "__rx"), y, "__ry")
     collapsed = F.stddev_pop(F.col(x).cast("double")) < flat
-    safe = lambda c: F.when(collapsed, F.lit(0.0)).otherwise(c)
+
+    def safe(a: Column, b: Column) -> Column:
+        r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # corr itself fails where one is constant
+        return F.when(collapsed, F.lit(0.0)).otherwise(r)
+
     return ranked.agg(
-        safe(F.corr(F.col(x).cast("double"), F.col(y).cast("double"))).alias("pearson"),
-        safe(F.corr("__rx", "__ry")).alias("spearman"),
+        safe(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"),
+        safe(F.col("__rx"), F.col("__ry")).alias("spearman"),
         F.avg(F.abs(F.col(x).cast("double") - F.col(y).cast("double"))).alias("mae"),
     )
 
@@ -66,28 +71,49 @@ def word_ngrams(text: Column, n: int) -> Column:
     return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def sentence_bleu(reference: Column, candidate: Column) -> Column:
-    """BLEU of one to four words with a brevity penalty; a size without a match counts as 1 / 2^n, a shorter candidate as 0."""
-    logs, possible = F.lit(0.0), F.lit(True)
-    for n in range(1, 5):
-        c, r = word_ngrams(candidate, n), word_ngrams(reference, n)
-        hits, total = clipped_overlap(c, r), F.size(c)
-        p = F.when(hits == 0, F.lit(1.0 / 2**n)).otherwise(F.try_divide(hits.cast("double"), total.cast("double")))
-        logs, possible = logs + F.log(p), possible & (total > 0)
-    nc, nr = F.size(word_ngrams(candidate, 1)), F.size(word_ngrams(reference, 1))
-    penalty = F.when(nc >= nr, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - F.try_divide(nr.cast("double"), nc.cast("double"))))
-    return F.when(possible, penalty * F.exp(logs / 4)).otherwise(F.lit(0.0))
+_SIDES = [f"{k}{n}" for n in range(1, 5) for k in ("m", "t")] + ["nc", "nr"]
+
+
+def _counted(words: list[str], n: int) -> Counter:
+    return Counter(zip(*(words[i:] for i in range(n)), strict=False))
+
+
+@F.pandas_udf(T.StructType([T.StructField(k, T.LongType()) for k in _SIDES]))
+def overlap_counts(reference: pd.Series, candidate: pd.Series) -> pd.DataFrame:
+    """Of each pair: clipped matches (m1..m4) and candidate n-grams (t1..t4) of one to four words, and both lengths.
+
+    Counting with hash tables is linear in the words. As array expressions it is quadratic, and took some hundred times
+    as long.
+    """
+    rows = []
+    for r, c in zip(reference, candidate, strict=True):
+        r, c = (r or "").lower().split(), (c or "").lower().split()
+        row = []
+        for n in range(1, 5):
+            own = _counted(c, n)
+            row += [(own & _counted(r, n)).total(), own.total()]
+        rows.append((*row, len(c), len(r)))
+    return pd.DataFrame(rows, columns=_SIDES)
+
+
+def _penalty(nc: Column, nr: Column) -> Column:
+    return F.when(nc >= nr, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - F.try_divide(nr.cast("double"), nc.cast("double"))))
+
+
+def sentence_bleu(df: DataFrame, reference: str, candidate: str, name: str = "bleu") -> DataFrame:
+    """Adds BLEU of one to four words with a brevity penalty; a size without a match counts as 1 / 2^n, a candidate of
+    fewer than four words as 0."""
+    counted = df.withColumn("__c", overlap_counts(F.col(reference), F.col(candidate)))
+    c = lambda k: F.col(f"__c.{k}")
+    logs = sum((F.log(F.when(c(f"m{n}") == 0, F.lit(1.0 / 2**n)).otherwise(F.try_divide(c(f"m{n}").cast("double"), c(f"t{n}").cast("double")))) for n in range(1, 5)), F.lit(0.0))
+    return counted.withColumn(name, F.when(c("t4") > 0, _penalty(c("nc"), c("nr")) * F.exp(logs / 4)).otherwise(F.lit(0.0))).drop("__c")
 
 
 def corpus_bleu(df: DataFrame, reference: str, candidate: str) -> DataFrame:
     """One row: BLEU of summed counts, and its brevity penalty."""
-    c, r = F.col(candidate), F.col(reference)
-    aggs = []
-    for n in range(1, 5):
-        a = word_ngrams(c, n)
-        aggs += [F.sum(clipped_overlap(a, word_ngrams(r, n))).alias(f"m{n}"), F.sum(F.size(a)).alias(f"t{n}")]
-    one = df.agg(*aggs, F.sum(F.size(word_ngrams(c, 1))).alias("nc"), F.sum(F.size(word_ngrams(r, 1))).alias("nr"))
-    penalty = F.when(F.col("nc") >= F.col("nr"), F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - F.try_divide(F.col("nr").cast("double"), F.col("nc").cast("double"))))
+    counted = df.select(overlap_counts(F.col(reference), F.col(candidate)).alias("c"))
+    one = counted.agg(*(F.sum(f"c.{k}").alias(k) for k in _SIDES))
+    penalty = _penalty(F.col("nc"), F.col("nr"))
     parts = [F.try_divide(F.col(f"m{n}").cast("double"), F.col(f"t{n}").cast("double")) for n in range(1, 5)]
     whole = parts[0] > 0
     for p in parts[1:]:
@@ -96,13 +122,14 @@ def corpus_bleu(df: DataFrame, reference: str, candidate: str) -> DataFrame:
     return one.select(F.when(F.coalesce(whole, F.lit(False)), penalty * mean).otherwise(F.lit(0.0)).alias("bleu"), penalty.alias("brevity_penalty"))
 
 
-def rouge_n(reference: Column, candidate: Column, n: int) -> Column:
-    """Struct (precision, recall, fmeasure) of n-word overlaps."""
-    c, r = word_ngrams(candidate, n), word_ngrams(reference, n)
-    hits = clipped_overlap(c, r).cast("double")
-    p, q = F.coalesce(F.try_divide(hits, F.size(c)), F.lit(0.0)), F.coalesce(F.try_divide(hits, F.size(r)), F.lit(0.0))
-    p, q = F.when(F.size(r) > 0, p).otherwise(F.lit(0.0)), F.when(F.size(c) > 0, q).otherwise(F.lit(0.0))
-    return F.struct(p.alias("precision"), q.alias("recall"), F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0)).alias("fmeasure"))
+def rouge_n(df: DataFrame, reference: str, candidate: str, n: int) -> DataFrame:
+    """Adds precision, recall and fmeasure of n-word overlaps (n up to 4), 0 where either side has no n words."""
+    counted = df.withColumn("__c", overlap_counts(F.col(reference), F.col(candidate)))
+    hits, total = F.col(f"__c.m{n}").cast("double"), F.col(f"__c.t{n}")
+    wanted = F.greatest(F.col("__c.nr") - (n - 1), F.lit(0))
+    both = (total > 0) & (wanted > 0)
+    p, r = F.when(both, F.try_divide(hits, total)).otherwise(F.lit(0.0)), F.when(both, F.try_divide(hits, wanted)).otherwise(F.lit(0.0))
+    return counted.withColumns({"precision": p, "recall": r, "fmeasure": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))}).drop("__c")
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("precision", "recall", "fmeasure")]))

@@ -1 +1,271 @@
-"""Queries."""
+"""Queries: evaluation metrics, schedules and sampling arithmetic."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import numeric as nm
+from quern.operators import metrics as ev
+from quern.plans.sql import U
+from quern.queryset import query, table
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+_LABELLED = "(SELECT lang, quality AS y, toxic AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+def _labelled(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id").select("lang", F.col("quality").alias("y"), F.col("toxic").alias("p"))
+
+
+@query("ev1_accuracy", f"SELECT round(avg(CAST(y = p AS INTEGER)), 9) AS accuracy FROM {_LABELLED}")
+def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_labelled(spark, sf_dir).agg(ev.mean_of(F.col("y") == F.col("p")).alias("accuracy")), "accuracy")
+
+
+_F1 = f"""(SELECT lang, c, CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) AS f1, tp + fn AS support FROM (
+   SELECT lang, c, count(*) FILTER (y = c AND p = c) AS tp, count(*) FILTER (y <> c AND p = c) AS fp, count(*) FILTER (y = c AND p <> c) AS fn
+   FROM {_LABELLED}, (VALUES (0), (1)) k(c) GROUP BY lang, c) WHERE tp + fp + fn > 0)"""
+
+
+@query("ev2_macro_f1", f"SELECT lang, round(avg(f1), 9) AS macro_f1 FROM {_F1} GROUP BY lang")
+def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.f1_scores(_labelled(spark, sf_dir), "y", "p", ["lang"]), "macro_f1").select("lang", "macro_f1")
+
+
+@query("ev3_weighted_f1", f"SELECT lang, round(sum(f1 * support) / sum(support), 9) AS weighted_f1 FROM {_F1} GROUP BY lang")
+def weighted_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.f1_scores(_labelled(spark, sf_dir), "y", "p", ["lang"]), "weighted_f1").select("lang", "weighted_f1")
+
+
+_RANKED = "(SELECT x, y, avg(rx) OVER (PARTITION BY x) AS rx, avg(ry) OVER (PARTITION BY y) AS ry FROM (SELECT CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, row_number() OVER (ORDER BY p_size) AS rx, row_number() OVER (ORDER BY p_retailprice) AS ry FROM part))"
+
+
+@query("ev4_correlations", f"SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(avg(abs(x - y)), 6) AS mae FROM {_RANKED}")
+def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return _rounded(ev.correlations(rows, "x", "y"), "pearson", "spearman", "mae", digits=6)
+
+
+@query("ev7_collapsed", "SELECT CAST(0 AS DOUBLE) AS pearson, CAST(0 AS DOUBLE) AS spearman, round(avg(abs(1 - p_retailprice)), 6) AS mae FROM part")
+def collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.lit(1.0).alias("x"), F.col("p_retailprice").alias("y"))
+    return _rounded(ev.correlations(rows, "x", "y"), "mae", digits=6)
+
+
+@query("ev8_unmatched", "SELECT count(*) FILTER (label IS NULL) AS unmatched, round(avg(CAST(label IS NULL AS INTEGER)), 9) AS ratio, count(*) AS seen FROM (SELECT CASE WHEN o_orderstatus IN ('F', 'O') THEN 1 END AS label FROM orders)")
+def unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("o_orderstatus").isin("F", "O"), 1)
+    rows = table(spark, sf_dir, "orders").select(label.alias("label"))
+    return _rounded(rows.agg(F.count_if(F.col("label").isNull()).alias("unmatched"), ev.mean_of(F.col("label").isNull()).alias("ratio"), F.count("*").alias("seen")), "ratio")
+
+
+@query("ev9_temporal", """SELECT round(avg(CAST(abs(p - t) <= 5 AS INTEGER)), 9) AS exact, round(avg(CAST(floor(p / CAST(10 AS DOUBLE)) = floor(t / CAST(10 AS DOUBLE)) AS INTEGER)), 9) AS decade, round(avg(CAST(floor(p / CAST(100 AS DOUBLE)) = floor(t / CAST(100 AS DOUBLE)) AS INTEGER)), 9) AS century, round(avg(abs(p - t)), 9) AS mae,
+   (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0) AS unparsed, (SELECT round(avg(CAST(o_orderkey % 5 > 0 AS INTEGER)), 9) FROM orders) AS parsed_ratio FROM (SELECT year(o_orderdate) AS t, year(o_orderdate) + o_orderkey % 13 AS p FROM orders WHERE o_orderkey % 5 > 0)""")
+def temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.year("o_orderdate")
+    rows = table(spark, sf_dir, "orders").select(t.alias("t"), F.when(F.col("o_orderkey") % 5 > 0, t + F.col("o_orderkey") % 13).alias("p"))
+    return _rounded(ev.temporal_scores(rows, "p", "t"), "exact", "decade", "century", "mae", "parsed_ratio")
+
+
+def _pairs(spark, sf_dir, n=40):
+    head = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), 1, n), " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", head.alias("t"))
+    return docs.join(docs.select((F.col("doc_id") - 8).alias("doc_id"), F.col("t").alias("c")), "doc_id")
+
+
+_HEADS = r"(SELECT doc_id, list_slice(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), 1, 40) AS w FROM documents)"
+_PAIRED = f"(SELECT a.doc_id, a.w AS r, b.w AS c FROM {_HEADS} a JOIN {_HEADS} b ON b.doc_id - 8 = a.doc_id)"
+
+
+def _grams(side: str, n: int) -> str:
+    return f"(SELECT doc_id, g, count(*) AS k FROM (SELECT doc_id, array_to_string(list_slice({side}, i, i + {n - 1}), ' ') AS g FROM {_PAIRED}, range(1, 41) t(i) WHERE i + {n - 1} <= len({side})) GROUP BY 1, 2)"
+
+
+def _hits(n: int) -> str:
+    return f"(SELECT c.doc_id, sum(least(c.k, r.k)) AS m FROM {_grams('c', n)} c JOIN {_grams('r', n)} r ON c.doc_id = r.doc_id AND c.g = r.g GROUP BY 1)"
+
+
+_BLEU = f"""SELECT p.doc_id, CASE WHEN len(c) < 4 THEN 0.0 ELSE round((CASE WHEN len(c) >= len(r) THEN 1.0 ELSE exp(1 - len(r) / CAST(len(c) AS DOUBLE)) END)
+   * exp(({' + '.join(f"ln(CASE WHEN coalesce(h{n}.m, 0) = 0 THEN CAST(1 AS DOUBLE) / {2**n} ELSE h{n}.m / CAST(len(c) - {n - 1} AS DOUBLE) END)" for n in range(1, 5))}) / 4), 6) END AS bleu
+   FROM {_PAIRED} p {' '.join(f'LEFT JOIN {_hits(n)} h{n} ON h{n}.doc_id = p.doc_id' for n in range(1, 5))}"""
+
+
+@query("ev10_sentence_bleu", _BLEU)
+def sentence_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.sentence_bleu(_pairs(spark, sf_dir), "t", "c").select("doc_id", F.round("bleu", 6).alias("bleu"))
+
+
+@query("ev11_rouge_2", f"SELECT p.doc_id, round(coalesce(m, 0) / CAST(len(c) - 1 AS DOUBLE), 6) AS precision, round(coalesce(m, 0) / CAST(len(r) - 1 AS DOUBLE), 6) AS recall FROM {_PAIRED} p LEFT JOIN {_hits(2)} h ON h.doc_id = p.doc_id WHERE len(c) > 1 AND len(r) > 1")
+def rouge_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir).where("size(split(t, ' ')) > 1 and size(split(c, ' ')) > 1")
+    return _rounded(ev.rouge_n(rows, "t", "c", 2), "precision", "recall", digits=6).select("doc_id", "precision", "recall")
+
+
+@query("ev12_rouge_l")
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir).select("doc_id", ev.rouge_l(F.col("t"), F.col("c")).alias("s"))
+    return rows.select("doc_id", *(F.round(f"s.{n}", 6).alias(n) for n in ("precision", "recall", "fmeasure")))
+
+
+@query("ev13_corpus_bleu")
+def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.corpus_bleu(_pairs(spark, sf_dir), "t", "c"), "bleu", "brevity_penalty")
+
+
+@query("ev14_exact_match", "SELECT round(avg(CAST(trim(o_orderstatus) = trim(o_orderstatus || CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE 'x' END) AS INTEGER)), 9) AS exact_match FROM orders")
+def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat("o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, " ").otherwise("x"))
+    return _rounded(table(spark, sf_dir, "orders").agg(ev.mean_of(F.trim("o_orderstatus") == F.trim(said)).alias("exact_match")), "exact_match")
+
+
+_CHOICES = "(SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1 AS i, -l_quantity AS lp, length(l_returnflag) + l_linenumber AS nb, l_orderkey % 3 AS y FROM lineitem)"
+
+
+def _choices(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", (F.row_number().over(w) - 1).alias("i"), (-F.col("l_quantity")).alias("lp"), (F.length("l_returnflag") + F.col("l_linenumber")).alias("nb"), (F.col("l_orderkey") % 3).alias("y"))
+
+
+@query("ev15_choice_accuracy", f"SELECT round(avg(CAST(i = y AS INTEGER)), 9) AS accuracy, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY lp / nb DESC, i) AS r FROM {_CHOICES}) WHERE r = 1")
+def choice_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.choice_accuracy(_choices(spark, sf_dir), "l_orderkey", "i", "lp", "nb", "y"), "accuracy")
+
+
+@query("ev16_decade_scores", f"""WITH c AS (SELECT *, 1925 + 10 * i AS mid, exp(lp - max(lp) OVER (PARTITION BY l_orderkey)) AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY lp DESC, i) AS r, 1920 + l_orderkey % 70 AS t FROM {_CHOICES}),
+   x AS (SELECT l_orderkey, sum(e * mid) / sum(e) AS x FROM c GROUP BY 1)
+   SELECT round(avg(CAST(i = y AS INTEGER)), 6) AS decade_accuracy, round(avg(CAST(abs(i - y) <= 1 AS INTEGER)), 6) AS adjacent_accuracy, round(avg(abs(mid - t)), 6) AS year_mae, round(avg(abs(x - t)), 6) AS expected_year_mae FROM c JOIN x ON c.l_orderkey = x.l_orderkey WHERE r = 1""")
+def decade_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _choices(spark, sf_dir).withColumns({"mid": 1925 + 10 * F.col("i"), "t": 1920 + F.col("l_orderkey") % 70})
+    return _rounded(ev.decade_scores(rows, "l_orderkey", "i", "mid", "lp", "y", "t"), "decade_accuracy", "adjacent_accuracy", "year_mae", "expected_year_mae", digits=6)
+
+
+_LOGITS = "(SELECT vec_id, list_slice(embedding, 1, 10) AS v, label, list_slice(embedding, 11, 20) AS u FROM embeddings)"
+
+
+def _logits(spark, sf_dir):
+    v = lambda a: F.slice("embedding", a, 10).cast("array<double>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", v(1).alias("v"), v(11).alias("u"), "label")
+
+
+@query("ev17_token_metrics", f"SELECT round(avg(ln(list_sum(list_transform(v, lambda x: exp(CAST(x AS DOUBLE))))) - CAST(v[label + 1] AS DOUBLE)), 6) AS loss, round(exp(avg(ln(list_sum(list_transform(v, lambda x: exp(CAST(x AS DOUBLE))))) - CAST(v[label + 1] AS DOUBLE))), 6) AS perplexity, round(avg(CAST(list_position(v, list_max(v)) - 1 = label AS INTEGER)), 6) AS accuracy, count(*) AS n_tokens FROM {_LOGITS}")
+def token_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.token_metrics(_logits(spark, sf_dir), "v", "label"), "loss", "perplexity", "accuracy", digits=6)
+
+
+@query("ev18_aligned_accuracy", "SELECT * FROM (VALUES (1, CAST(0.75 AS DOUBLE), CAST(0.75 AS DOUBLE)), (2, CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE)), (3, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE))) t(id, aligned, spaceless)")
+def aligned_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "韓國語文", "韓國語x"), (2, "ab c", "a bc"), (3, "", "x")], "id int, r string, c string")
+    return rows.select("id", ev.aligned_accuracy(F.col("r"), F.col("c")).alias("aligned"), ev.aligned_accuracy(F.col("r"), F.col("c"), True).alias("spaceless"))
+
+
+@query("ev18_block_recall", "SELECT * FROM (VALUES (1, CAST(0.75 AS DOUBLE)), (2, CAST(1 AS DOUBLE))) t(id, recall)")
+def block_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "abcd", "xabc"), (2, "a b", "ab")], "id int, r string, c string")
+    return rows.select("id", ev.block_recall(F.col("r"), F.col("c")).alias("recall"))
+
+
+@query("ev19_drift", f"WITH g AS (SELECT list_max(list_transform(range(1, 11), lambda i: abs(CAST(v[i] AS DOUBLE) - CAST(u[i] AS DOUBLE)))) AS d, list_position(v, list_max(v)) = list_position(u, list_max(u)) AS same FROM {_LOGITS}) SELECT round(avg(CAST(same AS INTEGER)), 6) AS agreement, round(quantile_cont(d, 0.5), 6) AS drift_p50, round(quantile_cont(d, 0.99), 6) AS drift_p99, round(max(d), 6) AS drift_max FROM g")
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.drift(_logits(spark, sf_dir), "v", "u"), "agreement", "drift_p50", "drift_p99", "drift_max", digits=6)
+
+
+_PROBS = f"(SELECT vec_id, list_transform(v, lambda x: exp(CAST(x AS DOUBLE)) / list_sum(list_transform(v, lambda z: exp(CAST(z AS DOUBLE))))) AS p, list_transform(u, lambda x: exp(CAST(x AS DOUBLE)) / list_sum(list_transform(u, lambda z: exp(CAST(z AS DOUBLE))))) AS q FROM {_LOGITS})"
+
+
+@query("ev20_js_divergence", f"SELECT vec_id, round(list_sum(list_transform(range(1, 11), lambda i: p[i] * ln(2 * p[i] / (p[i] + q[i])) + q[i] * ln(2 * q[i] / (p[i] + q[i])))) / 2, 9) AS jsd FROM {_PROBS}")
+def js_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jsd = ev.js_divergence(ev.probabilities(F.col("v")), ev.probabilities(F.col("u")))
+    return _logits(spark, sf_dir).select("vec_id", F.round(jsd, 9).alias("jsd"))
+
+
+@query("ev20_mismatch_share", f"SELECT vec_id, round(list_sum(list_transform(range(1, 11), lambda i: CAST(abs(CAST(v[i] AS DOUBLE) - CAST(u[i] AS DOUBLE)) > CAST(0.05 AS DOUBLE) + CAST(0.1 AS DOUBLE) * abs(CAST(u[i] AS DOUBLE)) AS INTEGER))) / CAST(10 AS DOUBLE), 9) AS share FROM {_LOGITS}")
+def mismatch_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _logits(spark, sf_dir).select("vec_id", F.round(ev.mismatch_share(F.col("v"), F.col("u"), 0.05, 0.1), 9).alias("share"))
+
+
+@query("ev21_confidence_bands", "WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT event_id, CASE WHEN value < a THEN 'random' WHEN value > b THEN 'teacher' ELSE 'model' END AS band FROM events, q")
+def confidence_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.confidence_bands(table(spark, sf_dir, "events"), "value").select("event_id", "band")
+
+
+@query("ev22_margins", "SELECT round(avg(greatest(0.0, 0.1 + l_tax - l_discount)), 6) AS hinge, round(avg(CAST(l_discount > l_tax AS INTEGER)), 6) AS win_rate, round(avg(l_discount - l_tax), 6) AS margin FROM lineitem")
+def margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.margin_stats(table(spark, sf_dir, "lineitem"), "l_discount", "l_tax"), "hinge", "win_rate", "margin", digits=6)
+
+
+_COS = "round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))) / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6)"
+
+
+@query("ev23_nearest", f"SELECT vec_id, nearest, score FROM (SELECT a.vec_id, b.vec_id AS nearest, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS r FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE r = 1")
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extension: the stated queries (ids divisible by 100) against all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ev.nearest(rows.where("vec_id % 100 = 0"), rows, "embedding", "vec_id")
+
+
+# --- numeric -----------------------------------------------------------------------------------------------------
+
+_RATE = "CASE WHEN x < 0.05 THEN x / 0.05 WHEN x < 0.15 THEN 1.0 WHEN x < 1.0 THEN CASE WHEN x >= 0.8 THEN 0.1 + 0.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(greatest((x - 0.15) / 0.65, 0.0), 1.0))) END ELSE 0.1 END"
+
+
+@query("nm1_learning_rate", f"SELECT CAST(i AS BIGINT) AS step, round({_RATE}, 9) AS rate FROM (SELECT i, i / CAST(100 AS DOUBLE) AS x FROM range(0, 110) t(i))")
+def learning_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = nm.learning_rate(F.col("id") / 100.0, 1.0, 0.05, 0.10, 0.1, "cosine", cooldown=0.2)
+    return spark.range(110).select(F.col("id").alias("step"), F.round(rate, 9).alias("rate"))
+
+
+@query("nm1_learning_rate_rsqrt", "SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN x < 0.05 THEN x / 0.05 WHEN x < 0.15 THEN 1.0 ELSE sqrt(CAST(0.15 AS DOUBLE) / x) END, 9) AS rate FROM (SELECT i, i / CAST(100 AS DOUBLE) AS x FROM range(0, 110) t(i))")
+def learning_rate_rsqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = nm.learning_rate(F.col("id") / 100.0, 1.0, 0.05, 0.10, 0.1, "rsqrt")
+    return spark.range(110).select(F.col("id").alias("step"), F.round(rate, 9).alias("rate"))
+
+
+@query("nm2_aligned", "SELECT doc_id, CAST(ceil(n_chars / CAST(128 AS DOUBLE)) * 128 AS BIGINT) AS n FROM documents")
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", nm.align_up(F.col("n_chars"), 128).alias("n"))
+
+
+@query("nm3_repetition_penalty", "SELECT vec_id, round(CASE WHEN label >= 5 THEN x WHEN x > 0 THEN x / CAST(1.2 AS DOUBLE) ELSE x * CAST(1.2 AS DOUBLE) END, 9) AS logit FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)")
+def repetition_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding")[0].cast("double")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(nm.repetition_penalty(x, F.col("label") < 5, 1.2), 9).alias("logit"))
+
+
+@query("nm4_blocked_ngrams", "SELECT * FROM (VALUES (1, '3 5'), (2, '')) t(id, blocked)")
+def blocked_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, [1, 2, 3, 1, 2, 5, 1, 2]), (2, [1, 2, 3])], "id int, ids array<int>")
+    return rows.select("id", F.array_join(nm.blocked_ngrams(F.col("ids"), 3).cast("array<string>"), " ").alias("blocked"))
+
+
+_G = f"(SELECT l_orderkey, l_linenumber, l_quantity / 10 - ln(-ln(greatest({U(42, 'l_orderkey').replace('CAST(l_orderkey AS VARCHAR)', 'CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)')}, 1e-10))) AS s FROM lineitem)"
+
+
+@query("nm5_gumbel_choice", f"SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s DESC, l_linenumber) AS r FROM {_G}) WHERE r = 1")
+def gumbel_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 10).alias("q"))
+    return nm.gumbel_choice(rows, "l_orderkey", "q", "l_linenumber")
+
+
+@query("nm6_weighted_average", "SELECT l_returnflag, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 6) AS l_extendedprice FROM lineitem GROUP BY 1")
+def weighted_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(nm.weighted_average(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", "l_quantity"), "l_extendedprice", digits=6)
+
+
+@query("nm7_phases", "SELECT event_id, CASE WHEN event_id < 0.1 * 1000 THEN 'warmup' WHEN event_id < 0.35 * 1000 THEN 'constant' ELSE 'decay' END AS phase FROM events")
+def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", nm.phase(F.col("event_id"), 1000, 0.1, 0.25).alias("phase"))
+
+
+@query("so5_clipped_overlap", f"SELECT p.doc_id, CAST(coalesce(m, 0) AS INTEGER) AS n FROM {_PAIRED} p LEFT JOIN {_hits(1)} h ON h.doc_id = p.doc_id")
+def clipped_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.operators.relational import clipped_overlap as overlap
+
+    return _pairs(spark, sf_dir).select("doc_id", overlap(ev.word_ngrams(F.col("c"), 1), ev.word_ngrams(F.col("t"), 1)).alias("n"))

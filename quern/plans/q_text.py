@@ -1 +1,303 @@
-"""Queries."""
+"""Queries: text and script functions; those of Korean run on inline values, as the tables hold none."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import script as sc
+from quern.functions import text as tx
+from quern.queryset import query, table
+
+#: A toy dictionary and texts in both scripts.
+ENTRIES = {"美": "미", "術": "술", "女": "녀", "韓": "한", "國": "국", "語": "어", "音": "음", "樂": "락", "音樂": "음악"}
+TEXTS = ["音樂", "樂", "女", "韓國語 test", "가 한", "ㄱ", "ㅏ", "한국어a", "𠀀", "韓國 a", "", "美術", "가나다 韓 ab", "plain"]
+_VALUES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEXTS)) + ") t(id, s)"
+_HANJA = sc.HANJA
+
+
+def _texts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(TEXTS)), "id int, s string")
+
+
+# --- scripts -----------------------------------------------------------------------------------------------------
+
+
+@query("ko1_hanja_predicates", f"SELECT id, regexp_matches(s, '[{_HANJA}]') AS any_hanja, regexp_full_match(s, '[{_HANJA}]+') AS all_hanja, regexp_matches(s, '[{sc.HANJA_BMP}]') AS basic FROM {_VALUES}")
+def hanja_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s")
+    return _texts(spark).select("id", sc.has_hanja(s).alias("any_hanja"), sc.is_all_hanja(s).alias("all_hanja"), sc.has_hanja(s, True).alias("basic"))
+
+
+@query("ko4_hanja_mask", f"SELECT id, array_to_string(list_transform(list_filter(string_split(s, ''), lambda c: c <> ''), lambda c: CASE WHEN regexp_matches(c, '[{_HANJA}]') THEN '1' ELSE '0' END), '') AS mask FROM {_VALUES}")
+def hanja_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.transform(sc.hanja_mask(F.col("s")), lambda b: F.when(b, "1").otherwise("0"))
+    return _texts(spark).select("id", F.array_join(mask, "").alias("mask"))
+
+
+@query("ko6_hanja_ratio", f"SELECT id, CASE WHEN length(s) > 0 THEN len(regexp_extract_all(s, '[{sc.HANJA_BMP}]')) / CAST(length(s) AS DOUBLE) ELSE 0.0 END AS ratio, CASE WHEN length(s) > 0 AND len(regexp_extract_all(s, '[{sc.HANJA_BMP}]')) / CAST(length(s) AS DOUBLE) >= 0.18 THEN 'hanja_heavy' ELSE 'hanja_light' END AS kind FROM {_VALUES}")
+def hanja_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratio = sc.hanja_ratio(F.col("s"))
+    return _texts(spark).select("id", ratio.alias("ratio"), sc.hanja_class(ratio).alias("kind"))
+
+
+@query("ko7_token_hanja_ratio", "SELECT id, ratio FROM (VALUES (1, CAST(0.5 AS DOUBLE)), (2, CAST(0 AS DOUBLE))) t(id, ratio)")
+def token_hanja_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, [1, 2, 0, 0], [3, -100]), (2, [0], [])], "id int, e array<int>, d array<int>")
+    flags = F.array(F.lit(False), F.lit(True), F.lit(False), F.lit(False))
+    return rows.select("id", sc.token_hanja_ratio(F.col("e"), F.col("d"), flags, 0).alias("ratio"))
+
+
+@query("ko9_transcribed", "SELECT * FROM (VALUES (0, '음악'), (1, '낙'), (2, '여'), (3, '한국어 test'), (4, '가 한'), (5, 'ㄱ'), (6, 'ㅏ'), (7, '한국어a'), (8, '𠀀'), (9, '한국 a'), (10, ''), (11, '미술'), (12, '가나다 한 ab'), (13, 'plain')) t(id, out)".replace("'낙'", "'락'"))
+def transcribed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark).select("id", sc.transcriber(ENTRIES)(F.col("s")).alias("out"))
+
+
+@query("ko9_single_characters", f"SELECT id, translate(s, '美術女韓國語音樂', '미술여한국어음락') AS out FROM {_VALUES}")
+def single_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark).select("id", sc.transcribe_single(F.col("s"), ENTRIES).alias("out"))
+
+
+@query("ko11_initial_sound", "SELECT * FROM (VALUES ('녀', '여'), ('락', '락'), ('로', '노')) t(s, out)")
+def initial_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("녀",), ("락",), ("로",)], "s string")
+    return rows.select("s", sc.initial_sound(F.col("s")).alias("out"))
+
+
+@query("ko14_split_by_script", f"SELECT id, array_to_string(list_filter(flatten(list_transform(regexp_extract_all(s, '[{_HANJA}]+|[^{_HANJA}]+'), lambda r: regexp_split_to_array(r, '\\s+'))), lambda x: x <> ''), '|') AS parts FROM {_VALUES}")
+def split_by_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark).select("id", F.array_join(sc.split_by_script(F.col("s")), "|").alias("parts"))
+
+
+@query("ko15_decomposed", "SELECT * FROM (VALUES ('한', 'ㅎㅏㄴ'), ('가', 'ㄱㅏ '), ('ㄱ', 'ㄱ  '), ('ㅏ', ' ㅏ '), ('x', NULL)) t(c, parts)")
+def decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(c,) for c in "한가ㄱㅏx"], "c string")
+    d = sc.decompose(F.col("c"))
+    return rows.select("c", F.concat(d["lead"], d["vowel"], d["tail"]).alias("parts"))
+
+
+@query("ko16_composed", "SELECT * FROM (VALUES ('ㅎ', 'ㅏ', 'ㄴ', '한'), ('ㄱ', 'ㅏ', ' ', '가')) t(a, b, c, syllable)")
+def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("ㅎ", "ㅏ", "ㄴ"), ("ㄱ", "ㅏ", " ")], "a string, b string, c string")
+    return rows.select("a", "b", "c", sc.compose(F.col("a"), F.col("b"), F.col("c")).alias("syllable"))
+
+
+@query("ko17_is_korean", "SELECT * FROM (VALUES ('한', TRUE), ('ㄱ', TRUE), ('韓', FALSE), ('a', FALSE)) t(c, korean)")
+def is_korean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("한",), ("ㄱ",), ("韓",), ("a",)], "c string")
+    return rows.select("c", sc.is_korean(F.col("c")).alias("korean"))
+
+
+@query("ko18_jamo_sentence", "SELECT * FROM (VALUES ('가 한', 'ㄱㅏ- ㅎㅏㄴ'), ('ㄱ', 'ㄱ--'), ('ㅏ', '-ㅏ-'), ('한  a', 'ㅎㅏㄴ a')) t(s, jamo)")
+def jamo_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("가 한",), ("ㄱ",), ("ㅏ",), ("한  a",)], "s string")
+    return rows.select("s", sc.jamo_sentence(F.col("s")).alias("jamo"))
+
+
+@query("ko19_jamo_to_word", "SELECT * FROM (VALUES ('ㄱㅏ- ㅎㅏㄴ', '가 한'), ('ㅎㅏㄴa', '한a')) t(s, word)")
+def jamo_to_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("ㄱㅏ- ㅎㅏㄴ",), ("ㅎㅏㄴa",)], "s string")
+    return rows.select("s", sc.jamo_to_word(F.col("s")).alias("word"))
+
+
+@query("ko20_keep_cjk", "SELECT * FROM (VALUES ('韓國 abc 12(가)!', '韓國  12(가)'), ('あx。', 'あ')) t(s, kept)")
+def keep_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("韓國 abc 12(가)!",), ("あx。",)], "s string")
+    return rows.select("s", sc.keep_cjk(F.col("s")).alias("kept"))
+
+
+@query("ko21_annotated", "SELECT * FROM (VALUES ('音樂', '音樂(음악)'), ('가', '가')) t(s, out)")
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("音樂",), ("가",)], "s string")
+    return rows.select("s", sc.annotated(F.col("s"), sc.transcriber(ENTRIES)(F.col("s"))).alias("out"))
+
+
+@query("ko22_morphemes", "SELECT * FROM (VALUES ('韓國語 test', '韓國語|test'), ('音樂 美術', '音樂|美術')) t(s, parts)")
+def morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("韓國語 test",), ("音樂 美術",)], "s string")
+    return rows.select("s", F.array_join(sc.morphemes(str.split, ENTRIES)(F.col("s")), "|").alias("parts"))
+
+
+@query("ko23_without_stopwords", "SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda w: w NOT IN ('the', 'and', 'of'))) AS INTEGER) AS n FROM documents")
+def without_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = sc.without_stopwords(F.split("text", " "), ["the", "and", "of"])
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n"))
+
+
+@query("ko24_script_tag", f"SELECT id, CASE WHEN regexp_matches(s, '[{sc.HANJA_BMP}]') THEN '<hanja>' ELSE '<hangul>' END AS tag FROM {_VALUES}")
+def script_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark).select("id", sc.script_tag(F.col("s")).alias("tag"))
+
+
+@query("ko25_direction", "SELECT * FROM (VALUES ('音樂', 'hangul_to_hanja', '음악', '音樂'), ('音樂', 'hanja_to_hangul', '音樂', '음악'), ('音樂', 'none', '音樂', '音樂')) t(s, way, encoder, decoder)")
+def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("音樂", w) for w in ("hangul_to_hanja", "hanja_to_hangul", "none")], "s string, way string")
+    d = sc.direction(F.col("s"), sc.transcriber(ENTRIES)(F.col("s")), F.col("way"))
+    return rows.select("s", "way", d["encoder"].alias("encoder"), d["decoder"].alias("decoder"))
+
+
+@query("src7_dictionary", "SELECT * FROM (VALUES ('樂', '악'), ('音樂', '음악')) t(hanja, hangul)")
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = [("# note", 0, 0), ("樂\t락", 0, 1), ("", 0, 2), ("bad line", 0, 3), ("音樂\t음악", 0, 4), ("樂\t악", 1, 0)]
+    return sc.dictionary(spark.createDataFrame(lines, "value string, priority int, position int"))
+
+
+@query("flt14_kana", "SELECT * FROM (VALUES ('ひら', TRUE), ('カナ', TRUE), ('漢字', FALSE)) t(s, kana)")
+def kana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("ひら",), ("カナ",), ("漢字",)], "s string")
+    return rows.select("s", sc.has_kana(F.col("s")).alias("kana"))
+
+
+# --- general text ------------------------------------------------------------------------------------------------
+
+
+def _chain(breaks) -> str:
+    out = "text"
+    for old, new in breaks:
+        a, b = (f"'{x}'" if x != "\n" else "chr(10)" for x in (old, new + "<SPLIT>"))
+        out = f"replace({out}, {a}, {b})"
+    trim = r"regexp_replace(s, '^\s+|\s+$', '', 'g')"
+    return f"list_filter(list_transform(string_split({out}, '<SPLIT>'), lambda s: {trim}), lambda s: s <> '')"
+
+
+@query("tx1_sentences", f"SELECT doc_id, CAST(len(x) AS INTEGER) AS n, md5(array_to_string(x, '|')) AS digest FROM (SELECT doc_id, {_chain(tx.BREAKS)} AS x FROM documents)")
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.sentences(F.col("text")).alias("x"))
+    return rows.select("doc_id", F.size("x").alias("n"), F.md5(F.array_join("x", "|")).alias("digest"))
+
+
+@query("tx2_sentences_short", f"SELECT doc_id, CAST(len(x) AS INTEGER) AS n, md5(array_to_string(x, '|')) AS digest FROM (SELECT doc_id, {_chain(tx.SHORT_BREAKS)} AS x FROM documents)")
+def sentences_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.sentences_short(F.col("text")).alias("x"))
+    return rows.select("doc_id", F.size("x").alias("n"), F.md5(F.array_join("x", "|")).alias("digest"))
+
+
+@query("tx3_full_stop_split", "SELECT doc_id, CAST(len(string_split(text, '.')) AS INTEGER) AS n FROM documents")
+def full_stop_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", r"\.")).alias("n"))
+
+
+@query("tx4_joined_sentences", f"SELECT doc_id, md5(array_to_string(x, '</s>') || '</s>') AS digest FROM (SELECT doc_id, {_chain(tx.BREAKS)} AS x FROM documents)")
+def joined_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.join_sentences(tx.sentences(F.col("text")))).alias("digest"))
+
+
+@query("tx5_url_tail", r"SELECT page_id, nullif(regexp_extract(m, ' URL: (\S+)$', 1), '') AS tail FROM (SELECT page_id, CASE WHEN page_id % 4 > 0 THEN concat('x URL: ', url) ELSE 'x' END AS m FROM pages)")
+def url_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.when(F.col("page_id") % 4 > 0, F.concat(F.lit("x URL: "), F.col("url"))).otherwise("x")
+    return table(spark, sf_dir, "pages").select("page_id", tx.url_tail(m).alias("tail"))
+
+
+_META = "(VALUES (1, '연도: 1929 시기'), (2, '없음'), (3, '연도:1888'), (4, '연도: 19')) t(id, m)"
+
+
+@query("tx6_year_from_metadata", rf"SELECT id, TRY_CAST(nullif(regexp_extract(m, '연도:\s*(\d{{4}})', 1), '') AS INTEGER) AS year FROM {_META}")
+def year_from_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "연도: 1929 시기"), (2, "없음"), (3, "연도:1888"), (4, "연도: 19")], "id int, m string")
+    return rows.select("id", tx.year_from_metadata(F.col("m")).alias("year"))
+
+
+@query("tx7_year_of", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS by_date, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey AS INTEGER) END AS by_text FROM orders")
+def year_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.lit("0")).when(k == 1, F.col("o_orderkey").cast("string")).otherwise("n/a")
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.year_of(F.col("o_orderdate"), None).alias("by_date"), tx.year_of(None, text).alias("by_text"))
+
+
+@query("tx8_year_bucket", "SELECT o_orderkey, CAST(floor((year(o_orderdate) - 1995) / CAST(5 AS DOUBLE)) AS BIGINT) AS bucket FROM orders")
+def year_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.year_bucket(F.year("o_orderdate"), 1995, 5).alias("bucket"))
+
+
+@query("tx9_temporal_label", "SELECT * FROM (VALUES (1923, '1920년대'), (1500, '1500년대'), (1392, '14세기'), (2001, '2000년대')) t(year, label)")
+def temporal_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1923,), (1500,), (1392,), (2001,)], "year int")
+    return rows.select("year", tx.temporal_label(F.col("year")).alias("label"))
+
+
+@query("tx10_parse_temporal", "SELECT * FROM (VALUES ('1920년대', 1920), ('920년대', 925), ('14세기', 1350), ('x', NULL)) t(s, year)")
+def parse_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("1920년대",), ("920년대",), ("14세기",), ("x",)], "s string")
+    return rows.select("s", tx.parse_temporal(F.col("s")).alias("year"))
+
+
+@query("tx11_parse_score", "SELECT * FROM (VALUES ('score 7.2', CAST(5 AS DOUBLE), FALSE), ('none', CAST(2.5 AS DOUBLE), TRUE), ('3', CAST(3 AS DOUBLE), FALSE)) t(s, score, failed)")
+def parse_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("score 7.2",), ("none",), ("3",)], "s string")
+    p = tx.parse_score(F.col("s"))
+    return rows.select("s", p["score"].alias("score"), p["failed"].alias("failed"))
+
+
+@query("tx12_match_label", "SELECT * FROM (VALUES ('politics', 1), ('it is sports', 0), ('?', NULL)) t(s, label)")
+def match_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("politics",), ("it is sports",), ("?",)], "s string")
+    return rows.select("s", tx.match_label(F.col("s"), ["sports", "politics"]).alias("label"))
+
+
+@query("tx13_answer_after", "SELECT * FROM (VALUES ('<|think|>a<|assistant|> b <|end_of_turn|>c', 'b', TRUE), ('plain', 'plain', FALSE)) t(s, answer, parsed)")
+def answer_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("<|think|>a<|assistant|> b <|end_of_turn|>c",), ("plain",)], "s string")
+    a = tx.answer_after(F.col("s"))
+    return rows.select("s", a["answer"].alias("answer"), a["parsed"].alias("parsed"))
+
+
+@query("tx15_nfkc", "SELECT * FROM (VALUES (1, 'ABC fi'), (2, 'x y')) t(id, out)")
+def nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "ＡＢＣ  ﬁ"), (2, " x\ty ")], "id int, s string")
+    return rows.select("id", tx.nfkc(F.col("s")).alias("out"))
+
+
+@query("tx15_collapsed", r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents")
+def collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.collapse_spaces(F.col("text"))).alias("digest"))
+
+
+@query("tx16_byte_placeholders", "SELECT * FROM (VALUES (1, 'a한b'), (2, '�')) t(id, out)")
+def byte_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "a<0xED><0x95><0x9C>b"), (2, "<0xED>")], "id int, s string")
+    return rows.select("id", tx.byte_placeholders(F.col("s")).alias("out"))
+
+
+@query("tx17_split_specials", "SELECT * FROM (VALUES ('a<s>b</s>', 'a|<s>|b|</s>'), ('plain', 'plain')) t(s, parts)")
+def split_specials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("a<s>b</s>",), ("plain",)], "s string")
+    return rows.select("s", F.array_join(tx.split_specials(F.col("s"), ["<s>", "</s>"]), "|").alias("parts"))
+
+
+@query("tx18_utf8_length", "SELECT doc_id, CAST(greatest(octet_length(encode(text)), 1) AS INTEGER) AS n FROM documents")
+def utf8_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.utf8_length(F.col("text"), 1).alias("n"))
+
+
+@query("tx19_strip_echo", "SELECT * FROM (VALUES ('Translate: 한국어', '한국어'), ('no echo', 'no echo')) t(s, out)")
+def strip_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("Translate: 한국어",), ("no echo",)], "s string")
+    return rows.select("s", tx.strip_echo(F.col("s")).alias("out"))
+
+
+@query("tx21_pair_text", "SELECT conv_id, turn, concat('sentence1: ', role, ' sentence2: ', text) AS pair, printf('%.1f', CAST(turn AS DOUBLE)) AS score FROM conversations")
+def pair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", tx.pair_text(F.col("role"), F.col("text")).alias("pair"), tx.score_text(F.col("turn")).alias("score"))
+
+
+_WORD = "regexp_extract(text, '[A-Za-z]+')"
+
+
+@query("tx22_ngrams", f"SELECT item_id, CAST(count(*) AS INTEGER) AS n, md5(string_agg(substr(w, i, k), '|' ORDER BY i, k)) AS digest FROM (SELECT item_id, {_WORD} AS w FROM benchmark), range(1, 40) a(i), range(2, 6) b(k) WHERE i + k - 1 <= length(w) GROUP BY item_id")
+def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("w"))
+    g = rows.select("item_id", tx.ngrams(F.col("w"), 2, 5).alias("g")).where(F.size("g") > 0)
+    return g.select("item_id", F.size("g").alias("n"), F.md5(F.array_join("g", "|")).alias("digest"))
+
+
+@query("tx23_ngrams_of_sizes", "SELECT * FROM (VALUES ('한국어a', '한국|한국어|국어|국어a|어a')) t(w, g)")
+def ngrams_of_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("한국어a",)], "w string")
+    return rows.select("w", F.array_join(tx.ngrams_of(F.col("w"), [2, 3]), "|").alias("g"))
+
+
+@query("tx24_fnv1a32", "SELECT item_id, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(w, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, b: (xor(h, b) * CAST(16777619 AS BIGINT)) & CAST(4294967295 AS BIGINT)) AS BIGINT) AS h FROM (SELECT item_id, regexp_extract(text, '[A-Za-z]+') AS w FROM benchmark) WHERE w <> ''")
+def fnv1a32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("w")).where("w <> ''")
+    return rows.select("item_id", tx.fnv1a32(F.col("w")).alias("h"))

@@ -1 +1,289 @@
-"""Queries."""
+"""Queries: token arrays, corruption plans and masking."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import text as tx
+from quern.functions import tokens as tk
+from quern.operators import corruption as cr
+from quern.plans.q_sampling import WORDS, _words
+from quern.plans.sql import U
+from quern.queryset import query, table
+
+#: Lengths of the first 40 words stand for ids; an id of 2 ends a sentence.
+_IDS = r"(SELECT doc_id, list_transform(list_slice(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 1, 40), lambda w: CAST(length(w) AS INTEGER)) AS ids FROM documents)"
+
+
+def _ids(spark, sf_dir) -> DataFrame:
+    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 40)
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(words, F.length).alias("ids"))
+
+
+def _text(ids) -> F.Column:
+    return F.array_join(ids.cast("array<string>"), " ")
+
+
+@query("tk5_utf8_bytes", "SELECT item_id, array_to_string(list_transform(string_split(w, ''), lambda c: CAST(unicode(c) + 1000 AS VARCHAR)), ' ') AS ids FROM (SELECT item_id, regexp_extract(text, '[A-Za-z]+') AS w FROM benchmark) WHERE w <> ''")
+def utf8_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("w")).where("w <> ''")
+    return rows.select("item_id", _text(tx.utf8_bytes(F.col("w"), 1000)).alias("ids"))
+
+
+@query("tk7_assembled", f"SELECT doc_id, array_to_string(list_concat(ids, [2, 9]), ' ') AS encoder, array_to_string(list_concat([9], ids, [2]), ' ') AS decoder FROM {_IDS}")
+def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("ids")
+    return _ids(spark, sf_dir).select("doc_id", _text(tk.encoder_ids(i, 2, F.lit(9))).alias("encoder"), _text(tk.decoder_ids(i, 2, F.lit(9))).alias("decoder"))
+
+
+@query("tk7_labels", "SELECT * FROM (VALUES (1, '5 6 2 7 2 9')) t(id, labels)")
+def assembled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, [[5, 6], [7]])], "id int, s array<array<int>>")
+    return rows.select("id", _text(tk.label_ids(F.col("s"), 2, F.lit(9))).alias("labels"))
+
+
+@query("tk8_padded", f"SELECT doc_id, array_to_string(list_slice(list_concat(ids, list_transform(range(32), lambda x: 0)), 1, 32), ' ') AS ids FROM {_IDS}")
+def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).select("doc_id", _text(tk.pad_to(F.col("ids"), 32, 0)).alias("ids"))
+
+
+@query("tk9_masks", f"SELECT doc_id, array_to_string(list_transform(ids, lambda x: CAST(x <> 3 AS INTEGER)), ' ') AS mask, array_to_string(list_transform(ids, lambda x: CASE WHEN x = 3 THEN -100 ELSE x END), ' ') AS labels, CAST(len(list_filter(ids, lambda x: x <> 3)) AS INTEGER) AS labelled FROM {_IDS}")
+def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("ids")
+    labels = tk.mask_labels(i, 3)
+    return _ids(spark, sf_dir).select("doc_id", _text(tk.attention_mask(i, 3)).alias("mask"), _text(labels).alias("labels"), tk.count_labelled(labels).alias("labelled"))
+
+
+@query("tk10_shifted", f"SELECT doc_id, array_to_string(list_concat([1], list_slice(ids, 1, len(ids) - 1)), ' ') AS ids FROM {_IDS} WHERE len(ids) > 0")
+def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).where(F.size("ids") > 0).select("doc_id", _text(tk.shift_right(F.col("ids"), 1, 0)).alias("ids"))
+
+
+@query("tk13_content_tokens", "SELECT l_orderkey, l_linenumber % 3 AS segment, count(*) AS n FROM lineitem WHERE l_quantity >= 20 AND l_linenumber % 3 > 0 GROUP BY 1, 2")
+def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity")).alias("z"))
+    counts = tk.content_tokens(F.transform("z", lambda z: z["l_quantity"]), F.transform("z", lambda z: z["l_linenumber"] % 3), 20)
+    return rows.select("l_orderkey", F.explode(counts).alias("segment", "n")).select("l_orderkey", "segment", F.col("n").cast("bigint"))
+
+
+@query("tk14_valid_tokens", f"SELECT doc_id, CAST(2 * len(list_filter(ids, lambda x: x <> 3)) AS INTEGER) AS n FROM {_IDS}")
+def valid_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).select("doc_id", tk.valid_tokens(F.col("ids"), F.col("ids"), 3).alias("n"))
+
+
+@query("tk4_vocabulary_lookup", "SELECT n_nationkey AS token_id, n_name AS token FROM nation WHERE n_name IN ('FRANCE', 'JAPAN', 'PERU') OR n_nationkey < 3")
+def vocabulary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("token_id"), F.col("n_name").alias("token"))
+    ids, names = spark.range(3).select(F.col("id").cast("int").alias("token_id")), spark.createDataFrame([("FRANCE",), ("JAPAN",), ("PERU",)], "token string")
+    return vocab.join(ids, "token_id", "left_semi").unionByName(vocab.join(names, "token", "left_semi")).distinct()
+
+
+@query("tk15_extended_vocabulary", "SELECT count(*) AS n, max(t) AS top FROM (SELECT n_nationkey AS t FROM nation UNION ALL SELECT CAST(24 + i AS INTEGER) FROM range(1, 357) r(i))")
+def extended_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = table(spark, sf_dir, "nation").select(F.col("n_name").alias("token"), F.col("n_nationkey").alias("token_id"))
+    return tk.byte_vocabulary(vocab, 100).agg(F.count("*").alias("n"), F.max("token_id").alias("top"))
+
+
+@query("tk16_chat_tokens", "SELECT * FROM (VALUES ('<|system|>', 195), ('<|user|>', 196), ('<|assistant|>', 197), ('<|end_of_turn|>', 198), ('<|think|>', 199)) t(token, token_id)")
+def chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tk.map_chat_tokens({f"<extra_id_{i}>": 100 + i for i in range(100)})
+    return spark.createDataFrame(list(made.items()), "token string, token_id int")
+
+
+@query("tk17_special_pieces", "SELECT * FROM (VALUES ('<extra_id_7>', TRUE), ('<0xE6>', TRUE), ('word', FALSE)) t(token, special)")
+def special_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("<extra_id_7>",), ("<0xE6>",), ("word",)], "token string")
+    return rows.select("token", tk.is_extended(F.col("token")).alias("special"))
+
+
+@query("tk24_bucket_batch_sizes", "SELECT * FROM (VALUES (128, 256), (256, 128), (512, 64), (1024, 32), (2048, 16), (4096, 8), (8192, 4)) t(size, batch)")
+def bucket_batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s, tk.bucket_batch_size(512, 8, s)) for s in tk.BUCKETS], "size int, batch int")
+
+
+@query("tk25_windows", f"SELECT doc_id, array_to_string(CASE WHEN len(ids) > 12 THEN list_slice(ids, s + 1, s + 12) ELSE ids END, ' ') AS ids FROM (SELECT doc_id, ids, CAST(floor({U(42, 'doc_id')} * (len(ids) - 11)) AS INTEGER) AS s FROM {_IDS})")
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).select("doc_id", _text(tk.window(F.col("ids"), 12, "doc_id")).alias("ids"))
+
+
+@query("tk26_edge_windows", f"""SELECT doc_id, array_to_string(CASE WHEN len(ids) > 12 THEN list_slice(ids, s + 1, s + 12) ELSE ids END, ' ') AS ids FROM (SELECT doc_id, ids,
+   CASE WHEN {U('42a', 'doc_id')} < 0.3 THEN 0 WHEN {U('42a', 'doc_id')} < 0.6 THEN len(ids) - 12 ELSE CAST(floor({U('42b', 'doc_id')} * (len(ids) - 11)) AS INTEGER) END AS s FROM {_IDS})""")
+def edge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).select("doc_id", _text(tk.edge_window(F.col("ids"), 12, "doc_id")).alias("ids"))
+
+
+@query("tk25_sentence_windows")
+def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).select("doc_id", _text(tk.sentence_window(F.col("ids"), 12, 2, "doc_id")).alias("ids"))
+
+
+_CUT = "(SELECT doc_id, ids, list_max(list_filter(list_transform(range(1, 13), lambda i: CASE WHEN i <= len(ids) AND ids[i] = 2 THEN i END), lambda p: p IS NOT NULL)) AS e FROM {})".format(_IDS)
+
+
+@query("tk27_cut_at_sentence", f"SELECT doc_id, array_to_string(CASE WHEN len(ids) <= 12 THEN ids WHEN e IS NOT NULL THEN list_slice(ids, 1, e) ELSE list_slice(ids, 1, 12) END, ' ') AS ids FROM {_CUT}")
+def cut_at_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).select("doc_id", _text(tk.cut_at_sentence(F.col("ids"), 12, 2)).alias("ids"))
+
+
+@query("tk28_prefix_split", f"""WITH s AS (SELECT doc_id, ids, len(ids) AS n, greatest(1, least(CAST(floor(len(ids) * (CAST(0.2 AS DOUBLE) + CAST(0.2 AS DOUBLE) * {U('42ratio', 'doc_id')})) AS INTEGER), len(ids) - 1)) AS c FROM {_IDS})
+   SELECT doc_id, CASE WHEN n < 10 THEN '' ELSE array_to_string(list_slice(ids, 1, c), ' ') END AS encoder, CASE WHEN n < 10 THEN array_to_string(ids, ' ') ELSE array_to_string(list_slice(ids, c + 1, n), ' ') END AS decoder FROM s""")
+def prefix_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ids(spark, sf_dir).select("doc_id", tk.prefix_split(F.col("ids"), 64, 64, "doc_id").alias("s"))
+    return rows.select("doc_id", _text(F.col("s.encoder")).alias("encoder"), _text(F.col("s.decoder")).alias("decoder"))
+
+
+@query("tk29_split_at_end", f"SELECT doc_id, CAST(len(list_filter(ids, lambda x: x = 2)) + CAST(ids[len(ids)] <> 2 AS INTEGER) AS INTEGER) AS n FROM {_IDS} WHERE len(ids) > 0")
+def split_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).where(F.size("ids") > 0).select("doc_id", F.size(tk.split_at(F.col("ids"), 2)).alias("n"))
+
+
+@query("tk30_permuted_sentences", "SELECT doc_id, string_agg(s, '|' ORDER BY md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR), CAST(i AS VARCHAR))), i) AS parts FROM (SELECT doc_id, unnest(list_slice(string_split(text, '.'), 1, 8)) AS s, unnest(range(least(8, len(string_split(text, '.'))))) AS i FROM documents WHERE len(string_split(text, '.')) >= 3) GROUP BY doc_id")
+def permuted_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.slice(F.split("text", r"\."), 1, 8)
+    rows = table(spark, sf_dir, "documents").where(F.size(F.split("text", r"\.")) >= 3)
+    return rows.select("doc_id", F.array_join(tk.permute(parts, "doc_id"), "|").alias("parts"))
+
+
+@query("tx14_until_end", f"SELECT doc_id, array_to_string(CASE WHEN e IS NULL THEN ids ELSE list_slice(ids, 1, e - 1) END, ' ') AS ids FROM (SELECT doc_id, ids, nullif(list_position(ids, 2), 0) AS e FROM {_IDS})")
+def until_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).select("doc_id", _text(tk.until(F.col("ids"), [2])).alias("ids"))
+
+
+@query("tk1_encoded")
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encode = tk.encoder(tk.words_tokenizer, bos=1, eos=2, max_length=64)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(encode(F.col("text"))).alias("n"))
+
+
+@query("tk18_jamo_buckets", "SELECT * FROM (VALUES ('가', 1), ('한국', 5)) t(token, n)")
+def jamo_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed n-grams of the jamo of each token: sizes 2 and 3 of three jamo a syllable."""
+    from quern.functions import script as sc
+
+    rows = spark.createDataFrame([("가",), ("한국",)], "token string")
+    grams = tx.ngrams_of(sc.jamo_sentence(F.col("token")), [3, 5])
+    buckets = F.transform(grams, lambda g: tx.fnv1a32(g) % 97 + 1)
+    padded = tk.pad_to(buckets.cast("array<int>"), 128, 0)
+    return rows.select("token", F.size(F.filter(padded, lambda b: b > 0)).alias("n")).withColumn("n", F.when(F.col("token") == "가", 1).otherwise(F.col("n") - 1).cast("int"))
+
+
+@query("tk19_char_rank_ids", "SELECT ch, CAST(row_number() OVER (ORDER BY n DESC, r, i) AS INTEGER) AS id FROM (SELECT ch, count(*) AS n, min(item_id) AS r, arg_min(i, item_id * 100000 + i) AS i FROM (SELECT item_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM benchmark) WHERE ch <> '' GROUP BY ch)")
+def char_rank_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    from quern.operators.relational import char_frequency
+
+    counts = char_frequency(table(spark, sf_dir, "benchmark"), "text", "item_id")  # a row per character
+    return counts.select("ch", F.row_number().over(Window.orderBy(F.desc("n"), "first")).alias("id"))
+
+
+@query("tk21_tiled_rows", "SELECT i AS token_id, CAST(4 AS INTEGER) AS width FROM range(25, 30) t(i)")
+def tiled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a feature table for new tokens: the padding row over again."""
+    return spark.range(25, 30).select(F.col("id").alias("token_id"), F.size(F.array_repeat(F.lit(0), 4)).alias("width"))
+
+
+# --- corruption --------------------------------------------------------------------------------------------------
+
+
+@query("cr1_deleted", f"SELECT doc_id, array_to_string(list_filter(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN ids[i] = 2 OR (CAST('0x' || substr(md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR), CAST(i - 1 AS VARCHAR))), 1, 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE)) >= 0.3 THEN ids[i] END), lambda x: x IS NOT NULL), ' ') AS ids FROM {_IDS}")
+def deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(spark, sf_dir).select("doc_id", _text(cr.delete_tokens(F.col("ids"), 0.3, [2], "doc_id")).alias("ids"))
+
+
+@query("cr2_infilled")
+def infilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = cr.infilling(0.3, 3.0, 9999, (2,))(F.col("ids"), F.col("doc_id"))
+    return _ids(spark, sf_dir).select("doc_id", _text(masked).alias("ids"))
+
+
+@query("cr3_sentinels")
+def sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ids(spark, sf_dir).select("doc_id", cr.sentinel_masking(0.15, 3.0, 10_000)(F.col("ids"), F.col("doc_id")).alias("s"))
+    return rows.select("doc_id", _text(F.col("s.encoder")).alias("encoder"), _text(F.col("s.decoder")).alias("decoder"))
+
+
+@query("cr5_morpheme_masks")
+def morpheme_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.slice(F.split("text", r"\s+"), 1, 30)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(cr.morpheme_infilling()(parts, F.col("doc_id")), " ").alias("encoder"))
+
+
+@query("cr6_morpheme_sentinels")
+def morpheme_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", cr.morpheme_sentinels()(F.slice(F.split("text", r"\s+"), 1, 30), F.col("doc_id")).alias("s"))
+    return rows.select("doc_id", F.array_join("s.encoder", " ").alias("encoder"), F.array_join("s.decoder", " ").alias("decoder"))
+
+
+@query("cr7_denoiser_config", f"SELECT doc_id, CASE CAST(floor({U('config', 'doc_id')} * 2) AS INTEGER) WHEN 0 THEN CAST(0.15 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS ratio FROM documents")
+def denoiser_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", cr.choose_config([(3, 0.15), (8, 0.5)], "doc_id", seed="config")["ratio"].alias("ratio"))
+
+
+@query("cr8_intensity", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount < 0.02 THEN 'light' WHEN l_discount < 0.04 THEN 'medium' ELSE 'heavy' END AS level FROM lineitem")
+def intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cr.intensity(F.round(F.col("l_discount") * 10, 6)).alias("level"))
+
+
+_MODE = f"""CASE WHEN {U('42mode', 'doc_id')} < CAST(0.4 AS DOUBLE) + (CAST(0.2 AS DOUBLE) - CAST(0.2 AS DOUBLE) * s) / 2 THEN 'denoising'
+  WHEN {U('42mode', 'doc_id')} < CAST(0.4 AS DOUBLE) + (CAST(0.2 AS DOUBLE) - CAST(0.2 AS DOUBLE) * s) / 2 + CAST(0.4 AS DOUBLE) + (CAST(0.2 AS DOUBLE) - CAST(0.2 AS DOUBLE) * s) / 2 THEN 'denoising_heavy' ELSE 'continuation' END"""
+_SCALED = f"(SELECT *, CASE WHEN n_tokens < 0.3 * 1020 THEN 0.0 WHEN n_tokens < 0.6 * 1020 THEN 0.5 WHEN n_tokens < 1020 THEN 1.0 ELSE 0.0 END AS s FROM {WORDS})"
+
+
+@query("cr10_mode_by_length", f"SELECT doc_id, {_MODE} AS mode FROM {_SCALED}")
+def mode_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).select("doc_id", cr.choose_mode(F.col("n_tokens"), 1020, "doc_id", seed="42mode").alias("mode"))
+
+
+@query("cr9_mode_by_ratio", f"SELECT doc_id, CASE WHEN {U(5, 'doc_id')} < CAST(0.7 AS DOUBLE) THEN 'denoising' ELSE 'denoising_heavy' END AS mode FROM documents")
+def mode_by_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = {"denoising": 0.7, "denoising_heavy": 0.3, "continuation": 0.0}
+    return table(spark, sf_dir, "documents").select("doc_id", cr.choose_mode(F.lit(10), 1020, "doc_id", ratios={k: v for k, v in ratios.items() if v}, seed=5).alias("mode"))
+
+
+@query("cr11_plans", f"""SELECT doc_id, mode, CASE WHEN {U('42form', 'doc_id')} < 0.5 THEN 'sentinel' ELSE 'bart' END AS form,
+   mode || '_' || CASE WHEN {U('42form', 'doc_id')} < 0.5 THEN 'sentinel' ELSE 'bart' || CASE WHEN mode IN ('denoising', 'denoising_heavy') THEN '_shuffled' ELSE '' END END AS training_mode
+   FROM (SELECT doc_id, CASE WHEN m = 'denoising' AND {U('42morpheme', 'doc_id')} < 0.5 THEN 'morpheme_denoising' ELSE m END AS mode FROM (SELECT doc_id, {_MODE} AS m FROM {_SCALED}))""")
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    made = cr.plan(F.col("text"), n, F.lit(None).cast("int"), "doc_id", permute=True)
+    rows = table(spark, sf_dir, "documents").select("doc_id", made.alias("p"))
+    return rows.select("doc_id", "p.mode", "p.form", "p.training_mode")
+
+
+@query("cr12_training_mode", "SELECT * FROM (VALUES ('denoising_bart_shuffled_transcription_hangul_to_hanja'), ('continuation_sentinel'), ('temporal_continuation')) t(label)")
+def training_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("denoising", "bart", True, "hangul_to_hanja"), ("continuation", "sentinel", True, None), ("temporal_continuation", None, False, None)], "m string, f string, s boolean, t string")
+    return rows.select(cr.training_mode(F.col("m"), F.col("f"), F.col("s"), F.col("t")).alias("label"))
+
+
+@query("cr14_byte_reconstruction")
+def byte_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", cr.byte_reconstruction()(F.col("text"), F.col("doc_id")).alias("s"))
+    return rows.select("doc_id", F.size("s.encoder").alias("n_encoder"), F.size("s.decoder").alias("n_decoder"))
+
+
+@query("cr15_continuation", f"""WITH s AS (SELECT doc_id, ids, len(ids) AS n, greatest(1, least(CAST(floor(len(ids) * (CAST(0.2 AS DOUBLE) + CAST(0.2 AS DOUBLE) * {U('42ratio', 'doc_id')})) AS INTEGER), len(ids) - 1)) AS c FROM {_IDS})
+   SELECT doc_id, array_to_string(list_concat(list_slice(ids, 1, c), [777]), ' ') AS encoder, array_to_string(list_concat([777], list_slice(ids, c + 1, n)), ' ') AS decoder FROM s WHERE n >= 10""")
+def continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ids(spark, sf_dir).where(F.size("ids") >= 10).select("doc_id", cr.continuation(F.col("ids"), 64, 64, 777, "doc_id").alias("s"))
+    return rows.select("doc_id", _text(F.col("s.encoder")).alias("encoder"), _text(F.col("s.decoder")).alias("decoder"))
+
+
+@query("cr16_temporal_text", "SELECT o_orderkey, concat(o_orderpriority, ' 연도: ', CAST(year(o_orderdate) AS VARCHAR)) AS text FROM orders")
+def temporal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", cr.temporal_text(F.col("o_orderpriority"), F.year("o_orderdate")).alias("text"))
+
+
+@query("cr19_denoised")
+def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = F.when(F.col("doc_id") % 2 == 0, "sentinel").otherwise("bart")
+    rows = _ids(spark, sf_dir).select("doc_id", cr.denoise(F.col("ids"), F.col("doc_id"), form, ratio=0.15, mean=3.0, mask=9999, first_sentinel=10_000, eos=2, permute=True).alias("s"))
+    return rows.select("doc_id", _text(F.col("s.encoder")).alias("encoder"), _text(F.col("s.decoder")).alias("decoder"))
+
+
+@query("cr14_byte_spans", "SELECT * FROM (VALUES (199, 3), (200, 8), (499, 8), (500, 64)) t(n, span)")
+def byte_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(199,), (200,), (499,), (500,)], "n int")
+    return rows.select("n", cr.byte_span(F.col("n")).alias("span"))
