@@ -22,7 +22,7 @@ from quern.llm.common import words_of
 #: Words of a window; a shorter item is one window.
 WINDOW = 13
 #: Words of a shard (a longer document is a shard of its own) and the distance of sampled suffix positions.
-SHARD_WORDS, SAMPLE = 1_000_000, 8
+SHARD_WORDS, SAMPLE = 500_000, 8
 #: Benchmark text sent to the executors at once, in bytes; a larger benchmark is searched in blocks of this size.
 BLOCK_BYTES = 8 << 20
 

@@ -30,7 +30,7 @@ BUFFER_TOKENS, GROUP = 2_000_000, 16
 #: The end-of-document id.
 END_ID = 1
 #: Words whose ids are kept; beyond it the memory is emptied, so it stays bounded.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 250_000
 _RUNS = re.compile(r"[^\W_]+|[\W_]+")
 _KEPT_WHOLE = re.compile(r"['\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _TOKENIZERS: dict[str, WordTokenizer] = {}

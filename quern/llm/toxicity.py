@@ -35,6 +35,8 @@ STRENGTH, DRIFT = 10.0, 1.3
 #: Segments below this score are not considered, and at most this many of a text are summed.
 LEAST_SEGMENT, SUMMED = 0.5, 20
 _FLUSH = 400_000
+#: Words whose scores a worker keeps; beyond it the memory is emptied.
+_MEMO = 120_000
 
 
 def features(word: bytes) -> list[bytes]:
@@ -68,7 +70,7 @@ class Model:
 
     def scores(self, words: list[bytes], own: int | None = None) -> np.ndarray:
         memo = self.memo.setdefault(own, {})
-        if len(memo) > _FLUSH:
+        if len(memo) > _MEMO:
             memo.clear()
         for w in set(words).difference(memo):
             memo[w] = self.token(w, own)
