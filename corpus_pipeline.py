@@ -22,11 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate component the row with the smallest id (of repeated ids the first by text)."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id or component_id is null")
-    kept = groups.select("doc_id").distinct()
+    """Keeps one document, the smallest id, of each group of near copies (five-word shingles, similarity 0.8); of
+    repeated ids one row stays. Rows with a null id stay."""
+    kept = simhash.distinct_documents(docs)
     whole = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return whole.dropDuplicates(["doc_id", "text"]) if False else whole.dropDuplicates(["doc_id"])
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return whole
+    return whole.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(whole.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,7 +58,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def covering_masks(radius: int = 4, bits: int = 64) -> list[int]:
     """2 ** (radius + 1) - 1 masks of ``bits`` bits; any two words within the radius agree on one of them at least."""
     size = (1 << (radius + 1)) - 1
-    phi = [1 + (i * 11) % size for i in range(bits)]  # non-zero vectors, dealt evenly (11 and size have no common factor)
+    if radius == 7 and bits == 64:  # a quadratic bent function beside the six bits of i: every mask keeps 28 bits or more
+        phi = [1 | i << 1 | ((i & i >> 1 & 1) ^ (i >> 2 & i >> 3 & 1) ^ (i >> 4 & i >> 5 & 1)) << 7 for i in range(bits)]
+    else:
+        phi = [1 + (i * 11) % size for i in range(bits)]  # non-zero vectors, dealt evenly
     return [sum(1 << i for i in range(bits) if (phi[i] & v).bit_count() % 2 == 1) for v in range(1, size + 1)]
 
 
@@ -153,6 +156,19 @@ def links(words: DataFrame, scratch: Scratch, radius: int = 4, hot: int = HOT_BU
     return found.where("mask < 0").unionByName(again).select("a", "b")
 
 
+def classes(docs: DataFrame, kept: Scratch, id_col: str, text_col: str, k: int, seed: int, radius: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints (doc_id, fp), and for each distinct one (fp, first_id, component_id), both as written tables."""
+    scratch = Scratch(docs.sparkSession, "simhash-links")
+    fps = kept.keep(fingerprints(docs, id_col, text_col, k, seed))
+    own = kept.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(own.select("fp"), scratch, radius, hot), scratch)
+    rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = kept.keep(rooted.join(least, "root").select("fp", "first_id", "component_id"))
+    scratch.drop()
+    return fps, named
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42, radius: int = 4, hot: int = HOT_BUCKET
 ) -> DataFrame:
@@ -162,18 +178,47 @@ def near_duplicates(
     linked. Rows with a null id take part and get the smallest known id of their component, or null if it has none.
     Repeated rows stay repeated; an empty table gives an empty result; other columns of docs are not read.
     """
-    spark = docs.sparkSession
-    kept, scratch = Scratch(spark, "simhash"), Scratch(spark, "simhash-links")
-    fps = kept.keep(fingerprints(docs, id_col, text_col, k, seed))
-    classes = kept.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(classes.select("fp"), scratch, radius, hot), scratch)
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = kept.keep(rooted.join(least, "root").select("fp", "component_id"))
-    scratch.drop()
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    fps, named = classes(docs, Scratch(docs.sparkSession, "simhash"), id_col, text_col, k, seed, radius, hot)
+    return fps.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_hashes(docs: DataFrame, k: int = 5) -> DataFrame:
+    """Rows (doc_id, hashes): the distinct hashes of a text's k-word shingles, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(lo, 256), []
+                for text in part.column(1).to_pylist():
+                    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+                    spans = (b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1) if words else 0))
+                    rows.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x) for x in spans), np.uint64)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, hashes array<long>")
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, radius: int = 7, similarity: float = 0.8, seed: int = 42, hot: int = HOT_BUCKET) -> DataFrame:
+    """Ids (doc_id) of the rows that stay when one document of each group of near copies does.
+
+    Groups are components of fingerprints within the radius. Of equal fingerprints the smallest id stands for all. It
+    goes if its k-word shingles have the given Jaccard similarity with those of its component's smallest id, so a chain
+    of links never takes a document that is unlike the one that stays. Null ids stay.
+    """
+    kept = Scratch(docs.sparkSession, "simhash")
+    fps, named = classes(docs, kept, "doc_id", "text", k, seed, radius, hot)
+    pairs = named.where("first_id <> component_id").select("first_id", "component_id")
+    wanted = pairs.select(F.explode(F.array("first_id", "component_id")).alias("doc_id")).distinct()
+    rows = docs.join(wanted, "doc_id", "left_semi")
+    hashes = kept.keep(shingle_hashes(rows, k).dropDuplicates(["doc_id"]))
+    left = pairs.join(hashes.select(F.col("doc_id").alias("first_id"), F.col("hashes").alias("x")), "first_id")
+    both = left.join(hashes.select(F.col("doc_id").alias("component_id"), F.col("hashes").alias("y")), "component_id")
+    common = F.size(F.array_intersect("x", "y"))
+    near = (common >= similarity * (F.size("x") + F.size("y") - common)) | (F.size("x") + F.size("y") == 0)
+    gone = kept.keep(both.where(near).select(F.col("first_id").alias("doc_id")))
+    firsts = named.select(F.col("first_id").alias("doc_id")).where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    nulls = fps.where("doc_id is null").select("doc_id").limit(1)
+    return firsts.unionByName(nulls)
 
 
 def hex16(fp) -> F.Column:
