@@ -61,7 +61,7 @@ class WordTokenizer:
     That holds for a pre-tokenizer that drops white space, with a normalizer that keeps it apart. Texts are split at
     ASCII white space, and each distinct chunk is encoded once. With ``split_runs``, for a byte-level vocabulary, a chunk's runs of
     letters and digits are also encoded apart from what stands between them, as the pre-tokenizer must do; chunks with an
-    apostrophe (contractions), a control character or decomposed letters are left whole. Texts with a special token's
+    apostrophe (contractions), a control character, decomposed or unknown letters are left whole. Texts with a special token's
     string go through the tokenizer as a whole.
     """
 
@@ -89,8 +89,8 @@ class WordTokenizer:
         text = chunk.decode("utf-8")
         if text.isascii():
             text = text.lower()
-        elif not unicodedata.is_normalized("NFC", text):
-            return self._whole(text)
+        elif not unicodedata.is_normalized("NFC", text) or max(text) > "\u024f" and any(unicodedata.category(c) == "Cn" for c in text):
+            return self._whole(text)  # what this Python's tables don't know may be a letter in the tokenizer's
         if _KEPT_WHOLE.search(text):
             return self._whole(text)
         return b"".join(map(self.pieces.__getitem__, _RUNS.findall(text)))
