@@ -637,10 +637,13 @@ def attention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.attention_pairs(rows.select("l_orderkey", segs.alias("segs")), "l_orderkey", "segs", causal=True).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("pk3_packed_arrays", "SELECT l_orderkey, count(*) AS n_docs, string_agg(repeat(CAST(i AS VARCHAR), l_linenumber), '' ORDER BY l_linenumber) AS segments FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem) GROUP BY l_orderkey")
+@query("pk3_packed_arrays", "SELECT l_orderkey, count(*) AS n_docs, string_agg(repeat(CAST(i AS VARCHAR), l_linenumber), '' ORDER BY i) AS segments FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem) GROUP BY l_orderkey")
 def packed_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("position"), F.array_repeat(F.lit(7), F.col("l_linenumber")).alias("ids"))
-    packs = batching.packed_arrays(rows, ["l_orderkey"], "ids", "ids", 64)
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", at.alias("position"), F.array_repeat(F.lit(7), F.col("l_linenumber")).alias("ids"))
+    packs = batching.packed_arrays(rows, ["l_orderkey"], "ids", "ids", 256)
     return packs.select("l_orderkey", F.col("n_docs").cast("bigint").alias("n_docs"), F.array_join(F.filter("segment_ids", lambda s: s > 0).cast("array<string>"), "").alias("segments"))
 
 
