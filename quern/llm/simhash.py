@@ -85,10 +85,26 @@ def _spans(words: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _link(radius: int, hot: int | None):
-    """For rows (key, fp) sorted by both: edges (a, b); of buckets larger than hot, rows (fp, null) to be dealt anew."""
+    """For rows (mask, key, fp) in order: edges (a, b) with mask -1, those that join two parts of what the task has found;
+    of buckets larger than hot, rows (mask, fp, fp) to be dealt anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("mask", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while (up := parent.get(root, root)) != root:
+                root = up
+            while (up := parent.get(x, x)) != root:
+                parent[x], x = root, up
+            return root
+
+        def joins(x: int, y: int) -> bool:
+            x, y = find(x), find(y)
+            if x != y:
+                parent[x] = y
+            return x != y
 
         def solve(mask, key, fp):
             new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
@@ -104,8 +120,9 @@ def _link(radius: int, hot: int | None):
                     x, y = np.array(edges, np.int64).T
                     a.append(x), b.append(y), m.append(np.full(len(x), -1, np.int32))
             a, b, m = map(np.concatenate, (a, b, m))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(a), pa.array(b)], schema=schema)
+            new = np.fromiter((k >= 0 or joins(x, y) for k, x, y in zip(m.tolist(), a.tolist(), b.tolist(), strict=True)), bool, len(a))
+            if new.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (m, a, b)], schema=schema)
 
         held: list[tuple] = []
         for batch in batches:
