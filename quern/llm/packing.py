@@ -29,8 +29,8 @@ TIERS = (2048, 1024, 512, 256)
 BUFFER_TOKENS, GROUP = 2_000_000, 16
 #: The end-of-document id.
 END_ID = 1
-#: Words whose ids are kept; beyond it the memory is emptied, so it stays bounded.
-MEMO_WORDS = 250_000
+#: Chunks and runs whose ids a worker keeps; beyond it a memory is emptied, so both stay bounded.
+MEMO_CHUNKS, MEMO_RUNS = 400_000, 250_000
 _RUNS = re.compile(r"[^\W_]+|[\W_]+")
 _KEPT_WHOLE = re.compile(r"['\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -97,8 +97,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for memo in (self.pieces, self.chunks):
-            if len(memo) > MEMO_WORDS:
+        for memo, most in ((self.pieces, MEMO_RUNS), (self.chunks, MEMO_CHUNKS)):
+            if len(memo) > most:
                 memo.clear()
         get = self.chunks.__getitem__
         return [self._whole(t) if any(s in t for s in self.special) else b"".join(map(get, t.encode("utf-8").split())) for t in texts]

@@ -216,6 +216,7 @@ def _calibrate(rows: DataFrame, model: Model) -> Model:
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["toxic", "n", "best", "x", "c"])
+        model.memo.clear()
 
     seen = rows.mapInArrow(run, "toxic int, n long, best array<double>, x array<double>, c array<long>").persist()
     pairs = seen.select(F.explode(F.arrays_zip("x", "c")).alias("z")).groupBy("z.x").agg(F.sum("z.c").alias("c"))
@@ -254,6 +255,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             extra = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(passages, kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], "score", "predicted", "passages"])
+        model.memo.clear()
 
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col("text").alias("__scanned"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
