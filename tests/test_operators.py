@@ -199,3 +199,48 @@ def test_streams(spark, tmp_path):
     s = mixer.read_parquet_stream(spark, f"{tmp_path}/e", events.schema, 10)
     assert mixer.drain(mixer.unseen_stream(s, "id", "at"), "once").count() == 2
     assert mixer.drain(mixer.token_counts(s, "source", "n_tokens", "at"), "counts", "complete").count() == 2
+
+
+def test_rouge_l_and_bleu_against_plain_python(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from quern.operators import metrics as ev
+
+    rng = random.Random(8)
+    pairs = [(i, " ".join(rng.choices("a b".split(), k=rng.randrange(0, 12))), " ".join(rng.choices("a b".split(), k=rng.randrange(0, 12)))) for i in range(40)]
+    df = spark.createDataFrame(pairs, "id int, r string, c string")
+    got = {x["id"]: x for x in df.select("id", ev.rouge_l(F.col("r"), F.col("c")).alias("s")).select("id", "s.*").collect()}
+
+    def lcs(x, y):
+        return 0 if not x or not y else lcs(x[1:], y[1:]) + 1 if x[0] == y[0] else max(lcs(x[1:], y), lcs(x, y[1:]))
+
+    for i, r, c in pairs[:15]:
+        r, c = r.split()[:8], c.split()[:8]
+        if len(pairs[i][1].split()) <= 8 and len(pairs[i][2].split()) <= 8:
+            n = lcs(tuple(r), tuple(c))
+            assert got[i]["precision"] == pytest.approx(n / len(c) if c and r else 0)
+            assert got[i]["recall"] == pytest.approx(n / len(r) if c and r else 0)
+    match, total = [0] * 4, [0] * 4
+    for _, r, c in pairs:
+        for n in range(1, 5):
+            a, b = (Counter(zip(*(x.split()[i:] for i in range(n)), strict=False)) for x in (c, r))
+            match[n - 1] += (a & b).total()
+            total[n - 1] += a.total()
+    nc, nr = sum(len(c.split()) for *_, c in pairs), sum(len(r.split()) for _, r, _ in pairs)
+    want = math.exp(sum(math.log(m / t) for m, t in zip(match, total, strict=True)) / 4) * (1 if nc >= nr else math.exp(1 - nr / nc))
+    assert ev.corpus_bleu(df, "r", "c").first()["bleu"] == pytest.approx(want)
+
+
+def test_windows_encoders_and_decoders(spark):
+    df = spark.createDataFrame([(i, list(range(3, 3 + i)) + [2] + list(range(3, 20))) for i in range(1, 20)], "id int, ids array<int>")
+    for i, ids, out in df.select("id", "ids", tokens.sentence_window(F.col("ids"), 8, 2, "id")).collect():
+        starts = [0] + [k + 1 for k, x in enumerate(ids) if x == 2 and k + 1 <= len(ids) - 8]
+        assert out in [ids[s : s + 8] for s in starts]
+    text = spark.createDataFrame([("a b c d",), (None,)], "t string")
+    enc = tokens.encoder(tokens.words_tokenizer, bos=1, eos=2, max_length=4)
+    rows = [r[0] for r in text.select(enc(F.col("t"))).collect()]
+    assert [len(r) for r in rows] == [4, 2] and rows[0][0] == 1 and rows[0][-1] == 2
+    dec = tokens.decoder(lambda: lambda ids: "".join(map(str, ids)), frozenset({2}))
+    assert df.where("id = 1").select(dec(F.slice("ids", 1, 3))).first()[0] == "33"
