@@ -10,6 +10,7 @@ all: every pair within the radius agrees on at least one mask, without exception
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,40 +201,97 @@ def near_duplicates(
 
 
 def shingle_hashes(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Rows (doc_id, hashes): the distinct hashes of a text's k-word shingles, sorted."""
+    """The rows of docs with ``hashes`` for text: the distinct hashes of its k-word shingles, sorted."""
+    kept = docs.drop("text")
+    schema = kept.withColumn("hashes", F.array().cast("array<long>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(lo, 256), []
-                for text in part.column(1).to_pylist():
+                for text in part.column(part.num_columns - 1).to_pylist():
                     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
                     spans = (b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1) if words else 0))
-                    rows.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x) for x in spans), np.uint64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
+                    rows.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(x) for x in spans), np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, hashes array<long>")
+    return docs.select(*kept.columns, "text").mapInArrow(run, schema)
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have the given Jaccard similarity; two empty ones have."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= similarity * (len(x) + len(y) - common)
+
+
+def _likes(similarity: float):
+    """For rows (part, key columns, hashes) in order: those that are similar to an earlier one of their part that stays.
+
+    Two sets of that similarity share a hash among the first n - ceil(similarity * n) + 1 of either, n its size, so the
+    ones that stay are found by these.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, stay, at = None, [], {}
+        for batch in batches:
+            gone = []
+            for row, (own, hashes) in enumerate(zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1), strict=True)):
+                if own != part:
+                    part, stay, at = own, [], {}
+                x = np.asarray(hashes.values.to_numpy(zero_copy_only=False))
+                n = len(x)
+                # 1e-9: a product that rounding lifts above a whole number must not shorten the prefix
+                prefix = x[: n - int(np.ceil(similarity * n - 1e-9)) + 1].tolist() if n else [None]
+                near = dict.fromkeys(i for h in prefix for i in at.get(h, ()))
+                if any(similarity * max(n, len(stay[i])) <= min(n, len(stay[i])) and similar(x, stay[i], similarity) for i in near):
+                    gone.append(row)
+                    continue
+                for h in prefix:
+                    at.setdefault(h, []).append(len(stay))
+                stay.append(x)
+            if gone:
+                yield batch.take(pa.array(gone)).select(batch.schema.names[1:-1])
+
+    return run
+
+
+#: Rounds in which each part's smallest id is compared with all others at once; what they leave is solved part by part.
+LEADER_ROUNDS = 3
 
 
 def distinct_documents(docs: DataFrame, k: int = 5, radius: int = 7, similarity: float = 0.8, seed: int = 42, hot: int = HOT_BUCKET) -> DataFrame:
     """Ids (doc_id) of the rows that stay when one document of each group of near copies does.
 
-    Groups are components of fingerprints within the radius. Of equal fingerprints the smallest id stands for all. It
-    goes if its k-word shingles have the given Jaccard similarity with those of its component's smallest id, so a chain
-    of links never takes a document that is unlike the one that stays. Null ids stay.
+    Groups are components of fingerprints within the radius. Of equal fingerprints the smallest id stands for all. In
+    the order of their ids, a document of a component goes if its k-word shingles have the given Jaccard similarity with
+    those of one that stays, so no two that stay are near copies, and a chain of links never takes a document that is
+    unlike all that stay. Null ids stay.
     """
     kept = Scratch(docs.sparkSession, "simhash")
     fps, named = classes(docs, kept, "doc_id", "text", k, seed, radius, hot)
-    pairs = named.where("first_id <> component_id").select("first_id", "component_id")
-    wanted = pairs.select(F.explode(F.array("first_id", "component_id")).alias("doc_id")).distinct()
-    rows = docs.join(wanted, "doc_id", "left_semi")
-    hashes = kept.keep(shingle_hashes(rows, k).dropDuplicates(["doc_id"]))
-    left = pairs.join(hashes.select(F.col("doc_id").alias("first_id"), F.col("hashes").alias("x")), "first_id")
-    both = left.join(hashes.select(F.col("doc_id").alias("component_id"), F.col("hashes").alias("y")), "component_id")
-    common = F.size(F.array_intersect("x", "y"))
-    near = (common >= similarity * (F.size("x") + F.size("y") - common)) | (F.size("x") + F.size("y") == 0)
-    gone = kept.keep(both.where(near).select(F.col("first_id").alias("doc_id")))
-    firsts = named.select(F.col("first_id").alias("doc_id")).where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    own = named.where("first_id is not null").select(F.col("component_id").alias("part"), F.col("first_id").alias("doc_id"))
+    several = own.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    wanted = kept.keep(own.join(several, "part", "left_semi"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("part", "doc_id", "text")
+    rows = kept.keep(shingle_hashes(rows, k).dropDuplicates(["doc_id"]))
+    gone = []
+    for _ in range(LEADER_ROUNDS):
+        first = rows.groupBy("part").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+        leads = rows.withColumn("lead", F.col("doc_id")).join(first, ["part", "lead"]).select("part", "lead", F.col("hashes").alias("y"))
+        both = rows.join(leads, "part").where("doc_id <> lead")
+        common = F.size(F.array_intersect("hashes", "y"))
+        near = (common >= similarity * (F.size("hashes") + F.size("y") - common)) | (F.size("hashes") + F.size("y") == 0)
+        judged = both.select("part", "doc_id", "hashes", near.alias("near"))
+        judged = kept.keep(judged.select("part", "doc_id", F.when(~F.col("near"), F.col("hashes")).alias("hashes"), "near"))
+        gone.append(judged.where("near").select("doc_id"))
+        rows = judged.where("not near").select("part", "doc_id", "hashes")
+        if rows.isEmpty():
+            break
+    else:
+        rest = rows.repartition("part").sortWithinPartitions("part", "doc_id")
+        gone.append(kept.keep(rest.mapInArrow(_likes(similarity), "doc_id long")))
+    away = reduce(DataFrame.unionByName, gone)
+    firsts = named.select(F.col("first_id").alias("doc_id")).where("doc_id is not null").join(away, "doc_id", "left_anti")
     nulls = fps.where("doc_id is null").select("doc_id").limit(1)
     return firsts.unionByName(nulls)
 

@@ -109,6 +109,21 @@ def test_distinct_documents_removes_only_similar_ones(spark):
     assert kept == {0, *range(20, 50)}
 
 
+def test_distinct_documents_compares_all_of_a_component(spark):
+    """Near copies go also where neither is like the component's smallest id, in the rounds and after them."""
+    near = lambda x, y: 1 <= (simhash.fingerprint(x, 5) ^ simhash.fingerprint(y, 5)).bit_count() <= 7
+    rng, texts = random.Random(5), []
+    while len(texts) < 12:  # unlike texts whose fingerprints link, since one word is repeated in all, and a near copy of each
+        text = "x " * 14 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+        copy = text[: text.rindex(" ")] + f" v{len(texts)}"
+        if near(text, copy) and (not texts or near(texts[0], text) and near(texts[0], copy)):
+            texts += [text, copy]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    assert len({c for _, _, c in local(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5, radius=7), "doc_id", "fp", "component_id")}) == 1
+    kept = {r[0] for r in local(simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")}
+    assert kept == {0, 2, 4, 6, 8, 10}
+
+
 # --- packing -----------------------------------------------------------------------------------------------------
 
 
