@@ -23,13 +23,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the smallest id, of each group of near copies (five-word shingles, similarity 0.8); of
-    repeated ids one row stays. Rows with a null id stay."""
+    rows that repeat an id and its text one stays. Rows with a null id stay."""
     kept = simhash.distinct_documents(docs)
-    whole = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    known = F.when(F.col("doc_id").isNotNull(), simhash.text_digest())
+    rows, kept = docs.withColumn("_digest", known), kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept"))
+    whole = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_kept")), "left_semi")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
-        return whole
-    return whole.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(whole.where("doc_id is null"))
+        return whole.drop("_digest")
+    once = whole.where("doc_id is not null").dropDuplicates(["doc_id", "_digest"])
+    return once.unionByName(whole.where("doc_id is null")).drop("_digest")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,16 +44,26 @@ def fingerprint(text: str | None, k: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42) -> DataFrame:
-    """One row (doc_id, fp) per row of docs; fp is the fingerprint as a signed long. A null text is an empty one."""
+def text_digest(text: str = "text") -> F.Column:
+    """SHA-256 of the whole text; texts of one digest are equal. A null text is an empty one."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42, digest: bool = False
+) -> DataFrame:
+    """One row (doc_id, fp) per row of docs, with digest also (digest): fp is the fingerprint as a signed long. A null
+    text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, k, seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    if not digest:
+        return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.withColumn("digest", text_digest()).mapInArrow(run, "doc_id long, fp long, digest binary")
 
 
 def covering_masks(radius: int = 4, bits: int = 64) -> list[int]:
@@ -174,10 +184,12 @@ def links(words: DataFrame, scratch: Scratch, radius: int = 4, hot: int = HOT_BU
     return found.where("mask < 0").unionByName(again).select("a", "b")
 
 
-def classes(docs: DataFrame, kept: Scratch, id_col: str, text_col: str, k: int, seed: int, radius: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints (doc_id, fp), and for each distinct one (fp, first_id, component_id), both as written tables."""
+def classes(
+    docs: DataFrame, kept: Scratch, id_col: str, text_col: str, k: int, seed: int, radius: int, hot: int, digest: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints (doc_id, fp), with digest also (digest), and for each distinct one (fp, first_id, component_id), both as written tables."""
     scratch = Scratch(docs.sparkSession, "simhash-links")
-    fps = kept.keep(fingerprints(docs, id_col, text_col, k, seed))
+    fps = kept.keep(fingerprints(docs, id_col, text_col, k, seed, digest))
     own = kept.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(own.select("fp"), scratch, radius, hot), scratch)
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
@@ -260,40 +272,41 @@ LEADER_ROUNDS = 3
 
 
 def distinct_documents(docs: DataFrame, k: int = 5, radius: int = 7, similarity: float = 0.8, seed: int = 42, hot: int = HOT_BUCKET) -> DataFrame:
-    """Ids (doc_id) of the rows that stay when one document of each group of near copies does.
+    """Rows (doc_id, digest) of the documents that stay when one document of each group of near copies does.
 
-    Groups are components of fingerprints within the radius. Of equal fingerprints the smallest id stands for all. In
-    the order of their ids, a document of a component goes if its k-word shingles have the given Jaccard similarity with
-    those of one that stays, so no two that stay are near copies, and a chain of links never takes a document that is
-    unlike all that stay. Null ids stay.
+    Groups are components of fingerprints within the radius. Of equal texts the smallest id stands for all. In the order
+    of their ids, a document of a component goes if its k-word shingles have the given Jaccard similarity with those of
+    one that stays, so no two that stay are near copies, and a chain of links or an equal fingerprint never takes a
+    document that is unlike all that stay. Different texts of one id are judged each. Null ids stay, with a null digest.
     """
-    kept = Scratch(docs.sparkSession, "simhash")
-    fps, named = classes(docs, kept, "doc_id", "text", k, seed, radius, hot)
-    own = named.where("first_id is not null").select(F.col("component_id").alias("part"), F.col("first_id").alias("doc_id"))
+    kept, key = Scratch(docs.sparkSession, "simhash"), ["doc_id", "digest"]
+    fps, named = classes(docs, kept, "doc_id", "text", k, seed, radius, hot, digest=True)
+    firsts = fps.groupBy("fp", "digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
+    own = kept.keep(firsts.join(named.select("fp", F.col("component_id").alias("part")), "fp").select("part", *key))
     several = own.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
     wanted = kept.keep(own.join(several, "part", "left_semi"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("part", "doc_id", "text")
-    rows = kept.keep(shingle_hashes(rows, k).dropDuplicates(["doc_id"]))
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = texts.join(wanted, "doc_id").where(F.col("digest") == text_digest()).select("part", *key, "text")
+    rows = kept.keep(shingle_hashes(rows, k).dropDuplicates(key))
     gone = []
     for _ in range(LEADER_ROUNDS):
-        first = rows.groupBy("part").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-        leads = rows.withColumn("lead", F.col("doc_id")).join(first, ["part", "lead"]).select("part", "lead", F.col("hashes").alias("y"))
-        both = rows.join(leads, "part").where("doc_id <> lead")
+        first = rows.groupBy("part").agg(F.min(F.struct(*key)).alias("lead"), F.count("*").alias("n")).where("n > 1")
+        leads = rows.withColumn("lead", F.struct(*key)).join(first, ["part", "lead"]).select("part", "lead", F.col("hashes").alias("y"))
+        both = rows.join(leads, "part").where(F.struct(*key) != F.col("lead"))
         common = F.size(F.array_intersect("hashes", "y"))
         near = (common >= similarity * (F.size("hashes") + F.size("y") - common)) | (F.size("hashes") + F.size("y") == 0)
-        judged = both.select("part", "doc_id", "hashes", near.alias("near"))
-        judged = kept.keep(judged.select("part", "doc_id", F.when(~F.col("near"), F.col("hashes")).alias("hashes"), "near"))
-        gone.append(judged.where("near").select("doc_id"))
-        rows = judged.where("not near").select("part", "doc_id", "hashes")
+        judged = both.select("part", *key, "hashes", near.alias("near"))
+        judged = kept.keep(judged.select("part", *key, F.when(~F.col("near"), F.col("hashes")).alias("hashes"), "near"))
+        gone.append(judged.where("near").select(*key))
+        rows = judged.where("not near").select("part", *key, "hashes")
         if rows.isEmpty():
             break
     else:
-        rest = rows.repartition("part").sortWithinPartitions("part", "doc_id")
-        gone.append(kept.keep(rest.mapInArrow(_likes(similarity), "doc_id long")))
-    away = reduce(DataFrame.unionByName, gone)
-    firsts = named.select(F.col("first_id").alias("doc_id")).where("doc_id is not null").join(away, "doc_id", "left_anti")
-    nulls = fps.where("doc_id is null").select("doc_id").limit(1)
-    return firsts.unionByName(nulls)
+        rest = rows.repartition("part").sortWithinPartitions("part", *key)
+        gone.append(kept.keep(rest.mapInArrow(_likes(similarity), "doc_id long, digest binary")))
+    stay = own.select(*key).join(reduce(DataFrame.unionByName, gone), key, "left_anti")
+    nulls = fps.where("doc_id is null").select("doc_id", F.lit(None).cast("binary").alias("digest")).limit(1)
+    return stay.unionByName(nulls)
 
 
 def hex16(fp) -> F.Column:

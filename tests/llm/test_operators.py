@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quern.llm import chat, decontam, licences, mainhtml, media, packing, queries, simhash, toxicity, urlfilter, warc
 from quern.llm.common import Scratch, components, words_of
 from tests.llm import brute
@@ -124,6 +125,18 @@ def test_distinct_documents_compares_all_of_a_component(spark):
     assert kept == {0, 2, 4, 6, 8, 10}
 
 
+def test_distinct_documents_compares_equal_fingerprints(spark):
+    """Texts of which one repeated word makes up most share a fingerprint; only equal and similar ones go."""
+    rng = random.Random(6)
+    texts = ["x " * 90 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
+    assert len({simhash.fingerprint(t, 5) for t in texts}) == 1
+    rows = [*enumerate(texts), (10, texts[4]), (11, texts[5][: texts[5].rindex(" ")] + " other"), (5, "another text with the id 5"), (5, texts[5])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(local(simhash.distinct_documents(frame), "doc_id")) == [(i,) for i in (0, 1, 2, 3, 4, 5, 5)]
+    out = corpus_pipeline.drop_near_duplicates(spark, frame, "")
+    assert out.columns == frame.columns and set(local(out, "doc_id", "text")) == {*enumerate(texts), (5, "another text with the id 5")} and out.count() == 7
+
+
 # --- packing -----------------------------------------------------------------------------------------------------
 
 
