@@ -500,6 +500,30 @@ def test_media(spark):
     assert media.copies(pictures.limit(0)).count() == 0
 
 
+def test_media_compares_all_of_a_large_bucket(spark):
+    """70 corners of one block: the copies among them are at places that are neither next to each other nor the first."""
+    rng = np.random.default_rng(4)
+    points = np.zeros(70, media._POINT)
+    points["bits"] = rng.integers(0, 256, (70, media.BITS // 8))
+    points["bits"][:, : media.BLOCK_BYTES] = 7
+    points["bits"][[40, 63]] = points["bits"][9]
+    frame = spark.createDataFrame([(1, i, i, bytearray(x.tobytes())) for i, x in enumerate(points)], "block long, side long, image_id long, point binary")
+    want = {(9, 40), (9, 63), (40, 63)}
+    assert set(local(frame.coalesce(1).mapInArrow(media._compare(None), media.MATCHES), "a", "b")) == want
+    assert local(frame.coalesce(1).mapInArrow(media._compare(69), media.MATCHES), "a", "b", "large") == [(70, None, 1)]
+
+
+def test_media_tiles_of_hot_buckets(spark):
+    rng = np.random.default_rng(12)
+    shots = [media.render(rng.normal(0, 0.12, 64).tolist()) for _ in range(3)]
+    rows = [(i + 10 * k, np.clip(a.astype(int) + k, 0, 255).astype(np.uint8)) for k in range(6) for i, a in enumerate(shots)]
+    frame = [(i, a.shape[1], a.shape[0], bytearray(a.tobytes())) for i, a in rows]
+    pictures = spark.createDataFrame(frame, "image_id long, width int, height int, pixels binary")
+    whole = sorted(local(media.copies(pictures), "image_id", "class_id", "n_links"))
+    assert sorted(local(media.copies(pictures, hot=3, tile=2), "image_id", "class_id", "n_links")) == whole
+    assert {(i, c) for i, c, _ in whole} == {(i, i % 10) for i, _ in rows} and {n for _, _, n in whole} == {5}
+
+
 def test_consensus_needs_one_transform():
     rng = np.random.default_rng(2)
     a = np.column_stack([rng.uniform(0, 90, (12, 2)), np.ones(12), rng.uniform(-3, 3, 12)])
