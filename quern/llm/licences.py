@@ -50,7 +50,7 @@ OPEN = {
 }
 COPYLEFT = {"gpl", "lgpl", "agpl", "mpl", "epl", "cc-by-sa"}
 CLOSED = {"all-rights-reserved", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"}
-_EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([a-z0-9.+:() \t-]{1,400})", re.I)
+_EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([a-z0-9.+:() \t-]+)", re.I)
 _LEXEME = re.compile(r"\(|\)|[a-z0-9][a-z0-9.:+-]*", re.I)
 _RANK = {"or": 1, "and": 2, "with": 3}
 

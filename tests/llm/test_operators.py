@@ -483,6 +483,12 @@ def test_chat_plan_has_no_python(spark, sf_dir):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_licence_expression_of_any_length():
+    names = [f"licence-{i}" for i in range(60)]
+    found = list(licences._EXPRESSION.finditer(f"SPDX-License-Identifier: ({' AND '.join(names)}) OR MIT\nnext line".encode()))
+    assert licences.parse_expression(found[0][1].decode()) == ([*names, "mit"], 1.0)
+
+
 # --- media -------------------------------------------------------------------------------------------------------
 
 
