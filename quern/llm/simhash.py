@@ -49,21 +49,55 @@ def text_digest(text: str = "text") -> F.Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42, digest: bool = False
-) -> DataFrame:
-    """One row (doc_id, fp) per row of docs, with digest also (digest): fp is the fingerprint as a signed long. A null
-    text is an empty one."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, seed: int = 42) -> DataFrame:
+    """One row (doc_id, fp) per row of docs: fp is the fingerprint as a signed long. A null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, k, seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+
+
+def _mixed(h: np.ndarray, view: int) -> np.ndarray:
+    """Hashes of another family for each view: the finaliser of a 64-bit mixer over h and the view's number."""
+    h = h ^ np.uint64((view * 0x9E3779B97F4A7C15) % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if not digest:
-        return rows.mapInArrow(run, "doc_id long, fp long")
-    return rows.withColumn("digest", text_digest()).mapInArrow(run, "doc_id long, fp long, digest binary")
+
+def word_views(text: str | None, views: int, seed: int = 42) -> list[int]:
+    """Signed 64-bit SimHashes of the set of a text's words under as many families of hashes; without words zeros.
+
+    A changed word is one feature here and five among five-word shingles, so near copies differ in far fewer bits; and
+    as families are independent, a pair that one view puts too far apart is likely to be near in another.
+    """
+    words = set(text.encode("utf-8", "surrogatepass").lower().split()) if text else ()
+    if not words:
+        return [0] * views
+    h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    out = []
+    for v in range(views):
+        x, ones = _mixed(h, v), np.zeros(64, np.int64)
+        for lo in range(0, len(x), _CHUNK):
+            ones += np.unpackbits(x[lo : lo + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(x), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def signatures(docs: DataFrame, views: int, seed: int = 42) -> DataFrame:
+    """Rows (doc_id, digest, f0, f1, ..), one per row of docs: the digest of the text and its word views."""
+    names = [f"f{v}" for v in range(views)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([word_views(t, views, seed) for t in batch.column(2).to_pylist()], np.int64).reshape(-1, views)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(f) for f in fps.T)], ["doc_id", "digest", *names])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"), "text")
+    return rows.mapInArrow(run, ", ".join(["doc_id long, digest binary", *(f"{n} long" for n in names)]))
 
 
 def covering_masks(radius: int = 4, bits: int = 64) -> list[int]:
@@ -81,26 +115,26 @@ def _signed(x: int) -> int:
 
 
 def _spans(words: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest (member, first member) of the links among distinct words, in memory linear in their count."""
-    out, left = [], words
+    """Spanning forest (member, first member), by position, of the links among words, in memory linear in their count."""
+    out, left = [], np.arange(len(words))
     while len(left) > 1:
-        root, left = left[0], left[1:]
+        root, left = int(left[0]), left[1:]
         queue = [root]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()) <= radius
+            near = np.bitwise_count(words[left] ^ words[queue.pop()]) <= radius
             if near.any():
-                found, left = left[near], left[~near]
-                queue += list(found)
-                out += [(int(x), int(root)) for x in found.view(np.int64)]
-    return [(a, int(np.uint64(b).view(np.int64))) for a, b in out]
+                found, left = left[near].tolist(), left[~near]
+                queue += found
+                out += [(x, root) for x in found]
+    return out
 
 
 def _link(radius: int, hot: int | None):
-    """For rows (mask, key, fp) in order: edges (a, b) with mask -1, those that join two parts of what the task has found;
-    of buckets larger than hot, rows (mask, fp, fp) to be dealt anew."""
+    """For rows (bucket, fp, node) in order: edges (a, b) of nodes with bucket -1, those that join two parts of what the
+    task has found; of buckets larger than hot, rows (bucket, fp, node) to be dealt anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("mask", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -117,19 +151,19 @@ def _link(radius: int, hot: int | None):
                 parent[x] = y
             return x != y
 
-        def solve(mask, key, fp):
-            new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-            lo, hi = np.concatenate(([0], new)), np.concatenate((new, [len(key)]))
+        def solve(bucket, fp, node):
+            new = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            lo, hi = np.concatenate(([0], new)), np.concatenate((new, [len(bucket)]))
             pairs = lo[hi - lo == 2]
             near = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= radius]
-            a, b, m = [fp[near + 1].view(np.int64)], [fp[near].view(np.int64)], [np.full(len(near), -1, np.int32)]
+            a, b, m = [node[near + 1]], [node[near]], [np.full(len(near), -1)]
             for i in np.flatnonzero(hi - lo > 2):
-                own = fp[lo[i] : hi[i]]
-                if hot and len(own) > hot:
-                    a.append(own.view(np.int64)), b.append(own.view(np.int64)), m.append(mask[lo[i] : hi[i]])
-                elif edges := _spans(own, radius):
-                    x, y = np.array(edges, np.int64).T
-                    a.append(x), b.append(y), m.append(np.full(len(x), -1, np.int32))
+                own = slice(lo[i], hi[i])
+                if hot and hi[i] - lo[i] > hot:
+                    a.append(fp[own].view(np.int64)), b.append(node[own]), m.append(bucket[own])
+                elif edges := _spans(fp[own], radius):
+                    x, y = np.array(edges, np.int64).T + lo[i]
+                    a.append(node[x]), b.append(node[y]), m.append(np.full(len(x), -1))
             a, b, m = map(np.concatenate, (a, b, m))
             new = np.fromiter((k >= 0 or joins(x, y) for k, x, y in zip(m.tolist(), a.tolist(), b.tolist(), strict=True)), bool, len(a))
             if new.any():
@@ -140,11 +174,11 @@ def _link(radius: int, hot: int | None):
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cols[2] = cols[2].view(np.uint64)
+            cols[1] = cols[1].view(np.uint64)
             # rows before the last bucket of this batch are complete; the last one may go on
-            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            same = cols[0] == cols[0][-1]
             cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
-            if cut == 0 and held and (held[-1][0][-1], held[-1][1][-1]) == (cols[0][-1], cols[1][-1]):
+            if cut == 0 and held and held[-1][0][-1] == cols[0][-1]:
                 held.append(tuple(cols))
                 continue
             if held or cut:
@@ -158,45 +192,36 @@ def _link(radius: int, hot: int | None):
 
 
 def links(words: DataFrame, scratch: Scratch, radius: int = 4, hot: int = HOT_BUCKET) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints ``fp`` whose components are those of all pairs within the radius."""
-    schema, masks = "mask int, a long, b long", covering_masks(radius)
-    cells = F.explode(
-        F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
-    )
-    rows = words.select("fp", cells.alias("c")).select(F.col("c.mask").alias("mask"), F.col("c.key").alias("key"), "fp")
-    dealt = rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-    found = scratch.keep(dealt.mapInArrow(_link(radius, hot), schema))
-    large = found.where("mask >= 0")
+    """Edges (a, b) over nodes whose components are those of all pairs within the radius in any view.
+
+    words has node and one fingerprint column for each view, any names. A bucket's number is its table (view and mask) in
+    the first byte and a hash of the kept bits in the rest; equal hashes of different bits cost a comparison, no more.
+    """
+    schema, masks, views = "bucket long, a long, b long", covering_masks(radius), [c for c in words.columns if c != "node"]
+    if len(views) * len(masks) > 127:
+        raise ValueError("at most 127 tables: fewer views, or a smaller radius")
+    low = F.lit((1 << 56) - 1).cast("long")
+    tables = [(v * len(masks) + i, F.col(c), m) for v, c in enumerate(views) for i, m in enumerate(masks)]
+    cell = lambda t, fp, m: F.struct((F.xxhash64(fp.bitwiseAND(F.lit(_signed(m)))).bitwiseAND(low) + F.lit(t << 56)).alias("bucket"), fp.alias("fp"))
+    rows = words.select("node", F.explode(F.array(*(cell(*t) for t in tables))).alias("c")).select("c.bucket", "c.fp", "node")
+    order = ["bucket", "fp", "node"]
+    found = scratch.keep(rows.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_link(radius, hot), schema))
+    large = found.where("bucket >= 0")
     if large.isEmpty():
         return found.select("a", "b")
     # Pairs of a large bucket agree on its mask; their other bits fall into radius + 1 blocks, one of which is equal.
     blocks = []
-    for i, m in enumerate(masks):
+    for t, _, m in tables:
         free = [p for p in range(64) if not m >> p & 1]
-        blocks += [(i, j, _signed(sum(1 << p for p in free[j :: radius + 1]) | m)) for j in range(radius + 1)]
-    block_of = words.sparkSession.createDataFrame(blocks, "mask int, block int, bits long")  # (radius + 1) rows a mask
+        blocks += [(t, j, _signed(sum(1 << p for p in free[j :: radius + 1]) | m)) for j in range(radius + 1)]
+    block_of = words.sparkSession.createDataFrame(blocks, "table int, block int, bits long")  # (radius + 1) rows a table
     cells = (
-        large.select("mask", F.col("a").alias("fp"))
-        .join(F.broadcast(block_of), "mask")
-        .select((F.col("mask") * 16 + F.col("block")).cast("int").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp")
+        large.select("bucket", F.col("a").alias("fp"), F.col("b").alias("node"), F.shiftright("bucket", 56).cast("int").alias("table"))
+        .join(F.broadcast(block_of), "table")
+        .select(F.xxhash64("bucket", "block", F.col("fp").bitwiseAND(F.col("bits"))).alias("bucket"), "fp", "node")
     )
-    again = cells.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_link(radius, None), schema)
-    return found.where("mask < 0").unionByName(again).select("a", "b")
-
-
-def classes(
-    docs: DataFrame, kept: Scratch, id_col: str, text_col: str, k: int, seed: int, radius: int, hot: int, digest: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints (doc_id, fp), with digest also (digest), and for each distinct one (fp, first_id, component_id), both as written tables."""
-    scratch = Scratch(docs.sparkSession, "simhash-links")
-    fps = kept.keep(fingerprints(docs, id_col, text_col, k, seed, digest))
-    own = kept.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(own.select("fp"), scratch, radius, hot), scratch)
-    rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = kept.keep(rooted.join(least, "root").select("fp", "first_id", "component_id"))
-    scratch.drop()
-    return fps, named
+    again = cells.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_link(radius, None), schema)
+    return found.where("bucket < 0").unionByName(again).select("a", "b")
 
 
 def near_duplicates(
@@ -204,12 +229,21 @@ def near_duplicates(
 ) -> DataFrame:
     """Rows (doc_id, fp, component_id), one for each row of docs.
 
-    component_id is the smallest id that is reachable over links. Texts without words share fingerprint zero and are
-    linked. Rows with a null id take part and get the smallest known id of their component, or null if it has none.
-    Repeated rows stay repeated; an empty table gives an empty result; other columns of docs are not read.
+    component_id is the smallest id that is reachable over links. Null texts and texts without words share fingerprint
+    zero and are linked. Rows with a null id take part and get the smallest known id of their component, or null if it
+    has none. Texts of any length are hashed whole; repeated rows stay repeated; an empty table gives an empty result;
+    other columns of docs are not read. Of scratch tables, that of (doc_id, fp) and that of components stay for the result.
     """
-    fps, named = classes(docs, Scratch(docs.sparkSession, "simhash"), id_col, text_col, k, seed, radius, hot)
-    return fps.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    kept, scratch = Scratch(docs.sparkSession, "simhash"), Scratch(docs.sparkSession, "simhash-links")
+    fps = kept.keep(fingerprints(docs, id_col, text_col, k, seed))
+    own = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(own.select("fp", F.col("fp").alias("node")), scratch, radius, hot), scratch)
+    rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    # the smallest id of each root that others point to; a fingerprint that is alone needs no second look
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = kept.keep(rooted.join(least, "root").select("fp", "component_id"))
+    scratch.drop()
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def shingle_hashes(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -269,25 +303,34 @@ def _likes(similarity: float):
 
 #: Rounds in which each part's smallest id is compared with all others at once; what they leave is solved part by part.
 LEADER_ROUNDS = 3
+#: Word views of a text, and the radius of each. On pairs of a similarity of 0.8 or more, 97 % or more link in one of them.
+VIEWS, VIEW_RADIUS = 4, 4
 
 
-def distinct_documents(docs: DataFrame, k: int = 5, radius: int = 7, similarity: float = 0.8, seed: int = 42, hot: int = HOT_BUCKET) -> DataFrame:
+def distinct_documents(
+    docs: DataFrame, k: int = 5, views: int = VIEWS, radius: int = VIEW_RADIUS, similarity: float = 0.8, seed: int = 42, hot: int = HOT_BUCKET
+) -> DataFrame:
     """Rows (doc_id, digest) of the documents that stay when one document of each group of near copies does.
 
-    Groups are components of fingerprints within the radius. Of equal texts the smallest id stands for all. In the order
-    of their ids, a document of a component goes if its k-word shingles have the given Jaccard similarity with those of
-    one that stays, so no two that stay are near copies, and a chain of links or an equal fingerprint never takes a
-    document that is unlike all that stay. Different texts of one id are judged each. Null ids stay, with a null digest.
+    Candidates are components of texts that link within the radius in any of their word views. Of equal texts the
+    smallest id stands for all. In the order of their ids, a document of a component goes if its k-word shingles have the
+    given Jaccard similarity with those of one that stays, so no two that stay in a component are near copies, and a chain
+    of links or an equal fingerprint never takes a document that is unlike all that stay. Different texts of one id are
+    judged each. Null ids stay, with a null digest. The result is a written table; all other scratch is dropped.
     """
-    kept, key = Scratch(docs.sparkSession, "simhash"), ["doc_id", "digest"]
-    fps, named = classes(docs, kept, "doc_id", "text", k, seed, radius, hot, digest=True)
-    firsts = fps.groupBy("fp", "digest").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    own = kept.keep(firsts.join(named.select("fp", F.col("component_id").alias("part")), "fp").select("part", *key))
-    several = own.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
-    wanted = kept.keep(own.join(several, "part", "left_semi"))
+    kept, scratch, key = Scratch(docs.sparkSession, "distinct"), Scratch(docs.sparkSession, "distinct-work"), ["doc_id", "digest"]
+    names = [f"f{v}" for v in range(views)]
+    signed = scratch.keep(signatures(docs, views, seed))
+    least = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.min(n).alias(n) for n in names)).where("doc_id is not null")
+    own = scratch.keep(least.withColumn("node", F.xxhash64("digest")))
+    linked = Scratch(docs.sparkSession, "distinct-links")
+    roots = components(links(own.select("node", *names), linked, radius, hot), linked).select("node", F.col("root").alias("part"))
+    member = roots.unionByName(roots.select(F.col("part").alias("node"), "part").distinct())
+    wanted = scratch.keep(own.select("node", *key).join(member, "node").select("part", *key))
+    linked.drop()
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     rows = texts.join(wanted, "doc_id").where(F.col("digest") == text_digest()).select("part", *key, "text")
-    rows = kept.keep(shingle_hashes(rows, k).dropDuplicates(key))
+    rows = scratch.keep(shingle_hashes(rows, k).dropDuplicates(key))
     gone = []
     for _ in range(LEADER_ROUNDS):
         first = rows.groupBy("part").agg(F.min(F.struct(*key)).alias("lead"), F.count("*").alias("n")).where("n > 1")
@@ -296,17 +339,19 @@ def distinct_documents(docs: DataFrame, k: int = 5, radius: int = 7, similarity:
         common = F.size(F.array_intersect("hashes", "y"))
         near = (common >= similarity * (F.size("hashes") + F.size("y") - common)) | (F.size("hashes") + F.size("y") == 0)
         judged = both.select("part", *key, "hashes", near.alias("near"))
-        judged = kept.keep(judged.select("part", *key, F.when(~F.col("near"), F.col("hashes")).alias("hashes"), "near"))
+        judged = scratch.keep(judged.select("part", *key, F.when(~F.col("near"), F.col("hashes")).alias("hashes"), "near"))
         gone.append(judged.where("near").select(*key))
         rows = judged.where("not near").select("part", *key, "hashes")
         if rows.isEmpty():
             break
     else:
         rest = rows.repartition("part").sortWithinPartitions("part", *key)
-        gone.append(kept.keep(rest.mapInArrow(_likes(similarity), "doc_id long, digest binary")))
+        gone.append(scratch.keep(rest.mapInArrow(_likes(similarity), "doc_id long, digest binary")))
     stay = own.select(*key).join(reduce(DataFrame.unionByName, gone), key, "left_anti")
-    nulls = fps.where("doc_id is null").select("doc_id", F.lit(None).cast("binary").alias("digest")).limit(1)
-    return stay.unionByName(nulls)
+    nulls = signed.where("doc_id is null").select("doc_id", F.lit(None).cast("binary").alias("digest")).limit(1)
+    stay = kept.keep(stay.unionByName(nulls))
+    scratch.drop()
+    return stay
 
 
 def hex16(fp) -> F.Column:

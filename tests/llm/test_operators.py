@@ -85,7 +85,7 @@ def test_links_in_hot_buckets(spark):
     want = brute.linked([(w, w % 2**64) for w in sorted(signed)])
     for hot in (5, 50_000):
         scratch = Scratch(spark, "t")
-        got = dict(local(components(simhash.links(rows, scratch, hot=hot), scratch), "node", "root"))
+        got = dict(local(components(simhash.links(rows.withColumn("node", F.col("fp")), scratch, hot=hot), scratch), "node", "root"))
         assert {w: got.get(w, w) for w in signed} == want
 
 
@@ -112,24 +112,20 @@ def test_distinct_documents_removes_only_similar_ones(spark):
 
 def test_distinct_documents_compares_all_of_a_component(spark):
     """Near copies go also where neither is like the component's smallest id, in the rounds and after them."""
-    near = lambda x, y: 1 <= (simhash.fingerprint(x, 5) ^ simhash.fingerprint(y, 5)).bit_count() <= 7
-    rng, texts = random.Random(5), []
-    while len(texts) < 12:  # unlike texts whose fingerprints link, since one word is repeated in all, and a near copy of each
-        text = "x " * 14 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
-        copy = text[: text.rindex(" ")] + f" v{len(texts)}"
-        if near(text, copy) and (not texts or near(texts[0], text) and near(texts[0], copy)):
-            texts += [text, copy]
-    rows = [(i, t) for i, t in enumerate(texts)]
-    assert len({c for _, _, c in local(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5, radius=7), "doc_id", "fp", "component_id")}) == 1
-    kept = {r[0] for r in local(simhash.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")}
-    assert kept == {0, 2, 4, 6, 8, 10}
+    rng, words = random.Random(5), [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(6):  # unlike texts of the same words, whose views are equal, and a near copy of each
+        rng.shuffle(words)
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert len({tuple(simhash.word_views(t, 4)) for t in texts[::2]}) == 1
+    assert {r[0] for r in local(simhash.distinct_documents(frame), "doc_id")} == {0, 2, 4, 6, 8, 10}
 
 
 def test_distinct_documents_compares_equal_fingerprints(spark):
-    """Texts of which one repeated word makes up most share a fingerprint; only equal and similar ones go."""
-    rng = random.Random(6)
-    texts = ["x " * 90 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(6)]
-    assert len({simhash.fingerprint(t, 5) for t in texts}) == 1
+    """Texts of the same words share all fingerprints; only equal and similar ones go."""
+    rng, words = random.Random(6), [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.sample(words, 200)) for _ in range(6)]
     rows = [*enumerate(texts), (10, texts[4]), (11, texts[5][: texts[5].rindex(" ")] + " other"), (5, "another text with the id 5"), (5, texts[5])]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(local(simhash.distinct_documents(frame), "doc_id")) == [(i,) for i in (0, 1, 2, 3, 4, 5, 5)]
@@ -506,17 +502,28 @@ def test_media(spark):
     assert media.copies(pictures.limit(0)).count() == 0
 
 
-def test_media_compares_all_of_a_large_bucket(spark):
-    """70 corners of one block: the copies among them are at places that are neither next to each other nor the first."""
+def test_media_matches_of_small_and_large_buckets(spark):
+    """Corners of one block: all pairs of a small bucket match, and a spanning forest of a large one, wherever they stand."""
     rng = np.random.default_rng(4)
     points = np.zeros(70, media._POINT)
     points["bits"] = rng.integers(0, 256, (70, media.BITS // 8))
     points["bits"][:, : media.BLOCK_BYTES] = 7
     points["bits"][[40, 63]] = points["bits"][9]
-    frame = spark.createDataFrame([(1, i, i, bytearray(x.tobytes())) for i, x in enumerate(points)], "block long, side long, image_id long, point binary")
-    want = {(9, 40), (9, 63), (40, 63)}
-    assert set(local(frame.coalesce(1).mapInArrow(media._compare(None), media.MATCHES), "a", "b")) == want
-    assert local(frame.coalesce(1).mapInArrow(media._compare(69), media.MATCHES), "a", "b", "large") == [(70, None, 1)]
+    rows = [(1, i, bytearray(x.tobytes())) for i, x in enumerate(points)] + [(2, i, bytearray(points[i].tobytes())) for i in (9, 40, 50, 63)]
+    frame = spark.createDataFrame(rows, "block long, image_id long, point binary").coalesce(1)
+    large, small = frame.where("block = 1"), frame.where("block = 2")
+    assert set(local(large.mapInArrow(media._compare(None), media.MATCHES), "a", "b")) == {(9, 40), (9, 63)}
+    assert set(local(small.mapInArrow(media._compare(None), media.MATCHES), "a", "b")) == {(9, 40), (9, 63), (40, 63)}
+    assert local(large.mapInArrow(media._compare(69), media.MATCHES), "a", "b", "large") == [(70, None, 1)]
+
+
+def test_op10_finds_planted_copies(spark):
+    """At least nine in ten of the edited pictures are in their original's class, and others are alone."""
+    got = dict(local(queries.op10_media(spark, "/root/testdata/sf0.01"), "image_id", "class_id"))
+    assert len(got) == queries.table(spark, "/root/testdata/sf0.01", "embeddings").count()
+    planted = [i for i in got if i % 10 == 3 and i - 1 in got]
+    assert sum(got[i] == got[i - 1] for i in planted) >= 0.9 * len(planted)
+    assert all(got[i] == i for i in got if i not in planted)
 
 
 def test_media_tiles_of_hot_buckets(spark):
