@@ -130,8 +130,11 @@ def _spans(words: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _link(radius: int, hot: int | None):
-    """For rows (bucket, fp, node) in order: edges (a, b) of nodes with bucket -1, those that join two parts of what the
-    task has found; of buckets larger than hot, rows (bucket, fp, node) to be dealt anew."""
+    """For rows (bucket, fp, node) in order: edges (a, b) with bucket -1, from each linked node to the least one of all that
+    the task has found linked to it; of buckets larger than hot, rows (bucket, fp, node) to be dealt anew.
+
+    Least nodes are the same ones in most buckets of a group, so tasks mostly report the same edges of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -145,29 +148,25 @@ def _link(radius: int, hot: int | None):
                 parent[x], x = root, up
             return root
 
-        def joins(x: int, y: int) -> bool:
-            x, y = find(x), find(y)
-            if x != y:
-                parent[x] = y
-            return x != y
+        def join(xs: list[int], ys: list[int]) -> None:
+            for x, y in zip(xs, ys, strict=True):
+                x, y = find(x), find(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
 
         def solve(bucket, fp, node):
             new = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
             lo, hi = np.concatenate(([0], new)), np.concatenate((new, [len(bucket)]))
             pairs = lo[hi - lo == 2]
             near = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= radius]
-            a, b, m = [node[near + 1]], [node[near]], [np.full(len(near), -1)]
+            join(node[near + 1].tolist(), node[near].tolist())
             for i in np.flatnonzero(hi - lo > 2):
                 own = slice(lo[i], hi[i])
                 if hot and hi[i] - lo[i] > hot:
-                    a.append(fp[own].view(np.int64)), b.append(node[own]), m.append(bucket[own])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket[own], fp[own].view(np.int64), node[own])], schema=schema)
                 elif edges := _spans(fp[own], radius):
                     x, y = np.array(edges, np.int64).T + lo[i]
-                    a.append(node[x]), b.append(node[y]), m.append(np.full(len(x), -1))
-            a, b, m = map(np.concatenate, (a, b, m))
-            new = np.fromiter((k >= 0 or joins(x, y) for k, x, y in zip(m.tolist(), a.tolist(), b.tolist(), strict=True)), bool, len(a))
-            if new.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (m, a, b)], schema=schema)
+                    join(node[x].tolist(), node[y].tolist())
 
         held: list[tuple] = []
         for batch in batches:
@@ -187,6 +186,10 @@ def _link(radius: int, hot: int | None):
             held = [tuple(c[cut:] for c in cols)]
         if held:
             yield from solve(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        ends = list(parent)
+        for lo in range(0, len(ends), 100_000):
+            a = ends[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(list(map(find, a)), pa.int64())], schema=schema)
 
     return run
 
