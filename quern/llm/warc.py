@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import scratch_path
+from quern.llm.common import Folder, drop_path, scratch_path
 
 #: Payloads of at least this many bytes are de-duplicated.
 REVISIT_BYTES = 1000
@@ -145,9 +144,13 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return block, b""
 
 
+def record_id(kind: str, uri: str, date: str, payload_digest: str | None, source: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {uri} {date} {payload_digest} {source}')}>"
+
+
 def warc_record(kind: str, uri: str, date: str, mime: str, block: bytes, payload_digest: str | None, more: tuple[tuple[str, str], ...] = ()) -> bytes:
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{kind} {uri} {date} {payload_digest} {dict(more).get('X-Source-Offset', '')}")
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date)]
+    name = record_id(kind, uri, date, payload_digest, dict(more).get("X-Source", ""))
+    head = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", date)]
     if kind != "warcinfo":
         head.append(("WARC-Target-URI", uri))
     head += [("Content-Type", mime), ("WARC-Block-Digest", sha1_32(block))]
@@ -172,10 +175,15 @@ def parse_warc(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def convert(head: dict[str, str], block: bytes, offset: int, revisit_of: int | None) -> bytes:
-    """The WARC record of an ARC record; one that revisits another has the HTTP head alone as its block."""
+def source_of(file: str, offset: int) -> str:
+    return f"{file}#{offset}"
+
+
+def convert(head: dict[str, str], block: bytes, source: str, revisit: dict | None) -> bytes:
+    """The WARC record of an ARC record at a place (file and offset). One that revisits another (its page_id, uri, source and
+    digest) has the HTTP head alone as its block and names the other's record, address and date."""
     uri, date, mime = head["URL"], iso_date(head["Archive-date"]), head["Content-type"]
-    more = (("WARC-IP-Address", head.get("IP-address", "0.0.0.0")), ("X-Source-Offset", str(offset)))
+    more = (("WARC-IP-Address", head.get("IP-address", "0.0.0.0")), ("X-Source", source))
     if uri.startswith("filedesc:"):
         return warc_record("warcinfo", uri, date, "application/warc-fields", b"software: quern\r\nformat: WARC File Format 1.1\r\n", None)
     http, payload = split_http(block)
@@ -185,34 +193,20 @@ def convert(head: dict[str, str], block: bytes, offset: int, revisit_of: int | N
     if not http:
         return warc_record("resource", uri, date, mime, block, digest, more)
     kind = "application/http; msgtype=response"
-    if revisit_of is None:
+    if revisit is None:
         return warc_record("response", uri, date, kind, block, digest, more)
+    then = iso_date(_CRAWLED)
     more += (
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-        ("WARC-Refers-To-Page", str(revisit_of)),
+        ("WARC-Refers-To", record_id("response", revisit["uri"], then, digest, source_of(revisit["file"], revisit["at"]))),
+        ("WARC-Refers-To-Target-URI", revisit["uri"]),
+        ("WARC-Refers-To-Date", then),
+        ("X-Refers-To-Page", str(revisit["page_id"])),
     )
     return warc_record("revisit", uri, date, kind, http, digest, more)
 
 
-class Folder:
-    """Files of one folder, by its address; a file appears under its name only when it is whole."""
-
-    def __init__(self, uri: str):
-        self.fs, self.path = pafs.FileSystem.from_uri(uri)
-        self.fs.create_dir(self.path, recursive=True)
-
-    def write(self, name: str):
-        temporary = f"{self.path}/.{name}.{uuid.uuid4().hex}"
-        return temporary, self.fs.open_output_stream(temporary)
-
-    def settle(self, temporary: str, name: str) -> None:
-        self.fs.move(temporary, f"{self.path}/{name}")
-
-    def read(self, name: str):
-        return self.fs.open_input_stream(f"{self.path}/{name}", compression=None)
-
-
-INDEX = "page_id long, file string, at long, digest string, bytes long"
+INDEX = "page_id long, file string, at long, digest string, bytes long, uri string"
 
 
 def write_arc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -228,7 +222,7 @@ def write_arc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Da
         stream = temporary = name = None
         at = size = 0
         rows: list[tuple] = []
-        schema = pa.schema([("page_id", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64())])
+        schema = pa.schema([("page_id", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64()), ("uri", pa.string())])
 
         def close():
             if stream is not None:
@@ -248,9 +242,10 @@ def write_arc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Da
                     head = _member(arc_version_block(version, name))
                     stream.write(head)
                     at, size = len(head), 0
-                record = _member(arc_record(version, name, at, _url_field(url, page_id), http_head(page_id, len(payload)), payload))
+                uri = _url_field(url, page_id)
+                record = _member(arc_record(version, name, at, uri, http_head(page_id, len(payload)), payload))
                 stream.write(record)
-                rows.append((page_id, name, at, hashlib.sha1(payload).hexdigest(), len(payload)))
+                rows.append((page_id, name, at, hashlib.sha1(payload).hexdigest(), len(payload), uri))
                 at, size = at + len(record), size + len(payload)
         yield from close()
 
@@ -258,19 +253,24 @@ def write_arc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Da
 
 
 def revisits(index: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Adds refers_to to an index: of equal payloads of enough bytes the largest page_id, null for that page itself.
+    """Rows (page_id, file, at, refers_to) of an index: of equal payloads of enough bytes, refers_to is the record (page_id,
+    uri, file, at) of the largest page_id, and null for that page's own rows.
 
     Rows that repeat the largest id are all responses; a null id revisits the largest known one.
     """
     large = F.col("bytes") >= least_bytes
-    first = index.where(large).groupBy("digest").agg(F.max("page_id").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    record = F.max(F.struct("page_id", "uri", "file", "at"))
+    first = index.where(large).groupBy("digest").agg(record.alias("__first"), F.count("*").alias("__n")).where("__n > 1 and __first.page_id is not null")
     joined = index.join(first, "digest", "left")
-    other = large & F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first"))
+    other = large & F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first.page_id"))
     return joined.select("page_id", "file", "at", F.when(other, F.col("__first")).alias("refers_to"))
 
 
-def convert_archives(decided: DataFrame, arc_folder: str, warc_folder: str) -> DataFrame:
-    """Converts each ARC file that decided (file, at, refers_to) names into a WARC file; rows (file)."""
+def convert_archives(decided: DataFrame, arc_folder: str, warc_folder: str, files: int) -> DataFrame:
+    """Converts each of the ARC files that decided (file, at, refers_to) names into a WARC file; rows (file).
+
+    The rows are few bytes and the files many, so they are dealt to a task for every other file by number, not by size.
+    """
 
     def run(key, table):
         name = key[0].as_py()
@@ -280,11 +280,12 @@ def convert_archives(decided: DataFrame, arc_folder: str, warc_folder: str) -> D
         temporary, sink = out.write(out_name)
         with sink, Folder(arc_folder).read(name) as source:
             for at, _, record in members(source):
-                sink.write(_member(convert(*reader.parse(record), at, refers.get(at))))
+                sink.write(_member(convert(*reader.parse(record), source_of(name, at), refers.get(at))))
         out.settle(temporary, out_name)
         return pa.table({"file": [out_name]})
 
-    return decided.select("file", "at", "refers_to").groupBy("file").applyInArrow(run, "file string")
+    dealt = decided.select("file", "at", "refers_to").repartition(max(1, 2 * files), "file")
+    return dealt.groupBy("file").applyInArrow(run, "file string")
 
 
 RECORDS = T.StructType(
@@ -320,7 +321,7 @@ def read_warc(files: DataFrame, folder: str) -> DataFrame:
                         digest, length = fields["WARC-Payload-Digest"], int(said["Content-Length"])
                         if fields["WARC-Type"] == "response" and (sha1_32(payload) != digest or len(payload) != length):
                             raise ValueError(f"the payload of {fields['WARC-Record-ID']} differs from its digest or length")
-                        page, refers = said.get("X-Page-Id", "").strip(), fields.get("WARC-Refers-To-Page")
+                        page, refers = said.get("X-Page-Id", "").strip(), fields.get("X-Refers-To-Page")
                         rows.append((int(page) if page else None, length, digest_hex(digest), fields["WARC-Type"], int(refers) if refers else None, fields["WARC-Target-URI"], fields["WARC-Date"], fields["WARC-Record-ID"]))
                         if len(rows) >= 5000:
                             yield flush(rows)
@@ -333,17 +334,17 @@ def read_warc(files: DataFrame, folder: str) -> DataFrame:
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
     """Writes pages (page_id, url, html) as ARC archives, converts them to WARC, and reads these: (records, WARC folder).
 
-    Pages are never shuffled: only the index is, and each archive is converted by the task that gets its index rows.
-    Repeated rows are separate records; an empty table gives no archive and no record; other columns are not read.
+    Pages are never shuffled: only the index is, and each archive is converted by the task that gets its index rows. A
+    payload of any length is one record, held by one task at a time. Repeated rows are separate records; an empty table
+    gives no archive and no record; other columns are not read. The ARC archives and the index are dropped; the WARC
+    archives are the result and stay, with the list of their names.
     """
     base = folder or scratch_path(spark, "warc")
     arc, warc = f"{base}/arc", f"{base}/warc"
-    from quern.llm.common import drop_path
-
     write_arc(pages, arc).write.parquet(f"{base}/index")
-    decided = revisits(spark.read.parquet(f"{base}/index"))
-    convert_archives(decided, arc, warc).write.parquet(f"{base}/files")
+    index = spark.read.parquet(f"{base}/index")
+    n = index.select("file").distinct().count()
+    convert_archives(revisits(index), arc, warc, n).write.parquet(f"{base}/files")
     drop_path(spark, arc)
-    files = spark.read.parquet(f"{base}/files")
-    n = max(1, files.count())
-    return read_warc(files.repartition(n, "file"), warc), warc
+    drop_path(spark, f"{base}/index")
+    return read_warc(spark.read.parquet(f"{base}/files").repartition(max(1, n), "file"), warc), warc
