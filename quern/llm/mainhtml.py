@@ -1,25 +1,33 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text of their own paragraphs, less links. A container's path is generalised:
-tags with their classes, digits and positions taken out. Spark sums the votes of each path over the pages of a host, and
-every page is extracted again from the container with its host's winning path; a page without it uses its own best one.
+Each page's containers are scored by the text inside them, less links, and the page votes for the generalised path of the
+innermost one that holds most of its score: tags with their classes, digits and positions taken out. Spark sums the votes
+of each path over the pages of a host, and every page is extracted again from the containers with its host's winning
+path; a page in which that path holds little uses its own choice.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import Scratch
 from quern.llm.urlfilter import host_of
 
 # Fixed values of HTML: elements by how they are treated.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select"}
+#: Of these the content is plain text up to the end tag, and all of the page without one.
+PLAIN = {"script", "style", "textarea", "title", "iframe"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "figcaption"} | RAW
 BLOCKS = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figure",
@@ -27,35 +35,53 @@ BLOCKS = {
     "td", "tfoot", "th", "thead", "tr", "ul",
 } | DROPPED
 CONTAINERS = {"article", "body", "div", "main", "section", "td"}
-#: A start tag closes open elements of these names, as HTML leaves their end tags out.
+#: A start tag closes open elements of these names, as HTML leaves their end tags out, up to a barrier.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-#: Words of classes, ids and roles that mark what is not part of an article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|overlay|newsletter|subscribe|"
-    r"nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|aside|footer\w*|header\w*|masthead|toolbar|share|sharing|social|related|recommend\w*|"
-    r"comment|comments|commentlist|disqus|respond|reply|replies|widget\w*|pagination|pager|tags|login|signup|search|skip)(?:$|[\s_-])"
+P_BARRIERS = CONTAINERS | {"table", "ul", "ol", "blockquote", "button"}
+#: Words of classes, ids and roles that mark what is not part of an article: of any element, and of boxes around others.
+_AD = r"ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|popup|newsletter|subscribe|share|sharing|social|related|recommend\w*"
+_BOX = (
+    r"notice|modal|overlay|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|aside|footer\w*|header\w*|masthead|toolbar|"
+    r"comment|comments|commentlist|disqus|respond|reply|replies|widget\w*|pagination|pager|tags|login|signup|search|skip"
 )
+NOISE, BOX_NOISE = (re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])") for words in (_AD, f"{_AD}|{_BOX}"))
+#: Elements of an article's own text, whose classes are judged by the shorter list.
+TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "b", "i", "em", "strong", "code", "a"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
-)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_OPEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*[\"']")
+_ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_HIDDEN = re.compile(r"display\s*:\s*none")
 _SPACE = re.compile(r"\s+")
+#: The share of a page's score that its chosen container holds; a host's path that holds less than the other is not used.
+SHARE, LEAST_SHARE = 0.8, 0.3
+#: Up to so many hosts, their winning paths are broadcast; beyond, pages are joined by host and one of so many salts.
+BROADCAST_HOSTS, SALTS = 200_000, 32
+
+
+@lru_cache(64)
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I)
 
 
 class Page:
-    """Blocks (text, link characters, container number) of a page outside dropped parts, and its containers' paths."""
+    """Blocks (text, link characters, container number) of a page outside dropped parts, and its containers.
+
+    Time and memory are linear in the page: open elements are found by name, and a container's path is a hash of its
+    parent's and its own name.
+    """
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, int]] = []
-        self.paths: list[str] = ["html"]
-        self.parents: list[int] = [-1]
+        self.names, self.keys, self.parents = ["html"], [0], [-1]
         self._parse(html)
 
     def _parse(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, its container, whether it is dropped
+        stack: list[tuple[str, int, bool, bool]] = []  # tag, its container, whether it is dropped, whether it is in a link
+        where: dict[str, list[int]] = defaultdict(list)  # places of each tag in the stack
         text: list[str] = []
+        unclosed: set[str] = set()  # quotes that don't occur any more
         links = at = 0
 
         def close_block():
@@ -68,98 +94,141 @@ class Page:
             links = 0
 
         def pop_to(i: int):
-            if any(tag in BLOCKS for tag, _, _ in stack[i:]):
+            if any(x[0] in BLOCKS for x in stack[i:]):
                 close_block()
+            for x in stack[i:]:
+                where[x[0]].pop()
             del stack[i:]
 
+        def last(tags) -> int:
+            return max((where[t][-1] for t in tags if where[t]), default=-1)
+
         def say(raw: str):
             nonlocal links
             if raw and not (stack and stack[-1][2]):
                 got = unescape(raw)
                 text.append(got)
-                if any(tag == "a" for tag, _, _ in stack[-4:]):
+                if stack and stack[-1][3]:
                     links += len(got.strip())
 
-        while m := _TOKEN.search(html, at):
+        def tag_end(i: int) -> int:
+            """After the tag's ``>``, which a quoted value may hold; a quote without an end is an ordinary character."""
+            while m := _STOP.search(html, i):
+                i = m.end()
+                quote = html[i - 1]
+                if quote == ">":
+                    return i
+                if quote not in unclosed:
+                    end = html.find(quote, i)
+                    if end < 0:
+                        unclosed.add(quote)
+                    else:
+                        i = end + 1
+            return len(html)
+
+        def after(mark: str, i: int) -> int:
+            end = html.find(mark, i)
+            return len(html) if end < 0 else end + len(mark)
+
+        while m := _OPEN.search(html, at):
             say(html[at : m.start()])
             at = m.end()
             if m[2] is None:
-                if m[0].startswith("<![CDATA["):
-                    say(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                if m[0] == "<![CDATA[":
+                    at = after("]]>", m.end())
+                    say(html[m.end() : at].removesuffix("]]>").replace("&", "&amp;"))
+                else:
+                    at = after("-->" if m[0] == "<!--" else ">", at)
                 continue
-            tag = m[2].lower()
+            tag, at = m[2].lower(), tag_end(at)
             if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        pop_to(i)
-                        break
-                else:
-                    if tag == "p":
-                        close_block()
+                if where[tag]:
+                    pop_to(where[tag][-1])
+                elif tag == "p":
+                    close_block()
                 continue
+            said = html[m.end() : at].removesuffix(">")
             if tag in BLOCKS:
-                for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                    if stack[i][0] == "p":
-                        pop_to(i)
-                        break
-                    if stack[i][0] in CONTAINERS or stack[i][0] in ("table", "ul", "ol", "blockquote", "button"):
-                        break
+                if where["p"] and where["p"][-1] > last(P_BARRIERS):  # a block ends an open paragraph
+                    pop_to(where["p"][-1])
                 close_block()
-            for i in range(len(stack) - 1, -1, -1) if tag in CLOSES else ():
-                if stack[i][0] in CLOSES[tag]:
-                    pop_to(i)
-                    break
-                if stack[i][0] in BARRIERS.get(tag, ()):
-                    break
-            container, dropped = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-            marks = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(m[3])} if m[3] else {}
+            if tag in CLOSES:
+                barrier = last(BARRIERS.get(tag, ()))
+                begun = [where[t][k] for t in CLOSES[tag] if (k := bisect_right(where[t], barrier)) < len(where[t])]
+                if begun:
+                    pop_to(min(begun))
+            _, container, dropped, linked = stack[-1] if stack else ("", 0, False, False)
+            marks = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(said)} if said else {}
             if not dropped:
                 named = f"{marks.get('class', '')} {marks.get('id', '')}"
-                noisy = named.strip() and NOISE.search(named) and tag not in ("html", "body", "article", "main")
-                hidden = "hidden" in marks or marks.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", marks.get("style", ""))
+                noise = NOISE if tag in TEXT_TAGS else BOX_NOISE
+                noisy = tag not in ("html", "body", "article", "main") and noise.search(named)
+                hidden = "hidden" in marks or marks.get("aria-hidden") == "true" or _HIDDEN.search(marks.get("style", ""))
                 dropped = bool(tag in DROPPED or noisy or hidden or marks.get("role") in ROLES)
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+            if tag in VOID or said.endswith("/") and tag not in BLOCKS:
                 if tag in ("br", "hr", "wbr", "img"):
                     say("" if tag == "wbr" else " ")
                 continue
-            if tag in RAW:  # its content is text up to its own end tag
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at) if tag not in ("noscript", "svg", "math", "object", "select", "template", "canvas") else None
-                if end or tag in ("script", "style", "textarea", "title", "iframe"):
-                    at = end.end() if end else len(html)
-                    continue
+            if tag in PLAIN:
+                end = _end_tag(tag).search(html, at)
+                at = end.end() if end else len(html)
+                continue
             if tag in CONTAINERS and not dropped:
-                self.paths.append(f"{self.paths[container]}>{generalised(tag, marks.get('class', ''))}")
+                name = generalised(tag, marks.get("class", ""))
+                self.names.append(name)
+                self.keys.append(xxhash.xxh64_intdigest(f"{self.keys[container]}>{name}") - (1 << 63))
                 self.parents.append(container)
-                container = len(self.paths) - 1
-            stack.append((tag, container, dropped))
+                container = len(self.keys) - 1
+            where[tag].append(len(stack))
+            stack.append((tag, container, dropped, linked or tag == "a" and "href" in marks))
         say(html[at:])
         close_block()
 
-    def scores(self) -> dict[str, float]:
-        """Score by generalised path: own text less links, and half of what the children have, as paragraphs count more."""
-        own = [0.0] * len(self.paths)
+    def scores(self) -> list[int]:
+        """Of each container the characters of the blocks within it, less twice those in links."""
+        out = [0] * len(self.keys)
         for block, links, c in self.blocks:
-            if links * 2 < len(block):
-                own[c] += len(block) - 2 * links
-        out: dict[str, float] = {}
-        for c in range(len(self.paths) - 1, 0, -1):
-            if own[c] > 0:
-                out[self.paths[c]] = out.get(self.paths[c], 0.0) + own[c]
-                if self.parents[c] > 0:
-                    own[self.parents[c]] += own[c] / 2
+            out[c] += max(0, len(block) - 2 * links)
+        for c in range(len(out) - 1, 0, -1):
+            out[self.parents[c]] += out[c]
         return out
 
-    def text(self, path: str | None) -> str:
-        """Blocks in page order of the containers with the path and all within them; of the page's best one otherwise."""
-        if path not in self.paths:
-            scores = self.scores()
-            path = max(scores, key=lambda p: (scores[p], p)) if scores else None
-        if path is None:
-            return "\n\n".join(b for b, links, _ in self.blocks if 2 * links < len(b))
-        inside = [False] * len(self.paths)
-        for c in range(len(self.paths)):
-            inside[c] = self.paths[c] == path or c > 0 and inside[self.parents[c]]
-        return "\n\n".join(b for b, _, c in self.blocks if inside[c])
+    def best(self, scores: list[int]) -> int | None:
+        """The innermost container with SHARE of the score, or the article around it, so that one in several parts is whole."""
+        if not scores[0]:
+            return None
+        # the share is over a half, so all that have it are nested, and inner ones are numbered later
+        best = c = max(c for c, s in enumerate(scores) if s >= SHARE * scores[0])
+        while c > 0:
+            if self.names[c].partition(".")[0] in ("article", "main"):
+                return c
+            c = self.parents[c]
+        return best
+
+    def path(self, container: int) -> str:
+        out = []
+        while container >= 0:
+            out.append(self.names[container])
+            container = self.parents[container]
+        return ">".join(reversed(out))
+
+    def text(self, key: int | None = None) -> tuple[str, str | None]:
+        """Blocks in page order of the containers with the path's key and all within them, and the path; of the page's
+        best container where they hold too little."""
+        scores = self.scores()
+        chosen = [c for c, k in enumerate(self.keys) if k == key] if key is not None else []
+        outer = [c for c in chosen if self.keys[self.parents[c]] != key]
+        if not chosen or sum(scores[c] for c in outer) < LEAST_SHARE * scores[0]:
+            best = self.best(scores)
+            if best is None:
+                return "\n\n".join(b for b, links, _ in self.blocks if 2 * links < len(b)), None
+            chosen = [best]
+        inside = [False] * len(self.keys)
+        for c in chosen:
+            inside[c] = True
+        for c in range(1, len(inside)):
+            inside[c] |= inside[self.parents[c]]
+        return "\n\n".join(b for b, _, c in self.blocks if inside[c]), self.path(chosen[0])
 
 
 def generalised(tag: str, classes: str) -> str:
@@ -169,43 +238,52 @@ def generalised(tag: str, classes: str) -> str:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """Rows (host, path, votes, pages): a page gives each of its paths its share of the page's score."""
+    """Rows (host, key, votes, pages): a page gives the path of its best container that one's share of its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, share = [], [], []
+            hosts, keys, share = [], [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                scores = Page(html or "").scores()
-                total = sum(scores.values())
-                for path, s in scores.items():
-                    hosts.append(host), paths.append(path), share.append(round(s / total * 1_000_000))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(share, pa.int64())], names=["host", "path", "share"])
+                page = Page(html or "")
+                scores = page.scores()
+                if (best := page.best(scores)) is not None:
+                    hosts.append(host), keys.append(page.keys[best]), share.append(round(scores[best] / scores[0] * 1_000_000))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(share, pa.int64())], names=["host", "key", "share"])
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string, share long")
-    return rows.groupBy("host", "path").agg(F.sum("share").alias("votes"), F.count("*").alias("pages"))
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, key long, share long")
+    return rows.groupBy("host", "key").agg(F.sum("share").alias("votes"), F.count("*").alias("pages"))
 
 
 def winners(voted: DataFrame) -> DataFrame:
-    """The path with the most votes of each host, ties by the path's order: rows (host, path, votes)."""
-    best = F.max(F.struct("votes", "path")).alias("best")
-    return voted.groupBy("host").agg(best).select("host", F.col("best.path").alias("path"), F.col("best.votes").alias("votes"))
+    """The path with the most votes of each host, ties by its key: rows (host, key, votes)."""
+    best = F.max(F.struct("votes", "key")).alias("best")
+    return voted.groupBy("host").agg(best).select("host", F.col("best.key").alias("key"), F.col("best.votes").alias("votes"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """Rows (page_id, url, text, n_chars, path), one per row of pages (page_id, url, html).
 
     A null html is empty and has an empty text; a null url belongs to the host of urls without one. n_chars counts code
-    points. Repeated rows stay, an empty table gives no row, and other columns are not read. The table of winning paths
-    has a row per host: it is joined as adaptive execution sees fit, by its measured size.
+    points. Pages of any length and depth are read whole, in linear time and memory. Repeated rows stay, an empty table
+    gives no row, and other columns are not read. The winning paths are a written table with a row per host: up to
+    broadcast_hosts it is broadcast and no html is shuffled; beyond, pages are dealt by host and a salt.
     """
-    best = winners(votes(pages)).select(F.col("host").alias("__host"), F.col("path").alias("__path"))
+    best = Scratch(pages.sparkSession, "hosts").keep(winners(votes(pages)).select(F.col("host").alias("__host"), F.col("key").alias("__key")))
     rows = pages.select(F.col("page_id").cast("long"), "url", host_of(F.col("url")).alias("__of"), "html")
-    joined = rows.join(best, rows["__of"] == best["__host"], "left").select("page_id", "url", "__path", "html")
+    same = F.col("__of") == F.col("__host")
+    if best.count() <= broadcast_hosts:
+        best = F.broadcast(best)
+    else:
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        best = best.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        same &= F.col("__salt") == F.col("__part")
+    joined = rows.join(best, same, "left").select("page_id", "url", "__key", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h or "").text(p) for p, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [Page(h or "").text(k) for k, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts, paths = [t for t, _ in found], [p for _, p in found]
             n = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), n, batch.column(2)], names=["page_id", "url", "text", "n_chars", "path"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), n, pa.array(paths, pa.string())], names=["page_id", "url", "text", "n_chars", "path"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, path string")
