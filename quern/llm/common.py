@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
     spark_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if spark_dir.isDefined():
         return spark_dir.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+    own = tempfile.mkdtemp(prefix="quern-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def free_names(taken: list[str], names: tuple[str, ...]) -> tuple[str, ...]:
+    """The names, each with as many underscores before it as keep it apart from those taken, whatever their case."""
+    taken, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -45,6 +60,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Folder:
+    """Files of one folder, by its address; a file appears under its name only when it is whole."""
+
+    def __init__(self, uri: str):
+        self.fs, self.path = pafs.FileSystem.from_uri(uri)
+        self.fs.create_dir(self.path, recursive=True)
+
+    def write(self, name: str):
+        temporary = f"{self.path}/.{name}.{uuid.uuid4().hex}"
+        return temporary, self.fs.open_output_stream(temporary)
+
+    def settle(self, temporary: str, name: str) -> None:
+        self.fs.move(temporary, f"{self.path}/{name}")
+
+    def read(self, name: str):
+        return self.fs.open_input_stream(f"{self.path}/{name}", compression=None)
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive a lost executor."""
 

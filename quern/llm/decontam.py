@@ -2,29 +2,33 @@
 
 A task gathers documents into shards of a bounded number of words and builds for each an FM-index over word codes:
 suffix order by prefix doubling, the Burrows-Wheeler transform in a wavelet matrix, and suffix positions sampled along
-the text. All benchmark windows are searched backwards at once, their occurrences located by stepping to the nearest
-sampled position, and the spans of a document merged.
+the text. All windows of a benchmark block are searched backwards at once, their occurrences located by stepping to the
+nearest sampled position, and the spans of a document merged.
+
+The benchmark is cut into blocks of bounded size, files in the shared folder. A task holds one block at a time and one
+index, which is built once per shard and serves all blocks.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import words_of
+from quern.llm.common import Folder, free_names, scratch_path, words_of
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 13
 #: Words of a shard (a longer document is a shard of its own) and the distance of sampled suffix positions.
 SHARD_WORDS, SAMPLE = 500_000, 8
-#: Benchmark text sent to the executors at once, in bytes; a larger benchmark is searched in blocks of this size.
-BLOCK_BYTES = 8 << 20
+#: Benchmark text of a block, in bytes (a longer item is a block of its own); about ten times that is held in memory.
+BLOCK_BYTES = 2 << 20
+COLUMNS = ("n_words", "spans", "item_ids")
 
 
 def suffix_order(codes: np.ndarray, distinct: int) -> np.ndarray:
@@ -166,85 +170,136 @@ class FMIndex:
         return out
 
 
-def windows_of(items: list[tuple], size: int = WINDOW) -> tuple[list[tuple], list[list[int]]]:
-    """Distinct windows (tuples of words) of (id, text) items and the positions of the items that hold each."""
-    found: dict[tuple, dict[int, None]] = {}
-    for k, (_, text) in enumerate(items):
-        words = words_of(text)
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            found.setdefault(tuple(words[i : i + size]), {})[k] = None
-    return list(found), [list(x) for x in found.values()]
-
-
-def _scan(docs: list[list[bytes]], windows: list[tuple], owners: list[list[int]]) -> tuple[list[list[tuple[int, int]]], list[set[int]]]:
-    """Merged hit spans and the held items of each document of one shard."""
-    codes: dict[bytes, int] = defaultdict(lambda: len(codes) + 1)
-    texts = [np.fromiter(map(codes.__getitem__, d), np.int64, len(d)) for d in docs]
-    spans, items = [[] for _ in docs], [set() for _ in docs]
-    wide = max(map(len, windows), default=0)
-    rows, sizes, which = [], [], []
-    for k, w in enumerate(windows):
-        own = [codes.get(x, 0) for x in w]
-        if all(own):
-            rows.append([0] * (wide - len(w)) + own), sizes.append(len(w)), which.append(k)
-    if not rows or not codes:
-        return spans, items
-    index = FMIndex(texts, len(codes))
-    lo, hi = index.search(np.array(rows, np.int64), np.array(sizes, np.int64))
-    times = np.maximum(hi - lo, 0)
-    met = np.repeat(np.arange(len(rows)), times)
-    if not len(met):
+class Block:
+    """The distinct windows of some (id, text) items, as rows of word numbers (right-aligned, -1 before a shorter one), and
+    the items that hold each."""
+
+    def __init__(self, items: list[tuple], size: int = WINDOW):
+        self.names = [x[0] for x in items]
+        numbers: dict[bytes, int] = defaultdict(lambda: len(numbers))
+        rows, owners = [np.zeros((0, size), np.int32)], [np.zeros(0, np.int64)]
+        for k, (_, text) in enumerate(items):
+            codes = np.array([numbers[w] for w in words_of(text)], np.int32)
+            if len(codes):
+                codes = np.concatenate((np.full(max(0, size - len(codes)), -1, np.int32), codes))
+                rows.append(np.lib.stride_tricks.sliding_window_view(codes, size))
+                owners.append(np.full(len(rows[-1]), k))
+        self.words = list(numbers)
+        self.windows, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(np.column_stack((which.ravel(), np.concatenate(owners))), axis=0)
+        self.first, self.owners = np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1)), pairs[:, 1]
+
+
+class Shard:
+    """Documents (lists of words) and their index, which is built when a block's words first ask for it."""
+
+    def __init__(self, docs: list[list[bytes]]):
+        self.codes: dict[bytes, int] = defaultdict(lambda: len(self.codes) + 1)
+        self.texts = [np.fromiter(map(self.codes.__getitem__, d), np.int64, len(d)) for d in docs]
+        self.codes.default_factory = None
+        self.index: FMIndex | None = None
+
+    def scan(self, block: Block) -> tuple[list[list[tuple[int, int]]], list[set[int]]]:
+        """Merged hit spans and the items met, by number, of each document."""
+        spans, items = [[] for _ in self.texts], [set() for _ in self.texts]
+        own = np.array([*(self.codes.get(w, 0) for w in block.words), 0], np.int64)
+        codes = own[block.windows]
+        which = np.flatnonzero(((codes > 0) | (block.windows < 0)).all(axis=1)) if self.codes else ()
+        if not len(which):
+            return spans, items
+        if self.index is None:
+            self.index = FMIndex(self.texts, len(self.codes))
+        index, sizes = self.index, (block.windows[which] >= 0).sum(axis=1)
+        lo, hi = index.search(codes[which], sizes)
+        times = np.maximum(hi - lo, 0)
+        met = np.repeat(np.arange(len(which)), times)
+        if not len(met):
+            return spans, items
+        first = np.concatenate(([0], np.cumsum(times)[:-1]))
+        at = index.locate(np.arange(len(met)) - np.repeat(first, times) + np.repeat(lo, times))
+        doc = np.searchsorted(index.starts, at, side="right") - 1
+        start = at - index.starts[doc]
+        order = np.lexsort((start, doc))
+        for d, s, m in zip(doc[order].tolist(), start[order].tolist(), met[order].tolist(), strict=True):
+            end = s + int(sizes[m])
+            if spans[d] and s <= spans[d][-1][1]:
+                spans[d][-1] = (spans[d][-1][0], max(end, spans[d][-1][1]))
+            else:
+                spans[d].append((s, end))
+            k = which[m]
+            items[d].update(block.owners[block.first[k] : block.first[k + 1]].tolist())
         return spans, items
-    first = np.concatenate(([0], np.cumsum(times)[:-1]))
-    at = index.locate(np.arange(len(met)) - np.repeat(first, times) + np.repeat(lo, times))
-    doc = np.searchsorted(index.starts, at, side="right") - 1
-    start = at - index.starts[doc]
-    order = np.lexsort((start, doc))
-    for d, s, m in zip(doc[order].tolist(), start[order].tolist(), met[order].tolist(), strict=True):
-        end = s + sizes[m]
-        if spans[d] and s <= spans[d][-1][1]:
-            spans[d][-1] = (spans[d][-1][0], max(end, spans[d][-1][1]))
-        else:
-            spans[d].append((s, end))
-        items[d].update(owners[which[m]])
-    return spans, items
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark's items in blocks of bounded size, so that no block outgrows the driver."""
+def write_blocks(benchmark: DataFrame, folder: str, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Writes the benchmark's windows as block files and returns their names; the driver holds one block at a time."""
     rows = benchmark.select(F.col("item_id").alias("id"), "text").where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-size // block_bytes))
+    parts, out = max(1, -(-size // block_bytes)), Folder(folder)
     for k in range(parts):
         part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
-        yield [tuple(r) for r in part.collect()]
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        temporary, stream = out.write(f"{k:06d}")
+        with stream:
+            stream.write(pickle.dumps(Block([tuple(r) for r in part.collect()], window)))
+        out.settle(temporary, f"{k:06d}")
+    return [f"{k:06d}" for k in range(parts)]
+
+
+_HELD: dict[tuple[str, str], Block] = {}
+
+
+def _block(folder: str, name: str) -> Block:
+    """A block; the worker keeps the last one, so that a benchmark of one block is read once."""
+    if (folder, name) not in _HELD:
+        _HELD.clear()
+        with Folder(folder).read(name) as stream:
+            _HELD[folder, name] = pickle.loads(stream.read())
+    return _HELD[folder, name]
+
+
+def _shards(batches: Iterable[pa.RecordBatch], shard_words: int) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
+    """Batches (the text last) cut where their words fill a shard: parts of batches and the words of their documents."""
+    held, docs, size = [], [], 0
+    for batch in batches:
+        begin, texts = 0, batch.column(batch.num_columns - 1)
+        for i in range(batch.num_rows):
+            words = words_of(texts[i].as_py())
+            if docs and size + len(words) > shard_words:
+                if i > begin:
+                    held.append(batch.slice(begin, i - begin))
+                yield held, docs
+                held, docs, size, begin = [], [], 0, i
+            docs.append(words)
+            size += len(words)
+        if begin < batch.num_rows:
+            held.append(batch.slice(begin))
+    if docs:
+        yield held, docs
+
+
+def matches(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, names: tuple[str, str, str] = COLUMNS
+) -> DataFrame:
     """All columns of docs with n_words, spans (merged hit spans of words) and item_ids (strings, sorted, distinct).
 
-    Columns of docs with these names are replaced. A null text has no words; an item without words has no window; an
-    item with a null id is searched but not listed. A benchmark beyond block_bytes goes round in blocks, joined by the
-    row order of docs within a task, so docs is read once for each block.
+    names are those of the three new columns; columns of docs with these names are replaced. A null text has no words; an
+    item without words has no window; an item with a null id is searched but not listed. Texts of any length are searched
+    whole, the longest in a shard of its own; repeated rows stay and are each searched; an empty table gives no row. The
+    files of the benchmark's blocks stay in the shared folder, as the result reads them.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("n_words", "spans", "item_ids")]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col("text").alias("__scanned"))
-    context = docs.sparkSession.sparkContext
-    sent = [context.broadcast((*windows_of(items, window), [x[0] for x in items])) for items in _blocks(benchmark, block_bytes)]
+    taken = {n.lower() for n in names}
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken), F.col("text").alias(free_names(docs.columns, ("__scanned",))[0]))
+    folder = scratch_path(docs.sparkSession, "benchmark")
+    blocks = write_blocks(benchmark, folder, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        docs_held: list[list[bytes]] = []
-        size = 0
-
-        def solve():
-            spans, ids = [[] for _ in docs_held], [set() for _ in docs_held]
-            for block in sent:
-                windows, owners, names = block.value
-                own, met = _scan(docs_held, windows, owners)
-                for k in range(len(docs_held)):
-                    spans[k] += own[k]
-                    ids[k] |= {str(names[i]) for i in met[k] if names[i] is not None}
+        for held, own in _shards(batches, shard_words):
+            shard, spans, ids = Shard(own), [[] for _ in own], [set() for _ in own]
+            for name in blocks:
+                block = _block(folder, name)
+                for k, (found, met) in enumerate(zip(*shard.scan(block), strict=True)):
+                    spans[k] += found
+                    ids[k] |= {str(block.names[i]) for i in met if block.names[i] is not None}
             at = 0
             for batch in held:
                 part = slice(at, at + batch.num_rows)
@@ -252,29 +307,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_w
                 merged = [merge(x) for x in spans[part]]
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 extra = [
-                    pa.array([len(d) for d in docs_held[part]], pa.int64()),
+                    pa.array([len(d) for d in own[part]], pa.int64()),
                     pa.array([[{"start": s, "end": e} for s, e in x] for x in merged], kind),
                     pa.array([sorted(x) for x in ids[part]], pa.list_(pa.string())),
                 ]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], "n_words", "spans", "item_ids"])
-
-        for whole in batches:
-            step = 256
-            for lo in range(0, whole.num_rows, step):
-                batch = whole.slice(lo, step)
-                own = [words_of(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-                n = sum(map(len, own))
-                if held and size + n > shard_words:
-                    yield from solve()
-                    held, docs_held, size = [], [], 0
-                held.append(batch)
-                docs_held += own
-                size += n
-        if held:
-            yield from solve()
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    more = "n_words long, spans array<struct<start: long, end: long>>, item_ids array<string>"
+    more = "`{}` long, `{}` array<struct<start: long, end: long>>, `{}` array<string>".format(*names)
     return rows.mapInArrow(run, f"{fields}, {more}" if fields else more)
 
 
