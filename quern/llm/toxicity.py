@@ -21,19 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import words_of
+from quern.llm.common import free_names, words_of
 
 #: At most about this many labelled documents train the model, chosen by a hash of their ids; all are used where there
 #: are fewer. This bounds the vocabulary that is gathered and sent to the executors.
-TRAIN_DOCS = 30_000
-#: At most this many prefixes and words are kept, the most telling first.
-MAX_FEATURES = 150_000
+TRAIN_DOCS = 12_000
+#: Prefixes and words of fewer training documents are not kept.
+LEAST_DOCS = 2
 #: A word's prefixes of these lengths (in UTF-8 bytes) are its priors; the word itself comes last.
 PREFIXES = (4, 5, 6, 7, 8, 10)
 #: How many documents the prior of each level counts for, and how far scores drift down a token.
 STRENGTH, DRIFT = 10.0, 1.3
-#: Segments below this score are not considered, and at most this many of a text are summed.
-LEAST_SEGMENT, SUMMED = 0.5, 20
+#: Segments below this score are not considered.
+LEAST_SEGMENT = 0.5
 _FLUSH = 400_000
 #: Words whose scores a worker keeps; beyond it the memory is emptied.
 _MEMO = 120_000
@@ -76,20 +76,22 @@ class Model:
             memo[w] = self.token(w, own)
         return np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
 
-    def signal(self, segments: list[tuple[float, int, int]], n_words: int) -> float:
-        """Minus the log of the least P-value of a text's r best segments taken together, over r (sum statistics)."""
-        if not segments:
+    def signal(self, scores: list[float], n_words: int) -> float:
+        """Minus the log of the least P-value of a text's r best segments taken together, over all r (sum statistics)."""
+        if not scores:
             return -3.0
         reach, total, best = self.log_k + math.log(n_words + 1), 0.0, -8.0
-        for r, (s, _, _) in enumerate(sorted(segments, reverse=True)[:SUMMED], 1):
-            total += self.lam * s - reach
-            tail = total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) if total > r else total
-            best = max(best, tail)
+        for r, s in enumerate(sorted(scores, reverse=True), 1):
+            gain = self.lam * s - reach
+            total += gain
+            best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) if total > r else total)
+            if gain <= 0 and total <= r:  # the sum only falls from here, so no larger r is better
+                break
         return min(best, 60.0)
 
     def probability(self, segments: list[tuple[float, int, int]], n_words: int) -> float:
         w = self.weights
-        z = w[0] + w[1] * self.signal(segments, n_words) + w[2] * math.log(n_words + 1)
+        z = w[0] + w[1] * self.signal([x[0] for x in segments], n_words) + w[2] * math.log(n_words + 1)
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
@@ -153,7 +155,7 @@ def _karlin_altschul(hist: dict[float, float]) -> float:
     return min(max(lo, 0.05), 5.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, max_features: int = MAX_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Fits a model on the labelled documents; labels has doc_id and toxic, and rows with a null in either are left out.
 
     Of repeated labels of an id the largest counts. Documents that repeat an id each count. Without both classes every
@@ -170,11 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, max_
         share = model.toxic / max(model.toxic + model.clean, 1)
         model.weights = (math.log((share + 1e-3) / (1 - share + 1e-3)), 0.0, 0.0)
         return model
-    rate = model.toxic / (model.toxic + model.clean)
-    a, b = F.col("a"), F.col("b")
-    odd = F.abs(F.log((a + STRENGTH * rate) / (a + b + STRENGTH)) - math.log(rate))
-    top = _counted(rows).where(a + b >= 2).orderBy(F.desc(odd * F.sqrt(a + b)), "feature").limit(max_features)
-    model.counts = {bytes(f): (int(x), int(y)) for f, x, y in zip(*(c.to_pylist() for c in top.toArrow().columns), strict=True)}
+    kept = _counted(rows).where(F.col("a") + F.col("b") >= LEAST_DOCS).toArrow()
+    for part in kept.to_batches(100_000):
+        model.counts.update((f, (x, y)) for f, x, y in zip(*(c.to_pylist() for c in part.columns), strict=True))
     return _calibrate(rows, model)
 
 
@@ -211,35 +211,47 @@ def _calibrate(rows: DataFrame, model: Model) -> Model:
                 words = words_of(text)
                 s = model.scores(words, toxic)
                 hist = Counter(np.round(s, 1).tolist()) if not toxic else {}
-                found = sorted(segments(s), reverse=True)[:SUMMED]
-                out.append((toxic, len(words), [x[0] for x in found], list(hist), list(hist.values())))
+                out.append((toxic, len(words), [x[0] for x in segments(s)], list(hist), list(hist.values())))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["toxic", "n", "best", "x", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["toxic", "n", "found", "x", "c"])
         model.memo.clear()
 
-    seen = rows.mapInArrow(run, "toxic int, n long, best array<double>, x array<double>, c array<long>").persist()
+    seen = rows.mapInArrow(run, "toxic int, n long, found array<double>, x array<double>, c array<long>").persist()
     pairs = seen.select(F.explode(F.arrays_zip("x", "c")).alias("z")).groupBy("z.x").agg(F.sum("z.c").alias("c"))
     model.lam = _karlin_altschul({r["x"]: r["c"] for r in pairs.collect()})
-    each = seen.select("toxic", "n", "best").toArrow().to_pydict()
-    seen.unpersist()
-    sent.unpersist()
+    each = seen.select("toxic", "n", F.coalesce(F.array_max("found"), F.lit(0.0)).alias("best")).toArrow().to_pydict()
     # K from the median of the clean documents' best segments: lambda * S - log(K n) has median -log(log 2)
-    clean = [model.lam * (b[0] if b else 0.0) - math.log(n + 1) for y, n, b in zip(each["toxic"], each["n"], each["best"], strict=True) if n and not y]
+    clean = [model.lam * b - math.log(n + 1) for y, n, b in zip(each["toxic"], each["n"], each["best"], strict=True) if n and not y]
     model.log_k = (float(np.median(clean)) if clean else -3.0) + math.log(math.log(2))
-    design = [(1.0, model.signal([(s, 0, 0) for s in b], n), math.log(n + 1)) for n, b in zip(each["n"], each["best"], strict=True)]
+    fitted = Model(0, 0, {}, model.lam, model.log_k)
+
+    def signals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [fitted.signal(f, n) for f, n in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.float64())], ["toxic", "n", "signal"])
+
+    each = seen.select("toxic", "n", "found").mapInArrow(signals, "toxic int, n long, signal double").toArrow().to_pydict()
+    seen.unpersist()
+    sent.unpersist()
+    design = [(1.0, x, math.log(n + 1)) for n, x in zip(each["n"], each["signal"], strict=True)]
     model.weights = tuple(logistic(np.array(design), np.array(each["toxic"], float)).tolist())
     model.memo = {}
     return model
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+COLUMNS = ("score", "predicted", "passages")
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, names: tuple[str, str, str] = COLUMNS) -> DataFrame:
     """Adds score, predicted and passages (start word, end word, score of each significant segment) to all columns of docs.
 
-    Columns of docs with these names are replaced. A null or empty text has no passage and the lowest score.
+    names are those of the three new columns; columns of docs with these names are replaced. A null or empty text has no
+    passage and the lowest score. Texts of any length are scanned whole; repeated rows stay and score alike, ids are not
+    read, and an empty table gives no row.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted", "passages")]
+    taken = {n.lower() for n in names}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -254,10 +266,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             p = np.array(scores)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             extra = [pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(passages, kind)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], "score", "predicted", "passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*batch.schema.names[:-1], *names])
         model.memo.clear()
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col("text").alias("__scanned"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken), F.col("text").alias(free_names(docs.columns, ("__scanned",))[0]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    more = "score double, predicted int, passages array<struct<start: long, end: long, score: double>>"
+    more = "`{}` double, `{}` int, `{}` array<struct<start: long, end: long, score: double>>".format(*names)
     return rows.mapInArrow(run, f"{fields}, {more}" if fields else more)
