@@ -108,12 +108,15 @@ def _state(roles: Column, template: Template) -> Column:
 def formatted(conversations: DataFrame, template: Template = LLAMA) -> DataFrame:
     """Rows (conv_id, n_turns, segments, formatted, valid, first_bad_turn), one per conversation.
 
-    Turns are ordered by turn, ties by role and text; nulls come first, a null text or role is empty. Rows with a null
-    conv_id are one conversation; repeated rows are turns of their own. A conversation whose turns are out of order is
-    formatted all the same and marked; without a row there is no conversation. Other columns are not read.
+    Turns are ordered by turn, ties by role and text; nulls come first, a null text or role is empty. A row with a null
+    conv_id belongs to no conversation and is formatted alone, so such rows never gather in one task; repeated rows of an
+    id are turns of their own. Texts of any length are kept whole; a conversation is one row. One whose turns are out of
+    order is formatted all the same and marked; without a row there is no conversation. Other columns are not read.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = conversations.select("conv_id", turn.alias("__turn")).groupBy("conv_id").agg(F.array_sort(F.collect_list("__turn")).alias("__turns"))
+    turns = conversations.select("conv_id", turn.alias("__turn"))
+    rows = turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("__turn")).alias("__turns"))
+    rows = rows.unionByName(turns.where("conv_id is null").select("conv_id", F.array("__turn").alias("__turns")))
     state = _state(F.transform("__turns", lambda t: t["role"]), template)
     rows = rows.select(
         "conv_id",

@@ -16,41 +16,72 @@ from quern.llm.common import words_of
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: More phrases and their labels.
 MORE = {
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
-    "mozilla public license": "mpl",
-    "eclipse public license": "epl",
+    "affero general public license": "agpl",
+    "all rights reserved": "all-rights-reserved",
+    "apache license 2 0": "apache-2.0",
+    "apache license version 2 0": "apache-2.0",
+    "artistic license": "artistic",
+    "beerware license": "beerware",
     "boost software license": "bsl",
-    "bsd license": "bsd",
     "bsd 2 clause": "bsd-2-clause",
     "bsd 3 clause": "bsd-3-clause",
-    "isc license": "isc",
-    "creative commons attribution": "cc-by",
-    "cc by sa": "cc-by-sa",
+    "bsd license": "bsd",
+    "business source license": "busl",
     "cc by nc": "cc-by-nc",
-    "cc by nd": "cc-by-nd",
-    "cc by nc sa": "cc-by-nc-sa",
     "cc by nc nd": "cc-by-nc-nd",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nd": "cc-by-nd",
+    "cc by sa": "cc-by-sa",
     "cc0": "cc0",
-    "public domain": "public-domain",
-    "the unlicense": "unlicense",
-    "all rights reserved": "all-rights-reserved",
+    "common development and distribution license": "cddl",
+    "common public license": "cpl",
+    "copyleft": "copyleft",
+    "creative commons attribution": "cc-by",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons zero": "cc0",
+    "do what the fuck you want to public license": "wtfpl",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "for non commercial use only": "non-commercial",
+    "free art license": "lal",
+    "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
+    "gnu general public license version 2": "gpl-2.0",
+    "gnu general public license version 3": "gpl-3.0",
+    "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
+    "gpl v2": "gpl-2.0",
+    "gpl v3": "gpl-3.0",
+    "isc license": "isc",
+    "mozilla public license": "mpl",
+    "mpl 2 0": "mpl-2.0",
+    "open database license": "odbl",
+    "open font license": "ofl",
     "permission is hereby granted free of charge": "mit",
+    "permission to use copy modify and or distribute this software": "isc",
+    "proprietary and confidential": "proprietary",
+    "public domain": "public-domain",
+    "python software foundation license": "psf",
     "redistribution and use in source and binary forms": "bsd",
-    "apache license version 2 0": "apache-2.0",
-    "gnu general public license version 3": "gpl-3.0",
-    "gnu general public license version 2": "gpl-2.0",
+    "server side public license": "sspl",
+    "the unlicense": "unlicense",
+    "this program is free software": "free-software",
+    "zlib license": "zlib",
 }
 #: The tag before an identifier expression, as words.
 TAG = "spdx license identifier"
 #: Licences by how freely their texts can be used, for the score; others count as unknown.
 OPEN = {
     "mit", "apache", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "bsl", "cc0", "cc0-1.0", "unlicense", "public-domain",
-    "cc-by", "cc-by-4.0", "zlib", "bsl-1.0",
+    "cc-by", "cc-by-4.0", "zlib", "bsl-1.0", "wtfpl", "beerware", "psf",
 }
-COPYLEFT = {"gpl", "lgpl", "agpl", "mpl", "epl", "cc-by-sa"}
-CLOSED = {"all-rights-reserved", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"}
-_EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([a-z0-9.+:() \t-]+)", re.I)
+COPYLEFT = {"gpl", "lgpl", "agpl", "mpl", "epl", "cc-by-sa", "cddl", "cpl", "eupl", "gfdl", "odbl", "ofl", "lal", "copyleft", "artistic", "free-software"}
+CLOSED = {"all-rights-reserved", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd", "non-commercial", "proprietary", "sspl", "busl"}
+#: The tag, its words apart as they may be in a text, and the rest of its line.
+_EXPRESSION = re.compile(rb"spdx[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+license[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+identifier[ \t]*:?[ \t]*([a-z0-9.+:() \t-]+)", re.I)
 _LEXEME = re.compile(r"\(|\)|[a-z0-9][a-z0-9.:+-]*", re.I)
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -99,20 +130,17 @@ def parse_expression(text: str) -> tuple[list[str], float] | None:
             operand = False
     if operand or "(" in ops:
         return None
-    names: list[str] = []
-    values: list[tuple[str, float]] = []
+    values: list[tuple[str, float, list[str]]] = []  # an operand, its score and its identifiers
     for t in out + ops[::-1]:
         if t[0] == "=":
-            values.append((t[1:], freedom(t[1:])))
-            names.append(t[1:])
+            values.append((t[1:], freedom(t[1:]), [t[1:]]))
             continue
-        (b, y), (a, x) = values.pop(), values.pop()
+        (b, y, right), (a, x, left) = values.pop(), values.pop()
         if t == "with":
-            names = [f"{a} with {b}" if n == a else n for n in names if n != b]
-            values.append((f"{a} with {b}", x + (1 - x) / 5))
+            values.append((f"{a} with {b}", x + (1 - x) / 5, [*left[:-1], f"{left[-1]} with {b}"]))
         else:
-            values.append((f"({a} {t} {b})", max(x, y) if t == "or" else min(x, y)))
-    return names, values[0][1]
+            values.append((f"({a} {t} {b})", max(x, y) if t == "or" else min(x, y), left + right))
+    return values[0][2], values[0][1]
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -158,8 +186,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Rows (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one per row of docs.
 
     n_base counts all places of the base phrases; the words are their smallest and largest start, null without one. The
-    score is how freely the text can be used, 0.5 without a label. A null text is empty; ids may be null or repeat; an
-    empty table gives no row; other columns are not read.
+    score is how freely the text can be used, 0.5 without a label; of labels that tie the set holds each once. A null text
+    is empty; texts of any length are scanned whole; ids may be null or repeat; an empty table gives no row; other columns
+    are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,8 @@
 A host's labels in reverse order, each followed by a low separator, make a canonical key in which a host and all its
 subdomains are one interval. Rules and urls are dealt into key ranges (a rule goes to every range that its interval
 meets, a url to one) and sorted; one sweep keeps the stack of rules whose intervals are open, which are always nested.
-The path of a rule is compared within the stack, and the longest fitting rule wins.
+Each open host has its rules by path, so a url looks up its path's prefixes of the lengths that occur, however many rules
+there are, and the longest fitting rule wins.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ends a label in a key; it sorts below every character of a host. The other one ends an interval.
-SEP, HIGH = "\x01", "\U0010ffff"
+#: Ends a label in a key, and the next character, which ends the interval of a key; both are escaped within hosts.
+SEP, NEXT = "\x01", "\x02"
 #: Keys drawn to place the ranges, in all; a url is drawn by a hash of its key, so the draw is the same in every run.
 DRAWN_KEYS = 20_000
 
@@ -33,15 +34,20 @@ def path_of(url) -> F.Column:
 
 
 def key_of(host) -> F.Column:
-    """Labels in reverse order, each with its separator: the keys of a host and its subdomains have the host's as prefix."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), SEP), F.lit(SEP))
+    """Labels in reverse order, each with its separator: the keys of a host and its subdomains have the host's as prefix.
+
+    A separator that is part of a host is escaped, so it never ends a label.
+    """
+    plain = F.replace(F.replace(host, F.lit(NEXT), F.lit(NEXT + "b")), F.lit(SEP), F.lit(NEXT + "a"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), SEP), F.lit(SEP))
 
 
 def _sweep(default: str):
     """For rows (key, kind, page, host, path, rule, verdict) in key order, rules first: one row per url."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[str, list[tuple[int, str, str, str]]]] = []  # host key, its rules (rank, path, name, verdict)
+        # host key, its rules (name, verdict) by path, and the lengths of their paths, longest first
+        stack: list[tuple[str, dict[str, tuple[str, str]], list[int]]] = []
         for batch in batches:
             rules, verdicts, keep = [], [], []
             keys, kinds, hosts, paths, names, said = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "kind", "host", "path", "rule", "verdict"))
@@ -50,17 +56,20 @@ def _sweep(default: str):
                     stack.pop()
                 if kind == 0:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((len(host) + len(path), path, names[i], said[i]))
+                        stack.append((key, {}, []))
+                    own, lengths = stack[-1][1:]
+                    own[path] = max(own.get(path, ("", "")), (names[i], said[i]))
+                    if len(path) not in lengths:
+                        bisect.insort(lengths, len(path), key=lambda n: -n)
                     continue
                 best = None
-                for _, own in stack:
-                    for rule in own:
-                        if path.startswith(rule[1]) and (best is None or (rule[0], rule[2]) >= (best[0], best[2])):
-                            best = rule
+                for _, own, lengths in stack:
+                    fit = next((own[path[:n]] for n in lengths if n <= len(path) and path[:n] in own), None)
+                    if fit and (best is None or (len(fit[0]), fit[0]) >= (len(best[0]), best[0])):
+                        best = fit
                 keep.append(i)
-                rules.append(best[2] if best else None)
-                verdicts.append(best[3] if best else default)
+                rules.append(best[0] if best else None)
+                verdicts.append(best[1] if best else default)
             rows = batch.take(pa.array(keep, pa.int64()))
             kept = [rows.column(rows.schema.get_field_index(c)) for c in ("page_id", "host", "path")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
@@ -74,7 +83,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     rules has host, path and verdict; a rule's name is its host and path. It fits its host and all subdomains where the
     url's path begins with its path; the rule with the most characters wins, ties by name. Without a fitting rule the
     verdict is default and the rule null. A rule with a null in any column is left out, a rule without a host fits every
-    url; repeated rules count once. Null ids are carried, repeated rows stay, an empty table gives no row,
+    url; repeated rules count once, and of one with two verdicts the later in order counts. Urls of any length are read
+    whole. Null ids are carried, repeated rows stay, an empty table gives no row,
     and other columns are not read.
     """
     spark: SparkSession = pages.sparkSession
@@ -84,7 +94,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     # the path and a hash of the id end a url's sort key, so that one host or one url never has to stay in one range
     salt = F.concat(key_of(F.col("host")), F.lit("\x00"), F.hex(F.xxhash64("path", "page_id")))
     urls = urls.withColumn("key", salt)
-    total = urls.count()
+    total = pages.count()
     share = min(1_000_000, max(1, DRAWN_KEYS * 1_000_000 // max(total, 1)))
     drawn = urls.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share).select("key").limit(4 * DRAWN_KEYS)
     keys = sorted(r["key"] for r in drawn.collect())
@@ -98,7 +108,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = [(bisect.bisect_right(bounds, k), bisect.bisect_left(bounds, k + HIGH)) for k in batch.column(0).to_pylist()]
+            ends = [(bisect.bisect_right(bounds, k), bisect.bisect_left(bounds, k[:-1] + NEXT) if k else len(bounds)) for k in batch.column(0).to_pylist()]
             take = [i for i, (lo, hi) in enumerate(ends) for _ in range(lo, hi + 1)]
             part = [p for lo, hi in ends for p in range(lo, hi + 1)]
             rows = batch.take(pa.array(take, pa.int64()))
