@@ -10,39 +10,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontam, packing, simhash, toxicity
-from quern.llm.common import Scratch
+from quern.llm.common import Scratch, free_names
 from quern.llm.queries import table, tokenizer_path, toxicity_model
 
 
+def columns_of(docs: DataFrame) -> list[F.Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose toxicity score is 0.7 or more."""
+    """Drops the documents whose toxicity score is 0.7 or more.
+
+    Null and empty texts stay, texts of any length are scanned whole, repeated rows stay or go together, ids may be null,
+    an empty table gives an empty one, and all columns of docs keep their values whatever their names.
+    """
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return scored.where("predicted = 0").select(*docs.columns)
+    names = free_names(docs.columns, toxicity.COLUMNS)
+    return toxicity.score(docs, model, names=names).where(F.col(f"`{names[1]}`") == 0).select(*columns_of(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the smallest id, of each group of near copies (five-word shingles, similarity 0.8); of
-    rows that repeat an id and its text one stays. Rows with a null id stay."""
-    kept = simhash.distinct_documents(docs)
+    rows that repeat an id and its text one stays. Rows with a null id stay.
+
+    Null texts count as empty ones, and all empty ones are copies of each other; texts of any length are compared whole;
+    ties go to the smaller id; an empty table gives an empty one; columns of docs keep their values whatever their names.
+    """
+    digest, _id, _kept = free_names(docs.columns, ("digest", "id", "kept"))
+    kept = simhash.distinct_documents(docs).select(F.col("doc_id").alias(_id), F.col("digest").alias(_kept))
     known = F.when(F.col("doc_id").isNotNull(), simhash.text_digest())
-    rows, kept = docs.withColumn("_digest", known), kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept"))
-    whole = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_digest").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.withColumn(digest, known)
+    whole = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(_id)) & F.col(digest).eqNullSafe(F.col(_kept)), "left_semi")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        return whole.drop("_digest")
-    once = whole.where("doc_id is not null").dropDuplicates(["doc_id", "_digest"])
-    return once.unionByName(whole.where("doc_id is null")).drop("_digest")
+    if not repeated.isEmpty():
+        once = whole.where("doc_id is not null").dropDuplicates(["doc_id", digest])
+        whole = once.unionByName(whole.where("doc_id is null"))
+    return whole.select(*columns_of(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents of which benchmark windows cover at least one word in twenty."""
-    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~decontam.contaminated(F.col("spans"), F.col("n_words"))).select(*docs.columns)
+    """Drops the documents of which benchmark windows cover at least one word in twenty.
+
+    Null and empty texts stay, texts of any length are searched whole, repeated rows stay or go together, ids may be null,
+    an empty table gives an empty one, and all columns of docs keep their values whatever their names.
+    """
+    n_words, spans, items = names = free_names(docs.columns, decontam.COLUMNS)
+    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"), names=names)
+    return found.where(~decontam.contaminated(F.col(f"`{spans}`"), F.col(f"`{n_words}`"))).select(*columns_of(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 2048 tokens; a row per piece."""
+    """Packs what is left into sequences of at most 2048 tokens; a row per piece.
+
+    A null or empty text is the end id alone, long texts are cut into pieces, repeated rows are packed each, a null id is
+    carried, an empty table gives no piece, and other columns are not read.
+    """
     return packing.packed(docs, tokenizer_path())
 
 

@@ -1,12 +1,15 @@
 """The operators against brute force on the smallest tables, round trips, and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -215,8 +218,7 @@ def test_op9(spark, sf_dir, docs):
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=40), min_size=1, max_size=8), st.lists(st.lists(st.sampled_from("abcz"), max_size=8), max_size=6))
 def test_index_against_brute_force(texts, items):
     named = [(k, " ".join(x)) for k, x in enumerate(items)]
-    windows, owners = decontam.windows_of(named, 4)
-    spans, met = decontam._scan([[w.encode() for w in t] for t in texts], windows, owners)
+    spans, met = decontam.Shard([[w.encode() for w in t] for t in texts]).scan(decontam.Block(named, 4))
     want = brute.decontaminated([(k, " ".join(t)) for k, t in enumerate(texts)], named, 4)
     for k, (s, m) in enumerate(zip(spans, met, strict=True)):
         assert (sum(b - a for a, b in decontam.merge(s)), len(m)) == want[k][1:3]
@@ -230,10 +232,23 @@ def test_decontamination_edges(spark, odd):
     assert sum(s["end"] - s["start"] for s in rows[8]["spans"]) == 60_000
     small = {r["doc_id"]: (r["spans"], r["item_ids"]) for r in decontam.matches(odd, items, shard_words=10, block_bytes=8).collect()}
     assert small == {k: (r["spans"], r["item_ids"]) for k, r in rows.items()}
+    named = decontam.matches(odd.withColumn("spans", F.lit("own")), items, names=("_n", "_s", "_i"))
+    assert {r["spans"] for r in named.collect()} == {"own"} and named.count() == odd.count()
     assert decontam.matches(odd.limit(0), items).count() == 0
     assert decontam.matches(odd, items.limit(0)).where(F.size("spans") > 0).count() == 0
 
 
+def test_a_shard_is_indexed_once_and_bounded(monkeypatch):
+    """All blocks search one index, and a shard ends before its words pass the bound."""
+    built = []
+    monkeypatch.setattr(decontam.FMIndex, "__init__", lambda self, *a, f=decontam.FMIndex.__init__: (built.append(1), f(self, *a))[1])
+    shard = decontam.Shard([[b"a", b"b", b"c"]] * 3)
+    assert all(shard.scan(decontam.Block([(k, "a b"), (k + 10, "c")], 4))[0] == [[(0, 3)]] * 3 for k in range(5)) and len(built) == 1
+    batch = pa.RecordBatch.from_pylist([{"text": t} for t in ["a b", "c d e", None, "f", "g " * 20, "h"]])
+    cut = [([b.num_rows for b in held], list(map(len, docs))) for held, docs in decontam._shards([batch, batch], 5)]
+    assert cut == [([3], [2, 3, 0]), ([1], [1]), ([1], [20]), ([1, 1], [1, 2]), ([3], [3, 0, 1]), ([1], [20]), ([1], [1])]
+
+
 # --- toxicity ----------------------------------------------------------------------------------------------------
 
 
@@ -270,6 +285,32 @@ def test_op7_holds_out_and_ranks(spark, docs):
     assert any(w.startswith("bad") for p in hits["passages"] for w in words[p["start"] : p["end"]])
 
 
+def test_op7_on_its_table(spark):
+    """The held-out fold of the larger table: its flag, and how well its labels are told apart."""
+    sf_dir = "/root/testdata/sf0.1"
+    rows = queries.op7_toxicity(spark, sf_dir).join(queries.table(spark, sf_dir, "labels"), "doc_id", "left").collect()
+    assert len(rows) == queries.table(spark, sf_dir, "documents").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    out = [(r["score"], r["toxic"]) for r in rows if r["held_out"] and r["toxic"] is not None]
+    bad, good = [s for s, y in out if y], [s for s, y in out if not y]
+    assert sum((a > b) + (a == b) / 2 for a in bad for b in good) >= 0.95 * len(bad) * len(good)
+    assert sum(s >= 0.7 for s in bad) >= 0.85 * len(bad) and sum(s >= 0.7 for s in good) <= 0.01 * len(good)
+
+
+def test_sum_statistics_use_all_segments():
+    model = toxicity.Model(1, 1, {}, 1.0, -3.0)
+
+    def plain(scores, n):
+        reach, sums = model.log_k + np.log(n + 1), np.cumsum(sorted(scores, reverse=True)).tolist()
+        totals = [(r, x - r * reach) for r, x in enumerate(sums, 1)]
+        return min(max([-8.0, *(t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) if t > r else t for r, t in totals)]), 60.0)
+
+    rng = random.Random(3)
+    for _ in range(300):
+        scores, n = [rng.expovariate(1 / 3) for _ in range(rng.randrange(1, 80))], rng.randrange(1, 500)
+        assert abs(model.signal(scores, n) - plain(scores, n)) < 1e-9
+
+
 def test_toxicity_edges(spark, odd):
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     for some in (labels, labels.limit(0), labels.where("toxic = 0")):
@@ -277,6 +318,8 @@ def test_toxicity_edges(spark, odd):
         rows = toxicity.score(odd, model).collect()
         assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.score(odd.limit(0), model).count() == 0
+    named = toxicity.score(odd, model, names=("_s", "_p", "_g")).collect()
+    assert {r["score"] for r in named} == {"x", "again", "n"} and len({r["_s"] for r in named if r["doc_id"] in (4, 5)}) == 1
 
 
 # --- WARC --------------------------------------------------------------------------------------------------------
@@ -301,7 +344,7 @@ def archived(pages):
 
 def test_warc_edges(spark):
     big = "x" * 1000 + "é\r\n\r\nHTTP/1.1 200\n"
-    rows = [(1, "http://a b/\n", big), (2, None, big), (3, "", "short"), (4, "http://c", "short"), (5, "http://d", None), (2, "http://e", big), (None, "http://f", big), (9, "http://g", "y" * 999), (8, "http://g", "y" * 999)]
+    rows = [(1, "http://a b/\n", big), (2, None, big), (3, "", "short"), (4, "http://c", "short"), (5, "http://d", None), (2, "http://e", big), (None, "http://f", big), (9, "http://g", "y" * 999), (8, "http://g", "y" * 999), (20, "http://h", "long " * 1_000_000), (21, "http://i", "long " * 1_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("clash"))
     got = local(warc.archive(spark, pages)[0], "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     key = lambda r: tuple(str(x) for x in r)
@@ -313,19 +356,21 @@ def test_warc_edges(spark):
 def test_arc_conversion(version):
     reader = warc.ArcReader()
     head, _ = reader.parse(warc.arc_version_block(version, "n.arc"))
-    assert reader.version == version and warc.parse_warc(warc.convert(head, b"", 0, None))[0]["WARC-Type"] == "warcinfo"
+    assert reader.version == version and warc.parse_warc(warc.convert(head, b"", "n#0", None))[0]["WARC-Type"] == "warcinfo"
     payload = b"<p>\n\nhi</p>"
     block = warc.http_head(7, len(payload))
     head, got = reader.parse(warc.arc_record(version, "n.arc", 5, "http://x/?a b".replace(" ", "%20"), block, payload))
     assert got == block + payload and head["URL"] == "http://x/?a%20b"
-    fields, out = warc.parse_warc(warc.convert(head, got, 5, None))
+    fields, out = warc.parse_warc(warc.convert(head, got, "n#5", None))
     assert out == block + payload and fields["WARC-Date"] == "2024-01-01T00:00:00Z"
     assert warc.digest_hex(fields["WARC-Payload-Digest"]) == hashlib.sha1(payload).hexdigest()
-    fields, out = warc.parse_warc(warc.convert(head, got, 5, 9))
-    assert fields["WARC-Type"] == "revisit" and out == block
+    first = fields["WARC-Record-ID"]
+    fields, out = warc.parse_warc(warc.convert(head, got, "n#90", {"page_id": 9, "uri": "http://x/?a%20b", "file": "n", "at": 5}))
+    assert fields["WARC-Type"] == "revisit" and out == block and fields["WARC-Refers-To"] == first != fields["WARC-Record-ID"]
+    assert fields["WARC-Refers-To-Target-URI"] == "http://x/?a%20b" and fields["WARC-Refers-To-Date"] == "2024-01-01T00:00:00Z"
     with pytest.raises(ValueError, match="declares"):
         reader.parse(warc.arc_record(version, "n.arc", 5, "http://x", block, payload)[:-9])
-    assert warc.parse_warc(warc.convert({**head, "URL": "dns:x"}, b"a", 0, None))[0]["WARC-Type"] == "resource"
+    assert warc.parse_warc(warc.convert({**head, "URL": "dns:x"}, b"a", "n#0", None))[0]["WARC-Type"] == "resource"
     assert warc.iso_date("19990102") == "1999-01-02T00:00:00Z"
 
 
@@ -348,10 +393,11 @@ def test_op4(spark, sf_dir):
 
 def test_url_edges(spark):
     rng = random.Random(4)
-    hosts = ["com", "a.com", "b.a.com", "A.com", "aa.com", "x-a.com", "net", "é.com", "", "a..com"]
-    urls = [None, "", "nothing", "://", "http://", "x://a.com?q://b/", "http://a.com#/en/"] + [f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'en/7', 'de', ''])}{rng.choice(['', '?x', '#y'])}" for _ in range(200)]
+    hosts = ["com", "a.com", "b.a.com", "b\x01a.com", "a\x02.com", "x\U0010ffff.com", "A.com", "aa.com", "x-a.com", "net", "é.com", "", "a..com"]
+    urls = [None, "", "nothing", "://", "http://", "x://a.com?q://b/", "http://a.com#/en/", "http://a.com/en/" + "x" * 1_000_000] + [f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'en/7', 'de', ''])}{rng.choice(['', '?x', '#y'])}" for _ in range(200)]
     pages = spark.createDataFrame([(i % 150, u) for i, u in enumerate(urls)] + [(None, "http://a.com/en/")], "page_id long, url string").withColumn("host", F.lit("clash"))
     rules = [("com", "/en/", "block"), ("a.com", "/en/7", "allow"), ("b.a.com", "", "block"), ("a.com", "/", "block"), ("é.com", "/d", "block")]
+    rules += [("com", f"/p{i}", "block") for i in range(3000)]
     frame = spark.createDataFrame([*rules, ("com", None, "block")], "host string, path string, verdict string")
     key = lambda r: tuple(str(x) for x in r)
     want = sorted(judged(local(pages, "page_id", "url"), rules), key=key)
@@ -370,8 +416,28 @@ HTML = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 
 
 def test_main_text():
-    text = mainhtml.Page(HTML).text(None)
+    text, path = mainhtml.Page(HTML).text()
     assert text == "Head & line\n\nOne two three bold and a much longer run of words in this paragraph.\n\nSecond <p> of the article, which is long as well.\n\nitem one\n\nitem two"
+    assert path == "html>body>article"
+
+
+def test_main_text_of_split_articles():
+    words = "many words of an article that goes on "
+    page = f"<body><article><div class=lead><p>Lead {words}</div><div class=body><p>Body {words * 3}<p class=search>Kept {words}</div></article><div><p>x</p></div>"
+    text, path = mainhtml.Page(page).text()
+    assert [t.split()[0] for t in text.split("\n\n")] == ["Lead", "Body", "Kept"] and path == "html>body>article"
+    deep = mainhtml.Page(f"<body><p>{words}<a href=x><b><i><u><s>{'link ' * 30}</s></u></i></b></a></p><p>{'text ' * 90}")
+    assert [b[1] > 100 for b in deep.blocks] == [True, False]
+    table = mainhtml.Page("<table><tr><td>a<td>b<tr><td>c</table>")
+    assert [b[0] for b in table.blocks] == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("part", ["<div>", "<b>", '<a "', "<a x='", "<p><b>", "<li>", "</i>", "<!", "=\"", "<td>", "<hr><b>"])
+def test_main_text_takes_linear_time(part):
+    """A megabyte of one awkward piece, before a paragraph."""
+    began = time.process_time()
+    page = mainhtml.Page(part * (1_000_000 // len(part)) + "<p>" + "the end " * 9)
+    assert time.process_time() - began < 25 and len(page.text()[0]) < 2_000_000
 
 
 def test_op5(spark, sf_dir):
@@ -393,6 +459,7 @@ def test_main_text_edges(spark):
     by = {r["page_id"]: r["text"] for r in got}
     assert by[2] == by[3] == by[None] == "" and by[4] == "plain words" and by[1].startswith("Head & line") and len(by[5]) == 50_000 * 5 - 1
     assert mainhtml.extract(pages.limit(0)).count() == 0
+    assert sorted(map(str, mainhtml.extract(pages, broadcast_hosts=0).collect())) == sorted(map(str, got))
 
 
 # --- licences ----------------------------------------------------------------------------------------------------
@@ -423,6 +490,8 @@ def test_licence_expressions():
     assert parse("MIT OR Apache-2.0") == (["mit", "apache-2.0"], 1.0)
     assert parse("GPL-2.0 WITH Classpath-exception-2.0 AND MIT")[0] == ["gpl-2.0 with classpath-exception-2.0", "mit"]
     assert parse("(MIT AND GPL-3.0-or-later) OR CC-BY-NC-4.0")[1] == 0.6
+    assert parse("GPL-2.0 OR GPL-2.0 WITH Classpath-exception-2.0")[0] == ["gpl-2.0", "gpl-2.0 with classpath-exception-2.0"]
+    assert licences.scan_text("SPDX License Identifier: MIT", licences.automaton())[5] == "mit"
     assert parse("MIT and") is None and parse("(MIT") is None and parse("") is None
     row = licences.scan_text("x SPDX-License-Identifier: MIT OR GPL-2.0-only\ny", licences.automaton())
     assert row[5] == "gpl-2.0-only,mit" and row[6] == 1.0
@@ -430,7 +499,7 @@ def test_licence_expressions():
 
 def test_licence_edges(odd):
     rows = licences.scan(odd).collect()
-    assert len(rows) == odd.count() and {r["score"] for r in rows} == {0.5}
+    assert len(rows) == odd.count() and {r["score"] for r in rows} == {0.5} and max(r["n_words"] for r in rows) == 90_000
     assert licences.scan(odd.limit(0)).count() == 0
 
 
@@ -461,12 +530,13 @@ def test_chat_edges(spark):
         turns = [(rng.choice(["user", "assistant", "system", "tool", "", "</s>"]), "".join(rng.choice(bits) for _ in range(rng.randrange(8)))) for _ in range(rng.randrange(1, 6))]
         want[c] = digest(turns)
         rows += [(c, i, r, x) for i, (r, x) in enumerate(turns)]
-    rows += [(None, 0, None, None), (100, None, "user", "first"), (100, 1, "user", "b"), (100, 1, "user", "a")]
-    want |= {None: digest([("", "")]), 100: digest([("user", "first"), ("user", "a"), ("user", "b")])}
+    rows += [(None, 0, None, None), (None, 0, "user", "alone"), (101, 0, "user", LONG), (100, None, "user", "first"), (100, 1, "user", "b"), (100, 1, "user", "a")]
+    want |= {101: digest([("user", LONG)]), 100: digest([("user", "first"), ("user", "a"), ("user", "b")])}
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     out = chat.formatted(frame)
-    got = {r[0]: r[1:] for r in local(chat.digests(out), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")}
-    assert got == want
+    found = local(chat.digests(out), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    assert {r[0]: r[1:] for r in found if r[0] is not None} == want
+    assert sorted(r[1:] for r in found if r[0] is None) == sorted([digest([("", "")]), digest([("user", "alone")])])
     state = {r["conv_id"]: (r["valid"], r["first_bad_turn"]) for r in out.collect()}
     assert state[100] == (False, 1)
     assert chat.formatted(frame.limit(0)).count() == 0
