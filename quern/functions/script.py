@@ -202,6 +202,15 @@ def compose(lead: Column, vowel: Column, tail: Column) -> Column:
     return F.decode(F.unhex(F.hex(cp)), "UTF-16BE")
 
 
+def unified(text: Column) -> Column:
+    """Compatibility ideographs (U+F900 to U+FAFF, U+2F800 to U+2FA1F) as the unified ones that Unicode gives for them."""
+    import unicodedata
+
+    table = {c: unicodedata.normalize("NFC", c) for lo, hi in ((0xF900, 0xFB00), (0x2F800, 0x2FA20)) for c in map(chr, range(lo, hi))}
+    known = {c: u for c, u in table.items() if u != c and len(u) == 1}
+    return F.translate(text, "".join(known), "".join(known.values()))
+
+
 def jamo_sentence(text: Column) -> Column:
     """Three jamo for each Korean character, a dash for what is missing, and single blanks."""
     three = lambda d: F.translate(F.concat(d["lead"], d["vowel"], d["tail"]), " ", "-")

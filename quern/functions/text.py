@@ -179,19 +179,18 @@ def ngrams_of(word: Column, sizes: list[int]) -> Column:
     return F.flatten(F.transform(starts, at))
 
 
+def _hex_bytes(text: Column) -> Column:
+    """The UTF-8 bytes of a text as pairs of hex digits, in one pass."""
+    return F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+
+
 def fnv1a32(text: Column) -> Column:
     """32-bit FNV-1a of the UTF-8 bytes."""
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    codes = F.transform(starts, lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
+    codes = F.transform(_hex_bytes(text), lambda b: F.conv(b, 16, 10).cast("bigint"))
     step = lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint"))
     return F.aggregate(codes, F.lit(2166136261).cast("bigint"), step)
 
 
 def utf8_bytes(text: Column, base: int = 0) -> Column:
     """The UTF-8 bytes of a text as ids from a base."""
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + base)
+    return F.transform(_hex_bytes(text), lambda b: F.conv(b, 16, 10).cast("int") + base)

@@ -136,14 +136,12 @@ def prefix_split(ids: Column, encoder_max: int, decoder_max: int, *key: Column |
 
 def split_at(ids: Column, eos: int) -> Column:
     """Segments of an id array, each with its end."""
-    last = lambda acc: F.element_at(acc["parts"], -1)
-    empty = F.array().cast("array<int>")
-    zero = F.struct(F.array().cast("array<array<int>>").alias("parts"), empty.alias("open"))
-    step = lambda acc, x: F.when(
-        x == eos, F.struct(F.concat(acc["parts"], F.array(F.concat(acc["open"], F.array(x)))).alias("parts"), empty.alias("open"))
-    ).otherwise(F.struct(acc["parts"].alias("parts"), F.concat(acc["open"], F.array(x)).alias("open")))
-    done = lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["parts"], F.array(acc["open"]))).otherwise(acc["parts"])
-    return F.aggregate(ids, zero, step, done)
+    n = F.size(ids)
+    ends = F.filter(F.transform(ids, lambda x, i: F.when(x == eos, i + 1)), lambda p: p.isNotNull())
+    closed = F.coalesce(F.try_element_at(ends, F.lit(-1)) == n, n == 0)
+    bounds = F.when(closed, ends).otherwise(F.concat(ends, F.array(n)))
+    starts = F.slice(F.concat(F.array(F.lit(0)), bounds), F.lit(1), F.size(bounds))
+    return F.zip_with(starts, bounds, lambda a, b: F.slice(ids, a + 1, b - a))
 
 
 def permute(parts: Column, *key: Column | str, seed: int | str = 42, least: int = 3) -> Column:
@@ -152,6 +150,25 @@ def permute(parts: Column, *key: Column | str, seed: int | str = 42, least: int
     return F.when(F.size(parts) >= least, F.transform(F.array_sort(keyed), lambda z: z["p"])).otherwise(parts)
 
 
+def empty_row(encoder: int, decoder: int, pad: int) -> Column:
+    """Struct (input_ids, attention_mask, decoder_input_ids, labels) of a batch without examples: all padding."""
+    fill = lambda x, n: F.array_repeat(F.lit(x), n)
+    return F.struct(fill(pad, encoder).alias("input_ids"), fill(0, encoder).alias("attention_mask"), fill(pad, decoder).alias("decoder_input_ids"), fill(IGNORE, decoder).alias("labels"))
+
+
+def jamo_bucket_table(vocab: DataFrame, token: str, sizes: list[int], transcribe: Callable[[Column], Column] | None = None, align: int = 128, pad: int = 0) -> DataFrame:
+    """Rows (token, buckets) of a vocabulary: hashes of the n-grams of each token's transcribed jamo, modulo the number of
+    distinct n-grams, plus one; all rows padded to the longest, aligned up. Byte and sentinel pieces have none."""
+    from quern.functions import script, text
+
+    rows = vocab.select(token, (transcribe(F.col(token)) if transcribe else F.col(token)).alias("__w"))
+    grams = F.when(is_extended(F.col(token)), F.array().cast("array<string>")).otherwise(text.ngrams_of(script.jamo_sentence(F.col("__w")), sizes))
+    rows = rows.select(token, grams.alias("__g"))
+    n = max(1, rows.select(F.explode("__g").alias("g")).distinct().count())
+    width = -(-max(1, rows.agg(F.max(F.size("__g"))).first()[0] or 0) // align) * align
+    return rows.select(token, pad_to(F.transform("__g", lambda g: (text.fnv1a32(g) % n + 1).cast("int")), width, pad).alias("buckets"))
+
+
 def until(ids: Column, ends: list[int]) -> Column:
     """Ids before the first of the end ids."""
     hits = F.filter(F.transform(ids, lambda x, i: F.when(x.isin(ends), i)), lambda p: p.isNotNull())

@@ -125,6 +125,31 @@ def pack_with_leftovers(df: DataFrame, length: str, key: str, groups: list[str],
     return dealt.mapInPandas(run, f"{fields}, pack int, position int, used int, recycles int, alone boolean")
 
 
+def malformed(ids: Column, decoder_ids: Column) -> Column:
+    """Whether an example has no ids on a side."""
+    return (F.coalesce(F.size(ids), F.lit(-1)) < 1) | (F.coalesce(F.size(decoder_ids), F.lit(-1)) < 1)
+
+
+def standalone(df: DataFrame, ids: str, decoder_ids: str, limit: int, pad: int = 0) -> DataFrame:
+    """Rows outside any pack: both sides cut and padded to limit, one segment, positions from 1. Malformed rows are left
+    out; count them with ``malformed``."""
+    kept = df.where(~malformed(F.col(ids), F.col(decoder_ids)))
+    ones = lambda c: pad_to(F.transform(c, lambda x: F.lit(1)), limit, 0)
+    places = lambda c: pad_to(F.transform(c, lambda x, i: i + 1), limit, 0)
+    made = {"input_ids": pad_to(F.col(ids), limit, pad), "decoder_input_ids": pad_to(F.col(decoder_ids), limit, pad), "segment_ids": ones(ids), "decoder_segment_ids": ones(decoder_ids), "position_ids": places(ids), "decoder_position_ids": places(decoder_ids)}
+    return kept.select(*(c for c in df.columns if c not in (ids, decoder_ids)), *(v.alias(k) for k, v in made.items()))
+
+
+def packed_batch(df: DataFrame, ids: str, decoder_ids: str, key: str, groups: list[str], limit: int = 2048, threshold: float = 0.8, pad: int = 0) -> DataFrame:
+    """The whole way from unpadded ids to packs: malformed rows left out, both sides cut to limit, packed by the longer
+    side within each group (a buffer), and laid out as arrays; rows (groups, pack, n_docs, arrays)."""
+    cut = lambda c: F.slice(c, 1, limit)
+    rows = df.where(~malformed(F.col(ids), F.col(decoder_ids))).select(*groups, key, cut(ids).alias("__e"), cut(decoder_ids).alias("__d"))
+    sized = rows.withColumn("__n", F.greatest(F.size("__e"), F.size("__d")))
+    packs = pack_documents(sized, "__n", key, groups, limit, threshold).select(key, *groups, "pack", "position")
+    return packed_arrays(packs.join(rows, [*groups, key]), [*groups, "pack"], "__e", "__d", limit, pad)
+
+
 def packed_arrays(packs: DataFrame, groups: list[str], ids: str, decoder_ids: str, limit: int, pad: int = 0) -> DataFrame:
     """Rows of a pack: ids, segments and positions of both sides, each document padded to its longer side, all to limit."""
     n = F.greatest(F.size(ids), F.size(decoder_ids))

@@ -251,6 +251,23 @@ def byte_reconstruction(byte_base: int = 1000, first_sentinel: int = 100, ratio:
     return run
 
 
+def _collated(shown: Column, ids: Column, n: int, pad: int, start: int) -> Column:
+    labels = tokens.mask_labels(tokens.pad_to(ids, n, pad), pad)
+    inputs = tokens.pad_to(shown, n, pad)
+    return F.struct(inputs.alias("input_ids"), tokens.attention_mask(inputs, pad).alias("attention_mask"), tokens.shift_right(labels, start, pad).alias("decoder_input_ids"), labels.alias("labels"))
+
+
+def deletion_collate(ids: Column, key: Column | str, n: int, *, ratio: float = 0.3, specials: tuple[int, ...] = (0, 1, 2), pad: int = 0, start: int = 1, seed: int = 42) -> Column:
+    """Struct (input_ids, attention_mask, decoder_input_ids, labels) of n ids: tokens left out of the input, all in the labels."""
+    return _collated(delete_tokens(ids, ratio, list(specials), key, seed=seed), ids, n, pad, start)
+
+
+def infilling_collate(ids: Column, key: Column, n: int, *, ratio: float = 0.3, mean: float = 3.0, mask: int = 4, eos: int = 2, pad: int = 0, start: int = 1, seed: int = 42) -> Column:
+    """As deletion_collate, with the sentences in a seeded order and spans of the input masked."""
+    moved = F.flatten(tokens.permute(tokens.split_at(ids, eos), key, seed=seed))
+    return _collated(infilling(ratio, mean, mask, (pad, start, eos), seed)(moved, key), ids, n, pad, start)
+
+
 def denoise(ids: Column, key: Column, form: Column, *, ratio: float, mean: float, mask: int, first_sentinel: int, eos: int, permute: bool = False, seed: int = 42) -> Column:
     """Struct (encoder, decoder) by form: sentinels with their spans, or masks with the whole text, its sentences in a
     seeded order if asked."""

@@ -132,21 +132,36 @@ def rouge_n(df: DataFrame, reference: str, candidate: str, n: int) -> DataFrame:
     return counted.withColumns({"precision": p, "recall": r, "fmeasure": F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))}).drop("__c")
 
 
+def common_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence: a row of the table is the bits of one integer."""
+    where: dict = {}
+    for j, y in enumerate(b):
+        where.setdefault(y, []).append(j)
+    masks = {y: sum(1 << j for j in at) for y, at in where.items() if len(at) < 64}
+    for y, at in where.items():
+        if y not in masks:
+            bits = bytearray(len(b) // 8 + 1)
+            for j in at:
+                bits[j >> 3] |= 1 << (j & 7)
+            masks[y] = int.from_bytes(bits, "little")
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & masks.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
+
+
 @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("precision", "recall", "fmeasure")]))
 def rouge_l(reference: pd.Series, candidate: pd.Series) -> pd.DataFrame:
-    """Of the longest common subsequence of words; a table of two rows per pair."""
+    """Of the longest common subsequence of words."""
 
     def one(r, c):
         r, c = (r or "").lower().split(), (c or "").lower().split()
         if not r or not c:
             return 0.0, 0.0, 0.0
-        before = [0] * (len(c) + 1)
-        for x in r:
-            now = [0]
-            for j, y in enumerate(c):
-                now.append(before[j] + 1 if x == y else max(before[j + 1], now[j]))
-            before = now
-        p, q = before[-1] / len(c), before[-1] / len(r)
+        n = common_length(r, c)
+        p, q = n / len(c), n / len(r)
         return p, q, 2 * p * q / (p + q) if p + q else 0.0
 
     return pd.DataFrame([one(r, c) for r, c in zip(reference, candidate, strict=True)], columns=["precision", "recall", "fmeasure"])

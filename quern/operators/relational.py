@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.config import SourceConfig
 from quern.operators.ranks import row_index
@@ -261,9 +265,10 @@ def top_p(df: DataFrame, group: str, p: str, index: str, threshold: float) -> Da
     return kept.withColumn("p_kept", F.col(p) / F.sum(p).over(Window.partitionBy(group)))
 
 
-def clipped_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+@F.pandas_udf(T.IntegerType())
+def clipped_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Size of the multiset intersection of two arrays, by counting; null for a null side."""
+    return pd.Series([None if x is None or y is None else (Counter(x) & Counter(y)).total() for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def first_appearance(df: DataFrame, value: str, position: str) -> DataFrame:

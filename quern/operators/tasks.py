@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.tokens import decoder_ids, encoder_ids, pad_to
 from quern.functions.text import first_text, pair_text, score_text
 from quern.operators.ranks import uniform
 
@@ -93,6 +94,26 @@ def chat_ids(system: Column, user: Column, response: Column, thinking: Column, i
     return F.struct(enc.alias("input_ids"), F.slice(target, F.lit(1), n - 1).alias("decoder_input_ids"), F.slice(target, F.lit(2), n - 1).alias("labels"))
 
 
+def classifier_ids(text: Column, second: Column, prompt: Column, encoder_max: int, decoder_max: int, chat: dict[str, int] | None = None, script: Column | None = None, eos: int = 2) -> Column:
+    """Struct (input_ids, attention_mask, decoder_input_ids, decoder_attention_mask) of id arrays, for a classifier.
+
+    With chat ids (system, user, assistant, end): prompt and text as turns, a cut keeps the end. Otherwise the prompt
+    stands before the text, with the script's tag behind it or before it on the decoder's side. The decoder gets the
+    second text, or the first one again; padding is 0.
+    """
+    own = F.coalesce(second, text)
+    if chat:
+        one = lambda name: F.array(F.lit(chat[name]))
+        cut = lambda a, n: F.when(F.size(a) > n, F.concat(F.slice(a, 1, n - 1), one("end"))).otherwise(a)
+        opened = F.when(F.size(prompt) > 0, F.concat(one("system"), prompt)).otherwise(F.array().cast("array<int>"))
+        enc, dec = cut(F.concat(opened, one("user"), text, one("end")), encoder_max), cut(F.concat(one("assistant"), own, one("end")), decoder_max)
+    else:
+        enc = F.slice(encoder_ids(F.concat(prompt, text), eos, script), 1, encoder_max)
+        dec = F.slice(decoder_ids(own, eos, script), 1, decoder_max)
+    mask = lambda a, n: pad_to(F.transform(a, lambda x: F.lit(1)), n, 0)
+    return F.struct(pad_to(enc, encoder_max, 0).alias("input_ids"), mask(enc, encoder_max).alias("attention_mask"), pad_to(dec, decoder_max, 0).alias("decoder_input_ids"), mask(dec, decoder_max).alias("decoder_attention_mask"))
+
+
 def chat_template(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", generation_prompt: bool = False, thinking: bool = False) -> DataFrame:
     """Rows (conv, formatted): a leading system message, then user and assistant turns; any other role is an error."""
     parts = F.array_sort(F.collect_list(F.struct(turn, "role", "text")))

@@ -70,16 +70,15 @@ def bucket_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ex_exclusion_registry",
     """SELECT d.doc_id, (l.doc_id IS NOT NULL) AS in_training,
-         d.text IN (SELECT text FROM documents WHERE doc_id % 2 = 1) AS by_text,
-         CASE WHEN l.doc_id IS NOT NULL THEN 'key' WHEN d.text IN (SELECT text FROM documents WHERE doc_id % 2 = 1) THEN 'text' ELSE 'none' END AS resolution
-       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 2 = 0""",
+         d.text IN (SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS by_text,
+         CASE WHEN l.doc_id IS NOT NULL THEN 'key' WHEN d.text IN (SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) THEN 'text' ELSE 'none' END AS resolution
+       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 )
 def exclusion_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Membership by key, else by equal text among the other half."""
-    docs = table(spark, sf_dir, "documents")
-    own = docs.where("doc_id % 2 = 0").select("doc_id", "text")
-    found = rel.flag_members(own, table(spark, sf_dir, "labels"), "doc_id", "in_training")
-    found = rel.flag_text_members(found, docs.where("doc_id % 2 = 1"), "text", "by_text")
+    """Membership of every document by key, else by a text equal to that of a member."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    found = rel.flag_members(docs, labels, "doc_id", "in_training")
+    found = rel.flag_text_members(found, rel.within(docs, labels, "doc_id"), "text", "by_text")
     how = F.when(F.col("in_training"), "key").when(F.col("by_text"), "text").otherwise("none")
     return found.select("doc_id", "in_training", "by_text", how.alias("resolution"))
 

@@ -73,26 +73,29 @@ def temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ev.temporal_scores(rows, "p", "t"), "exact", "decade", "century", "mae", "parsed_ratio")
 
 
-def _pairs(spark, sf_dir, n=40):
-    head = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), 1, n), " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", head.alias("t"))
+def _pairs(spark, sf_dir):
+    """Each text against that of the id eight further on, both lower-cased with single blanks."""
+    whole = F.array_join(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", whole.alias("t"))
     return docs.join(docs.select((F.col("doc_id") - 8).alias("doc_id"), F.col("t").alias("c")), "doc_id")
 
 
-_HEADS = r"(SELECT doc_id, list_slice(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), 1, 40) AS w FROM documents)"
-_PAIRED = f"(SELECT a.doc_id, a.w AS r, b.w AS c FROM {_HEADS} a JOIN {_HEADS} b ON b.doc_id - 8 = a.doc_id)"
+_SPLIT = r"(SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS w FROM documents)"
+_PAIRED = f"(SELECT a.doc_id, a.n AS r, b.n AS c FROM (SELECT doc_id, len(w) AS n FROM {_SPLIT}) a JOIN (SELECT doc_id, len(w) AS n FROM {_SPLIT}) b ON b.doc_id - 8 = a.doc_id)"
 
 
-def _grams(side: str, n: int) -> str:
-    return f"(SELECT doc_id, g, count(*) AS k FROM (SELECT doc_id, array_to_string(list_slice({side}, i, i + {n - 1}), ' ') AS g FROM {_PAIRED}, range(1, 41) t(i) WHERE i + {n - 1} <= len({side})) GROUP BY 1, 2)"
+def _grams(n: int) -> str:
+    words = f"(SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM {_SPLIT})"
+    own = ", ".join(f"lead(w, {k}) OVER o" for k in range(n))
+    return f"(SELECT doc_id, g, count(*) AS k FROM (SELECT doc_id, concat_ws(' ', {own}) AS g, lead(w, {n - 1}) OVER o AS z FROM {words} WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE z IS NOT NULL GROUP BY 1, 2)"
 
 
 def _hits(n: int) -> str:
-    return f"(SELECT c.doc_id, sum(least(c.k, r.k)) AS m FROM {_grams('c', n)} c JOIN {_grams('r', n)} r ON c.doc_id = r.doc_id AND c.g = r.g GROUP BY 1)"
+    return f"(SELECT r.doc_id, sum(least(c.k, r.k)) AS m FROM {_grams(n)} r JOIN {_grams(n)} c ON c.doc_id - 8 = r.doc_id AND c.g = r.g GROUP BY 1)"
 
 
-_BLEU = f"""SELECT p.doc_id, CASE WHEN len(c) < 4 THEN 0.0 ELSE round((CASE WHEN len(c) >= len(r) THEN 1.0 ELSE exp(1 - len(r) / CAST(len(c) AS DOUBLE)) END)
-   * exp(({' + '.join(f"ln(CASE WHEN coalesce(h{n}.m, 0) = 0 THEN CAST(1 AS DOUBLE) / {2**n} ELSE h{n}.m / CAST(len(c) - {n - 1} AS DOUBLE) END)" for n in range(1, 5))}) / 4), 6) END AS bleu
+_BLEU = f"""SELECT p.doc_id, CASE WHEN c < 4 THEN 0.0 ELSE round((CASE WHEN c >= r THEN 1.0 ELSE exp(1 - r / CAST(c AS DOUBLE)) END)
+   * exp(({' + '.join(f"ln(CASE WHEN coalesce(h{n}.m, 0) = 0 THEN CAST(1 AS DOUBLE) / {2**n} ELSE h{n}.m / CAST(c - {n - 1} AS DOUBLE) END)" for n in range(1, 5))}) / 4), 6) END AS bleu
    FROM {_PAIRED} p {' '.join(f'LEFT JOIN {_hits(n)} h{n} ON h{n}.doc_id = p.doc_id' for n in range(1, 5))}"""
 
 
@@ -101,7 +104,7 @@ def sentence_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.sentence_bleu(_pairs(spark, sf_dir), "t", "c").select("doc_id", F.round("bleu", 6).alias("bleu"))
 
 
-@query("ev11_rouge_2", f"SELECT p.doc_id, round(coalesce(m, 0) / CAST(len(c) - 1 AS DOUBLE), 6) AS precision, round(coalesce(m, 0) / CAST(len(r) - 1 AS DOUBLE), 6) AS recall FROM {_PAIRED} p LEFT JOIN {_hits(2)} h ON h.doc_id = p.doc_id WHERE len(c) > 1 AND len(r) > 1")
+@query("ev11_rouge_2", f"SELECT p.doc_id, round(coalesce(m, 0) / CAST(c - 1 AS DOUBLE), 6) AS precision, round(coalesce(m, 0) / CAST(r - 1 AS DOUBLE), 6) AS recall FROM {_PAIRED} p LEFT JOIN {_hits(2)} h ON h.doc_id = p.doc_id WHERE c > 1 AND r > 1")
 def rouge_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pairs(spark, sf_dir).where("size(split(t, ' ')) > 1 and size(split(c, ' ')) > 1")
     return _rounded(ev.rouge_n(rows, "t", "c", 2), "precision", "recall", digits=6).select("doc_id", "precision", "recall")
@@ -268,4 +271,5 @@ def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clipped_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.operators.relational import clipped_overlap as overlap
 
-    return _pairs(spark, sf_dir).select("doc_id", overlap(ev.word_ngrams(F.col("c"), 1), ev.word_ngrams(F.col("t"), 1)).alias("n"))
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    return _pairs(spark, sf_dir).select("doc_id", overlap(words("c"), words("t")).alias("n"))

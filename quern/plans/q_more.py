@@ -19,14 +19,15 @@ from quern.plans.q_text import ENTRIES
 from quern.plans.q_tokens import _IDS, _ids, _text
 from quern.plans.sql import H
 from quern.queryset import query, table
-from quern.sources import readers
+from quern.sources import readers, sinks
 
 
-@query("src6_text_list", "SELECT * FROM (VALUES ('http://a'), ('http://b')) t(value)")
+@query("src6_text_list", "SELECT DISTINCT trim(url) AS value FROM pages WHERE trim(url) <> ''")
 def text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trimmed lines without blanks, as a list file is read."""
-    lines = spark.createDataFrame([(" http://a ",), ("",), ("http://b",)], "value string")
-    return lines.select(F.trim("value").alias("value")).where("value <> ''")
+    path = f"{sinks.shared_folder(spark)}/lines"
+    sinks.write_lines(table(spark, sf_dir, "pages").select(F.concat(F.lit("  "), "url", F.lit(" ")).alias("u")).unionByName(spark.createDataFrame([(" ",)], "u string")), "u", path)
+    return readers.text_list(spark, path)
 
 
 @query("src13_supervised_sources", "SELECT * FROM (VALUES ('temporal'), ('sts'), ('topics'), ('nli'), ('transcription_articles'), ('transcription_sentences'), ('instruction'), ('summaries'), ('cot'), ('choices')) t(name)")
@@ -143,7 +144,7 @@ def heavy_denoising(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cr18_morpheme_denoising")
 def morpheme_denoising(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Morphemes of a text with spans masked in the encoder, the whole text in the decoder."""
-    parts = sc.morphemes(str.split, ENTRIES)(F.substring("text", 1, 400))
+    parts = sc.morphemes(str.split, ENTRIES)(F.col("text"))
     rows = table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts"))
     return rows.select("doc_id", F.array_join(cr.morpheme_infilling()(F.col("parts"), F.col("doc_id")), "").alias("encoder"), F.array_join("parts", " ").alias("decoder"))
 
@@ -195,3 +196,102 @@ def beam_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 2k candidates of a beam of k = 2."""
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
     return table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 4").select("l_orderkey", "l_linenumber")
+
+
+@query("ko13_unified", "SELECT * FROM (VALUES (1, '樂樂a'), (2, '金')) t(id, s)")
+def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, "\uf914樂a"), (2, "\uf90a")], "id int, s string")
+    return rows.select("id", sc.unified(F.col("s")).alias("s"))
+
+
+_CHAT = {"system": 195, "user": 196, "assistant": 197, "end": 198}
+_LABELS = {"en": 0, "de": 1, "es": 2}
+_CLS = "CASE WHEN len({0}) > {1} THEN list_concat(list_slice({0}, 1, {1} - 1), [198]) ELSE {0} END"
+_ZEROS = "list_slice(list_concat({0}, list_transform(range({1}), lambda x: CAST(0 AS INTEGER))), 1, {1})"
+
+
+@query("ts17_classifier_ids", f"""SELECT doc_id, CAST(CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS INTEGER) AS label, array_to_string({_ZEROS.format(_CLS.format('e', 48), 48)}, ' ') AS input_ids, array_to_string({_ZEROS.format(_CLS.format('d', 32), 32)}, ' ') AS decoder_input_ids, CAST(least(48, len(e)) AS INTEGER) AS n
+   FROM (SELECT doc_id, lang, list_concat([195, 5, 6, 196], ids, [198]) AS e, list_concat([197], ids, [198]) AS d FROM {_IDS} i JOIN documents USING (doc_id) WHERE lang IN ('en', 'de', 'es'))""")
+def classifier_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chat form; rows of a label that is not in the map are left out."""
+    labels = spark.createDataFrame(list(_LABELS.items()), "lang string, label int")
+    rows = rel.lookup(table(spark, sf_dir, "documents").select("doc_id", "lang"), labels, "lang", "label", -1).where("label >= 0")
+    none = F.lit(None).cast("array<int>")
+    made = ts.classifier_ids(F.col("ids"), none, F.array(F.lit(5), F.lit(6)), 48, 32, chat=_CHAT)
+    rows = rows.join(_ids(spark, sf_dir), "doc_id").select("doc_id", "label", made.alias("s"))
+    return rows.select("doc_id", "label", _text(F.col("s.input_ids")).alias("input_ids"), _text(F.col("s.decoder_input_ids")).alias("decoder_input_ids"), F.aggregate("s.attention_mask", F.lit(0), lambda n, x: n + x).alias("n"))
+
+
+@query("ts17_classifier_script_ids", f"""SELECT doc_id, array_to_string({_ZEROS.format('e', 48)}, ' ') AS input_ids, array_to_string({_ZEROS.format('d', 32)}, ' ') AS decoder_input_ids
+   FROM (SELECT doc_id, list_concat([5, 6], ids, [2, 9]) AS e, list_concat([9], ids, [2]) AS d FROM {_IDS})""")
+def classifier_script_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("array<int>")
+    rows = _ids(spark, sf_dir).select("doc_id", ts.classifier_ids(F.col("ids"), none, F.array(F.lit(5), F.lit(6)), 48, 32, script=F.lit(9)).alias("s"))
+    return rows.select("doc_id", _text(F.col("s.input_ids")).alias("input_ids"), _text(F.col("s.decoder_input_ids")).alias("decoder_input_ids"))
+
+
+_SIDES = f"(SELECT doc_id, ids, CASE WHEN doc_id % 7 > 0 THEN list_slice(ids, 1, len(ids) // 2) END AS dec FROM {_IDS})"
+
+
+def _sides(spark, sf_dir):
+    return _ids(spark, sf_dir).withColumn("dec", F.when(F.col("doc_id") % 7 > 0, F.slice("ids", F.lit(1), F.floor(F.size("ids") / 2).cast("int"))))
+
+
+@query("pk5_standalone", f"SELECT doc_id, array_to_string({_ZEROS.format('ids', 64)}, ' ') AS input_ids, array_to_string({_ZEROS.format('dec', 64)}, ' ') AS decoder_input_ids, CAST(least(64, len(ids)) AS INTEGER) AS n, CAST(least(64, len(dec)) AS INTEGER) AS last FROM {_SIDES} WHERE len(ids) > 0 AND dec IS NOT NULL AND len(dec) > 0")
+def standalone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = batching.standalone(_sides(spark, sf_dir), "ids", "dec", 64)
+    total = F.aggregate("segment_ids", F.lit(0), lambda n, x: n + x)
+    return made.select("doc_id", _text(F.col("input_ids")).alias("input_ids"), _text(F.col("decoder_input_ids")).alias("decoder_input_ids"), total.alias("n"), F.array_max("decoder_position_ids").alias("last"))
+
+
+@query("pk5_malformed", f"SELECT count(*) AS n FROM {_SIDES} WHERE len(ids) = 0 OR dec IS NULL OR len(dec) = 0")
+def malformed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sides(spark, sf_dir).where(batching.malformed(F.col("ids"), F.col("dec"))).agg(F.count("*").alias("n"))
+
+
+@query("pk9_packed_batch")
+def packed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs as arrays, from unpadded ids; tests hold them against the documents' ids."""
+    rows = batching.buffer_ids(_sides(spark, sf_dir).withColumn("part", F.lit("all")), 64, "doc_id", ["part"])
+    made = batching.packed_batch(rows, "ids", "dec", "doc_id", ["part", "buffer_id"], 512, 0.8)
+    return made.select("buffer_id", "pack", "n_docs", _text(F.col("input_ids")).alias("input_ids"), _text(F.col("segment_ids")).alias("segment_ids"))
+
+
+@query("snk1_parquet", "SELECT doc_id, lang, text FROM documents")
+def parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sinks.shared_folder(spark)}/zstd"
+    sinks.write_parquet(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), path)
+    return spark.read.parquet(path)
+
+
+@query("snk2_parquet_and_csv", "SELECT doc_id, lang, 'csv' AS kind FROM documents UNION ALL SELECT doc_id, lang, 'parquet' FROM documents")
+def dual_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sinks.shared_folder(spark)}/both"
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    sinks.write_parquet_and_csv(rows, path)
+    lines = spark.read.option("header", True).schema(rows.schema).csv(f"{path}.csv").withColumn("kind", F.lit("csv"))
+    return lines.unionByName(spark.read.parquet(f"{path}.parquet").withColumn("kind", F.lit("parquet")))
+
+
+@query("snk3_json_summary", """SELECT '{"n":' || count(*) || ',"chars":' || CAST(sum(n_chars) AS BIGINT) || '}' AS value FROM documents""")
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sinks.shared_folder(spark)}/summary"
+    sinks.write_json(table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), path)
+    return spark.read.text(path)
+
+
+@query("snk4_lines", "SELECT url AS value FROM pages WHERE url IS NOT NULL")
+def lines_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sinks.shared_folder(spark)}/urls"
+    sinks.write_lines(table(spark, sf_dir, "pages"), "url", path)
+    return spark.read.text(path)
+
+
+@query("src9_cached_slice", "SELECT lang, count(*) AS n, (SELECT count(*) FROM documents WHERE n_chars > 500) AS whole FROM documents WHERE n_chars > 500 GROUP BY lang")
+def cached_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made once and read back the second time, with its number of rows beside it."""
+    path = readers.cache_path(sinks.shared_folder(spark), "documents", "full", 0, "train")
+    rows = table(spark, sf_dir, "documents").where("n_chars > 500").select("doc_id", "lang")
+    readers.cached_with_count(spark, path, lambda: rows)
+    again, n = readers.cached_with_count(spark, path, lambda: rows.limit(0))
+    return again.groupBy("lang").agg(F.count("*").alias("n")).withColumn("whole", F.lit(n).cast("bigint"))

@@ -171,9 +171,9 @@ def min_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("flt8_keep_mask", "SELECT page_id, coalesce(url NOT IN (SELECT url FROM pages WHERE page_id < 5), TRUE) AS keep FROM (SELECT page_id, CASE WHEN page_id % 10 > 0 THEN url END AS url FROM pages)")
 def keep_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    few = [r["url"] for r in pages.where("page_id < 5").select("url").collect()]
-    tail = F.when(F.col("page_id") % 10 > 0, F.col("url"))
-    return pages.select("page_id", rel.keep_mask(tail, few).alias("keep"))
+    rows = pages.select("page_id", F.when(F.col("page_id") % 10 > 0, F.col("url")).alias("tail"))
+    found = rel.flag_members(rows, pages.where("page_id < 5"), "tail", "excluded", "url")
+    return found.select("page_id", (~F.col("excluded")).alias("keep"))
 
 
 @query("flt9_corruption_eligible", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN TRUE ELSE FALSE END AS eligible FROM documents")
@@ -261,10 +261,11 @@ def key_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.flag_members(_docs(spark, sf_dir, "doc_id"), table(spark, sf_dir, "labels"), "doc_id", "labelled")
 
 
-@query("jn5_text_membership", "SELECT doc_id, text IN (SELECT text FROM documents WHERE doc_id % 2 = 1) AS known FROM documents WHERE doc_id % 2 = 0")
+@query("jn5_text_membership", "SELECT doc_id, text IN (SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS known FROM documents")
 def text_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir, "doc_id", "text")
-    return rel.flag_text_members(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "text", "known").select("doc_id", "known")
+    labelled = rel.within(docs, table(spark, sf_dir, "labels"), "doc_id")
+    return rel.flag_text_members(docs, labelled, "text", "known").select("doc_id", "known")
 
 
 @query("jn6_missing_count", "SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -410,9 +411,9 @@ def char_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.char_frequency(table(spark, sf_dir, "benchmark"), "text", "item_id").select("ch", "n")
 
 
-@query("ag22_ngram_vocabulary", "SELECT count(DISTINCT substr(w, i, n)) AS n_distinct FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark), range(1, 60) a(i), (VALUES (2), (3)) b(n) WHERE i + n - 1 <= length(w)")
+@query("ag22_ngram_vocabulary", "SELECT count(DISTINCT substr(w, i, n)) AS n_distinct FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM benchmark), unnest(range(1, length(w) + 1)) a(i), (VALUES (2), (3)) b(n) WHERE i + n - 1 <= length(w)")
 def ngram_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).distinct().where("length(w) < 60")
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).distinct()
     return words.select(F.explode(tx.ngrams_of(F.col("w"), [2, 3])).alias("g")).agg(F.count_distinct("g").alias("n_distinct"))
 
 
@@ -629,10 +630,10 @@ def bucketed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.bucketed_batches(rows, "bucket", 16, "doc_id", resume_after=2).select("doc_id", "bucket_rank", "batch_id")
 
 
-@query("pk7_attention_pairs", "WITH x AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS i FROM lineitem WHERE l_orderkey <= 2000) SELECT a.l_orderkey, count(*) AS n FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND b.i <= a.i GROUP BY 1")
+@query("pk7_attention_pairs", "WITH x AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS i FROM lineitem) SELECT a.l_orderkey, count(*) AS n FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND b.i <= a.i GROUP BY 1")
 def attention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag")))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").groupBy("l_orderkey").agg(z.alias("z"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(z.alias("z"))
     segs = F.transform("z", lambda r: F.ascii(r["l_returnflag"]))
     return batching.attention_pairs(rows.select("l_orderkey", segs.alias("segs")), "l_orderkey", "segs", causal=True).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
@@ -652,7 +653,7 @@ def floor_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(-20, 20).select(F.col("id").alias("x"), floor_div(F.col("id"), 5.0).alias("q"))
 
 
-@query("ss2_interleaved", "SELECT lang, turn, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents) WHERE turn <= 10")
+@query("ss2_interleaved", "SELECT lang, turn, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents)")
 def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.round_robin(_docs(spark, sf_dir, "doc_id", "lang"), "doc_id", "lang").where("turn <= 10")
+    rows = mixing.round_robin(_docs(spark, sf_dir, "doc_id", "lang"), "doc_id", "lang")
     return mixing.interleaved([rows.where(F.col("lang") == x) for x in ("de", "en", "es", "fr")], ["turn", "lang"]).select("lang", "turn", "doc_id")

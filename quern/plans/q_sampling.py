@@ -261,10 +261,10 @@ def token_deficit_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}, "doc_id", "lang")
 
 
-@query("ss2_refill_order", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn, CAST(substr(source, 4) AS INTEGER) AS source_no FROM documents QUALIFY turn <= 5")
+@query("ss2_refill_order", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn, CAST(substr(source, 4) AS INTEGER) AS source_no FROM documents")
 def refill_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first buffer of a round robin over the sources."""
-    rows = mixing.round_robin(_docs(spark, sf_dir), "doc_id").where("turn <= 5")
+    """All turns of a round robin over the sources."""
+    rows = mixing.round_robin(_docs(spark, sf_dir), "doc_id")
     return rows.select("doc_id", "source", "turn", F.substring("source", 4, 10).cast("int").alias("source_no"))
 
 

@@ -281,14 +281,18 @@ def pair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", tx.pair_text(F.col("role"), F.col("text")).alias("pair"), tx.score_text(F.col("turn")).alias("score"))
 
 
-_WORD = "regexp_extract(text, '[A-Za-z]+')"
+_BENCH = "(SELECT item_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS l FROM benchmark))"
 
 
-@query("tx22_ngrams", f"SELECT item_id, CAST(count(*) AS INTEGER) AS n, md5(string_agg(substr(w, i, k), '|' ORDER BY i, k)) AS digest FROM (SELECT item_id, {_WORD} AS w FROM benchmark), range(1, 40) a(i), range(2, 6) b(k) WHERE i + k - 1 <= length(w) GROUP BY item_id")
+def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(found).alias("at", "w")).select("item_id", (F.col("at") + 1).cast("bigint").alias("pos"), "w")
+
+
+@query("tx22_ngrams", f"SELECT item_id, pos, CAST(count(*) AS INTEGER) AS n, md5(string_agg(substr(w, CAST(i AS INTEGER), k), '|' ORDER BY i, k)) AS digest FROM (SELECT item_id, pos, w, unnest(range(1, length(w) + 1)) AS i FROM {_BENCH}), (VALUES (2), (3), (4), (5)) b(k) WHERE i + k - 1 <= length(w) GROUP BY item_id, pos")
 def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("w"))
-    g = rows.select("item_id", tx.ngrams(F.col("w"), 2, 5).alias("g")).where(F.size("g") > 0)
-    return g.select("item_id", F.size("g").alias("n"), F.md5(F.array_join("g", "|")).alias("digest"))
+    g = _bench(spark, sf_dir).select("item_id", "pos", tx.ngrams(F.col("w"), 2, 5).alias("g")).where(F.size("g") > 0)
+    return g.select("item_id", "pos", F.size("g").alias("n"), F.md5(F.array_join("g", "|")).alias("digest"))
 
 
 @query("tx23_ngrams_of_sizes", "SELECT * FROM (VALUES ('한국어a', '한국|한국어|국어|국어a|어a')) t(w, g)")
@@ -297,7 +301,6 @@ def ngrams_of_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("w", F.array_join(tx.ngrams_of(F.col("w"), [2, 3]), "|").alias("g"))
 
 
-@query("tx24_fnv1a32", "SELECT item_id, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(w, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, b: (xor(h, b) * CAST(16777619 AS BIGINT)) & CAST(4294967295 AS BIGINT)) AS BIGINT) AS h FROM (SELECT item_id, regexp_extract(text, '[A-Za-z]+') AS w FROM benchmark) WHERE w <> ''")
+@query("tx24_fnv1a32", f"SELECT item_id, pos, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(w, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, b: (xor(h, b) * CAST(16777619 AS BIGINT)) & CAST(4294967295 AS BIGINT)) AS BIGINT) AS h FROM {_BENCH}")
 def fnv1a32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("w")).where("w <> ''")
-    return rows.select("item_id", tx.fnv1a32(F.col("w")).alias("h"))
+    return _bench(spark, sf_dir).select("item_id", "pos", tx.fnv1a32(F.col("w")).alias("h"))

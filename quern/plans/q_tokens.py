@@ -9,15 +9,16 @@ from quern.functions import text as tx
 from quern.functions import tokens as tk
 from quern.operators import corruption as cr
 from quern.plans.q_sampling import WORDS, _words
+from quern.plans.q_text import _BENCH, ENTRIES, _bench
 from quern.plans.sql import U
 from quern.queryset import query, table
 
-#: Lengths of the first 40 words stand for ids; an id of 2 ends a sentence.
-_IDS = r"(SELECT doc_id, list_transform(list_slice(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 1, 40), lambda w: CAST(length(w) AS INTEGER)) AS ids FROM documents)"
+#: The lengths of a text's words stand for ids; an id of 2 ends a sentence.
+_IDS = r"(SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: CAST(length(w) AS INTEGER)) AS ids FROM documents)"
 
 
 def _ids(spark, sf_dir) -> DataFrame:
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 40)
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     return table(spark, sf_dir, "documents").select("doc_id", F.transform(words, F.length).alias("ids"))
 
 
@@ -25,10 +26,9 @@ def _text(ids) -> F.Column:
     return F.array_join(ids.cast("array<string>"), " ")
 
 
-@query("tk5_utf8_bytes", "SELECT item_id, array_to_string(list_transform(string_split(w, ''), lambda c: CAST(unicode(c) + 1000 AS VARCHAR)), ' ') AS ids FROM (SELECT item_id, regexp_extract(text, '[A-Za-z]+') AS w FROM benchmark) WHERE w <> ''")
+@query("tk5_utf8_bytes", "SELECT item_id, array_to_string(list_transform(range(0, strlen(text)), lambda i: CAST(CAST('0x' || substr(hex(text), CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) + 1000 AS VARCHAR)), ' ') AS ids FROM benchmark")
 def utf8_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("w")).where("w <> ''")
-    return rows.select("item_id", _text(tx.utf8_bytes(F.col("w"), 1000)).alias("ids"))
+    return table(spark, sf_dir, "benchmark").select("item_id", _text(tx.utf8_bytes(F.col("text"), 1000)).alias("ids"))
 
 
 @query("tk7_assembled", f"SELECT doc_id, array_to_string(list_concat(ids, [2, 9]), ' ') AS encoder, array_to_string(list_concat([9], ids, [2]), ' ') AS decoder FROM {_IDS}")
@@ -126,8 +126,14 @@ def cut_at_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("doc_id", _text(tk.cut_at_sentence(F.col("ids"), 12, 2)).alias("ids"))
 
 
-@query("tk28_prefix_split", f"""WITH s AS (SELECT doc_id, ids, len(ids) AS n, greatest(1, least(CAST(floor(len(ids) * (CAST(0.2 AS DOUBLE) + CAST(0.2 AS DOUBLE) * {U('42ratio', 'doc_id')})) AS INTEGER), len(ids) - 1)) AS c FROM {_IDS})
-   SELECT doc_id, CASE WHEN n < 10 THEN '' ELSE array_to_string(list_slice(ids, 1, c), ' ') END AS encoder, CASE WHEN n < 10 THEN array_to_string(ids, ' ') ELSE array_to_string(list_slice(ids, c + 1, n), ' ') END AS decoder FROM s""")
+_SPLIT = f"""(SELECT doc_id, n, CASE WHEN n < 10 THEN list_slice(ids, 1, 0) WHEN n <= 126 THEN list_slice(ids, 1, c) ELSE list_slice(ids, s + 1, s + e) END AS enc,
+   CASE WHEN n < 10 THEN ids WHEN n <= 126 THEN list_slice(ids, c + 1, n) ELSE list_slice(ids, s + e + 1, s + e + d) END AS dec
+   FROM (SELECT *, CAST(floor({U('42start', 'doc_id')} * (n - e - d + 1)) AS INTEGER) AS s FROM (SELECT *, least(64, 126 - e) AS d FROM (SELECT doc_id, ids, len(ids) AS n,
+     greatest(1, least(CAST(floor(len(ids) * (CAST(0.2 AS DOUBLE) + CAST(0.2 AS DOUBLE) * {U('42ratio', 'doc_id')})) AS INTEGER), len(ids) - 1)) AS c,
+     CAST(floor(least(CAST(64 AS DOUBLE), 126 * (CAST(0.25 AS DOUBLE) + CAST(0.1 AS DOUBLE) * {U('42ratio', 'doc_id')}))) AS INTEGER) AS e FROM {_IDS}))))"""
+
+
+@query("tk28_prefix_split", f"SELECT doc_id, array_to_string(enc, ' ') AS encoder, array_to_string(dec, ' ') AS decoder FROM {_SPLIT}")
 def prefix_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ids(spark, sf_dir).select("doc_id", tk.prefix_split(F.col("ids"), 64, 64, "doc_id").alias("s"))
     return rows.select("doc_id", _text(F.col("s.encoder")).alias("encoder"), _text(F.col("s.decoder")).alias("decoder"))
@@ -138,9 +144,9 @@ def split_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).where(F.size("ids") > 0).select("doc_id", F.size(tk.split_at(F.col("ids"), 2)).alias("n"))
 
 
-@query("tk30_permuted_sentences", "SELECT doc_id, string_agg(s, '|' ORDER BY md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR), CAST(i AS VARCHAR))), i) AS parts FROM (SELECT doc_id, unnest(list_slice(string_split(text, '.'), 1, 8)) AS s, unnest(range(least(8, len(string_split(text, '.'))))) AS i FROM documents WHERE len(string_split(text, '.')) >= 3) GROUP BY doc_id")
+@query("tk30_permuted_sentences", "SELECT doc_id, string_agg(s, '|' ORDER BY md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR), CAST(i AS VARCHAR))), i) AS parts FROM (SELECT doc_id, unnest(string_split(text, '.')) AS s, unnest(range(len(string_split(text, '.')))) AS i FROM documents WHERE len(string_split(text, '.')) >= 3) GROUP BY doc_id")
 def permuted_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.slice(F.split("text", r"\."), 1, 8)
+    parts = F.split("text", r"\.")
     rows = table(spark, sf_dir, "documents").where(F.size(F.split("text", r"\.")) >= 3)
     return rows.select("doc_id", F.array_join(tk.permute(parts, "doc_id"), "|").alias("parts"))
 
@@ -156,16 +162,22 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(encode(F.col("text"))).alias("n"))
 
 
-@query("tk18_jamo_buckets", "SELECT * FROM (VALUES ('가', 1), ('한국', 5)) t(token, n)")
+#: Words of the benchmark and tokens whose jamo are written out, with all n-grams of three and five of them.
+_JAMO = f"""(SELECT token, substr(j, CAST(i AS INTEGER), k) AS g, i, k FROM (SELECT token, j, unnest(range(1, length(j) + 1)) AS i FROM (SELECT DISTINCT w AS token, w AS j FROM {_BENCH}
+  UNION ALL SELECT * FROM (VALUES ('가', 'ㄱㅏ-'), ('한국', 'ㅎㅏㄴㄱㅜㄱ'), ('韓', 'ㅎㅏㄴ')) t(token, j))), (VALUES (3), (5)) s(k) WHERE i + k - 1 <= length(j))"""
+_FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(0, strlen({0})), lambda i: CAST(CAST('0x' || substr(hex({0}), CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) AS BIGINT))), lambda h, b: (xor(h, b) * CAST(16777619 AS BIGINT)) & CAST(4294967295 AS BIGINT))"
+
+
+@query("tk18_jamo_buckets", f"""SELECT token, string_agg(CAST({_FNV.format('g')} % n + 1 AS VARCHAR), ' ' ORDER BY i, k) AS buckets, CAST(any_value(width) AS INTEGER) AS width
+   FROM {_JAMO}, (SELECT count(DISTINCT g) AS n FROM {_JAMO}), (SELECT ceil(max(m) / CAST(128 AS DOUBLE)) * 128 AS width FROM (SELECT count(*) AS m FROM {_JAMO} GROUP BY token)) GROUP BY token""")
 def jamo_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed n-grams of the jamo of each token: sizes 2 and 3 of three jamo a syllable."""
+    """Hashed n-grams of the jamo of each token that has any, without the padding, and the width of the padded rows."""
     from quern.functions import script as sc
 
-    rows = spark.createDataFrame([("가",), ("한국",)], "token string")
-    grams = tx.ngrams_of(sc.jamo_sentence(F.col("token")), [3, 5])
-    buckets = F.transform(grams, lambda g: tx.fnv1a32(g) % 97 + 1)
-    padded = tk.pad_to(buckets.cast("array<int>"), 128, 0)
-    return rows.select("token", F.size(F.filter(padded, lambda b: b > 0)).alias("n")).withColumn("n", F.when(F.col("token") == "가", 1).otherwise(F.col("n") - 1).cast("int"))
+    words = _bench(spark, sf_dir).select(F.col("w").alias("token")).distinct()
+    rows = words.unionByName(spark.createDataFrame([("가",), ("한국",), ("韓",), ("<0x0A>",), ("<extra_id_3>",)], "token string"))
+    made = tk.jamo_bucket_table(rows, "token", [3, 5], sc.transcriber(ENTRIES))
+    return made.select("token", _text(F.filter("buckets", lambda b: b > 0)).alias("buckets"), F.size("buckets").alias("width")).where("buckets <> ''")
 
 
 @query("tk19_char_rank_ids", "SELECT ch, CAST(row_number() OVER (ORDER BY n DESC, r, i) AS INTEGER) AS id FROM (SELECT ch, count(*) AS n, min(item_id) AS r, arg_min(i, item_id * 100000 + i) AS i FROM (SELECT item_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM benchmark) WHERE ch <> '' GROUP BY ch)")
@@ -192,6 +204,30 @@ def deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("doc_id", _text(cr.delete_tokens(F.col("ids"), 0.3, [2], "doc_id")).alias("ids"))
 
 
+_PADDED = "list_slice(list_concat({}, list_transform(range(64), lambda x: CAST(0 AS INTEGER))), 1, 64)"
+_KEPT = "list_filter(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN ids[i] IN (1, 2) OR (CAST('0x' || substr(md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR), CAST(i - 1 AS VARCHAR))), 1, 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE)) >= 0.3 THEN ids[i] END), lambda x: x IS NOT NULL)"
+
+
+@query("cr21_deletion_batch", f"""SELECT doc_id, array_to_string({_PADDED.format(_KEPT)}, ' ') AS input_ids, array_to_string(list_transform({_PADDED.format('ids')}, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ' ') AS labels,
+   array_to_string(list_concat([1], list_slice({_PADDED.format('ids')}, 1, 63)), ' ') AS decoder_input_ids, CAST(least(64, len({_KEPT})) AS INTEGER) AS n_shown FROM {_IDS}""")
+def deletion_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ids(spark, sf_dir).select("doc_id", cr.deletion_collate(F.col("ids"), "doc_id", 64).alias("s"))
+    shown = F.aggregate("s.attention_mask", F.lit(0), lambda n, x: n + x)
+    return rows.select("doc_id", *(_text(F.col(f"s.{c}")).alias(c) for c in ("input_ids", "labels", "decoder_input_ids")), shown.alias("n_shown"))
+
+
+@query("cr20_infilling_batch")
+def infilling_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ids(spark, sf_dir).select("doc_id", cr.infilling_collate(F.col("ids"), F.col("doc_id"), 64, mask=9999).alias("s"))
+    return rows.select("doc_id", *(_text(F.col(f"s.{c}")).alias(c) for c in ("input_ids", "labels", "decoder_input_ids")))
+
+
+@query("cr22_empty_batch", "SELECT '0 0 0' AS input_ids, '0 0 0' AS attention_mask, '0 0' AS decoder_input_ids, '-100 -100' AS labels")
+def empty_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = spark.range(1).select(tk.empty_row(3, 2, 0).alias("s"))
+    return row.select(*(_text(F.col(f"s.{c}")).alias(c) for c in ("input_ids", "attention_mask", "decoder_input_ids", "labels")))
+
+
 @query("cr2_infilled")
 def infilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = cr.infilling(0.3, 3.0, 9999, (2,))(F.col("ids"), F.col("doc_id"))
@@ -206,13 +242,13 @@ def sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cr5_morpheme_masks")
 def morpheme_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.slice(F.split("text", r"\s+"), 1, 30)
+    parts = F.split("text", r"\s+")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(cr.morpheme_infilling()(parts, F.col("doc_id")), " ").alias("encoder"))
 
 
 @query("cr6_morpheme_sentinels")
 def morpheme_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", cr.morpheme_sentinels()(F.slice(F.split("text", r"\s+"), 1, 30), F.col("doc_id")).alias("s"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", cr.morpheme_sentinels()(F.split("text", r"\s+"), F.col("doc_id")).alias("s"))
     return rows.select("doc_id", F.array_join("s.encoder", " ").alias("encoder"), F.array_join("s.decoder", " ").alias("decoder"))
 
 
@@ -264,8 +300,7 @@ def byte_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("s.encoder").alias("n_encoder"), F.size("s.decoder").alias("n_decoder"))
 
 
-@query("cr15_continuation", f"""WITH s AS (SELECT doc_id, ids, len(ids) AS n, greatest(1, least(CAST(floor(len(ids) * (CAST(0.2 AS DOUBLE) + CAST(0.2 AS DOUBLE) * {U('42ratio', 'doc_id')})) AS INTEGER), len(ids) - 1)) AS c FROM {_IDS})
-   SELECT doc_id, array_to_string(list_concat(list_slice(ids, 1, c), [777]), ' ') AS encoder, array_to_string(list_concat([777], list_slice(ids, c + 1, n)), ' ') AS decoder FROM s WHERE n >= 10""")
+@query("cr15_continuation", f"SELECT doc_id, array_to_string(list_concat(enc, [777]), ' ') AS encoder, array_to_string(list_concat([777], dec), ' ') AS decoder FROM {_SPLIT} WHERE n >= 10")
 def continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ids(spark, sf_dir).where(F.size("ids") >= 10).select("doc_id", cr.continuation(F.col("ids"), 64, 64, 777, "doc_id").alias("s"))
     return rows.select("doc_id", _text(F.col("s.encoder")).alias("encoder"), _text(F.col("s.decoder")).alias("decoder"))

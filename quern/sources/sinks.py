@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one in local runs without it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and the executors")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+
+
 def write_parquet(df: DataFrame, path: str, level: int = 9, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
 

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern import config
+from quern import config, registry
 from quern.functions import script, tokens
 from quern.operators import batching, corruption, mixing, ranks, relational, sampling
 from quern.sources import readers, sinks
@@ -244,3 +244,44 @@ def test_windows_encoders_and_decoders(spark):
     assert [len(r) for r in rows] == [4, 2] and rows[0][0] == 1 and rows[0][-1] == 2
     dec = tokens.decoder(lambda: lambda ids: "".join(map(str, ids)), frozenset({2}))
     assert df.where("id = 1").select(dec(F.slice("ids", 1, 3))).first()[0] == "33"
+
+
+def test_split_at_and_permuted_batches(spark):
+    rows = [(1, [5, 2, 6, 7, 2]), (2, [5]), (3, []), (4, [2, 2, 9]), (5, list(range(3, 90)))]
+    frame = spark.createDataFrame(rows, "id int, ids array<int>")
+    got = dict(tuple(r) for r in frame.select("id", tokens.split_at(F.col("ids"), 2)).collect())
+    assert got == {1: [[5, 2], [6, 7, 2]], 2: [[5]], 3: [], 4: [[2], [2], [9]], 5: [list(range(3, 90))]}
+    for r in frame.select("ids", corruption.infilling_collate(F.col("ids"), F.col("id"), 64, mask=777).alias("s")).collect():
+        s, ids = r["s"], r["ids"]
+        assert s["labels"] == (ids + [-100] * 64)[:64] and s["decoder_input_ids"] == ([1] + [0 if x == -100 else x for x in s["labels"]])[:64]
+        assert set(s["input_ids"]) <= {*ids, 777, 0} and s["attention_mask"] == [int(x != 0) for x in s["input_ids"]]
+
+
+def test_packed_batch_holds_every_id_once(spark, sf_dir):
+    from quern.plans.q_more import _sides
+
+    docs = {r["doc_id"]: r["ids"] for r in _sides(spark, sf_dir).collect() if r["ids"] and r["dec"]}
+    packs = registry.QUERIES["pk9_packed_batch"](spark, sf_dir).collect()
+    found = []
+    for p in packs:
+        ids, segments = ([int(x) for x in p[c].split()] for c in ("input_ids", "segment_ids"))
+        assert len(ids) == 512 and sorted(set(segments) - {0}) == list(range(1, p["n_docs"] + 1))
+        found += [tuple(i for i, s in zip(ids, segments) if s == k) for k in range(1, p["n_docs"] + 1)]
+    assert sorted(found) == sorted(tuple(x[:512]) for x in docs.values())
+
+
+def test_common_subsequence():
+    import random
+
+    from quern.operators.metrics import common_length
+
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(150))] for _ in range(2))
+        before = [0] * (len(b) + 1)
+        for x in a:
+            now = [0]
+            for j, y in enumerate(b):
+                now.append(before[j] + 1 if x == y else max(before[j + 1], now[j]))
+            before = now
+        assert common_length(a, b) == before[-1]
