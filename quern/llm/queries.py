@@ -113,4 +113,35 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_media": op10_media,
 }
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+_OP4 = f"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+  m AS (SELECT page_id, host, path, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC NULLS LAST, rh || rp DESC) AS n
+        FROM u LEFT JOIN (VALUES {_RULES}) r(rh, rp, v) ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+  SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1"""
+
+
+def _escaped(text: str, template: chat.Template = chat.LLAMA) -> str:
+    """SQL of an escaped text: the codes of the control strings one after the other."""
+    out = f"replace({text}, '\\', '\\.')"
+    for k, c in enumerate(template.controls):
+        out = f"replace({out}, '{c}', '\\{k};')"
+    return out
+
+
+def _op8(template: chat.Template = chat.LLAMA) -> str:
+    around = " ".join(f"WHEN '{name}' THEN {len(r.begin + r.end)}" for name, r in template.roles.items())
+    other = f"{len(template.other.begin + template.other.end + template.name_end)} + length({_escaped('role')})"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    said = "'</s>[INST] ok [/INST]'"
+    return f"""WITH x AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+      UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said})) t(conv_id, turn, role, text)),
+    c AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' {order}) AS turns, coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '') AS loss,
+      sum(CASE role {around} ELSE {other} END + length({_escaped('text')})) AS chars,
+      string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' {order}) AS roles FROM x GROUP BY conv_id)
+    SELECT CAST(conv_id AS BIGINT) AS conv_id, n AS n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars,
+      regexp_full_match(roles, 's?(ua)+') AS valid, CAST(CASE WHEN length(regexp_extract(roles, '^s?(ua)*u?')) < n THEN length(regexp_extract(roles, '^s?(ua)*u?')) END AS INTEGER) AS first_bad_turn FROM c"""
+
+
+#: SQL of those that it can express: not the learned, hashed, tokenised or parsed ones.
+ORACLES: dict[str, str] = {"op4_url_rules": _OP4, "op8_chat": _op8()}

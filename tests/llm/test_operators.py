@@ -616,3 +616,20 @@ def test_consensus_needs_one_transform():
     assert media.consensus(a, b) >= 10
     b[:, :2] = rng.uniform(0, 90, (12, 2))
     assert media.consensus(a, b) < 5
+
+
+# --- SQL ---------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, name):
+    import duckdb
+
+    sf_dir, con = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("pages", "conversations"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, sf_dir)
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(str, local(got, *columns))) == sorted(str(r) for r in want.select(*columns).fetchall())
