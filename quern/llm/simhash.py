@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch, components
@@ -274,44 +274,79 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 
 
 def _likes(similarity: float):
-    """For rows (part, key columns, hashes) in order: those that are similar to an earlier one of their part that stays.
+    """For rows (part, salt, kind, key columns, hashes) in order: the keys of those that are similar to an earlier one that
+    stays, within (part, salt).
 
-    Two sets of that similarity share a hash among the first n - ceil(similarity * n) + 1 of either, n its size, so the
-    ones that stay are found by these.
+    Kind 0 stays without a look, kind 1 stays if it is unlike those, kind 2 is only compared. Two sets of that similarity
+    share a hash among the first n - ceil(similarity * n) + 1 of either, n its size, so the ones that stay are found by
+    these. Only the rows that stay are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, stay, at = None, [], {}
         for batch in batches:
             gone = []
-            for row, (own, hashes) in enumerate(zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1), strict=True)):
+            keys = zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)
+            for row, ((*own, kind), hashes) in enumerate(zip(keys, batch.column(batch.num_columns - 1), strict=True)):
                 if own != part:
                     part, stay, at = own, [], {}
                 x = np.asarray(hashes.values.to_numpy(zero_copy_only=False))
                 n = len(x)
                 # 1e-9: a product that rounding lifts above a whole number must not shorten the prefix
                 prefix = x[: n - int(np.ceil(similarity * n - 1e-9)) + 1].tolist() if n else [None]
-                near = dict.fromkeys(i for h in prefix for i in at.get(h, ()))
+                near = dict.fromkeys(i for h in prefix for i in at.get(h, ())) if kind else ()
                 if any(similarity * max(n, len(stay[i])) <= min(n, len(stay[i])) and similar(x, stay[i], similarity) for i in near):
                     gone.append(row)
-                    continue
-                for h in prefix:
-                    at.setdefault(h, []).append(len(stay))
-                stay.append(x)
+                elif kind < 2:
+                    for h in prefix:
+                        at.setdefault(h, []).append(len(stay))
+                    stay.append(x)
             if gone:
-                yield batch.take(pa.array(gone)).select(batch.schema.names[1:-1])
+                yield batch.take(pa.array(gone)).select(batch.schema.names[3:-1])
 
     return run
 
 
-#: Rounds in which each part's smallest id is compared with all others at once; what they leave is solved part by part.
+#: Documents of a component that are settled among themselves in one task at a time. Up to 1000, Spark cuts each task's rows
+#: of a component to as many before they are shuffled.
+BLOCK = 1000
+
+
+def _settled(rows: DataFrame, scratch: Scratch, key: list[str], similarity: float, block: int) -> list[DataFrame]:
+    """Tables of the keys that go of rows (part, key columns, hashes), in the order of the keys.
+
+    The first rows of each part are settled in one task; all others of the part are then compared with those of them that
+    stay, in chunks that each meet a copy of these. What is left goes on in the same way, so a task never holds more than
+    a block of a part, and the result is that of one loop over the whole part.
+    """
+    gone, schema = [], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+    like = lambda df: scratch.keep(df.repartition("part", "salt").sortWithinPartitions("part", "salt", "kind", *key).mapInArrow(_likes(similarity), schema))
+    kind = lambda n: F.lit(n).alias("kind")
+    while not rows.isEmpty():
+        place = F.row_number().over(Window.partitionBy("part").orderBy(*key))
+        first = scratch.keep(rows.select("part", *key).withColumn("place", place).where(F.col("place") <= block).select(*key))
+        own = rows.join(first, key, "left_semi")
+        gone.append(like(own.select("part", F.lit(0).cast("long").alias("salt"), kind(1), *key, "hashes")))
+        rest = rows.join(first, key, "left_anti")
+        chunks = scratch.keep(rest.groupBy("part").agg(F.ceil(F.count("*") / (16 * block)).cast("long").alias("chunks")))
+        if chunks.isEmpty():
+            break
+        stay = own.join(gone[-1], key, "left_anti").join(chunks, "part")
+        stay = stay.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("salt"), kind(0), *key, "hashes")
+        others = rest.join(chunks, "part").select("part", F.pmod(F.xxhash64("digest"), "chunks").alias("salt"), kind(2), *key, "hashes")
+        gone.append(like(stay.unionByName(others)))
+        rows = scratch.keep(rest.join(gone[-1], key, "left_anti"))
+    return gone
+
+
+#: Rounds in which each part's smallest id is compared with all others at once; what they leave is solved block by block.
 LEADER_ROUNDS = 3
 #: Word views of a text, and the radius of each. On pairs of a similarity of 0.8 or more, 97 % or more link in one of them.
 VIEWS, VIEW_RADIUS = 4, 4
 
 
 def distinct_documents(
-    docs: DataFrame, k: int = 5, views: int = VIEWS, radius: int = VIEW_RADIUS, similarity: float = 0.8, seed: int = 42, hot: int = HOT_BUCKET
+    docs: DataFrame, k: int = 5, views: int = VIEWS, radius: int = VIEW_RADIUS, similarity: float = 0.8, seed: int = 42, hot: int = HOT_BUCKET, block: int = BLOCK
 ) -> DataFrame:
     """Rows (doc_id, digest) of the documents that stay when one document of each group of near copies does.
 
@@ -348,8 +383,7 @@ def distinct_documents(
         if rows.isEmpty():
             break
     else:
-        rest = rows.repartition("part").sortWithinPartitions("part", *key)
-        gone.append(scratch.keep(rest.mapInArrow(_likes(similarity), "doc_id long, digest binary")))
+        gone += _settled(rows, scratch, key, similarity, block)
     stay = own.select(*key).join(reduce(DataFrame.unionByName, gone), key, "left_anti")
     nulls = signed.where("doc_id is null").select("doc_id", F.lit(None).cast("binary").alias("digest")).limit(1)
     stay = kept.keep(stay.unionByName(nulls))

@@ -125,6 +125,32 @@ def test_distinct_documents_compares_all_of_a_component(spark):
     assert {r[0] for r in local(simhash.distinct_documents(frame), "doc_id")} == {0, 2, 4, 6, 8, 10}
 
 
+def test_distinct_documents_settles_a_component_block_by_block(spark):
+    """One component of texts of the same words in other orders, near copies among them: as one loop over all does."""
+    rng = random.Random(5)
+    words, rows = [f"w{i}" for i in range(60)], []
+    for i in range(60):
+        if i % 3 == 2:  # a near copy, or one that is just too far, of an earlier text
+            own = list(rows[rng.randrange(len(rows))][1].split())
+            for _ in range(rng.choice([1, 2])):
+                at = rng.randrange(59)
+                own[at], own[at + 1] = own[at + 1], own[at]
+        else:
+            own = rng.sample(words, 60)
+        rows.append((i, " ".join(own)))
+    want, stay = [], []
+    for i, text in rows:
+        w = text.split()
+        own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        if all(len(own & x) < 0.8 * len(own | x) for x in stay):
+            want.append(i)
+            stay.append(own)
+    assert 40 <= len(want) < 60
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (7, 1000):
+        assert sorted(r[0] for r in local(simhash.distinct_documents(frame, block=block), "doc_id")) == want
+
+
 def test_distinct_documents_compares_equal_fingerprints(spark):
     """Texts of the same words share all fingerprints; only equal and similar ones go."""
     rng, words = random.Random(6), [f"w{i}" for i in range(200)]
