@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators.relational import average_rank
+from quern.operators.relational import average_rank, linear_quantiles
 
 
 def mean_of(condition: Column) -> Column:
@@ -235,7 +235,8 @@ def drift(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row for two arrays of logits: agreement of the largest, and quantiles of the largest difference."""
     first = lambda x: F.array_position(x, F.array_max(x))
     gap = F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
-    return df.agg(mean_of(first(F.col(a)) == first(F.col(b))).alias("agreement"), F.percentile(gap, F.lit(0.5)).alias("drift_p50"), F.percentile(gap, F.lit(0.99)).alias("drift_p99"), F.max(gap).alias("drift_max"))
+    totals = df.agg(mean_of(first(F.col(a)) == first(F.col(b))).alias("agreement"), F.max(gap).alias("drift_max"))
+    return totals.crossJoin(F.broadcast(linear_quantiles(df.select(gap.alias("gap")), "gap", {"drift_p50": 0.5, "drift_p99": 0.99})))  # one row each
 
 
 def probabilities(logits: Column) -> Column:
@@ -266,12 +267,11 @@ def mismatch_share(a: Column, b: Column, atol: float, rtol: float) -> Column:
 def confidence_bands(df: DataFrame, loss: str, low: float | None = None, high: float | None = None, name: str = "band") -> DataFrame:
     """Adds random below the lower bound, teacher above the upper, model between; the bounds are quartiles if not given."""
     if low is None or high is None:
-        q = df.agg(F.percentile(loss, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-        df = df.crossJoin(F.broadcast(q))  # one row
-        a, b = F.col("q")[0], F.col("q")[1]
+        df = df.crossJoin(F.broadcast(linear_quantiles(df, loss, {"__low": 0.25, "__high": 0.75})))  # one row
+        a, b = F.col("__low"), F.col("__high")
     else:
         a, b = F.lit(low), F.lit(high)
-    return df.withColumn(name, F.when(F.col(loss) < a, "random").when(F.col(loss) > b, "teacher").otherwise("model")).drop("q")
+    return df.withColumn(name, F.when(F.col(loss) < a, "random").when(F.col(loss) > b, "teacher").otherwise("model")).drop("__low", "__high")
 
 
 def margin_stats(df: DataFrame, positive: str, negative: str, margin: float = 0.1) -> DataFrame:

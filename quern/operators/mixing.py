@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,28 +32,48 @@ def choose_source(targets: dict[str, float], tokens: dict[str, int], left: dict[
 def mix(df: DataFrame, targets: dict[str, float], key: str, source: str = "source", tokens: str = "n_tokens", lane: str = "lane", seed: int = 42) -> DataFrame:
     """Rows (lane, key, source, tokens, order): the order in which a lane's mixer yields its rows.
 
-    The choice is sequential by nature, so it runs per lane (a host of a training run) on ids and token counts alone;
-    payloads are joined back by key. Rows of a source come in key order; rows of sources without a target are left out.
+    The choice is sequential by nature, so a lane (a host of a training run) is one stream of ids and token counts; payloads
+    are joined back by key. Rows of a source come in key order; rows of sources without a target are left out. Rows reach
+    the mixer by when they are due, their source's tokens so far over its target, so it holds the few that came too early.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c in (lane, key, source, tokens)}
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        frame = frame.sort_values(key, kind="stable")
-        queues = {s: g[[key, tokens]].to_numpy().tolist() for s, g in frame.groupby(source)}
-        at, left, used, out = dict.fromkeys(queues, 0), {s: len(q) for s, q in queues.items()}, dict.fromkeys(queues, 0), []
-        own = frame[lane].iloc[0]
-        for i in range(len(frame)):
-            draw = int(hashlib.md5(f"{seed}:{own}:{i}".encode()).hexdigest()[:8], 16) / 2**32
-            s = choose_source(targets, used, left, draw)
-            k, n = queues[s][at[s]]
-            at[s], left[s], used[s] = at[s] + 1, left[s] - 1, used[s] + int(n)
-            out.append((own, k, s, int(n), i))
-        return pd.DataFrame(out, columns=[lane, key, source, tokens, "order"])
+        own, out = object(), []
+        for batch in batches:
+            for at, k, s, n, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != own:
+                    own, i, want = at, 0, None
+                    queues, left, used = {}, {}, {}
+                if place == 0:  # ahead of all rows of the lane: how many a source has
+                    queues[s], left[s], used[s] = deque(), n, 0
+                    continue
+                queues[s].append((k, n))
+                while any(left.values()):
+                    if want is None:
+                        want = choose_source(targets, used, left, int(hashlib.md5(f"{seed}:{own}:{i}".encode()).hexdigest()[:8], 16) / 2**32)
+                    if not queues[want]:
+                        break
+                    k, n = queues[want].popleft()
+                    left[want], used[want] = left[want] - 1, used[want] + int(n)
+                    out.append((own, k, want, n, i))
+                    i, want = i + 1, None
+            types = [batch.schema.field(c).type for c in range(4)] + [pa.int64()]
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [lane, key, source, tokens, "order"])
+            out = []
 
     light = df.select(lane, key, source, tokens).where(F.col(source).isin(list(targets)))
-    return light.groupBy(lane).applyInPandas(run, f"`{lane}` {kinds[lane]}, `{key}` {kinds[key]}, `{source}` {kinds[source]}, `{tokens}` {kinds[tokens]}, order long")
+    goal = F.create_map(*(F.lit(x) for s, t in targets.items() for x in (s, float(t))))[F.col(source)]
+    due = F.when(goal > 0, F.col("__sum") / goal).otherwise(F.lit(float("inf")))
+    rows = row_running(row_index(light, key, [lane, source], "__at"), key, tokens, "__sum", [lane, source])
+    rows = rows.select(lane, key, source, tokens, "__at", due.alias("__due"))
+    heads = light.groupBy(lane, source).agg(F.count("*").cast(kinds[tokens]).alias(tokens))
+    heads = heads.select(lane, F.lit(None).cast(kinds[key]).alias(key), source, tokens, F.lit(0).cast("long").alias("__at"), F.lit(-1.0).alias("__due"))
+    order = heads.unionByName(rows).repartition(lane).sortWithinPartitions(lane, "__due", source, "__at").drop("__due")
+    return order.mapInArrow(run, f"`{lane}` {kinds[lane]}, `{key}` {kinds[key]}, `{source}` {kinds[source]}, `{tokens}` {kinds[tokens]}, order long")
 
 
 def round_robin(df: DataFrame, key: str, source: str = "source", name: str = "turn") -> DataFrame:
@@ -109,7 +130,7 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 def token_shares(df: DataFrame, by: list[str], tokens: str = "n_tokens") -> DataFrame:
     """Tokens and rows of each group and their share of all."""
     sums = df.groupBy(*by).agg(F.sum(tokens).alias("tokens"), F.count("*").alias("n"))
-    return sums.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(1))))  # a row per group
+    return sums.withColumn("share", F.col("tokens") / sums.agg(F.sum("tokens")).scalar())
 
 
 def interleaved(frames: list[DataFrame], order: list[str]) -> DataFrame:

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Hex digits of the hash that make a bucket: 256 buckets for each group.
 HASH_DIGITS = 2
 #: Buckets that a numeric key is cut into.
 KEY_BUCKETS = 128
+#: Rows that the cuts of a string key are taken from.
+STRING_SAMPLE = 4096
 
 
 def hash_key(seed: int | str, *key: Column | str) -> Column:
@@ -63,12 +66,25 @@ def hash_rank(df: DataFrame, seed: int | str, key: str, groups: list[str] | None
     return bucketed_rank(df, F.substring(h, 1, HASH_DIGITS), [h, F.col(key)], groups, name, total)
 
 
+def key_bucket(df: DataFrame, key: str) -> Column:
+    """The bucket of a key: how many of at most 127 cuts are below it; -1 for null. Cuts decide the balance alone.
+
+    Cuts of a number are quantiles that one pass finds. Those of a string are taken from the rows that have the least hashes.
+    """
+    if isinstance(df.schema[key].dataType, StringType):
+        rows = df.where(F.col(key).isNotNull()).select(key)
+        held = sorted(r[0] for r in rows.orderBy(F.xxhash64(key)).limit(STRING_SAMPLE).collect())
+        cuts, of = sorted({held[len(held) * i // KEY_BUCKETS] for i in range(1, KEY_BUCKETS)} if held else ()), F.col(key)
+    else:
+        of = F.col(key).cast("double")
+        cuts = df.select(F.percentile_approx(of, [i / KEY_BUCKETS for i in range(1, KEY_BUCKETS)], 10_000).alias("q")).first()["q"] or []
+    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < of)) if cuts else F.lit(0)
+    return F.when(of.isNull(), -1).otherwise(bucket)
+
+
 def row_index(df: DataFrame, key: str, groups: list[str] | None = None, name: str = "rn", total: str | None = None, more: list[Column] | None = None) -> DataFrame:
-    """1-based rank by a numeric key (ties by ``more``), cut at quantiles that one pass over the key finds."""
-    cuts = df.select(F.percentile_approx(F.col(key).cast("double"), [i / KEY_BUCKETS for i in range(1, KEY_BUCKETS)], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(key).cast("double"))) if cuts else F.lit(0)
-    return bucketed_rank(df, F.coalesce(bucket, F.lit(-1)), [F.col(key).asc_nulls_first(), *(more or [])], groups, name, total)
+    """1-based rank by a number or a string (ties by ``more``), cut into buckets of the key."""
+    return bucketed_rank(df, key_bucket(df, key), [F.col(key).asc_nulls_first(), *(more or [])], groups, name, total)
 
 
 def floor_div(a: Column, b: Column | float) -> Column:

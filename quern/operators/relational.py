@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.config import SourceConfig
-from quern.operators.ranks import row_index
+from quern.operators.ranks import key_bucket, row_index
 
 # --- projection -------------------------------------------------------------------------------------------------
 
@@ -129,16 +131,29 @@ def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame
     return df.groupBy(*(by or [])).agg(*aggs)
 
 
+def _placed(df: DataFrame, value: str) -> DataFrame:
+    """Distinct values with their count, the number of rows up to them, and that of all rows: ties and order need no one task."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    return row_running(counts, "__v", "__c", "__upto").withColumn("__n", counts.agg(F.sum("__c")).scalar())
+
+
+def _value_at(place: Column) -> Column:
+    return F.max(F.when((F.col("__upto") - F.col("__c") <= place) & (place < F.col("__upto")), F.col("__v")))
+
+
 def linear_quantiles(df: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
-    """One row of exact interpolated quantiles."""
-    return df.agg(*(F.percentile(F.col(value), F.lit(q)).alias(name) for name, q in at.items()))
+    """One row of exact interpolated quantiles; nulls are left out."""
+    picks = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("__n") - 1)
+        low, high, part = _value_at(F.floor(place)), _value_at(F.ceil(place)), F.max(place - F.floor(place))
+        picks.append(F.when(part == 0, low.cast("double")).otherwise(low + (high - low) * part).alias(name))
+    return _placed(df, value).agg(*picks)
 
 
-def nearest_quantiles(df: DataFrame, value: str, key: str, at: dict[str, float]) -> DataFrame:
+def nearest_quantiles(df: DataFrame, value: str, at: dict[str, float]) -> DataFrame:
     """One row of quantiles that are values of rows: the one at rank round(q * (n - 1)), halves away from zero."""
-    ranked = row_index(df.select(value, key), value, name="__r", total="__n", more=[F.col(key)])
-    picks = [F.max(F.when(F.col("__r") - 1 == F.round(F.lit(q) * (F.col("__n") - 1)).cast("long"), F.col(value))).alias(name) for name, q in at.items()]
-    return ranked.agg(*picks)
+    return _placed(df, value).agg(*(_value_at(F.round(F.lit(q) * (F.col("__n") - 1)).cast("long")).alias(name) for name, q in at.items()))
 
 
 def stage_counts(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
@@ -159,7 +174,7 @@ def shortfall(df: DataFrame, bucket: str, target: int) -> DataFrame:
 def subgroup_means(df: DataFrame, group: str, value: str) -> DataFrame:
     """Mean and size of each group, where there is more than one."""
     means = df.groupBy(group).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
-    return means.withColumn("__k", F.count("*").over(Window.partitionBy(F.lit(1)))).where("__k > 1").drop("__k")  # a row per group
+    return means.where(means.agg(F.count("*")).scalar() > 1)
 
 
 def macro_mean(df: DataFrame, outer: str, inner: str, value: Column) -> DataFrame:
@@ -222,15 +237,22 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(ranked, df[value].eqNullSafe(ranked["__v"])).drop("__v")
 
 
-def row_running(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Running sum of a value in the order of a numeric key that has no repeats, in buckets rather than in one task."""
-    cuts = df.select(F.percentile_approx(F.col(key).cast("double"), [i / 64 for i in range(1, 64)], 10_000).alias("q")).first()["q"] or []
-    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(key).cast("double"))) if cuts else F.lit(0)
-    marked = df.withColumn("__b", F.coalesce(bucket, F.lit(-1)))
-    sums = marked.groupBy("__b").agg(F.sum(value).alias("__s"))  # a row per bucket
-    before = F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.sum(value).over(Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("__own", own).join(sums.select("__b", before.alias("__before")), "__b").withColumn(name, F.col("__own") + F.col("__before")).select(*df.columns, name)
+def _running(df: DataFrame, key: str, value: str, how, upto: int, groups: list[str]) -> DataFrame:
+    """Adds an aggregate of the rows of the own bucket up to a row (__own) and that of all buckets before it (__before)."""
+    marked = df.withColumn("__b", key_bucket(df, key))
+    keys = [*groups, "__b"]
+    sums = marked.groupBy(*keys).agg(how(value).alias("__s"))  # a row per group and bucket
+    before = how("__s").over(Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    own = how(value).over(Window.partitionBy(*keys).orderBy(key).rowsBetween(Window.unboundedPreceding, upto))
+    sums = sums.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), before.alias("__before"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    return marked.withColumn("__own", own).join(sums, same)
+
+
+def row_running(df: DataFrame, key: str, value: str, name: str, groups: list[str] | None = None) -> DataFrame:
+    """Running sum of a value in the order of a key that has no repeats, in buckets rather than in one task."""
+    out = _running(df, key, value, F.sum, 0, groups or [])
+    return out.withColumn(name, F.col("__own") + F.coalesce("__before", F.lit(0))).select(*df.columns, name)
 
 
 def restart_positions(df: DataFrame, row: str, at: str, segment: str, name: str = "position") -> DataFrame:
@@ -240,16 +262,15 @@ def restart_positions(df: DataFrame, row: str, at: str, segment: str, name: str
 
 
 def running_best(df: DataFrame, step: str, value: str, run: str | None = None, name: str = "is_best") -> DataFrame:
-    """Whether a value is above all earlier ones of its run; the first is."""
-    w = Window.partitionBy(*([run] if run else [F.lit(1)])).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.col(value) > F.max(value).over(w), F.lit(True)))
+    """Whether a value is above all earlier ones of its run; the first is. Runs are cut into buckets of steps."""
+    out = _running(df, step, value, F.max, -1, [run] if run else [])
+    return out.withColumn(name, F.coalesce(F.col(value) > F.greatest("__own", "__before"), F.lit(True))).select(*df.columns, name)
 
 
 def label_ids(df: DataFrame, label: str, name: str = "label_id") -> DataFrame:
     """Dense ids from 0 of the sorted distinct labels."""
-    ids = df.select(label).where(F.col(label).isNotNull()).distinct()
-    ids = ids.withColumn(name, F.row_number().over(Window.orderBy(label)) - 1)  # a row per label
-    return df.join(ids, label, "left")
+    ids = row_index(df.select(label).where(F.col(label).isNotNull()).distinct(), label, name="__rn")
+    return df.join(ids.select(label, (F.col("__rn") - 1).cast("int").alias(name)), label, "left")
 
 
 def top_k(df: DataFrame, group: str, score: str, index: str, k: int) -> DataFrame:

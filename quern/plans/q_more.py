@@ -102,11 +102,10 @@ def epoch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("st1_sorted_urls", "SELECT url, row_number() OVER (ORDER BY url, page_id) AS rn FROM pages")
 def sorted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks in url order, cut into buckets by the url's host part so that no task sorts all of them."""
-    from quern.operators.ranks import bucketed_rank
+    """Ranks in url order, cut into buckets of whole urls so that no task sorts all of them."""
+    from quern.operators.ranks import row_index
 
-    pages = table(spark, sf_dir, "pages").select("url", "page_id")
-    return bucketed_rank(pages, F.substring("url", 1, 12), [F.col("url"), F.col("page_id")]).select("url", "rn")
+    return row_index(table(spark, sf_dir, "pages").select("url", "page_id"), "url", more=[F.col("page_id")]).select("url", "rn")
 
 
 @query("tk3_decoded")

@@ -333,7 +333,7 @@ def filtered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ag7_nearest_quantiles", """WITH r AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
    SELECT max(n_chars) FILTER (i = CAST(round(0.1 * (n - 1)) AS BIGINT)) AS p10, max(n_chars) FILTER (i = CAST(round(0.9 * (n - 1)) AS BIGINT)) AS p90, max(n_chars) AS top FROM r""")
 def nearest_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.nearest_quantiles(table(spark, sf_dir, "documents"), "n_chars", "doc_id", {"p10": 0.1, "p90": 0.9, "top": 1.0})
+    return rel.nearest_quantiles(table(spark, sf_dir, "documents"), "n_chars", {"p10": 0.1, "p90": 0.9, "top": 1.0})
 
 
 @query("ag8_linear_quantiles", "SELECT round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.9), 6) AS p90, round(quantile_cont(n_chars, 0.95), 6) AS p95, round(quantile_cont(n_chars, 0.99), 6) AS p99 FROM documents")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,11 +27,12 @@ def token_counts(stream: DataFrame, source: str, tokens: str, at: str, window: s
     return stream.withWatermark(at, delay).groupBy(F.window(at, window), source).agg(F.count("*").alias("n"), F.sum(tokens).alias("tokens"))
 
 
-def mixed_stream(stream: DataFrame, targets: dict[str, float], key: str, source: str = "source", tokens: str = "n_tokens", lane: str = "lane", keep: int = 1000) -> DataFrame:
+def mixed_stream(stream: DataFrame, targets: dict[str, float], key: str, source: str = "source", tokens: str = "n_tokens", lane: str = "lane", keep: int = 1000, idle_ms: int | None = None) -> DataFrame:
     """Rows (lane, key, source, tokens, order) as each lane's mixer yields them.
 
     The state of a lane holds tokens by source and at most ``keep`` waiting rows of each source; what is beyond that is
-    yielded at once, in the mixer's order. Waiting rows go out with the next batch.
+    yielded at once, in the mixer's order. Waiting rows go out with the next batch, and all of them once a lane has had no
+    new row for ``idle_ms``, if that is given.
     """
     names = list(targets)
 
@@ -40,7 +42,7 @@ def mixed_stream(stream: DataFrame, targets: dict[str, float], key: str, source:
             counts, order, keys, sources, sizes = state.get
             used = dict(zip(names, counts, strict=True))
             waiting = list(zip(keys, sources, sizes, strict=True))
-        queues: dict[str, list] = {n: [] for n in names}
+        queues: dict[str, deque] = {n: deque() for n in names}
         for k, s, n in waiting:
             queues[s].append((k, n))
         for frame in frames:
@@ -48,14 +50,16 @@ def mixed_stream(stream: DataFrame, targets: dict[str, float], key: str, source:
                 if s in queues:
                     queues[s].append((k, n))
         out = []
-        while all(queues[n] for n in names) or any(len(q) > keep for q in queues.values()):
+        while all(queues[n] for n in names) or any(len(q) > (-1 if state.hasTimedOut else keep) for q in queues.values() if q):
             s = choose_source(targets, used, {n: len(q) for n, q in queues.items()}, 0.0)
-            k, n = queues[s].pop(0)
+            k, n = queues[s].popleft()
             used[s] += int(n)
             out.append((group[0], k, s, int(n), order))
             order += 1
         rest = [(k, s, n) for s in names for k, n in queues[s]]
         state.update((list(used.values()), order, [int(r[0]) for r in rest], [r[1] for r in rest], [int(r[2]) for r in rest]))
+        if idle_ms and rest:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[lane, key, source, tokens, "order"])
 
     return stream.select(lane, key, source, tokens).groupBy(lane).applyInPandasWithState(
@@ -63,7 +67,7 @@ def mixed_stream(stream: DataFrame, targets: dict[str, float], key: str, source:
         f"`{lane}` long, `{key}` long, `{source}` string, `{tokens}` long, order long",
         "used array<long>, next long, keys array<long>, sources array<string>, sizes array<long>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
     )
 
 

@@ -1,5 +1,7 @@
 """Operators without an oracle against plain loops and invariants; edge cases of the ones with."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,6 +75,61 @@ def test_mixer_matches_the_loop(spark):
     assert share["x"] / sum(share.values()) == pytest.approx(0.6, abs=0.08)
 
 
+def test_mixer_lanes_with_sources_that_run_dry(spark):
+    """Each lane as one loop over its rows, with a source that ends early, one without a share, and one without a target."""
+    import hashlib
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("xxxyzuq"), rng.randrange(0, 50), rng.randrange(3)) for i in range(400) if i % 5]
+    rows = [r for r in rows if r[1] != "y" or r[0] < 120]
+    targets = {"x": 0.5, "y": 0.4, "z": 0.1, "u": 0.0}
+    df = spark.createDataFrame(rows, "id long, source string, n_tokens long, lane long").repartition(5)
+    got = {}
+    for r in mixing.mix(df, targets, "id").orderBy("lane", "order").collect():
+        got.setdefault(r["lane"], []).append((r["id"], r["source"], r["n_tokens"]))
+    for lane in range(3):
+        queues = {s: [r[:3] for r in rows if r[1] == s and r[3] == lane] for s in targets}
+        used, want = dict.fromkeys(targets, 0), []
+        while any(queues.values()):
+            draw = int(hashlib.md5(f"42:{lane}:{len(want)}".encode()).hexdigest()[:8], 16) / 2**32
+            s = mixing.choose_source(targets, used, {k: len(q) for k, q in queues.items()}, draw)
+            want.append(queues[s].pop(0))
+            used[s] += want[-1][2]
+        assert got[lane] == want
+    assert mixing.mix(df.limit(0), targets, "id").count() == 0
+
+
+def test_quantiles_ranks_and_running_values_against_plain_python(spark):
+    import random
+
+    import numpy as np
+
+    from quern.operators import ranks
+    from quern.operators import relational as rel
+
+    rng = random.Random(4)
+    values = [rng.choice([7.0, 7.0, rng.random() * 100]) for _ in range(501)]
+    df = spark.createDataFrame([(i, v, f"https://{int(v)}/{i % 40}", "ab"[i % 2]) for i, v in enumerate(values)] + [(999, None, None, "a")], "id long, v double, url string, run string")
+    at = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.991, "e": 1.0}
+    q = rel.linear_quantiles(df, "v", at).first()
+    assert [q[n] for n in at] == pytest.approx(list(np.quantile(values, list(at.values()))))
+    q = rel.nearest_quantiles(df, "v", at).first()
+    assert [q[n] for n in at] == [sorted(values)[int(p * 500 + 0.5)] for p in at.values()]
+    assert rel.linear_quantiles(df.limit(0), "v", at).first()["c"] is None
+    got = [r["id"] for r in ranks.row_index(df, "url", more=[F.col("id")]).orderBy("rn").collect()]
+    assert got == [r[0] for r in sorted(((r["id"], r["url"] or "") for r in df.collect()), key=lambda r: (r[1], r[0]))]
+    for run in (None, "run"):
+        best, want = {}, set()
+        for r in df.where("v is not null").orderBy("id").collect():
+            k = r["run"] if run else 0
+            if k not in best or r["v"] > best[k]:
+                best[k] = r["v"]
+                want.add(r["id"])
+        assert {r["id"] for r in rel.running_best(df.where("v is not null"), "id", "v", run).where("is_best").collect()} == want
+    assert rel.subgroup_means(df, "run", "v").count() == 2 and rel.subgroup_means(df.where("run = 'a'"), "run", "v").count() == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(2, 200), st.floats(0.05, 0.6), st.floats(1.0, 9.0), st.integers(0, 10**6))
 def test_sentinels_give_the_text_back(n, ratio, mean, key):
@@ -194,6 +251,15 @@ def test_streams(spark, tmp_path):
     assert len({r["id"] for r in got}) == len(got) > 0
     first = [r["source"] for r in sorted(got, key=lambda r: r["order"])[:20]]
     assert first.count("x") == pytest.approx(15, abs=2)
+    query = mixer.mixed_stream(stream, {"x": 0.75, "y": 0.25}, "id", idle_ms=500).writeStream.format("memory").queryName("all").start()
+    try:  # rows that wait for a source that ran dry go out when nothing more comes
+        for _ in range(60):
+            if (n := spark.table("all").count()) == 40:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert n == 40 and sorted(r["id"] for r in spark.table("all").collect()) == list(range(40))
     events = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (2, "b", 7)], "id long, source string, n_tokens long").withColumn("at", F.timestamp_seconds(F.col("id") * 60))
     events.write.parquet(f"{tmp_path}/e")
     s = mixer.read_parquet_stream(spark, f"{tmp_path}/e", events.schema, 10)
