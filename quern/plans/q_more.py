@@ -70,12 +70,6 @@ def one_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.lit(prompt).alias("metadata"))
 
 
-@query("flt5_contains_hanja", "SELECT * FROM (VALUES ('韓國'), ('가 美')) t(s)")
-def contains_hanja(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("韓國",), ("가 美",), ("가나",), ("𠀀",)], "s string")
-    return rows.where(sc.has_hanja(F.col("s"), bmp_only=True))
-
-
 @query("jn10_token_flags", "SELECT l_orderkey, count(*) FILTER (l_linenumber IN (2, 3)) / CAST(count(*) AS DOUBLE) AS ratio FROM lineitem GROUP BY 1")
 def token_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of tokens whose vocabulary entry carries a flag: ids joined with a small flag table."""
@@ -179,12 +173,6 @@ def eval_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.batches(table(spark, sf_dir, "labels").select("doc_id"), 16, "doc_id", drop_last=False)
 
 
-@query("ss3_hanja_routes", "SELECT * FROM (VALUES (1, 'hanja_heavy'), (2, 'hanja_light')) t(id, buffer)")
-def hanja_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "韓國語"), (2, "가나다라마바사 韓")], "id int, s string")
-    return rows.select("id", sc.hanja_class(sc.hanja_ratio(F.col("s"))).alias("buffer"))
-
-
 @query("ss10_reset_state", "SELECT source, CAST(0 AS BIGINT) AS consumed FROM documents GROUP BY source")
 def reset_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.state(_words(spark, sf_dir)).select("source", F.lit(0).cast("bigint").alias("consumed"))
@@ -197,12 +185,6 @@ def beam_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 4").select("l_orderkey", "l_linenumber")
 
 
-@query("ko13_unified", "SELECT * FROM (VALUES (1, '樂樂a'), (2, '金')) t(id, s)")
-def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "\uf914樂a"), (2, "\uf90a")], "id int, s string")
-    return rows.select("id", sc.unified(F.col("s")).alias("s"))
-
-
 _CHAT = {"system": 195, "user": 196, "assistant": 197, "end": 198}
 _LABELS = {"en": 0, "de": 1, "es": 2}
 _CLS = "CASE WHEN len({0}) > {1} THEN list_concat(list_slice({0}, 1, {1} - 1), [198]) ELSE {0} END"

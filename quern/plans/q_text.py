@@ -1,4 +1,4 @@
-"""Queries: text and script functions; those of Korean run on inline values, as the tables hold none."""
+"""Queries: text and script functions. The tables hold no Hanja or Hangul, so letters of documents are written as such."""
 
 from __future__ import annotations
 
@@ -9,113 +9,144 @@ from quern.functions import script as sc
 from quern.functions import text as tx
 from quern.queryset import query, table
 
-#: A toy dictionary and texts in both scripts.
+#: A toy dictionary.
 ENTRIES = {"美": "미", "術": "술", "女": "녀", "韓": "한", "國": "국", "語": "어", "音": "음", "樂": "락", "音樂": "음악"}
-TEXTS = ["音樂", "樂", "女", "韓國語 test", "가 한", "ㄱ", "ㅏ", "한국어a", "𠀀", "韓國 a", "", "美術", "가나다 韓 ab", "plain"]
-_VALUES = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TEXTS)) + ") t(id, s)"
+#: Letters and what stands for them: Hanja of the dictionary and outside it, Hangul, jamo, kana, compatibility ideographs.
+LETTERS = ("therniasdoluwybfgcmpjv", "音樂韓國語女가美術한로례ㄱㅏ녀라리あカ𠀀\uf914\uf90a")
+_MIXED = f"(SELECT doc_id AS id, translate(text, '{LETTERS[0]}', '{LETTERS[1]}') AS s FROM documents)"
+_WORDS = f"(SELECT DISTINCT unnest(string_split(s, ' ')) AS s FROM {_MIXED})"
+_CHARS = f"(SELECT DISTINCT unnest(regexp_extract_all(s, '(?s).')) AS c FROM {_MIXED})"
 _HANJA = sc.HANJA
+#: The transcription in SQL: the one long entry first, then single characters in their initial-sound form.
+_SAID = "translate(replace(s, '音樂', '음악'), '美術女韓國語音樂', '미술여한국어음락')"
 
 
-def _texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(TEXTS)), "id int, s string")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.translate("text", *LETTERS).alias("s"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select(F.explode(F.split("s", " ")).alias("s")).distinct()
+
+
+def _characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select(F.explode(F.array_distinct(sc.chars(F.col("s")))).alias("c")).distinct()
 
 
 # --- scripts -----------------------------------------------------------------------------------------------------
 
 
-@query("ko1_hanja_predicates", f"SELECT id, regexp_matches(s, '[{_HANJA}]') AS any_hanja, regexp_full_match(s, '[{_HANJA}]+') AS all_hanja, regexp_matches(s, '[{sc.HANJA_BMP}]') AS basic FROM {_VALUES}")
+@query("ko1_hanja_predicates", f"SELECT s, regexp_matches(s, '[{_HANJA}]') AS any_hanja, regexp_full_match(s, '[{_HANJA}]+') AS all_hanja, regexp_matches(s, '[{sc.HANJA_BMP}]') AS basic FROM {_WORDS}")
 def hanja_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("s")
-    return _texts(spark).select("id", sc.has_hanja(s).alias("any_hanja"), sc.is_all_hanja(s).alias("all_hanja"), sc.has_hanja(s, True).alias("basic"))
+    return _words(spark, sf_dir).select("s", sc.has_hanja(s).alias("any_hanja"), sc.is_all_hanja(s).alias("all_hanja"), sc.has_hanja(s, True).alias("basic"))
 
 
-@query("ko4_hanja_mask", f"SELECT id, array_to_string(list_transform(list_filter(string_split(s, ''), lambda c: c <> ''), lambda c: CASE WHEN regexp_matches(c, '[{_HANJA}]') THEN '1' ELSE '0' END), '') AS mask FROM {_VALUES}")
+@query("ko4_hanja_mask", f"SELECT id, md5(regexp_replace(regexp_replace(replace(s, '1', '0'), '[{_HANJA}]', '1', 'g'), '[^1]', '0', 'g')) AS mask FROM {_MIXED}")
 def hanja_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = F.transform(sc.hanja_mask(F.col("s")), lambda b: F.when(b, "1").otherwise("0"))
-    return _texts(spark).select("id", F.array_join(mask, "").alias("mask"))
+    return _texts(spark, sf_dir).select("id", F.md5(F.array_join(mask, "")).alias("mask"))
+
 
+_RATIO = f"(SELECT id, CASE WHEN length(s) > 0 THEN len(regexp_extract_all(s, '[{sc.HANJA_BMP}]')) / CAST(length(s) AS DOUBLE) ELSE 0.0 END AS ratio FROM {_MIXED})"
 
-@query("ko6_hanja_ratio", f"SELECT id, CASE WHEN length(s) > 0 THEN len(regexp_extract_all(s, '[{sc.HANJA_BMP}]')) / CAST(length(s) AS DOUBLE) ELSE 0.0 END AS ratio, CASE WHEN length(s) > 0 AND len(regexp_extract_all(s, '[{sc.HANJA_BMP}]')) / CAST(length(s) AS DOUBLE) >= 0.18 THEN 'hanja_heavy' ELSE 'hanja_light' END AS kind FROM {_VALUES}")
+
+@query("ko6_hanja_ratio", f"SELECT id, ratio, CASE WHEN ratio >= 0.18 THEN 'hanja_heavy' ELSE 'hanja_light' END AS kind FROM {_RATIO}")
 def hanja_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = sc.hanja_ratio(F.col("s"))
-    return _texts(spark).select("id", ratio.alias("ratio"), sc.hanja_class(ratio).alias("kind"))
+    return _texts(spark, sf_dir).select("id", ratio.alias("ratio"), sc.hanja_class(ratio).alias("kind"))
+
 
+_LENGTHS = r"(SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: CAST(length(w) AS INTEGER)) AS e FROM documents)"
+_SHARE = "CASE WHEN len(list_filter({0}, lambda i: i <> 3)) > 0 THEN len(list_filter({0}, lambda i: i IN (2, 5, 7))) / CAST(len(list_filter({0}, lambda i: i <> 3)) AS DOUBLE) ELSE 0.0 END"
 
-@query("ko7_token_hanja_ratio", "SELECT id, ratio FROM (VALUES (1, CAST(0.5 AS DOUBLE)), (2, CAST(0 AS DOUBLE))) t(id, ratio)")
+
+@query("ko7_token_hanja_ratio", f"SELECT doc_id, greatest({_SHARE.format('e')}, {_SHARE.format('d')}) AS ratio FROM (SELECT doc_id, e, list_slice(e, 1, 9) AS d FROM {_LENGTHS})")
 def token_hanja_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [1, 2, 0, 0], [3, -100]), (2, [0], [])], "id int, e array<int>, d array<int>")
-    flags = F.array(F.lit(False), F.lit(True), F.lit(False), F.lit(False))
-    return rows.select("id", sc.token_hanja_ratio(F.col("e"), F.col("d"), flags, 0).alias("ratio"))
+    """Word lengths stand for ids: 3 pads, and 2, 5 and 7 carry the flag."""
+    ids = F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), F.length)
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("e")).withColumn("d", F.concat(F.slice("e", 1, 9), F.array(F.lit(-100))))
+    flags = F.array(*(F.lit(i in (2, 5, 7)) for i in range(8)))
+    return rows.select("doc_id", sc.token_hanja_ratio(F.col("e"), F.col("d"), flags, 3).alias("ratio"))
 
 
-@query("ko9_transcribed", "SELECT * FROM (VALUES (0, '음악'), (1, '락'), (2, '여'), (3, '한국어 test'), (4, '가 한'), (5, 'ㄱ'), (6, 'ㅏ'), (7, '한국어a'), (8, '𠀀'), (9, '한국 a'), (10, ''), (11, '미술'), (12, '가나다 한 ab'), (13, 'plain')) t(id, out)")
+@query("ko9_transcribed", f"SELECT id, md5({_SAID}) AS out FROM {_MIXED}")
 def transcribed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark).select("id", sc.transcriber(ENTRIES)(F.col("s")).alias("out"))
+    return _texts(spark, sf_dir).select("id", F.md5(sc.transcriber(ENTRIES)(F.col("s"))).alias("out"))
 
 
-@query("ko9_single_characters", f"SELECT id, translate(s, '美術女韓國語音樂', '미술여한국어음락') AS out FROM {_VALUES}")
+@query("ko9_single_characters", f"SELECT id, md5(translate(s, '美術女韓國語音樂', '미술여한국어음락')) AS out FROM {_MIXED}")
 def single_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark).select("id", sc.transcribe_single(F.col("s"), ENTRIES).alias("out"))
+    return _texts(spark, sf_dir).select("id", F.md5(sc.transcribe_single(F.col("s"), ENTRIES)).alias("out"))
 
 
-@query("ko11_initial_sound", "SELECT * FROM (VALUES ('녀', '여'), ('락', '락'), ('로', '노')) t(s, out)")
+@query("ko11_initial_sound", f"SELECT c, translate(c, '녀라로례리', '여나노예이') AS out FROM {_CHARS}")
 def initial_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("녀",), ("락",), ("로",)], "s string")
-    return rows.select("s", sc.initial_sound(F.col("s")).alias("out"))
+    return _characters(spark, sf_dir).select("c", sc.initial_sound(F.col("c")).alias("out"))
 
 
-@query("ko14_split_by_script", f"SELECT id, array_to_string(list_filter(flatten(list_transform(regexp_extract_all(s, '[{_HANJA}]+|[^{_HANJA}]+'), lambda r: regexp_split_to_array(r, '\\s+'))), lambda x: x <> ''), '|') AS parts FROM {_VALUES}")
+@query("ko14_split_by_script", f"SELECT id, md5(array_to_string(list_filter(flatten(list_transform(regexp_extract_all(s, '[{_HANJA}]+|[^{_HANJA}]+'), lambda r: regexp_split_to_array(r, '\\s+'))), lambda x: x <> ''), '|')) AS parts FROM {_MIXED}")
 def split_by_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark).select("id", F.array_join(sc.split_by_script(F.col("s")), "|").alias("parts"))
+    return _texts(spark, sf_dir).select("id", F.md5(F.array_join(sc.split_by_script(F.col("s")), "|")).alias("parts"))
+
 
+#: Three jamo of a syllable c in SQL, with {0} for no tail.
+_CODE = "(unicode(c) - 44032)"
+_JAMO = (
+    f"substr('{''.join(sc.LEADS)}', CAST({_CODE} // 588 + 1 AS INTEGER), 1) || substr('{''.join(sc.VOWELS)}', CAST({_CODE} % 588 // 28 + 1 AS INTEGER), 1)"
+    f" || substr('{{0}}{''.join(sc.TAILS[1:])}', CAST({_CODE} % 28 + 1 AS INTEGER), 1)"
+)
+_SYLLABLE = "unicode(c) BETWEEN 44032 AND 55203"
+_THREE = f"CASE WHEN {_SYLLABLE} THEN {_JAMO} WHEN unicode(c) BETWEEN 12593 AND 12622 THEN c || '{{0}}{{0}}' WHEN unicode(c) BETWEEN 12623 AND 12643 THEN '{{0}}' || c || '{{0}}'"
+_ALL = "array_to_string(list_transform(regexp_extract_all(s, '(?s).'), lambda c: {0}), '')"
 
-@query("ko15_decomposed", "SELECT * FROM (VALUES ('한', 'ㅎㅏㄴ'), ('가', 'ㄱㅏ '), ('ㄱ', 'ㄱ  '), ('ㅏ', ' ㅏ '), ('x', NULL)) t(c, parts)")
+
+@query("ko15_decomposed", f"SELECT c, {_THREE.format(' ')} END AS parts FROM {_CHARS}")
 def decomposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(c,) for c in "한가ㄱㅏx"], "c string")
     d = sc.decompose(F.col("c"))
-    return rows.select("c", F.concat(d["lead"], d["vowel"], d["tail"]).alias("parts"))
+    return _characters(spark, sf_dir).select("c", F.concat(d["lead"], d["vowel"], d["tail"]).alias("parts"))
 
 
-@query("ko16_composed", "SELECT * FROM (VALUES ('ㅎ', 'ㅏ', 'ㄴ', '한'), ('ㄱ', 'ㅏ', ' ', '가')) t(a, b, c, syllable)")
+@query("ko16_composed", f"SELECT c, c AS syllable FROM {_CHARS} WHERE {_SYLLABLE}")
 def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("ㅎ", "ㅏ", "ㄴ"), ("ㄱ", "ㅏ", " ")], "a string, b string, c string")
-    return rows.select("a", "b", "c", sc.compose(F.col("a"), F.col("b"), F.col("c")).alias("syllable"))
+    rows = _characters(spark, sf_dir).where(F.ascii("c").between(44032, 55203)).withColumn("d", sc.decompose(F.col("c")))
+    return rows.select("c", sc.compose(F.col("d.lead"), F.col("d.vowel"), F.col("d.tail")).alias("syllable"))
 
 
-@query("ko17_is_korean", "SELECT * FROM (VALUES ('한', TRUE), ('ㄱ', TRUE), ('韓', FALSE), ('a', FALSE)) t(c, korean)")
+@query("ko17_is_korean", f"SELECT c, {_SYLLABLE} OR unicode(c) BETWEEN 12593 AND 12643 AS korean FROM {_CHARS}")
 def is_korean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("한",), ("ㄱ",), ("韓",), ("a",)], "c string")
-    return rows.select("c", sc.is_korean(F.col("c")).alias("korean"))
+    return _characters(spark, sf_dir).select("c", sc.is_korean(F.col("c")).alias("korean"))
 
 
-@query("ko18_jamo_sentence", "SELECT * FROM (VALUES ('가 한', 'ㄱㅏ- ㅎㅏㄴ'), ('ㄱ', 'ㄱ--'), ('ㅏ', '-ㅏ-'), ('한  a', 'ㅎㅏㄴ a')) t(s, jamo)")
+@query("ko18_jamo_sentence", rf"SELECT id, md5(regexp_replace({_ALL.format(_THREE.format('-') + ' ELSE c END')}, '\s+', ' ', 'g')) AS jamo FROM {_MIXED}")
 def jamo_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("가 한",), ("ㄱ",), ("ㅏ",), ("한  a",)], "s string")
-    return rows.select("s", sc.jamo_sentence(F.col("s")).alias("jamo"))
+    return _texts(spark, sf_dir).select("id", F.md5(sc.jamo_sentence(F.col("s"))).alias("jamo"))
 
 
-@query("ko19_jamo_to_word", "SELECT * FROM (VALUES ('ㄱㅏ- ㅎㅏㄴ', '가 한'), ('ㅎㅏㄴa', '한a')) t(s, word)")
+@query("ko19_jamo_to_word", rf"SELECT id, md5(regexp_replace(replace(replace(s, 'ㄱ', 'ㄱ--'), 'ㅏ', '-ㅏ-'), '\s+', ' ', 'g')) AS word FROM {_MIXED}")
 def jamo_to_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("ㄱㅏ- ㅎㅏㄴ",), ("ㅎㅏㄴa",)], "s string")
-    return rows.select("s", sc.jamo_to_word(F.col("s")).alias("word"))
+    """Back from jamo; a single jamo is no whole syllable and keeps its dashes."""
+    return _texts(spark, sf_dir).select("id", F.md5(sc.jamo_to_word(sc.jamo_sentence(F.col("s")))).alias("word"))
 
 
-@query("ko20_keep_cjk", "SELECT * FROM (VALUES ('韓國 abc 12(가)!', '韓國  12(가)'), ('あx。', 'あ')) t(s, kept)")
+@query("ko20_keep_cjk", rf"SELECT id, md5(regexp_replace(s, '[^{_HANJA}\x{{31C0}}-\x{{31EF}}\x{{2FF0}}-\x{{2FFF}}\x{{AC00}}-\x{{D7A3}}ㄱ-ㅎㅏ-ㅣ·ぁ-ゔァ-ヴー々〆〤【】『』「」() 0-9]+', '', 'g')) AS kept FROM {_MIXED}")
 def keep_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("韓國 abc 12(가)!",), ("あx。",)], "s string")
-    return rows.select("s", sc.keep_cjk(F.col("s")).alias("kept"))
+    return _texts(spark, sf_dir).select("id", F.md5(sc.keep_cjk(F.col("s"))).alias("kept"))
 
 
-@query("ko21_annotated", "SELECT * FROM (VALUES ('音樂', '音樂(음악)'), ('가', '가')) t(s, out)")
+@query("ko21_annotated", f"SELECT s, CASE WHEN regexp_matches(s, '[{_HANJA}]') THEN s || '(' || {_SAID} || ')' ELSE s END AS out FROM {_WORDS}")
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("音樂",), ("가",)], "s string")
-    return rows.select("s", sc.annotated(F.col("s"), sc.transcriber(ENTRIES)(F.col("s"))).alias("out"))
+    return _words(spark, sf_dir).select("s", sc.annotated(F.col("s"), sc.transcriber(ENTRIES)(F.col("s"))).alias("out"))
+
+
+def _blanks(text: str) -> list[str]:
+    return [w for w in text.split(" ") if w]
 
 
-@query("ko22_morphemes", "SELECT * FROM (VALUES ('韓國語 test', '韓國語|test'), ('音樂 美術', '音樂|美術')) t(s, parts)")
+@query("ko22_morphemes", f"SELECT id, CAST(len(x) AS INTEGER) AS n, md5(array_to_string(x, '|')) AS parts FROM (SELECT id, list_filter(string_split(s, ' '), lambda w: w <> '') AS x FROM {_MIXED})")
 def morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("韓國語 test",), ("音樂 美術",)], "s string")
-    return rows.select("s", F.array_join(sc.morphemes(str.split, ENTRIES)(F.col("s")), "|").alias("parts"))
+    rows = _texts(spark, sf_dir).select("id", sc.morphemes(_blanks, ENTRIES)(F.col("s")).alias("x"))
+    return rows.select("id", F.size("x").alias("n"), F.md5(F.array_join("x", "|")).alias("parts"))
 
 
 @query("ko23_without_stopwords", "SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda w: w NOT IN ('the', 'and', 'of'))) AS INTEGER) AS n FROM documents")
@@ -124,28 +155,48 @@ def without_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n"))
 
 
-@query("ko24_script_tag", f"SELECT id, CASE WHEN regexp_matches(s, '[{sc.HANJA_BMP}]') THEN '<hanja>' ELSE '<hangul>' END AS tag FROM {_VALUES}")
+@query("ko24_script_tag", f"SELECT s, CASE WHEN regexp_matches(s, '[{sc.HANJA_BMP}]') THEN '<hanja>' ELSE '<hangul>' END AS tag FROM {_WORDS}")
 def script_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark).select("id", sc.script_tag(F.col("s")).alias("tag"))
+    return _words(spark, sf_dir).select("s", sc.script_tag(F.col("s")).alias("tag"))
 
 
-@query("ko25_direction", "SELECT * FROM (VALUES ('音樂', 'hangul_to_hanja', '음악', '音樂'), ('音樂', 'hanja_to_hangul', '音樂', '음악'), ('音樂', 'none', '音樂', '音樂')) t(s, way, encoder, decoder)")
+@query("ko25_direction", f"SELECT id, md5(CASE WHEN id % 3 = 0 THEN {_SAID} ELSE s END) AS encoder, md5(CASE WHEN id % 3 = 1 THEN {_SAID} ELSE s END) AS decoder FROM {_MIXED}")
 def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("音樂", w) for w in ("hangul_to_hanja", "hanja_to_hangul", "none")], "s string, way string")
-    d = sc.direction(F.col("s"), sc.transcriber(ENTRIES)(F.col("s")), F.col("way"))
-    return rows.select("s", "way", d["encoder"].alias("encoder"), d["decoder"].alias("decoder"))
+    k = F.col("id") % 3
+    way = F.when(k == 0, "hangul_to_hanja").when(k == 1, "hanja_to_hangul").otherwise("none")
+    d = sc.direction(F.col("s"), sc.transcriber(ENTRIES)(F.col("s")), way)
+    return _texts(spark, sf_dir).select("id", d.alias("d")).select("id", F.md5("d.encoder").alias("encoder"), F.md5("d.decoder").alias("decoder"))
 
 
-@query("src7_dictionary", "SELECT * FROM (VALUES ('樂', '악'), ('音樂', '음악')) t(hanja, hangul)")
+@query("src7_dictionary", rf"SELECT s AS hanja, CASE WHEN length(s) > 3 THEN {_SAID} ELSE translate(s, '美術女韓國語音樂', '미술녀한국어음락') END AS hangul FROM {_WORDS} WHERE regexp_full_match(s, '[{_HANJA}]+')")
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = [("# note", 0, 0), ("樂\t락", 0, 1), ("", 0, 2), ("bad line", 0, 3), ("音樂\t음악", 0, 4), ("樂\t악", 1, 0)]
-    return sc.dictionary(spark.createDataFrame(lines, "value string, priority int, position int"))
+    """Two files of lines: the later one holds the longer words anew; comments and lines without two parts are between."""
+    words = _words(spark, sf_dir).where(sc.is_all_hanja(F.col("s")))
+    plain = F.translate("s", "美術女韓國語音樂", "미술녀한국어음락")
+    line = lambda rows, said, n: rows.select(F.concat("s", F.lit("\t"), said).alias("value"), F.lit(n).alias("priority"), F.lit(0).alias("position"))
+    names = table(spark, sf_dir, "region").select(F.explode(F.array(F.concat(F.lit("# "), "r_name", F.lit("\tx")), F.col("r_name"), F.lit(" "))).alias("value"), F.lit(2).alias("priority"), F.lit(0).alias("position"))
+    later = words.where(F.length("s") > 3)
+    return sc.dictionary(line(words, plain, 0).unionByName(line(later, sc.transcriber(ENTRIES)(F.col("s")), 1)).unionByName(names))
 
 
-@query("flt14_kana", "SELECT * FROM (VALUES ('ひら', TRUE), ('カナ', TRUE), ('漢字', FALSE)) t(s, kana)")
+@query("flt14_kana", f"SELECT s, regexp_matches(s, '[あカ]') AS kana FROM {_WORDS}")
 def kana(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("ひら",), ("カナ",), ("漢字",)], "s string")
-    return rows.select("s", sc.has_kana(F.col("s")).alias("kana"))
+    return _words(spark, sf_dir).select("s", sc.has_kana(F.col("s")).alias("kana"))
+
+
+@query("flt5_contains_hanja", f"SELECT s FROM {_WORDS} WHERE regexp_matches(s, '[音樂韓國語女美術]')")
+def contains_hanja(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).where(sc.has_hanja(F.col("s"), bmp_only=True))
+
+
+@query("ss3_hanja_routes", f"SELECT id, CASE WHEN ratio >= 0.5 THEN 'hanja_heavy' ELSE 'hanja_light' END AS buffer FROM {_RATIO}")
+def hanja_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("id", sc.hanja_class(sc.hanja_ratio(F.col("s")), 0.5).alias("buffer"))
+
+
+@query("ko13_unified", f"SELECT id, md5(translate(s, '\uf914\uf90a', '樂金')) AS s FROM {_MIXED}")
+def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("id", F.md5(sc.unified(F.col("s"))).alias("s"))
 
 
 # --- general text ------------------------------------------------------------------------------------------------
