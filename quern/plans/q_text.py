@@ -239,13 +239,12 @@ def url_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.url_tail(m).alias("tail"))
 
 
-_META = "(VALUES (1, '연도: 1929 시기'), (2, '없음'), (3, '연도:1888'), (4, '연도: 19')) t(id, m)"
-
-
-@query("tx6_year_from_metadata", rf"SELECT id, TRY_CAST(nullif(regexp_extract(m, '연도:\s*(\d{{4}})', 1), '') AS INTEGER) AS year FROM {_META}")
+@query("tx6_year_from_metadata", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders")
 def year_from_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "연도: 1929 시기"), (2, "없음"), (3, "연도:1888"), (4, "연도: 19")], "id int, m string")
-    return rows.select("id", tx.year_from_metadata(F.col("m")).alias("year"))
+    """Two spellings of a year, one of two digits alone, and none."""
+    k, year = F.col("o_orderkey") % 4, F.year("o_orderdate").cast("string")
+    m = F.when(k == 0, F.concat(F.lit("연도: "), year, F.lit(" 시기"))).when(k == 1, F.concat(F.lit("연도:"), year)).when(k == 2, F.concat(F.lit("연도: "), F.substring(year, 1, 2)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.year_from_metadata(m.otherwise("없음")).alias("year"))
 
 
 @query("tx7_year_of", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS by_date, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey AS INTEGER) END AS by_text FROM orders")
@@ -260,42 +259,46 @@ def year_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.year_bucket(F.year("o_orderdate"), 1995, 5).alias("bucket"))
 
 
-@query("tx9_temporal_label", "SELECT * FROM (VALUES (1923, '1920년대'), (1500, '1500년대'), (1392, '14세기'), (2001, '2000년대')) t(year, label)")
+@query("tx9_temporal_label", "SELECT o_orderkey, CASE WHEN y >= 1500 THEN y // 10 || '0년대' ELSE (y // 100 + 1) || '세기' END AS label FROM (SELECT o_orderkey, 1000 + o_orderkey % 1030 AS y FROM orders)")
 def temporal_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1923,), (1500,), (1392,), (2001,)], "year int")
-    return rows.select("year", tx.temporal_label(F.col("year")).alias("label"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.temporal_label(F.col("o_orderkey") % 1030 + 1000).alias("label"))
 
 
-@query("tx10_parse_temporal", "SELECT * FROM (VALUES ('1920년대', 1920), ('920년대', 925), ('14세기', 1350), ('x', NULL)) t(s, year)")
+@query("tx10_parse_temporal", "SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN year(o_orderdate) WHEN 1 THEN 105 + o_orderkey % 900 WHEN 2 THEN (9 + o_orderkey % 11) * 100 + 50 END AS INTEGER) AS year FROM orders")
 def parse_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("1920년대",), ("920년대",), ("14세기",), ("x",)], "s string")
-    return rows.select("s", tx.parse_temporal(F.col("s")).alias("year"))
+    """Predictions of a year, a decade of three digits, a century, and nothing."""
+    k, of = F.col("o_orderkey"), lambda n: F.col("o_orderkey") % n
+    said = F.when(k % 4 == 0, F.concat(F.lit("약 "), F.year("o_orderdate").cast("string"), F.lit("년")))
+    said = said.when(k % 4 == 1, F.concat((of(900) + 100).cast("string"), F.lit("년대"))).when(k % 4 == 2, F.concat((of(11) + 10).cast("string"), F.lit("세기 무렵")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.parse_temporal(said.otherwise("알 수 없음")).alias("year"))
 
 
-@query("tx11_parse_score", "SELECT * FROM (VALUES ('score 7.2', CAST(5 AS DOUBLE), FALSE), ('none', CAST(2.5 AS DOUBLE), TRUE), ('3', CAST(3 AS DOUBLE), FALSE)) t(s, score, failed)")
+@query("tx11_parse_score", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN CAST(2.5 AS DOUBLE) ELSE CAST(least(o_orderkey % 80 / 10, 5) AS DOUBLE) END AS score, o_orderkey % 5 = 0 AS failed FROM orders")
 def parse_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("score 7.2",), ("none",), ("3",)], "s string")
-    p = tx.parse_score(F.col("s"))
-    return rows.select("s", p["score"].alias("score"), p["failed"].alias("failed"))
+    k = F.col("o_orderkey") % 80
+    said = F.when(F.col("o_orderkey") % 5 == 0, "no number").otherwise(F.concat(F.lit("score "), F.floor(k / 10).cast("string"), F.lit("."), (k % 10).cast("string"), F.lit(" of 5")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.parse_score(said).alias("p")).select("o_orderkey", "p.score", "p.failed")
 
 
-@query("tx12_match_label", "SELECT * FROM (VALUES ('politics', 1), ('it is sports', 0), ('?', NULL)) t(s, label)")
+@query("tx12_match_label", "SELECT doc_id, CAST(CASE WHEN doc_id % 3 < 2 AND lang IN ('fr', 'en', 'de') THEN list_position(['fr', 'en', 'de'], lang) - 1 END AS INTEGER) AS label FROM documents")
 def match_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("politics",), ("it is sports",), ("?",)], "s string")
-    return rows.select("s", tx.match_label(F.col("s"), ["sports", "politics"]).alias("label"))
+    k = F.col("doc_id") % 3
+    said = F.when(k == 0, F.concat(F.lit(" "), "lang", F.lit(" "))).when(k == 1, F.concat(F.lit("it is "), "lang", F.lit("."))).otherwise("?")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.match_label(said, ["fr", "en", "de"]).alias("label"))
 
 
-@query("tx13_answer_after", "SELECT * FROM (VALUES ('<|think|>a<|assistant|> b <|end_of_turn|>c', 'b', TRUE), ('plain', 'plain', FALSE)) t(s, answer, parsed)")
+@query("tx13_answer_after", "SELECT conv_id, turn, trim(string_split(string_split(string_split(s, '<|assistant|>')[-1], '<|end_of_turn|>')[1], '</s>')[1], ' ') AS answer, contains(s, '<|assistant|>') AS parsed FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN text ELSE '<|think|>' || role || '<|assistant|> ' || text || ' <|end_of_turn|>rest' END AS s FROM conversations)")
 def answer_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("<|think|>a<|assistant|> b <|end_of_turn|>c",), ("plain",)], "s string")
-    a = tx.answer_after(F.col("s"))
-    return rows.select("s", a["answer"].alias("answer"), a["parsed"].alias("parsed"))
+    said = F.when(F.col("role") == "user", F.col("text")).otherwise(F.concat(F.lit("<|think|>"), "role", F.lit("<|assistant|> "), "text", F.lit(" <|end_of_turn|>rest")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.answer_after(said).alias("a")).select("conv_id", "turn", "a.answer", "a.parsed")
 
 
-@query("tx15_nfkc", "SELECT * FROM (VALUES (1, 'ABC fi'), (2, 'x y')) t(id, out)")
+@query("tx15_nfkc", "SELECT p_partkey, p_name || ' fi 1' AS out FROM part")
 def nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "ＡＢＣ  ﬁ"), (2, " x\ty ")], "id int, s string")
-    return rows.select("id", tx.nfkc(F.col("s")).alias("out"))
+    """Names in full-width letters, with a ligature, a raised digit and more blanks."""
+    low = "abcdefghijklmnopqrstuvwxyz"
+    wide = F.translate("p_name", low, "".join(chr(ord(c) + 0xFEE0) for c in low))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.nfkc(F.concat(F.lit(" "), wide, F.lit("　 ﬁ\t¹ "))).alias("out"))
 
 
 @query("tx15_collapsed", r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents")
@@ -303,16 +306,19 @@ def collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.collapse_spaces(F.col("text"))).alias("digest"))
 
 
-@query("tx16_byte_placeholders", "SELECT * FROM (VALUES (1, 'a한b'), (2, '�')) t(id, out)")
+@query("tx16_byte_placeholders", "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN text || '�' ELSE text END) AS out FROM documents")
 def byte_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "a<0xED><0x95><0x9C>b"), (2, "<0xED>")], "id int, s string")
-    return rows.select("id", tx.byte_placeholders(F.col("s")).alias("out"))
+    """Every byte of a text as a placeholder, in each third one with a broken character at the end."""
+    made = F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(..)", "<0x$1>")
+    made = F.when(F.col("doc_id") % 3 == 0, F.concat(made, F.lit("<0xED>"))).otherwise(made)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.byte_placeholders(made)).alias("out"))
 
 
-@query("tx17_split_specials", "SELECT * FROM (VALUES ('a<s>b</s>', 'a|<s>|b|</s>'), ('plain', 'plain')) t(s, parts)")
+@query("tx17_split_specials", "SELECT doc_id, CAST(len(x) AS INTEGER) AS n, md5(array_to_string(x, chr(1))) AS parts FROM (SELECT doc_id, list_filter(string_split(replace(replace(replace(replace(text, ' the ', '<s>'), '. ', '</s>'), '<s>', chr(1) || '<s>' || chr(1)), '</s>', chr(1) || '</s>' || chr(1)), chr(1)), lambda p: p <> '') AS x FROM documents)")
 def split_specials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("a<s>b</s>",), ("plain",)], "s string")
-    return rows.select("s", F.array_join(tx.split_specials(F.col("s"), ["<s>", "</s>"]), "|").alias("parts"))
+    s = F.replace(F.replace("text", F.lit(" the "), F.lit("<s>")), F.lit(". "), F.lit("</s>"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.split_specials(s, ["<s>", "</s>"]).alias("x"))
+    return rows.select("doc_id", F.size("x").alias("n"), F.md5(F.array_join("x", "\x01")).alias("parts"))
 
 
 @query("tx18_utf8_length", "SELECT doc_id, CAST(greatest(octet_length(encode(text)), 1) AS INTEGER) AS n FROM documents")
@@ -320,10 +326,10 @@ def utf8_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.utf8_length(F.col("text"), 1).alias("n"))
 
 
-@query("tx19_strip_echo", "SELECT * FROM (VALUES ('Translate: 한국어', '한국어'), ('no echo', 'no echo')) t(s, out)")
+@query("tx19_strip_echo", "SELECT conv_id, turn, CASE WHEN instr(substr(s, 1, 60), ': ') > 0 THEN substr(s, instr(s, ': ') + 2) ELSE s END AS out FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || ': ' || text ELSE text END AS s FROM conversations)")
 def strip_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("Translate: 한국어",), ("no echo",)], "s string")
-    return rows.select("s", tx.strip_echo(F.col("s")).alias("out"))
+    said = F.when(F.col("turn") % 2 == 0, F.concat("role", F.lit(": "), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.strip_echo(said).alias("out"))
 
 
 @query("tx21_pair_text", "SELECT conv_id, turn, concat('sentence1: ', role, ' sentence2: ', text) AS pair, printf('%.1f', CAST(turn AS DOUBLE)) AS score FROM conversations")
@@ -346,10 +352,10 @@ def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("item_id", "pos", F.size("g").alias("n"), F.md5(F.array_join("g", "|")).alias("digest"))
 
 
-@query("tx23_ngrams_of_sizes", "SELECT * FROM (VALUES ('한국어a', '한국|한국어|국어|국어a|어a')) t(w, g)")
+@query("tx23_ngrams_of_sizes", f"SELECT item_id, pos, string_agg(substr(w, CAST(i AS INTEGER), k), '|' ORDER BY i, k) AS g FROM (SELECT item_id, pos, w, unnest(range(1, length(w) + 1)) AS i FROM {_BENCH}), (VALUES (1), (3)) b(k) WHERE i + k - 1 <= length(w) AND NOT (k = 1 AND i IN (1, length(w))) GROUP BY item_id, pos")
 def ngrams_of_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("한국어a",)], "w string")
-    return rows.select("w", F.array_join(tx.ngrams_of(F.col("w"), [2, 3]), "|").alias("g"))
+    g = _bench(spark, sf_dir).select("item_id", "pos", tx.ngrams_of(F.col("w"), [1, 3]).alias("g")).where(F.size("g") > 0)
+    return g.select("item_id", "pos", F.array_join("g", "|").alias("g"))
 
 
 @query("tx24_fnv1a32", f"SELECT item_id, pos, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(w, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, b: (xor(h, b) * CAST(16777619 AS BIGINT)) & CAST(4294967295 AS BIGINT)) AS BIGINT) AS h FROM {_BENCH}")
