@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import numeric as nm
 from quern.operators import metrics as ev
+from quern.plans.q_tokens import _IDS, _ids
 from quern.plans.sql import U
 from quern.queryset import query, table
 
@@ -163,16 +164,26 @@ def token_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ev.token_metrics(_logits(spark, sf_dir), "v", "label"), "loss", "perplexity", "accuracy", digits=6)
 
 
-@query("ev18_aligned_accuracy", "SELECT * FROM (VALUES (1, CAST(0.75 AS DOUBLE), CAST(0.75 AS DOUBLE)), (2, CAST(0.5 AS DOUBLE), CAST(1 AS DOUBLE)), (3, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE))) t(id, aligned, spaceless)")
+_EDITED = "(SELECT conv_id, turn, text AS r, CASE turn % 3 WHEN 0 THEN text || 'x' WHEN 1 THEN replace(text, 'e', 'E') ELSE ' ' || replace(text, ' ', '') END AS c FROM conversations)"
+_HITS = "coalesce(CAST(len(list_filter(range(1, length({0}) + 1), lambda i: substr({0}, i, 1) = substr({1}, i, 1))) AS DOUBLE) / nullif(length({0}), 0), 0)"
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with a character more, another letter, or other blanks."""
+    k, text = F.col("turn") % 3, F.col("text")
+    c = F.when(k == 0, F.concat(text, F.lit("x"))).when(k == 1, F.replace(text, F.lit("e"), F.lit("E"))).otherwise(F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit(""))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("r"), c.alias("c"))
+
+
+@query("ev18_aligned_accuracy", rf"SELECT conv_id, turn, {_HITS.format('r', 'c')} AS aligned, {_HITS.format('r2', 'c2')} AS spaceless FROM (SELECT *, regexp_replace(r, '\s+', '', 'g') AS r2, regexp_replace(c, '\s+', '', 'g') AS c2 FROM {_EDITED})")
 def aligned_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "韓國語文", "韓國語x"), (2, "ab c", "a bc"), (3, "", "x")], "id int, r string, c string")
-    return rows.select("id", ev.aligned_accuracy(F.col("r"), F.col("c")).alias("aligned"), ev.aligned_accuracy(F.col("r"), F.col("c"), True).alias("spaceless"))
+    r, c = F.col("r"), F.col("c")
+    return _edited(spark, sf_dir).select("conv_id", "turn", ev.aligned_accuracy(r, c).alias("aligned"), ev.aligned_accuracy(r, c, True).alias("spaceless"))
 
 
-@query("ev18_block_recall", "SELECT * FROM (VALUES (1, CAST(0.75 AS DOUBLE)), (2, CAST(1 AS DOUBLE))) t(id, recall)")
+@query("ev18_block_recall", rf"SELECT conv_id, turn, CASE WHEN n = 0 THEN 0.0 WHEN turn % 3 = 1 THEN (n - k) / n ELSE 1.0 END AS recall FROM (SELECT conv_id, turn, CAST(length(regexp_replace(r, '\s+', '', 'g')) AS DOUBLE) AS n, length(r) - length(replace(r, 'e', '')) AS k FROM {_EDITED})")
 def block_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "abcd", "xabc"), (2, "a b", "ab")], "id int, r string, c string")
-    return rows.select("id", ev.block_recall(F.col("r"), F.col("c")).alias("recall"))
+    return _edited(spark, sf_dir).select("conv_id", "turn", ev.block_recall(F.col("r"), F.col("c")).alias("recall"))
 
 
 @query("ev19_drift", f"WITH g AS (SELECT list_max(list_transform(range(1, 11), lambda i: abs(CAST(v[i] AS DOUBLE) - CAST(u[i] AS DOUBLE)))) AS d, list_position(v, list_max(v)) = list_position(u, list_max(u)) AS same FROM {_LOGITS}) SELECT round(avg(CAST(same AS INTEGER)), 6) AS agreement, round(quantile_cont(d, 0.5), 6) AS drift_p50, round(quantile_cont(d, 0.99), 6) AS drift_p99, round(max(d), 6) AS drift_max FROM g")
@@ -242,10 +253,9 @@ def repetition_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(nm.repetition_penalty(x, F.col("label") < 5, 1.2), 9).alias("logit"))
 
 
-@query("nm4_blocked_ngrams", "SELECT * FROM (VALUES (1, '3 5'), (2, '')) t(id, blocked)")
+@query("nm4_blocked_ngrams", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(range(1, len(ids) - 1), lambda i: ids[i] = ids[len(ids) - 1] AND ids[i + 1] = ids[len(ids)]), lambda i: ids[i + 2]))), ' ') AS blocked FROM {_IDS}")
 def blocked_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [1, 2, 3, 1, 2, 5, 1, 2]), (2, [1, 2, 3])], "id int, ids array<int>")
-    return rows.select("id", F.array_join(nm.blocked_ngrams(F.col("ids"), 3).cast("array<string>"), " ").alias("blocked"))
+    return _ids(spark, sf_dir).select("doc_id", F.array_join(nm.blocked_ngrams(F.col("ids"), 3).cast("array<string>"), " ").alias("blocked"))
 
 
 _G = f"(SELECT l_orderkey, l_linenumber, l_quantity / 10 - ln(-ln(greatest({U(42, 'l_orderkey').replace('CAST(l_orderkey AS VARCHAR)', 'CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)')}, 1e-10))) AS s FROM lineitem)"

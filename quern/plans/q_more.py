@@ -115,18 +115,6 @@ def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("doc_id", tk.count_labelled(labels).alias("n"))
 
 
-@query("tk20_plain_tokens", "SELECT * FROM (VALUES ('word'), ('한')) t(token)")
-def plain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("word",), ("한",), ("<0x0A>",), ("<extra_id_3>",)], "token string")
-    return rows.where(~tk.is_extended(F.col("token")))
-
-
-@query("tk6_byte_spans", "SELECT * FROM (VALUES (1, '100 1097 1098 101')) t(id, ids)")
-def byte_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [100, 1000 + 97, 1000 + 98, 101])], "id int, ids array<int>")
-    return rows.select("id", _text(tk.byte_spans_to_tokens(F.col("ids"), F.lit(1000), F.lit(0))).alias("ids"))
-
-
 @query("cr17_heavy_denoising")
 def heavy_denoising(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heavy configuration: half of the tokens in spans of 32 on average."""
@@ -147,13 +135,14 @@ def denoiser_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(config.parse_denoisers("3,8;0.15,0.5"), "mean double, ratio double")
 
 
-_TASKS = [("instruction", None, "t", "a", None), ("summarization", "p", "long", None, "short"), ("cot", "p", "q", "a", None), ("multiple_choice", "p", "q", "b", None)]
-
-
-@query("ts11_task_adapters", """SELECT * FROM (VALUES ('instruction', 'Follow the instruction.', 't', 'a'), ('summarization', 'p', 'long', 'short'), ('cot', 'p', 'q', 'a'), ('multiple_choice', 'p', 'q', 'b')) t(handler, prompt_text, input, output)""")
+@query("ts11_task_adapters", """SELECT conv_id, turn, handler, CASE WHEN handler = 'instruction' THEN 'Follow the instruction.' ELSE role END AS prompt_text, text AS input, CASE WHEN handler = 'summarization' THEN 'short' ELSE role END AS output
+   FROM (SELECT *, (['instruction', 'summarization', 'cot', 'multiple_choice'])[turn % 4 + 1] AS handler FROM conversations WHERE text <> '')""")
 def task_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_TASKS, "data_type string, metadata string, input_text string, target_text string, summary string")
-    return ts.supervised(ts.routed(rows)).select("handler", "prompt_text", "input", "output")
+    """Turns as rows of four tasks, that of a turn by its number."""
+    names = F.array(*(F.lit(n) for n in ("instruction", "summarization", "cot", "multiple_choice")))
+    kind = F.element_at(names, (F.col("turn") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", kind.alias("data_type"), F.when(kind != "instruction", F.col("role")).alias("metadata"), F.col("text").alias("input_text"), F.col("role").alias("target_text"), F.when(kind == "summarization", "short").alias("summary"))
+    return ts.supervised(ts.routed(rows)).select("conv_id", "turn", "handler", "prompt_text", "input", "output")
 
 
 @query("pk6_truncated", f"SELECT doc_id, CAST(least(n_tokens, 128) AS BIGINT) AS n FROM {WORDS}")

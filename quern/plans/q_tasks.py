@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import tasks as ts
+from quern.plans.q_tokens import _IDS, _ids
 from quern.plans.sql import U
 from quern.queryset import query, table
 
@@ -63,13 +64,17 @@ def chat_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.join(a, ["conv_id", "turn"]).select("conv_id", "turn", ts.chat_encoder(system, F.col("user")).alias("encoder"), ts.chat_target(F.col("answer"), F.lit("t")).alias("target"))
 
 
-@query("ts15_chat_ids", "SELECT * FROM (VALUES (1, '90 5 91 6 7 93', '94 8 92 9', '8 92 9 93'), (2, '91 6 93', '92 9 9', '9 9 93')) t(id, input_ids, decoder_input_ids, labels)")
+_CUT = "CASE WHEN len({0}) > {1} THEN list_concat(list_slice({0}, 1, {1} - 1), [93]) ELSE {0} END"
+
+
+@query("ts15_chat_ids", f"""SELECT doc_id, array_to_string({_CUT.format('e', 40)}, ' ') AS input_ids, array_to_string(list_slice(t, 1, len(t) - 1), ' ') AS decoder_input_ids, array_to_string(list_slice(t, 2, len(t)), ' ') AS labels
+   FROM (SELECT doc_id, e, {_CUT.format('t', 31)} AS t FROM (SELECT doc_id, list_concat(CASE WHEN doc_id % 2 = 0 THEN [90, 5] ELSE [] END, [91], ids, [93]) AS e, list_concat(CASE WHEN doc_id % 3 = 0 THEN [94, 8] ELSE [] END, [92], ids, [93]) AS t FROM {_IDS}))""")
 def chat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [5], [6, 7], [9], [8]), (2, [], [6, 7, 7], [9, 9, 9, 9], [])], "id int, s array<int>, u array<int>, r array<int>, t array<int>")
     ids = {ts.SYSTEM: 90, ts.USER: 91, ts.ASSISTANT: 92, ts.END: 93, ts.THINK: 94}
-    made = rows.select("id", F.when(F.col("id") == 1, ts.chat_ids(F.col("s"), F.col("u"), F.col("r"), F.col("t"), ids, 8, 8)).otherwise(ts.chat_ids(F.col("s"), F.col("u"), F.col("r"), F.col("t"), ids, 3, 3)).alias("c"))
+    some = lambda n, x: F.when(F.col("doc_id") % n == 0, F.array(F.lit(x))).otherwise(F.array().cast("array<int>"))
+    made = _ids(spark, sf_dir).select("doc_id", ts.chat_ids(some(2, 5), F.col("ids"), F.col("ids"), some(3, 8), ids, 40, 30).alias("c"))
     text = lambda n: F.array_join(F.col(f"c.{n}").cast("array<string>"), " ").alias(n)
-    return made.select("id", text("input_ids"), text("decoder_input_ids"), text("labels"))
+    return made.select("doc_id", text("input_ids"), text("decoder_input_ids"), text("labels"))
 
 
 _TEMPLATE = "string_agg(CASE WHEN role = 'system' THEN '<|system|>' || text ELSE '<|' || role || '|>' || text || '<|end_of_turn|>' END, '' ORDER BY turn)"
@@ -91,12 +96,12 @@ def decade_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.decade_grid(table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("ts20_prompt_keys", """SELECT * FROM (VALUES (1, 'denoising:text:bart:shuffled:light|denoising:text:bart:shuffled|denoising:text:bart|denoising:text|denoising'),
-   (2, 'denoising:text:sentinel:heavy|denoising:text:sentinel|denoising:text|denoising'), (3, 'sts:text|sts')) t(id, keys)""")
+@query("ts20_prompt_keys", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace('denoising:text:bart:X:light|denoising:text:bart:X|denoising:text:bart|denoising:text|denoising', 'X', CASE WHEN n_chars > 500 THEN 'shuffled' ELSE 'no_shuffle' END)
+   WHEN 1 THEN 'denoising:text:sentinel:heavy|denoising:text:sentinel|denoising:text|denoising' ELSE 'sts:text|sts' END AS keys FROM documents""")
 def prompt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "denoising", "bart", True, "light"), (2, "denoising", "sentinel", False, "heavy"), (3, "sts", None, False, None)], "id int, t string, f string, s boolean, l string")
-    keys = ts.prompt_keys(F.col("t"), F.lit("text"), F.col("f"), F.col("s"), F.col("l"))
-    return rows.select("id", F.array_join(keys, "|").alias("keys"))
+    k = F.col("doc_id") % 3
+    keys = ts.prompt_keys(F.when(k < 2, "denoising").otherwise("sts"), F.lit("text"), F.when(k == 0, "bart").when(k == 1, "sentinel"), F.col("n_chars") > 500, F.when(k == 0, "light").when(k == 1, "heavy"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(keys, "|").alias("keys"))
 
 
 @query("ts21_prompts", f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Fill the masks and order the sentences.' WHEN 1 THEN 'Continue.'

@@ -37,10 +37,11 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("doc_id", _text(tk.encoder_ids(i, 2, F.lit(9))).alias("encoder"), _text(tk.decoder_ids(i, 2, F.lit(9))).alias("decoder"))
 
 
-@query("tk7_labels", "SELECT * FROM (VALUES (1, '5 6 2 7 2 9')) t(id, labels)")
+@query("tk7_labels", f"SELECT doc_id, array_to_string(list_concat(list_slice(ids, 1, 5), [2], list_slice(ids, 6, 9), [2], list_slice(ids, 10, len(ids)), [2, 9]), ' ') AS labels FROM {_IDS}")
 def assembled_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [[5, 6], [7]])], "id int, s array<array<int>>")
-    return rows.select("id", _text(tk.label_ids(F.col("s"), 2, F.lit(9))).alias("labels"))
+    i = F.col("ids")
+    parts = F.array(F.slice(i, 1, 5), F.slice(i, 6, 4), F.slice(i, F.lit(10), F.greatest(F.size(i) - 9, F.lit(0))))
+    return _ids(spark, sf_dir).select("doc_id", _text(tk.label_ids(parts, 2, F.lit(9))).alias("labels"))
 
 
 @query("tk8_padded", f"SELECT doc_id, array_to_string(list_slice(list_concat(ids, list_transform(range(32), lambda x: 0)), 1, 32), ' ') AS ids FROM {_IDS}")
@@ -91,10 +92,31 @@ def chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(made.items()), "token string, token_id int")
 
 
-@query("tk17_special_pieces", "SELECT * FROM (VALUES ('<extra_id_7>', TRUE), ('<0xE6>', TRUE), ('word', FALSE)) t(token, special)")
+#: Words of the benchmark, sentinels and byte pieces, as the pieces of a vocabulary.
+_PIECES = f"(SELECT DISTINCT w AS token, FALSE AS special FROM {_BENCH} UNION ALL SELECT '<extra_id_' || item_id || '>', TRUE FROM benchmark UNION ALL SELECT printf('<0x%02X>', b), TRUE FROM range(256) r(b))"
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _bench(spark, sf_dir).select(F.col("w").alias("token")).distinct()
+    sentinels = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("<extra_id_"), F.col("item_id").cast("string"), F.lit(">")).alias("token"))
+    return words.unionByName(sentinels).unionByName(spark.range(256).select(F.format_string("<0x%02X>", "id").alias("token")))
+
+
+@query("tk17_special_pieces", f"SELECT token, special FROM {_PIECES}")
 def special_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("<extra_id_7>",), ("<0xE6>",), ("word",)], "token string")
-    return rows.select("token", tk.is_extended(F.col("token")).alias("special"))
+    return _pieces(spark, sf_dir).select("token", tk.is_extended(F.col("token")).alias("special"))
+
+
+@query("tk20_plain_tokens", f"SELECT token FROM {_PIECES} WHERE NOT special")
+def plain_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).where(~tk.is_extended(F.col("token")))
+
+
+@query("tk6_byte_spans", "SELECT doc_id, md5(array_to_string(list_concat([100], list_transform(regexp_extract_all(text, '(?s).'), lambda c: unicode(c) + 301000), [101]), ' ')) AS ids FROM documents")
+def byte_spans_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of a whole text between two sentinels, back to one id a character."""
+    ids = F.concat(F.array(F.lit(100)), tx.utf8_bytes(F.col("text"), 1000), F.array(F.lit(101)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(_text(tk.byte_spans_to_tokens(ids, F.lit(1000), F.lit(300_000)))).alias("ids"))
 
 
 @query("tk24_bucket_batch_sizes", "SELECT * FROM (VALUES (128, 256), (256, 128), (512, 64), (1024, 32), (2048, 16), (4096, 8), (8192, 4)) t(size, batch)")
@@ -288,10 +310,12 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "p.mode", "p.form", "p.training_mode")
 
 
-@query("cr12_training_mode", "SELECT * FROM (VALUES ('denoising_bart_shuffled_transcription_hangul_to_hanja'), ('continuation_sentinel'), ('temporal_continuation')) t(label)")
+@query("cr12_training_mode", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'denoising_bart' || CASE WHEN n_chars > 500 THEN '_shuffled' ELSE '' END || '_transcription_hangul_to_hanja' WHEN 1 THEN 'continuation_sentinel' ELSE 'temporal_continuation' END AS label FROM documents")
 def training_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("denoising", "bart", True, "hangul_to_hanja"), ("continuation", "sentinel", True, None), ("temporal_continuation", None, False, None)], "m string, f string, s boolean, t string")
-    return rows.select(cr.training_mode(F.col("m"), F.col("f"), F.col("s"), F.col("t")).alias("label"))
+    k = F.col("doc_id") % 3
+    mode = F.when(k == 0, "denoising").when(k == 1, "continuation").otherwise("temporal_continuation")
+    label = cr.training_mode(mode, F.when(k == 0, "bart").when(k == 1, "sentinel"), F.col("n_chars") > 500, F.when(k == 0, "hangul_to_hanja"))
+    return table(spark, sf_dir, "documents").select("doc_id", label.alias("label"))
 
 
 @query("cr14_byte_reconstruction")
@@ -318,7 +342,6 @@ def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _text(F.col("s.encoder")).alias("encoder"), _text(F.col("s.decoder")).alias("decoder"))
 
 
-@query("cr14_byte_spans", "SELECT * FROM (VALUES (199, 3), (200, 8), (499, 8), (500, 64)) t(n, span)")
+@query("cr14_byte_spans", "SELECT doc_id, CAST(CASE WHEN strlen(text) >= 500 THEN 64 WHEN strlen(text) >= 200 THEN 8 ELSE 3 END AS INTEGER) AS span FROM documents")
 def byte_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(199,), (200,), (499,), (500,)], "n int")
-    return rows.select("n", cr.byte_span(F.col("n")).alias("span"))
+    return table(spark, sf_dir, "documents").select("doc_id", cr.byte_span(F.octet_length("text")).alias("span"))
