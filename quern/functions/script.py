@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -211,34 +212,42 @@ def unified(text: Column) -> Column:
     return F.translate(text, "".join(known), "".join(known.values()))
 
 
+@cache
+def _jamo_table() -> dict[int, str]:
+    """Three jamo of each syllable and jamo, a dash for what is missing."""
+    whole = {44032 + i: LEADS[i // 588] + VOWELS[i % 588 // 28] + TAILS[i % 28] for i in range(11172)}
+    single = {c: f"{chr(c)}  " if c < 12623 else f" {chr(c)} " for c in range(12593, 12644)}
+    return {c: x.replace(" ", "-") for c, x in (whole | single).items()}
+
+
+@F.pandas_udf(T.StringType())
+def _to_jamo(texts: pd.Series) -> pd.Series:
+    table = _jamo_table()
+    return texts.map(lambda t: None if t is None else t.translate(table))
+
+
 def jamo_sentence(text: Column) -> Column:
-    """Three jamo for each Korean character, a dash for what is missing, and single blanks."""
-    three = lambda d: F.translate(F.concat(d["lead"], d["vowel"], d["tail"]), " ", "-")
-    out = F.transform(chars(text), lambda c: F.coalesce(three(decompose(c)), c))
-    return F.regexp_replace(F.array_join(out, ""), r"\s+", " ")
+    """Three jamo for each Korean character, a dash for what is missing, and single blanks.
+
+    By Arrow batches: Spark's translate puts one character for one, and a transform over all characters of whole texts
+    takes several times as long.
+    """
+    return F.regexp_replace(_to_jamo(text), r"\s+", " ")
+
+
+_WHOLE = re.compile(f"[{''.join(LEADS)}][{''.join(VOWELS)}][{''.join(TAILS)}-]")
 
 
 @F.pandas_udf(T.StringType())
 def jamo_to_word(jamo: pd.Series) -> pd.Series:
-    """Syllables of a jamo string, three at a time."""
-    korean = lambda c: 12593 <= ord(c) <= 12643 or 44032 <= ord(c) <= 55203
-
-    def one(s):
-        if s is None:
-            return None
-        out, i = [], 0
-        while i < len(s):
-            part = s[i : i + 3]
-            whole = korean(s[i]) and len(part) == 3 and part[0] in LEADS and part[1] in VOWELS
-            if whole:
-                tail = " " if part[2] == "-" else part[2]
-                out.append(chr(44032 + 588 * LEADS.index(part[0]) + 28 * VOWELS.index(part[1]) + TAILS.index(tail)))
-            else:
-                out.append(s[i])
-            i += 3 if whole else 1
-        return "".join(out)
+    """Syllables of a jamo string, three at a time; what makes no whole syllable stays."""
+    lead, vowel, tail = ({c: i for i, c in enumerate(part)} for part in (LEADS, VOWELS, TAILS))
+
+    def syllable(m):
+        a, b, c = m[0]
+        return chr(44032 + 588 * lead[a] + 28 * vowel[b] + tail.get(c, 0))
 
-    return jamo.map(one)
+    return jamo.map(lambda t: None if t is None else _WHOLE.sub(syllable, t))
 
 
 def keep_cjk(text: Column) -> Column:

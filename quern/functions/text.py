@@ -45,6 +45,11 @@ def sentences_short(text: Column) -> Column:
     return F.when(F.size(out) > 0, out).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
 
 
+def full_stops(text: Column) -> Column:
+    """Pieces between full stops; the whole text if there are none."""
+    return F.split(text, r"\.")
+
+
 def join_sentences(parts: Column, eos: str = "</s>") -> Column:
     return F.concat(F.array_join(parts, eos), F.lit(eos))
 

@@ -161,8 +161,8 @@ def jamo_bucket_table(vocab: DataFrame, token: str, sizes: list[int], transcribe
     distinct n-grams, plus one; all rows padded to the longest, aligned up. Byte and sentinel pieces have none."""
     from quern.functions import script, text
 
-    rows = vocab.select(token, (transcribe(F.col(token)) if transcribe else F.col(token)).alias("__w"))
-    grams = F.when(is_extended(F.col(token)), F.array().cast("array<string>")).otherwise(text.ngrams_of(script.jamo_sentence(F.col("__w")), sizes))
+    rows = vocab.select(token, script.jamo_sentence(transcribe(F.col(token)) if transcribe else F.col(token)).alias("__j"))
+    grams = F.when(is_extended(F.col(token)), F.array().cast("array<string>")).otherwise(text.ngrams_of(F.col("__j"), sizes))
     rows = rows.select(token, grams.alias("__g"))
     n = max(1, rows.select(F.explode("__g").alias("g")).distinct().count())
     width = -(-max(1, rows.agg(F.max(F.size("__g"))).first()[0] or 0) // align) * align
@@ -190,6 +190,26 @@ def byte_vocabulary(vocab: DataFrame, sentinels: int = 100, token: str = "token"
     return vocab.select(token, F.col(token_id).cast("int").alias(token_id)).unionByName(added)
 
 
+def sequence_length(length: Column) -> Column:
+    """A length, or 0 where it is missing or negative."""
+    return F.when(length >= 0, length).otherwise(0)
+
+
+def vocabulary_lookup(asked: DataFrame, vocab: DataFrame, unknown: int | str) -> DataFrame:
+    """Adds ids of tokens, or tokens of ids, by the column that both have; what is unknown gets the given one."""
+    (key,) = set(asked.columns) & {"token", "token_id"}
+    value = "token_id" if key == "token" else "token"
+    return asked.join(vocab.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(unknown)))
+
+
+def extended_rows(table: DataFrame, size: int, pad: int = 0) -> DataFrame:
+    """A feature table (token_id, features) up to a size: the padding token's row stands for each new token."""
+    first = table.agg(F.max("token_id") + 1).scalar()
+    new = table.sparkSession.range(size).where(F.col("id") >= first)
+    row = table.where(F.col("token_id") == pad).select("features").limit(1).scalar()
+    return table.select("token_id", "features").unionByName(new.select(F.col("id").cast(table.schema["token_id"].dataType).alias("token_id"), row.alias("features")))
+
+
 def is_extended(token: Column) -> Column:
     """Byte and sentinel pieces, which have no subword features."""
     return token.rlike(r"^<(extra_id_\d+|0x[0-9A-Fa-f]{2})>$")

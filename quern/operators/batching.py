@@ -130,6 +130,11 @@ def malformed(ids: Column, decoder_ids: Column) -> Column:
     return (F.coalesce(F.size(ids), F.lit(-1)) < 1) | (F.coalesce(F.size(decoder_ids), F.lit(-1)) < 1)
 
 
+def truncated(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
+    """Id arrays cut to a pack's length."""
+    return df.withColumns({c: F.slice(c, 1, limit) for c in columns})
+
+
 def standalone(df: DataFrame, ids: str, decoder_ids: str, limit: int, pad: int = 0) -> DataFrame:
     """Rows outside any pack: both sides cut and padded to limit, one segment, positions from 1. Malformed rows are left
     out; count them with ``malformed``."""

@@ -188,6 +188,17 @@ def aligned_accuracy(reference: Column, candidate: Column, ignore_spaces: bool =
     return F.coalesce(F.try_divide(hits.cast("double"), F.length(clean(reference)).cast("double")), F.lit(0.0))
 
 
+def category_accuracy(df: DataFrame, category: str, predicted: str, actual: str) -> DataFrame:
+    """Accuracy and size of each category."""
+    return df.groupBy(category).agg(mean_of(F.col(predicted) == F.col(actual)).alias("accuracy"), F.count("*").alias("n"))
+
+
+def segments_per_row(df: DataFrame, segments: str) -> DataFrame:
+    """One row: mean and largest number of segments of packed rows, by their segment ids from 1; 0 is padding."""
+    top = F.coalesce(F.array_max(segments), F.lit(0))
+    return df.agg(F.avg(top).alias("mean"), F.max(top).alias("top"))
+
+
 def choice_accuracy(df: DataFrame, example: str, candidate: str, logprob: str, n_bytes: str, correct: str, by: list[str] | None = None) -> DataFrame:
     """Accuracy of the candidate with the largest log-probability a byte, the first on ties."""
     best = F.max(F.struct((F.col(logprob) / F.col(n_bytes)).alias("s"), (-F.col(candidate)).alias("c"))).alias("__b")

@@ -123,6 +123,11 @@ def state(df: DataFrame, source: str = "source") -> DataFrame:
     return df.groupBy(source).agg(F.count("*").alias("consumed"), F.sum("n_tokens").alias("tokens"))
 
 
+def reset(counts: DataFrame) -> DataFrame:
+    """A state with the same sources and nothing consumed."""
+    return counts.withColumns({c: F.lit(0).cast("long") for c in ("consumed", "tokens")})
+
+
 def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return df.join(seen.select(key).distinct(), key, "left_anti")
 

@@ -125,10 +125,21 @@ def audit(df: DataFrame, keep: Column, member: Column, tail: Column) -> DataFram
 
 
 def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """count, mean, median, population deviation, min and max."""
-    v = F.col(value).cast("double")
-    aggs = [F.count(value).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")]
-    return df.groupBy(*(by or [])).agg(*aggs)
+    """count, mean, median, population deviation, min and max of each group.
+
+    The median comes from the counts of distinct values, ordered in buckets, so no reducer holds the values of a group.
+    """
+    by, v = by or [], F.col(value).cast("double")
+    rest = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    counts = df.where(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count("*").alias("__c"))
+    placed = row_running(counts, "__v", "__c", "__upto", by)
+    whole = placed.groupBy(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(by))).agg(F.max("__upto").alias("__n"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)), F.lit(True))
+    held = placed.join(whole, same)
+    middle = (_value_at(F.floor((F.col("__n") - 1) / 2)) + _value_at(F.floor(F.col("__n") / 2))) / 2
+    both = rest.unionByName(held.groupBy(*by).agg(middle.alias("median")), allowMissingColumns=True)
+    names = ("n", "mean", "median", "std", "min", "max")
+    return both.groupBy(*by).agg(*(F.max(c).alias(c) for c in names))
 
 
 def _placed(df: DataFrame, value: str) -> DataFrame:
@@ -273,6 +284,25 @@ def label_ids(df: DataFrame, label: str, name: str = "label_id") -> DataFrame:
     return df.join(ids.select(label, (F.col("__rn") - 1).cast("int").alias(name)), label, "left")
 
 
+def segment_ids(df: DataFrame, row: str, at: str, first: Column, name: str = "segment") -> DataFrame:
+    """Segments of a row from 0, each opened by a flag on its first position."""
+    w = Window.partitionBy(row).orderBy(at)
+    return df.withColumn(name, F.sum(first.cast("int")).over(w) - 1)
+
+
+def complete(df: DataFrame, required: list[str]) -> DataFrame:
+    """Rows with all required columns; a column that is not there at all is an error."""
+    if missing := [c for c in required if c not in df.columns]:
+        raise ValueError(f"no column {missing}")
+    return df.dropna(subset=required)
+
+
+def budget_counts(df: DataFrame, text: str, tokens: int, chars_per_token: int = 3) -> DataFrame:
+    """One row: how many texts fit into the characters of a number of tokens, and how many don't; null ones don't."""
+    fits = F.coalesce(F.length(text) <= tokens * chars_per_token, F.lit(False))
+    return df.agg(F.count_if(fits).alias("kept"), F.count_if(~fits).alias("dropped"))
+
+
 def top_k(df: DataFrame, group: str, score: str, index: str, k: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc(score), index)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.tokens import decoder_ids, encoder_ids, pad_to
 from quern.functions.text import first_text, pair_text, score_text
-from quern.operators.ranks import uniform
+from quern.operators.ranks import hash_key, uniform
 
 SYSTEM, USER, ASSISTANT, END, THINK = "<|system|>", "<|user|>", "<|assistant|>", "<|end_of_turn|>", "<|think|>"
 HANDLERS = (
@@ -162,6 +162,23 @@ def resolved_task(task: Column, transcription: Column, key: Column | str, seed:
     return F.when(transcription.isNotNull(), F.concat(F.lit("transcription_"), transcription)).when(task == "transcription", flip).otherwise(task)
 
 
+def chat_example(text: Column, prompt: Column | None = None) -> Column:
+    """Struct (metadata, original_text): a chat prompt and its text under the names that the tasks read."""
+    return F.struct(F.coalesce(prompt if prompt is not None else F.lit(None).cast("string"), F.lit("")).alias("metadata"), text.alias("original_text"))
+
+
+def slice_prompt(prompts: list[str], seed: int | str) -> Column:
+    """One prompt for a whole slice: that of the least seeded hash."""
+    ranked = F.array_sort(F.array(*(F.struct(hash_key(seed, F.lit(p)).alias("h"), F.lit(p).alias("p")) for p in prompts)))
+    return F.get(ranked, F.lit(0))["p"]
+
+
+def first_registered(registry: dict[str, str], keys: list[Column]) -> Column:
+    """The entry of the first key that is registered, else null."""
+    table = F.create_map(*(F.lit(x) for kv in registry.items() for x in kv))
+    return F.coalesce(*(F.try_element_at(table, k) for k in keys))
+
+
 def attach_prompt(df: DataFrame, registry: dict[str, list[str]], keys: Column, key: str, seed: int | str = 42, name: str = "prompt") -> DataFrame:
     """Adds a prompt of the first key that is registered, by a seeded draw; a row without a registered key is an error."""
     table = F.create_map(*(x for k, v in registry.items() for x in (F.lit(k), F.array(*(F.lit(p) for p in v)))))

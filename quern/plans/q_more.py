@@ -58,16 +58,13 @@ def dropped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("prj9_chat_adapter", "SELECT conv_id, turn, '' AS metadata, text AS original_text FROM conversations WHERE role = 'user'")
 def chat_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return users.select("conv_id", "turn", F.lit("").alias("metadata"), F.col("text").alias("original_text"))
+    return users.select("conv_id", "turn", ts.chat_example(F.col("text")).alias("e")).select("conv_id", "turn", "e.*")
 
 
 @query("prj11_one_prompt", f"SELECT doc_id, (SELECT p FROM (VALUES ('a'), ('b'), ('c')) t(p) ORDER BY {H('slice', 'p')} LIMIT 1) AS metadata FROM documents")
 def one_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One seeded prompt for a whole slice."""
-    import hashlib
-
-    prompt = min(("a", "b", "c"), key=lambda p: hashlib.md5(f"slice:{p}".encode()).hexdigest())
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit(prompt).alias("metadata"))
+    return table(spark, sf_dir, "documents").select("doc_id", ts.slice_prompt(["a", "b", "c"], "slice").alias("metadata"))
 
 
 @query("jn10_token_flags", "SELECT l_orderkey, count(*) FILTER (l_linenumber IN (2, 3)) / CAST(count(*) AS DOUBLE) AS ratio FROM lineitem GROUP BY 1")
@@ -145,9 +142,11 @@ def task_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.supervised(ts.routed(rows)).select("conv_id", "turn", "handler", "prompt_text", "input", "output")
 
 
-@query("pk6_truncated", f"SELECT doc_id, CAST(least(n_tokens, 128) AS BIGINT) AS n FROM {WORDS}")
+@query("pk6_truncated", f"SELECT doc_id, CAST(least(len(ids), 128) AS INTEGER) AS n, md5(array_to_string(list_slice(ids, 1, 128), ' ')) AS digest FROM {_IDS}")
 def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark, sf_dir).select("doc_id", F.least("n_tokens", F.lit(128)).cast("bigint").alias("n"))
+    """Documents longer than a pack, cut before packing."""
+    rows = batching.truncated(_ids(spark, sf_dir), ["ids"], 128)
+    return rows.select("doc_id", F.size("ids").alias("n"), F.md5(_text(F.col("ids"))).alias("digest"))
 
 
 @query("ba4_plain_batches", f"SELECT doc_id, (row_number() OVER (ORDER BY {H('e0', 'doc_id')}, doc_id) - 1) // 32 AS batch_id FROM documents")
@@ -164,14 +163,14 @@ def eval_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ss10_reset_state", "SELECT source, CAST(0 AS BIGINT) AS consumed FROM documents GROUP BY source")
 def reset_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.state(_words(spark, sf_dir)).select("source", F.lit(0).cast("bigint").alias("consumed"))
+    return mixing.reset(mixing.state(_words(spark, sf_dir))).select("source", "consumed")
 
 
 @query("st9_beam_candidates", "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) WHERE r <= 4")
 def beam_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 2k candidates of a beam of k = 2."""
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
-    return table(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(w)).where("r <= 4").select("l_orderkey", "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return rel.top_k(rows, "l_orderkey", "l_extendedprice", "l_linenumber", 4).select("l_orderkey", "l_linenumber")
 
 
 _CHAT = {"system": 195, "user": 196, "assistant": 197, "end": 198}

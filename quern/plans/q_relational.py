@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern import config
 from quern.functions import text as tx
 from quern.functions import tokens as tk
+from quern.operators import metrics as ev
 from quern.operators import batching, corruption, mixing
 from quern.operators import relational as rel
 from quern.operators.ranks import floor_div
@@ -195,7 +196,7 @@ def task_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("flt12_valid_rows", "SELECT d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL AND d.text IS NOT NULL")
 def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.dropna(subset=["quality", "text"]).select("doc_id")
+    return rel.complete(rows, ["quality", "text"]).select("doc_id")
 
 
 @query("flt13_stale_sources", "SELECT doc_id, source FROM documents WHERE source NOT IN ('src0', 'src1')")
@@ -209,7 +210,7 @@ def stale_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("flt15_sequence_length", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 WHEN n_chars - 500 >= 0 THEN n_chars - 500 ELSE 0 END AS n FROM documents")
 def sequence_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.when(F.col("doc_id") % 5 > 0, F.col("n_chars") - 500)
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(n >= 0, n).otherwise(0).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", tk.sequence_length(n).alias("n"))
 
 
 @query("flt16_year_route", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'unsupervised_pretraining' ELSE 'temporal_continuation' END AS handler FROM orders")
@@ -229,8 +230,7 @@ def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt18_char_budget", "SELECT CAST(count(*) FILTER (length(text) <= 3 * 512) AS BIGINT) AS kept, CAST(count(*) FILTER (length(text) > 3 * 512) AS BIGINT) AS dropped FROM documents")
 def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = F.length("text") <= 3 * 512
-    return _docs(spark, sf_dir).agg(F.count_if(fits).alias("kept"), F.count_if(~fits).alias("dropped"))
+    return rel.budget_counts(_docs(spark, sf_dir), "text", 512)
 
 
 @query("flt19_named_sources", "SELECT * FROM (VALUES ('transcription_articles'), ('transcription_sentences')) t(name)")
@@ -391,7 +391,7 @@ def unpivoted_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ag16_category_accuracy", "SELECT lang, round(avg(CAST(quality = toxic AS INTEGER)), 9) AS accuracy, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang")
 def category_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir, "doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
-    return rows.groupBy("lang").agg(F.round(F.avg((F.col("quality") == F.col("toxic")).cast("double")), 9).alias("accuracy"), F.count("*").alias("n"))
+    return ev.category_accuracy(rows, "lang", "quality", "toxic").withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query("ag17_macro_accuracy", "SELECT lang, round(avg(m), 9) AS macro FROM (SELECT lang, source, avg(CAST(quality AS DOUBLE)) AS m FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2) GROUP BY lang")
@@ -402,8 +402,8 @@ def macro_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ag20_segments_per_row", "SELECT round(avg(m), 6) AS mean, max(m) AS top FROM (SELECT max(l_linenumber) AS m FROM lineitem GROUP BY l_orderkey)")
 def segments_per_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_max(F.collect_list("l_linenumber")).alias("m"))
-    return rows.agg(F.round(F.avg("m"), 6).alias("mean"), F.max("m").alias("top"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("segments"))
+    return ev.segments_per_row(rows, "segments").withColumn("mean", F.round("mean", 6))
 
 
 @query("ag21_char_frequency", "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM benchmark) WHERE ch <> '' GROUP BY ch")
@@ -449,12 +449,11 @@ def bucket_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y")), "o_orderkey", ["y"]).select("o_orderkey", "rn")
 
 
-@query("wn4_segment_ids", "SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_linestatus = 'F' AS INTEGER)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS segment FROM lineitem")
+@query("wn4_segment_ids", "SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_linestatus = 'F' OR l_linenumber = 1 AS INTEGER)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS BIGINT) AS segment FROM lineitem")
 def segment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.sum((F.col("l_linestatus") == "F").cast("int")).over(w).alias("segment"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus")
+    first = (F.col("l_linestatus") == "F") | (F.col("l_linenumber") == 1)
+    return rel.segment_ids(rows, "l_orderkey", "l_linenumber", first).select("l_orderkey", "l_linenumber", "segment")
 
 
 @query("wn5_restart_positions", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) - 1 AS INTEGER) AS position FROM lineitem")

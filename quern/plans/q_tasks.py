@@ -121,6 +121,5 @@ def prompt_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jn11_prompt_lookup", "SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 'A' WHEN 'de' THEN 'B' ELSE 'other' END AS prompt FROM documents")
 def prompt_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table_ = F.create_map(F.lit("en"), F.lit("A"), F.lit("de"), F.lit("B"), F.lit("*"), F.lit("other"))
-    pick = F.coalesce(F.try_element_at(table_, F.col("lang")), F.try_element_at(table_, F.lit("*")))
+    pick = ts.first_registered({"en": "A", "de": "B", "*": "other"}, [F.col("lang"), F.lit("*")])
     return table(spark, sf_dir, "documents").select("lang", pick.alias("prompt")).distinct()

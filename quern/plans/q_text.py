@@ -225,7 +225,7 @@ def sentences_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tx3_full_stop_split", "SELECT doc_id, CAST(len(string_split(text, '.')) AS INTEGER) AS n FROM documents")
 def full_stop_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", r"\.")).alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.full_stops(F.col("text"))).alias("n"))
 
 
 @query("tx4_joined_sentences", f"SELECT doc_id, md5(array_to_string(x, '</s>') || '</s>') AS digest FROM (SELECT doc_id, {_chain(tx.BREAKS)} AS x FROM documents)")

@@ -73,11 +73,14 @@ def valid_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("doc_id", tk.valid_tokens(F.col("ids"), F.col("ids"), 3).alias("n"))
 
 
-@query("tk4_vocabulary_lookup", "SELECT n_nationkey AS token_id, n_name AS token FROM nation WHERE n_name IN ('FRANCE', 'JAPAN', 'PERU') OR n_nationkey < 3")
+@query("tk4_vocabulary_lookup", f"SELECT w AS token, CASE WHEN count(*) = 1 THEN min(item_id * 100000 + pos) ELSE -1 END AS token_id, CASE WHEN count(*) = 1 THEN w ELSE '<unk>' END AS back FROM {_BENCH} GROUP BY w")
 def vocabulary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("token_id"), F.col("n_name").alias("token"))
-    ids, names = spark.range(3).select(F.col("id").cast("int").alias("token_id")), spark.createDataFrame([("FRANCE",), ("JAPAN",), ("PERU",)], "token string")
-    return vocab.join(ids, "token_id", "left_semi").unionByName(vocab.join(names, "token", "left_semi")).distinct()
+    """Words to ids and back, where the vocabulary holds the words that stand once, by their place."""
+    words = _bench(spark, sf_dir).select((F.col("item_id") * 100_000 + F.col("pos")).alias("token_id"), F.col("w").alias("token"))
+    vocab = words.groupBy("token").agg(F.min("token_id").alias("token_id"), F.count("*").alias("n")).where("n = 1")
+    ids = tk.vocabulary_lookup(words.select("token").distinct(), vocab, -1)
+    back = tk.vocabulary_lookup(ids.select(F.col("token").alias("word"), "token_id"), vocab, "<unk>")
+    return back.select(F.col("word").alias("token"), "token_id", F.col("token").alias("back"))
 
 
 @query("tk15_extended_vocabulary", "SELECT count(*) AS n, max(t) AS top FROM (SELECT n_nationkey AS t FROM nation UNION ALL SELECT CAST(24 + i AS INTEGER) FROM range(1, 357) r(i))")
@@ -212,10 +215,11 @@ def char_rank_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("ch", F.row_number().over(Window.orderBy(F.desc("n"), "first")).alias("id"))
 
 
-@query("tk21_tiled_rows", "SELECT i AS token_id, CAST(4 AS INTEGER) AS width FROM range(25, 30) t(i)")
+@query("tk21_tiled_rows", "SELECT CAST(n_nationkey AS INTEGER) AS token_id, concat_ws(' ', n_nationkey, n_regionkey + 1) AS features FROM nation UNION ALL SELECT CAST(i AS INTEGER), (SELECT concat_ws(' ', n_nationkey, n_regionkey + 1) FROM nation WHERE n_nationkey = 0) FROM range(25, 40) t(i)")
 def tiled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a feature table for new tokens: the padding row over again."""
-    return spark.range(25, 30).select(F.col("id").alias("token_id"), F.size(F.array_repeat(F.lit(0), 4)).alias("width"))
+    made = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("token_id"), F.array(F.col("n_nationkey").cast("int"), (F.col("n_regionkey") + 1).cast("int")).alias("features"))
+    return tk.extended_rows(made, 40).select("token_id", _text(F.col("features")).alias("features"))
 
 
 # --- corruption --------------------------------------------------------------------------------------------------
