@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontam, licences, mainhtml, media, packing, simhash, toxicity, urlfilter, warc
+from quern.llm import chat, decontam, hardneg, licences, mainhtml, media, packing, simhash, toxicity, triemerge, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hardneg.integer_rows(table(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", label).withColumn("anchor", F.col("id") % 100 == 0))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triemerge.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -112,6 +122,8 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_decontamination": op9_decontamination,
     "op10_media": op10_media,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
@@ -143,5 +155,27 @@ def _op8(template: chat.Template = chat.LLAMA) -> str:
       regexp_full_match(roles, 's?(ua)+') AS valid, CAST(CASE WHEN length(regexp_extract(roles, '^s?(ua)*u?')) < n THEN length(regexp_extract(roles, '^s?(ua)*u?')) END AS INTEGER) AS first_bad_turn FROM c"""
 
 
+_OP11 = """WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score FROM r a, r b WHERE a.id % 100 = 0 AND b.id <> a.id),
+    p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+    n AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+          FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+  SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+#: CRC-32 of a decimal text, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+_OP12 = f"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS n, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    h AS (SELECT c, c - c % 5 AS b, {_CRC.format("CAST(c AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+    r AS (SELECT h.c, 0 AS own, t.n, t.role, t.text FROM h JOIN t ON t.c = h.b AND t.n <= h.h UNION ALL SELECT h.c, 1, t.n, t.role, t.text FROM h JOIN t ON t.c = h.c AND t.n > h.h),
+    o AS (SELECT c, row_number() OVER w AS d, strlen(text) AS bytes, string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY own, n) AS k FROM r WINDOW w AS (PARTITION BY c ORDER BY own, n)),
+    p AS (SELECT c, 0 AS d, 0 AS bytes, '' AS k FROM h UNION ALL SELECT c, d, bytes, k FROM o),
+    e AS (SELECT c, max(d) AS len FROM p GROUP BY c),
+    x AS (SELECT k, d, min(p.c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (len = d), '') AS ends FROM p JOIN e USING (c) GROUP BY k, d),
+    up AS (SELECT x.k, x.d, y.k AS pk, y.conv_id AS pc FROM x JOIN p ON p.c = x.conv_id AND p.d = x.d - 1 JOIN x y ON y.k = p.k AND y.d = p.d),
+    f AS (SELECT x.*, up.pk, up.pc, count(v.k) AS n_children FROM x LEFT JOIN up USING (k, d) LEFT JOIN up v ON v.pk = x.k AND v.d = x.d + 1 GROUP BY ALL),
+    s AS (SELECT p.k, p.d, sum(CAST(f.n_children = 0 AS BIGINT)) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved FROM f JOIN p ON p.c = f.conv_id AND p.d <= f.d GROUP BY p.k, p.d)
+  SELECT conv_id, CAST(d AS BIGINT) AS depth, pc AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256 FROM f JOIN s USING (k, d)"""
+
 #: SQL of those that it can express: not the learned, hashed, tokenised or parsed ones.
-ORACLES: dict[str, str] = {"op4_url_rules": _OP4, "op8_chat": _op8()}
+ORACLES: dict[str, str] = {"op4_url_rules": _OP4, "op8_chat": _op8(), "op11_hard_negatives": _OP11, "op12_prefix_trie": _OP12}
