@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontam, hardneg, licences, mainhtml, media, packing, simhash, toxicity, triemerge, urlfilter, warc
+from quern.llm import chat, decontam, hardneg, licences, mainhtml, media, ngramjoin, packing, simhash, toxicity, triemerge, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +111,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triemerge.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -124,6 +128,7 @@ QUERIES = {
     "op10_media": op10_media,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_ngram_join": op13_ngram_join,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
@@ -177,5 +182,13 @@ _OP12 = f"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv
     s AS (SELECT p.k, p.d, sum(CAST(f.n_children = 0 AS BIGINT)) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved FROM f JOIN p ON p.c = f.conv_id AND p.d <= f.d GROUP BY p.k, p.d)
   SELECT conv_id, CAST(d AS BIGINT) AS depth, pc AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256 FROM f JOIN s USING (k, d)"""
 
+_OP13 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+    t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS m, b.n AS n, count(*) AS common FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY ALL),
+    e AS (SELECT a, b FROM c WHERE 100 * common >= 90 * (m + n - common)),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+  SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, CAST(least(doc_id, coalesce(m, doc_id)) AS BIGINT) AS component_id FROM s LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = doc_id"""
+
 #: SQL of those that it can express: not the learned, hashed, tokenised or parsed ones.
-ORACLES: dict[str, str] = {"op4_url_rules": _OP4, "op8_chat": _op8(), "op11_hard_negatives": _OP11, "op12_prefix_trie": _OP12}
+ORACLES: dict[str, str] = {"op4_url_rules": _OP4, "op8_chat": _op8(), "op11_hard_negatives": _OP11, "op12_prefix_trie": _OP12, "op13_ngram_join": _OP13}
