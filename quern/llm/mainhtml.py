@@ -25,27 +25,33 @@ from quern.llm.urlfilter import host_of
 
 # Fixed values of HTML: elements by how they are treated.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "select"}
 #: Of these the content is plain text up to the end tag, and all of the page without one.
 PLAIN = {"script", "style", "textarea", "title", "iframe"}
-DROPPED = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "figcaption"} | RAW
+DROPPED = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head"} | RAW
+#: Dropped elements that stand inside a line: the block around them goes on after them.
+INLINE = {"button"} | RAW - {"title"}
 BLOCKS = {
-    "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figure",
+    "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure",
     "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody",
     "td", "tfoot", "th", "thead", "tr", "ul",
-} | DROPPED
+} | DROPPED - INLINE
 CONTAINERS = {"article", "body", "div", "main", "section", "td"}
 #: A start tag closes open elements of these names, as HTML leaves their end tags out, up to a barrier.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
-P_BARRIERS = CONTAINERS | {"table", "ul", "ol", "blockquote", "button"}
+P_BARRIERS = CONTAINERS | {"table", "ul", "ol", "blockquote"} | INLINE
 #: Words of classes, ids and roles that mark what is not part of an article: of any element, and of boxes around others.
-_AD = r"ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|popup|newsletter|subscribe|share|sharing|social|related|recommend\w*"
+_AD = r"ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|popup|newsletter"
 _BOX = (
     r"notice|modal|overlay|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|aside|footer\w*|header\w*|masthead|toolbar|"
-    r"comment|comments|commentlist|disqus|respond|reply|replies|widget\w*|pagination|pager|tags|login|signup|search|skip"
+    r"comment|comments|commentlist|disqus|pagination|pager|login|signup"
 )
-NOISE, BOX_NOISE = (re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])") for words in (_AD, f"{_AD}|{_BOX}"))
+#: Words that may also name a part of the article itself: what they mark within one is judged by its text.
+_EITHER = r"subscribe|share|sharing|social|related|recommend\w*|respond|reply|replies|widget\w*|tags|search|skip"
+NOISE, BOX_NOISE, EITHER = (re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])") for words in (_AD, f"{_AD}|{_BOX}", _EITHER))
+#: Of a part that such a word marks within an article, fewer words than this, or half of its characters in links, are no text.
+BOX_WORDS = 8
 #: Elements of an article's own text, whose classes are judged by the shorter list.
 TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th", "b", "i", "em", "strong", "code", "a"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
@@ -55,7 +61,9 @@ _ATTR = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _HIDDEN = re.compile(r"display\s*:\s*none")
 _SPACE = re.compile(r"\s+")
 #: The share of a page's score that its chosen container holds; a host's path that holds less than the other is not used.
-SHARE, LEAST_SHARE = 0.8, 0.3
+SHARE, LEAST_SHARE = 0.8, 0.5
+#: A block of so many words, few of them in links, is text: what stands beside the chosen container with such a block stays.
+TEXT_WORDS = 10
 #: Up to so many hosts, their winning paths are broadcast; beyond, pages are joined by host and one of so many salts.
 BROADCAST_HOSTS, SALTS = 200_000, 32
 
@@ -75,14 +83,26 @@ class Page:
     def __init__(self, html: str):
         self.blocks: list[tuple[str, int, int]] = []
         self.names, self.keys, self.parents = ["html"], [0], [-1]
+        self.boxes: list[int] = []  # of each block the marked part of an article around it, or -1
         self._parse(html)
+        self._judge()
+
+    def _judge(self) -> None:
+        """Drops the blocks of marked parts that are links or a few words."""
+        sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
+        for (block, links, _), box in zip(self.blocks, self.boxes, strict=True):
+            if box >= 0:
+                sums[box] = [x + y for x, y in zip(sums[box], (len(block), links, block.count(" ") + 1), strict=True)]
+        gone = {box for box, (chars, links, words) in sums.items() if 2 * links >= chars or words < BOX_WORDS}
+        if gone:
+            self.blocks = [b for b, box in zip(self.blocks, self.boxes, strict=True) if box not in gone]
 
     def _parse(self, html: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = []  # tag, its container, whether it is dropped, whether it is in a link
+        stack: list[tuple[str, int, bool, bool, int, bool]] = []  # tag, container, dropped, in a link, marked part, in an article
         where: dict[str, list[int]] = defaultdict(list)  # places of each tag in the stack
         text: list[str] = []
         unclosed: set[str] = set()  # quotes that don't occur any more
-        links = at = 0
+        links = at = marked = 0
 
         def close_block():
             nonlocal links
@@ -90,11 +110,12 @@ class Page:
                 block = _SPACE.sub(" ", "".join(text)).strip()
                 if block:
                     self.blocks.append((block, links, stack[-1][1] if stack else 0))
+                    self.boxes.append(stack[-1][4] if stack else -1)
                 text.clear()
             links = 0
 
         def pop_to(i: int):
-            if any(x[0] in BLOCKS for x in stack[i:]):
+            if any(x[0] in BLOCKS for x in stack[i:]) and not (i and stack[i - 1][2]):  # within a dropped part nothing ends
                 close_block()
             for x in stack[i:]:
                 where[x[0]].pop()
@@ -144,27 +165,35 @@ class Page:
             if m[1]:
                 if where[tag]:
                     pop_to(where[tag][-1])
-                elif tag == "p":
+                elif tag == "p" and not (stack and stack[-1][2]):
                     close_block()
                 continue
             said = html[m.end() : at].removesuffix(">")
             if tag in BLOCKS:
                 if where["p"] and where["p"][-1] > last(P_BARRIERS):  # a block ends an open paragraph
                     pop_to(where["p"][-1])
-                close_block()
+                if not (stack and stack[-1][2]):
+                    close_block()
             if tag in CLOSES:
                 barrier = last(BARRIERS.get(tag, ()))
                 begun = [where[t][k] for t in CLOSES[tag] if (k := bisect_right(where[t], barrier)) < len(where[t])]
                 if begun:
                     pop_to(min(begun))
-            _, container, dropped, linked = stack[-1] if stack else ("", 0, False, False)
+            _, container, dropped, linked, box, article = stack[-1] if stack else ("", 0, False, False, -1, False)
             marks = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(said)} if said else {}
             if not dropped:
                 named = f"{marks.get('class', '')} {marks.get('id', '')}"
                 noise = NOISE if tag in TEXT_TAGS else BOX_NOISE
-                noisy = tag not in ("html", "body", "article", "main") and noise.search(named)
+                whole = tag in ("html", "body", "article", "main")
+                noisy = not whole and noise.search(named)
+                if not whole and not noisy and EITHER.search(named):
+                    if not article:
+                        noisy = True
+                    elif box < 0:
+                        box, marked = marked, marked + 1
+                article |= tag in ("article", "main")
                 hidden = "hidden" in marks or marks.get("aria-hidden") == "true" or _HIDDEN.search(marks.get("style", ""))
-                dropped = bool(tag in DROPPED or noisy or hidden or marks.get("role") in ROLES)
+                dropped = bool(tag in DROPPED or noisy or hidden or marks.get("role") in (ROLES - {"search"} if article else ROLES))
             if tag in VOID or said.endswith("/") and tag not in BLOCKS:
                 if tag in ("br", "hr", "wbr", "img"):
                     say("" if tag == "wbr" else " ")
@@ -180,7 +209,7 @@ class Page:
                 self.parents.append(container)
                 container = len(self.keys) - 1
             where[tag].append(len(stack))
-            stack.append((tag, container, dropped, linked or tag == "a" and "href" in marks))
+            stack.append((tag, container, dropped, linked or tag == "a" and "href" in marks, box, article))
         say(html[at:])
         close_block()
 
@@ -203,6 +232,19 @@ class Page:
             if self.names[c].partition(".")[0] in ("article", "main"):
                 return c
             c = self.parents[c]
+        # without one: up to the outermost container that adds text to it
+        texts = {c for block, links, c in self.blocks if 2 * links < len(block) and block.count(" ") + 1 >= TEXT_WORDS}
+        known = {best}  # within best
+        for c in texts:
+            passed = []
+            while c not in known:
+                if c > best:  # inner ones are numbered later
+                    passed.append(c)
+                    c = self.parents[c]
+                else:
+                    best = self.parents[best]
+                    known.add(best)
+            known.update(passed)
         return best
 
     def path(self, container: int) -> str:
