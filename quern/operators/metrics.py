@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections import Counter
 
 import pandas as pd
@@ -167,27 +166,6 @@ def rouge_l(reference: pd.Series, candidate: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(r, c) for r, c in zip(reference, candidate, strict=True)], columns=["precision", "recall", "fmeasure"])
 
 
-@F.pandas_udf(T.DoubleType())
-def block_recall(reference: pd.Series, candidate: pd.Series) -> pd.Series:
-    """Share of the reference's characters in matching blocks."""
-
-    def one(r, c):
-        r, c = "".join((r or "").split()), "".join((c or "").split())
-        blocks = difflib.SequenceMatcher(None, r, c, autojunk=False).get_matching_blocks()
-        return sum(b.size for b in blocks) / len(r) if r else 0.0
-
-    return pd.Series([one(r, c) for r, c in zip(reference, candidate, strict=True)])
-
-
-def aligned_accuracy(reference: Column, candidate: Column, ignore_spaces: bool = False) -> Column:
-    """Share of the reference's characters that the candidate has at the same place."""
-    clean = lambda t: F.regexp_replace(t, r"\s+", "") if ignore_spaces else t
-    r, c = F.split(clean(reference), ""), F.split(clean(candidate), "")
-    n = F.least(F.length(clean(reference)), F.length(clean(candidate)))
-    hits = F.size(F.filter(F.zip_with(F.slice(r, F.lit(1), n), F.slice(c, F.lit(1), n), lambda a, b: a == b), lambda x: x))
-    return F.coalesce(F.try_divide(hits.cast("double"), F.length(clean(reference)).cast("double")), F.lit(0.0))
-
-
 def category_accuracy(df: DataFrame, category: str, predicted: str, actual: str) -> DataFrame:
     """Accuracy and size of each category."""
     return df.groupBy(category).agg(mean_of(F.col(predicted) == F.col(actual)).alias("accuracy"), F.count("*").alias("n"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import numeric as nm
+from quern.functions.alignment import hanja_accuracy, hanja_recall
 from quern.operators import metrics as ev
+from quern.plans.q_text import LETTERS
 from quern.plans.q_tokens import _IDS, _ids
 from quern.plans.sql import U
 from quern.queryset import query, table
@@ -164,26 +166,27 @@ def token_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ev.token_metrics(_logits(spark, sf_dir), "v", "label"), "loss", "perplexity", "accuracy", digits=6)
 
 
-_EDITED = "(SELECT conv_id, turn, text AS r, CASE turn % 3 WHEN 0 THEN text || 'x' WHEN 1 THEN replace(text, 'e', 'E') ELSE ' ' || replace(text, ' ', '') END AS c FROM conversations)"
-_HITS = "coalesce(CAST(len(list_filter(range(1, length({0}) + 1), lambda i: substr({0}, i, 1) = substr({1}, i, 1))) AS DOUBLE) / nullif(length({0}), 0), 0)"
+#: Turns with letters written as Hanja and Hangul, and what a transcription made of them: a letter more, another one, or other blanks.
+_EDITED = f"(SELECT conv_id, turn, r, CASE turn % 3 WHEN 0 THEN '音' || r WHEN 1 THEN translate(r, '音國', '樂국') ELSE ' ' || replace(r, ' ', '') END AS p FROM (SELECT conv_id, turn, translate(text, '{LETTERS[0]}', '{LETTERS[1]}') AS r FROM conversations))"
+_PLACES = "list_filter(range(1, least(length({0}), length({1})) + 1), lambda i: substr({1}, i, 1) BETWEEN '一' AND '\u9fff')"
+_HITS = f"(len(list_filter({_PLACES}, lambda i: substr({{0}}, i, 1) = substr({{1}}, i, 1))) / CAST(greatest(len({_PLACES}), 1) AS DOUBLE))"
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with a character more, another letter, or other blanks."""
-    k, text = F.col("turn") % 3, F.col("text")
-    c = F.when(k == 0, F.concat(text, F.lit("x"))).when(k == 1, F.replace(text, F.lit("e"), F.lit("E"))).otherwise(F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit(""))))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("r"), c.alias("c"))
+    k, r = F.col("turn") % 3, F.col("r")
+    p = F.when(k == 0, F.concat(F.lit("音"), r)).when(k == 1, F.translate(r, "音國", "樂국")).otherwise(F.concat(F.lit(" "), F.replace(r, F.lit(" "), F.lit(""))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate("text", *LETTERS).alias("r")).withColumn("p", p)
 
 
-@query("ev18_aligned_accuracy", rf"SELECT conv_id, turn, {_HITS.format('r', 'c')} AS aligned, {_HITS.format('r2', 'c2')} AS spaceless FROM (SELECT *, regexp_replace(r, '\s+', '', 'g') AS r2, regexp_replace(c, '\s+', '', 'g') AS c2 FROM {_EDITED})")
+@query("ev18_aligned_accuracy", rf"SELECT conv_id, turn, {_HITS.format('p1', 'r1')} AS aligned, {_HITS.format('p2', 'r2')} AS spaceless FROM (SELECT conv_id, turn, ltrim(p, E' \t\n') AS p1, ltrim(r, E' \t\n') AS r1, regexp_replace(p, '\s+', '', 'g') AS p2, regexp_replace(r, '\s+', '', 'g') AS r2 FROM {_EDITED})")
 def aligned_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, c = F.col("r"), F.col("c")
-    return _edited(spark, sf_dir).select("conv_id", "turn", ev.aligned_accuracy(r, c).alias("aligned"), ev.aligned_accuracy(r, c, True).alias("spaceless"))
+    p, r = F.col("p"), F.col("r")
+    return _edited(spark, sf_dir).select("conv_id", "turn", hanja_accuracy(p, r).alias("aligned"), hanja_accuracy(p, r, True).alias("spaceless"))
 
 
-@query("ev18_block_recall", rf"SELECT conv_id, turn, CASE WHEN n = 0 THEN 0.0 WHEN turn % 3 = 1 THEN (n - k) / n ELSE 1.0 END AS recall FROM (SELECT conv_id, turn, CAST(length(regexp_replace(r, '\s+', '', 'g')) AS DOUBLE) AS n, length(r) - length(replace(r, 'e', '')) AS k FROM {_EDITED})")
+@query("ev18_block_recall")
 def block_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edited(spark, sf_dir).select("conv_id", "turn", ev.block_recall(F.col("r"), F.col("c")).alias("recall"))
+    return _edited(spark, sf_dir).select("conv_id", "turn", hanja_recall(F.col("p"), F.col("r")).alias("recall"))
 
 
 @query("ev19_drift", f"WITH g AS (SELECT list_max(list_transform(range(1, 11), lambda i: abs(CAST(v[i] AS DOUBLE) - CAST(u[i] AS DOUBLE)))) AS d, list_position(v, list_max(v)) = list_position(u, list_max(u)) AS same FROM {_LOGITS}) SELECT round(avg(CAST(same AS INTEGER)), 6) AS agreement, round(quantile_cont(d, 0.5), 6) AS drift_p50, round(quantile_cont(d, 0.99), 6) AS drift_p99, round(max(d), 6) AS drift_max FROM g")
