@@ -7,6 +7,7 @@ from the same key, so a retried task masks the same tokens.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import script, tokens
+from quern.functions.text import utf8_bytes
 from quern.operators.ranks import uniform
 from quern.operators.sampling import weighted_choice
 
@@ -134,50 +136,112 @@ def rng_of(key) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.md5(str(key).encode()).digest()[:8], "little"))
 
 
-def random_parts(total: int, parts: int, rng: np.random.Generator) -> list[int]:
-    """A sum cut into that many positive parts, all ways alike."""
-    if parts <= 1:
-        return [total]
-    cuts = np.sort(rng.choice(total - 1, parts - 1, replace=False)) + 1
-    return np.diff(np.concatenate(([0], cuts, [total]))).tolist()
+#: Sentinel ids that a vocabulary has; a text has one span less at most.
+SENTINELS = 100
+#: Chance of a position to begin a span of infilling.
+START = 0.15
 
 
-def span_noise(n: int, ratio: float, mean: float) -> tuple[int, int]:
-    """Noise tokens and spans of n tokens: at least one of each, and at least one token kept per span."""
-    noise = min(max(1, round(n * ratio)), n - 1)
-    return noise, max(1, min(round(noise / mean), noise, n - noise))
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def sentinel_spans(ids: list, ratio: float, mean: float, first_sentinel: int, rng: np.random.Generator, step: int = 1) -> tuple[list, list]:
-    """Encoder with a sentinel for each masked span, decoder with the sentinel and the span. Kept and masked parts take
-    turns, beginning with a kept one."""
-    n = len(ids)
-    if n < 2:
-        return list(ids), []
-    noise, spans = span_noise(n, ratio, mean)
-    kept, masked = random_parts(n - noise, spans, rng), random_parts(noise, spans, rng)
-    enc, dec, at = [], [], 0
-    for k, (a, b) in enumerate(zip(kept, masked, strict=True)):
-        mark = first_sentinel + k * step
-        enc += [*ids[at : at + a], mark]
-        dec += [mark, *ids[at + a : at + a + b]]
-        at += a + b
-    return enc, dec
+def part_ends(total: Column, parts: Column, *key: Column | str, seed: int | str) -> Column:
+    """Where each part ends of a sum that is cut into so many positive parts, all ways alike.
 
+    The cuts are a sample of the places between, by R. Floyd's rule: one draw for each cut, whatever the sum.
+    """
 
-def infill(ids: list, ratio: float, mean: float, mask, protected: set, rng: np.random.Generator) -> list:
-    """Text infilling: Poisson spans from seeded starts until the budget is spent, each span one mask; protected tokens stay."""
+    def drawn(got: Column, j: Column) -> Column:
+        place = lambda t: F.concat(got, F.array(F.when(F.array_contains(got, t), j).otherwise(t)))
+        return bound((F.floor(uniform(seed, *key, j) * j) + 1).cast("int"), place)
+
+    cuts = F.aggregate(F.sequence(total - parts + 1, total - 1), F.array().cast("array<int>"), drawn)
+    return F.when(parts > 1, F.concat(F.array_sort(cuts), F.array(total))).otherwise(F.array(total))
+
+
+def sentinel_spans(
+    ids: Column, ratio: float, mean: float | Column, mark: Callable[[Column], Column], *key: Column | str, specials: list = (), sentinels: int = SENTINELS, seed: int | str = 42
+) -> Column:
+    """Struct (encoder, decoder): masked spans as a mark each, and each mark with its span; mark gives that of the k-th span.
+
+    Of the ids that are no special ones the ratio is masked, at least one and at most all but one, in spans of the given
+    mean: as many as the mean says, fewer than there are sentinels. Kept and masked parts take turns, a kept one first,
+    and each is one of all ways to cut them, by hashes of the key. Special ids stay in the encoder, also within a span,
+    which they don't break. Without two ids, or with special ones alone, nothing is masked.
+    """
+    special = lambda x: x.isin(list(specials)) if specials else F.lit(False)
+    at = lambda xs, i: F.element_at(xs, i.cast("int"))
+    plain = F.filter(F.transform(ids, lambda x, i: F.when(~special(x), i + 1)), lambda i: i.isNotNull()) if specials else F.transform(ids, lambda x, i: i + 1)
+    noise = lambda m: F.greatest(F.lit(1), F.least(F.rint(m * F.lit(ratio)).cast("int"), m - 1))
+    spread = mean if isinstance(mean, Column) else F.lit(float(mean))
+    spans = lambda m, n: F.greatest(F.lit(1), F.least(F.rint(n / spread).cast("int"), F.lit(sentinels - 1), n, m - n))
+
+    def counted(z: Column) -> Column:
+        m = F.size(z["ids"])
+        return bound(F.struct(m.alias("m"), noise(m).alias("n")), lambda c: F.struct(z["ids"].alias("ids"), c["m"].alias("m"), c["n"].alias("n"), spans(c["m"], c["n"]).alias("k")))
+
+    def placed(z: Column) -> Column:
+        kept, masked = part_ends(z["m"] - z["n"], z["k"], *key, seed=f"{seed}kept"), part_ends(z["n"], z["k"], *key, seed=f"{seed}masked")
+        ends = F.struct(z["ids"].alias("ids"), kept.alias("kept"), masked.alias("masked"))
+
+        def one(e: Column, kept_end: Column, j: Column) -> Column:
+            before = F.when(j > 0, at(e["masked"], F.greatest(j, F.lit(1)))).otherwise(0)
+            return F.struct(at(e["ids"], kept_end + before + 1).alias("first"), at(e["ids"], kept_end + at(e["masked"], j + 1)).alias("last"), j.alias("k"))
+
+        return bound(ends, lambda e: F.transform(e["kept"], lambda kept_end, j: one(e, kept_end, j)))
+
+    def shown(w: Column) -> Column:
+        span = lambda s: F.slice(ids, s["first"], s["last"] - s["first"] + 1)
+        after = lambda k: F.when(k > 0, at(w, F.greatest(k, F.lit(1)))["last"]).otherwise(0)
+        between = lambda s: F.slice(ids, after(s["k"]) + 1, s["first"] - after(s["k"]) - 1)
+        within = (lambda s: F.filter(span(s), special)) if specials else (lambda s: F.slice(ids, 1, 0))
+        left = F.flatten(F.transform(w, lambda s: F.concat(between(s), F.array(mark(s["k"])), within(s))))
+        rest = bound(F.element_at(w, -1)["last"], lambda last: F.slice(ids, last + 1, F.size(ids) - last))
+        hidden = (lambda s: F.filter(span(s), lambda x: ~special(x))) if specials else span
+        return F.struct(F.concat(left, rest).alias("encoder"), F.flatten(F.transform(w, lambda s: F.concat(F.array(mark(s["k"])), hidden(s)))).alias("decoder"))
+
+    whole = F.struct(ids.alias("encoder"), F.slice(ids, 1, 0).alias("decoder"))
+    return bound(F.struct(plain.alias("ids")), lambda p: F.when((F.size(ids) < 2) | (F.size(p["ids"]) == 0), whole).otherwise(bound(counted(p), lambda z: bound(placed(z), shown))))
+
+
+def sentinel_masking(ratio: float = 0.15, mean: float = 3.0, first_sentinel: int = 100, specials: tuple[int, ...] = (), seed: int = 42):
+    """A function of (ids, key) to struct (encoder, decoder), the k-th sentinel being first_sentinel + k."""
+    return lambda ids, key: sentinel_spans(ids, ratio, mean, lambda k: k + first_sentinel, key, specials=list(specials), seed=seed)
+
+
+def morpheme_sentinels(ratio: float = 0.15, mean: float = 3.0, eos: str = "</s>", seed: int = 42):
+    """Sentinel masking over morphemes: struct (encoder, decoder) of strings with ``<extra_id_k>`` marks, ends protected."""
+    return lambda parts, key: sentinel_spans(parts, ratio, mean, lambda k: F.format_string("<extra_id_%d>", k), key, specials=[eos], seed=seed)
+
+
+def byte_reconstruction(byte_base: int = 1000, first_sentinel: int = 100, ratio: float = 0.3, encoder_max: int = 512, seed: int = 42):
+    """A function of (text, key) to struct (encoder, decoder): a window of the text as bytes with masked spans, and the spans."""
+    room = max(1, (encoder_max - 48) // 3)
+
+    def run(text: Column, key: Column) -> Column:
+        start = F.when(F.length(text) > room, F.floor(uniform(f"{seed}window", key) * (F.length(text) - room + 1)).cast("int")).otherwise(0)
+        ids = utf8_bytes(F.substr(text, start + 1, F.lit(room)), byte_base)
+        return bound(ids, lambda x: sentinel_spans(x, ratio, byte_span(F.size(x)), lambda k: k + first_sentinel, key, seed=seed))
+
+    return run
+
+
+def infill(ids: list, ratio: float, mean: float, mask, protected: set, rng: np.random.Generator, start: float = START) -> list:
+    """Text infilling: of the positions in a seeded order some begin a span, of Poisson length, until the budget of the ratio
+    is spent. Spans step over protected ids and what is masked already; neighbouring masked ids are one mask."""
     n, budget = len(ids), int(len(ids) * ratio)
-    gone = np.zeros(n, bool)
-    for start in rng.permutation(n):
+    gone, free = np.zeros(n, bool), np.array([x not in protected for x in ids], bool)
+    for at in rng.permutation(n).tolist():
         if budget <= 0:
             break
-        if gone[start] or ids[start] in protected:
+        if gone[at] or not free[at] or rng.random() >= start:
             continue
-        for i in range(start, min(n, start + max(1, int(rng.poisson(mean))))):
-            if budget <= 0 or gone[i] or ids[i] in protected:
-                break
-            gone[i], budget = True, budget - 1
+        span = np.arange(at, min(n, at + max(1, min(int(rng.poisson(mean)), budget))))
+        span = span[free[span] & ~gone[span]]
+        gone[span] = True
+        budget -= len(span)
     out: list = []
     for i, x in enumerate(ids):
         if not gone[i]:
@@ -187,17 +251,6 @@ def infill(ids: list, ratio: float, mean: float, mask, protected: set, rng: np.r
     return out
 
 
-def sentinel_masking(ratio: float = 0.15, mean: float = 3.0, first_sentinel: int = 100, seed: int = 42):
-    """A function of (ids, key) to struct (encoder, decoder)."""
-
-    @F.pandas_udf("encoder array<int>, decoder array<int>")
-    def run(ids: pd.Series, key: pd.Series) -> pd.DataFrame:
-        rows = [sentinel_spans([int(x) for x in i], ratio, mean, first_sentinel, rng_of(f"{seed}:{k}")) if i is not None else (None, None) for i, k in zip(ids, key, strict=True)]
-        return pd.DataFrame(rows, columns=["encoder", "decoder"])
-
-    return run
-
-
 def infilling(ratio: float = 0.3, mean: float = 3.0, mask: int = 4, protected: tuple[int, ...] = (0, 1, 2), seed: int = 42):
     """A function of (ids, key) to the ids with masks."""
 
@@ -218,39 +271,6 @@ def morpheme_infilling(ratio: float = 0.3, mean: float = 3.0, mask: str = "<mask
     return run
 
 
-def morpheme_sentinels(ratio: float = 0.15, mean: float = 3.0, seed: int = 42):
-    """Sentinel masking over morphemes: struct (encoder, decoder) of strings with ``<extra_id_k>`` marks."""
-
-    @F.pandas_udf("encoder array<string>, decoder array<string>")
-    def run(parts: pd.Series, key: pd.Series) -> pd.DataFrame:
-        def one(p, k):
-            p = list(p)
-            enc, dec = sentinel_spans(list(range(len(p))), ratio, mean, len(p), rng_of(f"{seed}:{k}"))
-            name = lambda i: p[i] if i < len(p) else f"<extra_id_{i - len(p)}>"
-            return [name(i) for i in enc], [name(i) for i in dec]
-
-        return pd.DataFrame([one(p, k) if p is not None else (None, None) for p, k in zip(parts, key, strict=True)], columns=["encoder", "decoder"])
-
-    return run
-
-
-def byte_reconstruction(byte_base: int = 1000, first_sentinel: int = 100, ratio: float = 0.3, encoder_max: int = 512, seed: int = 42):
-    """A function of (text, key) to struct (encoder, decoder): a window of the text as bytes with masked spans, and the spans."""
-
-    @F.pandas_udf("encoder array<int>, decoder array<int>")
-    def run(texts: pd.Series, key: pd.Series) -> pd.DataFrame:
-        def one(text, k):
-            rng, room = rng_of(f"{seed}:{k}"), max(1, (encoder_max - 48) // 3)
-            start = int(rng.integers(0, len(text) - room + 1)) if len(text) > room else 0
-            data = text[start : start + room].encode()
-            mean = 3 if len(data) < 200 else 8 if len(data) < 500 else 64
-            return sentinel_spans([byte_base + b for b in data], ratio, mean, first_sentinel, rng)
-
-        return pd.DataFrame([one(t, k) if t is not None else (None, None) for t, k in zip(texts, key, strict=True)], columns=["encoder", "decoder"])
-
-    return run
-
-
 def _collated(shown: Column, ids: Column, n: int, pad: int, start: int) -> Column:
     labels = tokens.mask_labels(tokens.pad_to(ids, n, pad), pad)
     inputs = tokens.pad_to(shown, n, pad)
@@ -272,5 +292,5 @@ def denoise(ids: Column, key: Column, form: Column, *, ratio: float, mean: float
     """Struct (encoder, decoder) by form: sentinels with their spans, or masks with the whole text, its sentences in a
     seeded order if asked."""
     shown = F.flatten(tokens.permute(tokens.split_at(ids, eos), key, seed=seed)) if permute else ids
-    marked, whole = sentinel_masking(ratio, mean, first_sentinel, seed)(ids, key), infilling(ratio, mean, mask, (eos,), seed)(shown, key)
+    marked, whole = sentinel_masking(ratio, mean, first_sentinel, (eos,), seed)(ids, key), infilling(ratio, mean, mask, (eos,), seed)(shown, key)
     return F.struct(F.when(form == "sentinel", marked["encoder"]).otherwise(whole).alias("encoder"), F.when(form == "sentinel", marked["decoder"]).otherwise(ids).alias("decoder"))

@@ -112,13 +112,6 @@ def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("doc_id", tk.count_labelled(labels).alias("n"))
 
 
-@query("cr17_heavy_denoising")
-def heavy_denoising(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The heavy configuration: half of the tokens in spans of 32 on average."""
-    rows = _ids(spark, sf_dir).select("doc_id", cr.sentinel_masking(0.5, 32.0, 10_000)(F.col("ids"), F.col("doc_id")).alias("s"))
-    return rows.select("doc_id", F.size("s.encoder").alias("n_encoder"), F.size("s.decoder").alias("n_decoder"))
-
-
 @query("cr18_morpheme_denoising")
 def morpheme_denoising(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Morphemes of a text with spans masked in the encoder, the whole text in the decoder."""

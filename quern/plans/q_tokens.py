@@ -260,22 +260,57 @@ def infilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("doc_id", _text(masked).alias("ids"))
 
 
-@query("cr3_sentinels")
-def sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ids(spark, sf_dir).select("doc_id", cr.sentinel_masking(0.15, 3.0, 10_000)(F.col("ids"), F.col("doc_id")).alias("s"))
+def _ends(total: str, parts: str, seed: str) -> str:
+    """SQL of where the parts of a sum end, by the same draws."""
+    u = f"(CAST('0x' || substr(md5(concat_ws(':', '{seed}', CAST(doc_id AS VARCHAR), CAST(x[1] AS VARCHAR))), 1, 8) AS BIGINT) / CAST(4294967296.0 AS DOUBLE))"
+    t = f"(CAST(floor({u} * x[1]) AS BIGINT) + 1)"
+    cuts = f"list_reduce(list_concat([CAST([] AS BIGINT[])], list_transform(range({total} - {parts} + 1, {total}), lambda j: [j])), lambda got, x: list_append(got, CASE WHEN list_contains(got, {t}) THEN x[1] ELSE {t} END))"
+    return f"list_append(list_sort({cuts}), CAST({total} AS BIGINT))"
+
+
+def _masked(source: str, ratio: float, mean: str, mark: str, special: str = "FALSE", seed: str = "42") -> str:
+    """SQL of rows (doc_id, encoder, decoder, as lists) from rows (doc_id, ids); mark is of span j from 0, special of id x."""
+    return f"""(WITH p AS (SELECT doc_id, ids, list_filter(range(1, len(ids) + 1), lambda i: NOT list_transform([ids[i]], lambda x: {special})[1]) AS p FROM {source}),
+      n AS (SELECT *, len(p) AS m, greatest(1, least(CAST(round_even(len(p) * CAST({ratio} AS DOUBLE), 0) AS BIGINT), len(p) - 1)) AS n FROM p),
+      k AS (SELECT *, greatest(1, least(CAST(round_even(n / CAST({mean} AS DOUBLE), 0) AS BIGINT), {cr.SENTINELS} - 1, n, m - n)) AS k FROM n),
+      e AS (SELECT *, {_ends('(m - n)', 'k', f'{seed}kept')} AS a, {_ends('n', 'k', f'{seed}masked')} AS b FROM k WHERE len(ids) > 1 AND m > 0),
+      w AS (SELECT doc_id, ids, k, list_transform(range(1, k + 1), lambda j: p[a[j] + CASE WHEN j > 1 THEN b[j - 1] ELSE 0 END + 1]) AS f, list_transform(range(1, k + 1), lambda j: p[a[j] + b[j]]) AS l FROM e)
+      SELECT doc_id, list_filter(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN list_transform([ids[i]], lambda x: {special})[1] THEN ids[i] ELSE
+          coalesce(list_transform(list_filter(range(k), lambda j: f[j + 1] = i), lambda j: {mark})[1], CASE WHEN len(list_filter(range(k), lambda j: f[j + 1] <= i AND i <= l[j + 1])) = 0 THEN ids[i] END) END), lambda x: x IS NOT NULL) AS encoder,
+        flatten(list_transform(range(k), lambda j: list_concat([{mark}], list_filter(list_slice(ids, f[j + 1], l[j + 1]), lambda x: NOT {special})))) AS decoder FROM w
+      UNION ALL SELECT doc_id, ids, list_slice(ids, 1, 0) FROM k WHERE NOT (len(ids) > 1 AND m > 0))"""
+
+
+_SHOWN = "SELECT doc_id, array_to_string(encoder, ' ') AS encoder, array_to_string(decoder, ' ') AS decoder FROM "
+
+
+def _spans(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", _text(F.col("s.encoder")).alias("encoder"), _text(F.col("s.decoder")).alias("decoder"))
 
 
+@query("cr3_sentinels", _SHOWN + _masked(_IDS, 0.15, "3", "CAST(10000 + j AS INTEGER)", "x = 2"))
+def sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(_ids(spark, sf_dir).select("doc_id", cr.sentinel_masking(0.15, 3.0, 10_000, (2,))(F.col("ids"), F.col("doc_id")).alias("s")))
+
+
+@query("cr17_heavy_denoising", _SHOWN + _masked(_IDS, 0.5, "32", "CAST(10000 + j AS INTEGER)", "x = 2"))
+def heavy_denoising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The heavy configuration: half of the tokens in spans of 32 on average."""
+    return _spans(_ids(spark, sf_dir).select("doc_id", cr.sentinel_masking(0.5, 32.0, 10_000, (2,))(F.col("ids"), F.col("doc_id")).alias("s")))
+
+
 @query("cr5_morpheme_masks")
 def morpheme_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("text", r"\s+")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(cr.morpheme_infilling()(parts, F.col("doc_id")), " ").alias("encoder"))
 
 
-@query("cr6_morpheme_sentinels")
+_PARTS = r"(SELECT doc_id, regexp_split_to_array(text, '\s+') AS ids FROM documents)"
+
+
+@query("cr6_morpheme_sentinels", _SHOWN + _masked(_PARTS, 0.15, "3", "'<extra_id_' || j || '>'", "x = '</s>'"))
 def morpheme_sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", cr.morpheme_sentinels()(F.split("text", r"\s+"), F.col("doc_id")).alias("s"))
-    return rows.select("doc_id", F.array_join("s.encoder", " ").alias("encoder"), F.array_join("s.decoder", " ").alias("decoder"))
+    return _spans(table(spark, sf_dir, "documents").select("doc_id", cr.morpheme_sentinels()(F.split("text", r"\s+"), F.col("doc_id")).alias("s")))
 
 
 @query("cr7_denoiser_config", f"SELECT doc_id, CASE CAST(floor({U('config', 'doc_id')} * 2) AS INTEGER) WHEN 0 THEN CAST(0.15 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS ratio FROM documents")
@@ -322,10 +357,13 @@ def training_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", label.alias("label"))
 
 
-@query("cr14_byte_reconstruction")
+_WINDOW = f"(SELECT doc_id, substr(text, CASE WHEN length(text) > 154 THEN CAST(floor({U('42window', 'doc_id')} * (length(text) - 154 + 1)) AS BIGINT) ELSE 0 END + 1, 154) AS t FROM documents)"
+_BYTES = f"(SELECT doc_id, list_transform(range(0, strlen(t)), lambda i: CAST(CAST('0x' || substr(hex(t), CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) + 1000 AS INTEGER)) AS ids FROM {_WINDOW})"
+
+
+@query("cr14_byte_reconstruction", _SHOWN + _masked(_BYTES, 0.3, "CASE WHEN len(ids) >= 500 THEN 64 WHEN len(ids) >= 200 THEN 8 ELSE 3 END", "CAST(100 + j AS INTEGER)"))
 def byte_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", cr.byte_reconstruction()(F.col("text"), F.col("doc_id")).alias("s"))
-    return rows.select("doc_id", F.size("s.encoder").alias("n_encoder"), F.size("s.decoder").alias("n_decoder"))
+    return _spans(table(spark, sf_dir, "documents").select("doc_id", cr.byte_reconstruction()(F.col("text"), F.col("doc_id")).alias("s")))
 
 
 @query("cr15_continuation", f"SELECT doc_id, array_to_string(list_concat(enc, [777]), ' ') AS encoder, array_to_string(list_concat([777], dec), ' ') AS decoder FROM {_SPLIT} WHERE n >= 10")

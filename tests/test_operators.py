@@ -2,6 +2,8 @@
 
 import time
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -130,20 +132,45 @@ def test_quantiles_ranks_and_running_values_against_plain_python(spark):
     assert rel.subgroup_means(df, "run", "v").count() == 2 and rel.subgroup_means(df.where("run = 'a'"), "run", "v").count() == 0
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.integers(2, 200), st.floats(0.05, 0.6), st.floats(1.0, 9.0), st.integers(0, 10**6))
-def test_sentinels_give_the_text_back(n, ratio, mean, key):
-    text = list(range(n))
-    enc, dec = corruption.sentinel_spans(text, ratio, mean, 10_000, corruption.rng_of(key))
+def spans_of(dec):
     spans, mark = {}, None
     for x in dec:
         if x >= 10_000:
             mark = x
+            assert mark not in spans
+            spans[mark] = []
         else:
-            spans.setdefault(mark, []).append(x)
-    assert [y for x in enc for y in (spans[x] if x >= 10_000 else [x])] == text
-    noise, k = corruption.span_noise(n, ratio, mean)
-    assert sum(map(len, spans.values())) == noise and len(spans) == k
+            spans[mark].append(x)
+    return spans
+
+
+@pytest.mark.parametrize(("ratio", "mean"), [(0.15, 3.0), (0.5, 1.0), (0.05, 9.0), (0.9, 4.0)])
+def test_sentinels_give_the_text_back(spark, ratio, mean):
+    """Round trips, counts by the rule, few sentinels for long texts, and special ids (2) that stay where they are."""
+    rng = random.Random(6)
+    texts = [[], [5], [2], [2, 2, 2], [2, 2, 2, 2, 7, 7], [7, 8], list(range(3, 5003)), [3] * 20_000]
+    texts += [[rng.choice([2, 3, 4, 5, 6]) for _ in range(rng.randint(0, 120))] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, ids array<int>").repartition(8)
+    for r in df.select("ids", corruption.sentinel_masking(ratio, mean, 10_000, (2,))(F.col("ids"), F.col("id")).alias("s")).collect():
+        ids, enc, dec = r["ids"], r["s"]["encoder"], r["s"]["decoder"]
+        plain, spans = [x for x in ids if x != 2], spans_of(dec)
+        assert 2 not in dec and enc.count(2) == ids.count(2)
+        if len(ids) < 2 or not plain:
+            assert (enc, dec) == (ids, [])
+            continue
+        assert [y for x in enc if x != 2 for y in (spans[x] if x >= 10_000 else [x])] == plain
+        m = len(plain)
+        noise = max(1, min(round(m * ratio), m - 1))
+        k = max(1, min(round(noise / mean), corruption.SENTINELS - 1, noise, m - noise))
+        assert list(spans) == [10_000 + i for i in range(k)] and sum(map(len, spans.values())) == noise and all(spans.values())
+        if m > noise:
+            assert enc[0] < 10_000  # a kept part comes first
+
+
+def test_masks_of_sentinels_use_no_python(spark, sf_dir):
+    for name in ("cr3_sentinels", "cr6_morpheme_sentinels", "cr14_byte_reconstruction", "cr17_heavy_denoising"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 @settings(max_examples=100, deadline=None)
@@ -157,6 +184,15 @@ def test_infilling_keeps_protected_tokens_and_order(text, key):
     assert len([x for x in out if x != -1]) >= len(text) - int(0.3 * len(text))
 
 
+def test_infilling_begins_few_spans_and_steps_over_protected_ids():
+    n = 20_000
+    rngs = [corruption.rng_of(k) for k in range(5)]
+    few = [corruption.infill([7] * n, 0.9, 1.0, -1, set(), g) for g in rngs]
+    assert all(0.1 < (n - out.count(7)) / n < 0.9 for out in few)  # with a start at 15 % of places the budget isn't spent
+    out = corruption.infill([7, 2] * 500, 0.5, 30.0, -1, {2}, corruption.rng_of(1))
+    assert out.count(2) == 500 and max(len(run) for run in "".join("m" if x == -1 else "k" if x == 7 else "" for x in out).split("k")) > 3
+
+
 def test_transcription_golden():
     entries = {"美": "미", "女": "녀", "韓": "한", "國": "국", "樂": "락", "音": "음", "音樂": "음악"}
     widths = [2, 1]
