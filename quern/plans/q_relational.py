@@ -14,7 +14,7 @@ from quern.operators import relational as rel
 from quern.operators.ranks import floor_div
 from quern.plans.q_sampling import WORDS, _words
 from quern.queryset import query, table
-from quern.sources import readers, sinks
+from quern.sources import arrowfiles, readers, sinks
 
 
 def _docs(spark, sf_dir, *cols):
@@ -73,10 +73,48 @@ def all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_name", F.coalesce("doc_id", "page_id").alias("doc_id"), "url", F.length("text").cast("bigint").alias("n"))
 
 
-@query("src19_stale_files", "SELECT * FROM (VALUES ('b', 'changed'), ('c', 'missing'), ('d', 'extra')) t(name, state)")
+@query("src4_arrow_files", "SELECT doc_id, text, lang FROM documents")
+def arrow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as Arrow files and read back, three of their columns."""
+    folder = f"{sinks.shared_folder(spark)}/arrow"
+    arrowfiles.write_arrow(_docs(spark, sf_dir, "doc_id", "source", "text", "lang", "n_chars"), folder, rows=500)
+    return arrowfiles.read_arrow(spark, f"{folder}/*.arrow", ["doc_id", "text", "lang"])
+
+
+@query("src11_temporal_benchmark", """SELECT encoder_input, correct_idx, category, benchmark, true_year FROM (
+  SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY md5(concat_ws(':', '42', encoder_input)), encoder_input) AS rn FROM (
+  SELECT CAST(o_orderkey AS VARCHAR) AS encoder_input, CAST(o_orderkey % 3 AS INTEGER) AS correct_idx, o_orderstatus AS category, o_orderpriority AS benchmark, CAST(year(o_orderdate) AS INTEGER) AS true_year FROM orders)) WHERE rn <= 150""")
+def temporal_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as questions in two files, read as a benchmark with years."""
+    orders = table(spark, sf_dir, "orders")
+    fields = [F.col("o_orderkey").cast("string").alias("encoder_input"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("candidates"), (F.col("o_orderkey") % 3).cast("int").alias("correct_idx")]
+    rows = orders.select(*fields, F.col("o_orderstatus").alias("category"), F.col("o_orderpriority").alias("benchmark"), F.year("o_orderdate").alias("true_year"))
+    folder = sinks.shared_folder(spark)
+    paths = [f"{folder}/even", f"{folder}/odd"]
+    for k, path in enumerate(paths):
+        sinks.write_parquet(rows.where(F.col("correct_idx") % 2 == k), path)
+    found = readers.benchmark(spark, paths, 150, temporal=True)
+    return found.select("encoder_input", "correct_idx", "category", "benchmark", "true_year")
+
+
+@query("src19_stale_files", "SELECT DISTINCT 'lang=' || lang AS name, CASE lang WHEN (SELECT min(lang) FROM documents) THEN 'missing' WHEN (SELECT max(lang) FROM documents) THEN 'changed' ELSE 'same' END AS state FROM documents UNION ALL SELECT 'extra', 'extra'")
 def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    remote = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "name string, size long")
-    return readers.stale_files(remote, spark.createDataFrame([("a", 1), ("b", 5), ("d", 4)], "name string, size long"))
+    """Two written copies of documents, a file for each language; the second lacks one, has another changed and one more."""
+    folder, docs = sinks.shared_folder(spark), _docs(spark, sf_dir, "lang", "text")
+    first, last = docs.agg(F.min("lang"), F.max("lang")).first()
+    put = lambda df, to: df.repartition("lang").write.partitionBy("lang").text(f"{folder}/{to}")
+    put(docs, "remote")
+    more = F.when(F.col("lang") == last, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    changed = docs.where(F.col("lang") != first).select("lang", more.alias("text"))
+    put(changed.unionByName(docs.limit(1).withColumn("lang", F.lit("extra"))), "local")
+
+    def listed(of: str) -> DataFrame:
+        place = F.regexp_extract("path", "lang=([^/]*)", 1)
+        rows = readers.listing(spark, f"{folder}/{of}", recursive=True)
+        return rows.groupBy(F.when(place == "extra", place).otherwise(F.concat(F.lit("lang="), place)).alias("name")).agg(F.sum("size").alias("size"))
+
+    stale = readers.stale_files(listed("remote"), listed("local"))
+    return stale.unionByName(listed("remote").join(stale, "name", "left_anti").select("name", F.lit("same").alias("state")))
 
 
 @query("snk5_long_metrics", "SELECT 'labels/' || name AS name, value, 3 AS step FROM (SELECT 'n' AS name, CAST(count(*) AS DOUBLE) AS value FROM labels UNION ALL SELECT 'quality', avg(quality) FROM labels)")

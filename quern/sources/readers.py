@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,23 +49,6 @@ def scan_all(spark: SparkSession, sources: list[SourceConfig], read: Callable[[S
     return out
 
 
-def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Arrow IPC files (stream or file format): file names are listed by Spark, and each is read by the task that has it."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                buffer = content.as_buffer()
-                try:
-                    reader = pa.ipc.open_file(buffer)
-                    yield from (reader.get_batch(i) for i in range(reader.num_record_batches))
-                except pa.ArrowInvalid:
-                    yield from pa.ipc.open_stream(buffer)
-
-    return files.mapInArrow(run, schema)
-
-
 def first_values(df: DataFrame, column: str, n: int, key: str) -> DataFrame:
     """The first n values of a column in key order."""
     return df.orderBy(key).limit(n).select(column)
@@ -138,10 +120,10 @@ def smoke_rows(spark: SparkSession, n: int = 8) -> DataFrame:
     )
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (name, size) of the files at a path."""
-    rows = spark.read.format("binaryFile").load(path)
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+def listing(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Rows (path, name, size) of the files at a path, from the scan's metadata: their contents are not read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("size"))
 
 
 def stale_files(remote: DataFrame, local: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and the executors")
-        base = tempfile.gettempdir()
+        own = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        return own
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 

@@ -269,12 +269,24 @@ def test_sinks_and_caches(spark, tmp_path):
 def test_arrow_files(spark, tmp_path):
     import pyarrow as pa
 
-    table = pa.table({"id": pa.array([1, 2], pa.int64())})
-    with pa.OSFile(f"{tmp_path}/a.arrow", "wb") as f, pa.ipc.new_file(f, table.schema) as w:
-        w.write_table(table)
-    with pa.OSFile(f"{tmp_path}/b.arrow", "wb") as f, pa.ipc.new_stream(f, table.schema) as w:
-        w.write_table(table)
-    assert ids(readers.read_arrow(spark, f"{tmp_path}/*.arrow", "id long")) == [1, 1, 2, 2]
+    from quern.sources import arrowfiles
+
+    rows = pa.table({"id": [1, 2, 3], "text": ["a", None, "c"], "v": [[1], [], None]})
+    with pa.OSFile(f"{tmp_path}/a.arrow", "wb") as f, pa.ipc.new_file(f, rows.schema) as w:
+        w.write_table(rows, max_chunksize=2)
+    with pa.OSFile(f"{tmp_path}/b.arrow", "wb") as f, pa.ipc.new_stream(f, rows.schema) as w:
+        w.write_table(rows)
+    df = arrowfiles.read_arrow(spark, f"{tmp_path}/*.arrow")
+    assert df.columns == ["id", "text", "v"] and sorted(r["id"] for r in df.collect()) == [1, 1, 2, 2, 3, 3]
+    assert df.rdd.getNumPartitions() == 3  # two batches of the first file, and the second
+    own = arrowfiles.read_arrow(spark, f"{tmp_path}/a.arrow", ["v", "id"])
+    assert own.columns == ["v", "id"] and {(r["id"], tuple(r["v"]) if r["v"] is not None else None) for r in own.collect()} == {(1, (1,)), (2, ()), (3, None)}
+    arrowfiles.write_arrow(df.where("id < 0"), f"{tmp_path}/none")
+    with pytest.raises(FileNotFoundError):
+        arrowfiles.read_arrow(spark, f"{tmp_path}/none/*.arrow")
+    arrowfiles.write_arrow(df.repartition(2), f"{tmp_path}/again", rows=1)
+    back = arrowfiles.read_arrow(spark, f"{tmp_path}/again/*.arrow", ["id"])
+    assert sorted(r["id"] for r in back.collect()) == [1, 1, 2, 2, 3, 3] and back.rdd.getNumPartitions() == 6
 
 
 def test_streams(spark, tmp_path):
