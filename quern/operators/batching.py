@@ -15,6 +15,13 @@ from quern.functions.tokens import pad_to
 from quern.operators.ranks import row_index
 
 
+def laned(df: DataFrame, key: str, rows: int, name: str = "lane") -> DataFrame:
+    """Adds a lane, a hash of the key among as many lanes as hold so many rows each; a sequential step runs within a lane,
+    so it is as many tasks as the input asks for, and none holds a whole group."""
+    lanes = max(1, -(-df.count() // rows))
+    return df.withColumn(name, F.pmod(F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")), F.lit(lanes)))
+
+
 def buffer_ids(df: DataFrame, size: int, key: str, groups: list[str], name: str = "buffer_id") -> DataFrame:
     """Adds the buffer of each row: runs of ``size`` rows of a group in key order."""
     return row_index(df, key, groups, "__rn").withColumn(name, F.floor((F.col("__rn") - 1) / size).cast("bigint")).drop("__rn")

@@ -346,10 +346,12 @@ def group_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"))
 
 
-@query("ag3_group_indices", "SELECT source, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY source")
+@query("ag3_group_indices", "SELECT source, chunk, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS chunk FROM documents) GROUP BY source, chunk")
 def group_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of each source in lists of a hundred, so that no list grows with its source."""
+    rows = batching.buffer_ids(_docs(spark, sf_dir, "doc_id", "source"), 100, "doc_id", ["source"], "chunk")
     ids = F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda i: i.cast("string")), ",")
-    return _docs(spark, sf_dir, "doc_id", "source").groupBy("source").agg(ids.alias("ids"))
+    return rows.groupBy("source", "chunk").agg(ids.alias("ids"))
 
 
 @query("ag4_distinct_keys", "SELECT count(DISTINCT text) AS texts, count(DISTINCT source) AS sources FROM documents")
@@ -606,20 +608,33 @@ def buffer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.buffer_ids(_docs(spark, sf_dir, "doc_id", "source"), 8, "doc_id", ["source"])
 
 
-@query("pk1_next_fit_packs")
+#: The packs of each buffer by the rule, a document at a time: the open pack's number, tokens and documents are carried along.
+_PACKS = f"""(WITH RECURSIVE b AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 64 AS buffer_id FROM {WORDS}),
+    d AS (SELECT source, buffer_id, doc_id, least(n_tokens, 2048) AS n, row_number() OVER (PARTITION BY source, buffer_id ORDER BY n_tokens DESC, doc_id) AS i FROM b),
+    r AS (SELECT source, buffer_id, doc_id, n, i, CAST(0 AS BIGINT) AS pack, CAST(0 AS BIGINT) AS position, FALSE AS alone, CAST(0 AS BIGINT) AS open, n AS used, CAST(1 AS BIGINT) AS docs FROM d WHERE i = 1
+      UNION ALL SELECT source, buffer_id, doc_id, n, i, pack, position, alone, CASE WHEN alone THEN last + 1 ELSE pack END, CASE WHEN alone THEN 0 WHEN over THEN n ELSE was + n END, CASE WHEN alone THEN 0 ELSE position + 1 END
+      FROM (SELECT *, CASE WHEN alone THEN NULL WHEN over THEN last + 1 ELSE last END AS pack, CASE WHEN over THEN 0 ELSE held END AS position
+        FROM (SELECT d.*, r.open AS last, r.used AS was, r.docs AS held, r.docs > 0 AND r.used + d.n > 2048 AS over, r.docs > 0 AND r.used + d.n > 2048 AND r.used < 0.8 * 2048 AS alone
+          FROM r JOIN d ON d.source = r.source AND d.buffer_id = r.buffer_id AND d.i = r.i + 1)))
+    SELECT source, buffer_id, doc_id, CAST(CASE WHEN alone THEN 1 + coalesce(max(pack) OVER w, -1) + row_number() OVER (PARTITION BY source, buffer_id, alone ORDER BY i) - 1 ELSE pack END AS INTEGER) AS pack,
+      CAST(position AS INTEGER) AS position, CAST(n AS INTEGER) AS used, alone FROM r WINDOW w AS (PARTITION BY source, buffer_id))"""
+
+
+@query("pk1_next_fit_packs", f"SELECT * FROM {_PACKS}")
 def next_fit_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential within a buffer: tests hold it against a plain loop."""
     rows = batching.buffer_ids(_words(spark, sf_dir), 64, "doc_id", ["source"])
     return batching.pack_documents(rows, "n_tokens", "doc_id", ["source", "buffer_id"], 2048, 0.8)
 
 
 @query("pk2_packs_with_leftovers")
 def packs_with_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = batching.buffer_ids(_words(spark, sf_dir), 32, "doc_id", ["source"])
-    return batching.pack_with_leftovers(rows, "n_tokens", "doc_id", ["source"], "buffer_id")
+    """Leftovers go from buffer to buffer within a lane; tests hold a lane against a plain loop."""
+    rows = batching.laned(_words(spark, sf_dir), "doc_id", 256)
+    rows = batching.buffer_ids(rows, 32, "doc_id", ["source", "lane"])
+    return batching.pack_with_leftovers(rows, "n_tokens", "doc_id", ["source", "lane"], "buffer_id")
 
 
-@query("ag19_packing_stats")
+@query("ag19_packing_stats", f"SELECT CAST(sum(n_docs) AS BIGINT) AS docs, count(*) AS packs, CAST(sum(n_docs) AS DOUBLE) / count(*) AS docs_per_pack, CAST(sum(n_tokens) AS DOUBLE) / (count(*) * 2048) AS efficiency FROM (SELECT count(*) AS n_docs, sum(used) AS n_tokens FROM {_PACKS} GROUP BY source, buffer_id, pack)")
 def packing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     packs = next_fit_packs(spark, sf_dir).groupBy("source", "buffer_id", "pack").agg(F.count("*").alias("n_docs"), F.sum("used").alias("n_tokens"))
     return batching.packing_stats(packs, 2048)

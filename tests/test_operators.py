@@ -45,6 +45,29 @@ def test_packs_match_the_loop(spark):
         assert sorted(map(sorted, got.values())) == sorted([sorted(own[i][0] for i in p) for p in [*want, *([i] for i in alone)]])
 
 
+def leftovers(buffers, limit, threshold, most):
+    """A lane's packs in a plain loop: buffers of (id, length)."""
+    out, carried = [], []
+    for k, b in enumerate(buffers, 1):
+        docs, carried, now = [*carried, *((i, n, 0) for i, n in b)], [], []
+        for i, n, again in sorted(docs, key=lambda d: -d[1]):
+            n = min(n, limit)
+            if now and sum(x[1] for x in now) + n > limit:
+                full = sum(x[1] for x in now) / limit >= threshold
+                out.append([x[0] for x in now])
+                now = []
+                if not full:
+                    if k < len(buffers) and n < limit // 2 and again < most:
+                        carried.append((i, n, again + 1))
+                    else:
+                        out.append([i])
+                    continue
+            now.append((i, n))
+        if now:
+            out.append([x[0] for x in now])
+    return out
+
+
 def test_leftovers_keep_every_document(spark):
     rows = spark.createDataFrame([(i, "a", i // 16, (i * 53) % 1100 + 1) for i in range(150)], "id long, source string, b long, n long")
     got = batching.pack_with_leftovers(rows, "n", "id", ["source"], "b", 1000, 0.9).collect()
@@ -56,6 +79,22 @@ def test_leftovers_keep_every_document(spark):
     assert max(used.values()) <= 1000
 
 
+def test_lanes_split_a_hot_source_and_match_the_loop(spark):
+    """Nearly all rows are of one source: its lanes are packed apart, each as one loop over its buffers."""
+    df = spark.createDataFrame([(i, "a" if i % 9 else "b", (i * 53) % 700 + 1) for i in range(600)], "id long, source string, n long")
+    dealt = batching.buffer_ids(batching.laned(df, "id", 100), 16, "id", ["source", "lane"], "b")
+    lanes = {}
+    for r in dealt.collect():
+        lanes.setdefault((r["source"], r["lane"]), {}).setdefault(r["b"], []).append((r["id"], r["n"]))
+    assert len({lane for _, lane in lanes}) == 6 and max(sum(map(len, b.values())) for b in lanes.values()) < 150
+    got = {}
+    for r in batching.pack_with_leftovers(dealt, "n", "id", ["source", "lane"], "b", 1000, 0.9).collect():
+        got.setdefault((r["source"], r["lane"]), {}).setdefault(r["pack"], set()).add(r["id"])
+    for lane, buffers in lanes.items():
+        want = leftovers([sorted(buffers[b]) for b in sorted(buffers)], 1000, 0.9, 2)
+        assert sorted(map(sorted, got[lane].values())) == sorted(map(sorted, want))
+
+
 def test_mixer_matches_the_loop(spark):
     rows = [(i, "xyz"[i % 3], (i * 31) % 90 + 1, 0) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, source string, n_tokens long, lane long")
