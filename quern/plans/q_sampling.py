@@ -11,6 +11,8 @@ from quern.operators.ranks import hash_rank, uniform
 from quern.operators.relational import row_running
 from quern.plans.sql import H, U
 from quern.queryset import query, table
+from quern.sources import sinks
+from quern.streaming import mixer
 
 
 def _docs(spark, sf_dir, *cols):
@@ -261,6 +263,32 @@ def token_deficit_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}, "doc_id", "lang")
 
 
+_TARGETS = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
+
+
+@query("ss1_mixed_stream")
+def mixed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixer as a stream that is stopped after half of its files and goes on from its checkpoint; tests hold its rows
+    against the mixer over the whole table."""
+    folder = sinks.shared_folder(spark)
+    rows = batching.laned(_words(spark, sf_dir), "doc_id", 1024).select("lane", "doc_id", "lang", F.col("n_tokens").cast("long").alias("n_tokens"))
+    sinks.write_parquet(rows, f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    lanes, cuts = rows.agg(F.max("lane") + 1, F.percentile_approx("doc_id", [0.25, 0.5, 0.75])).first()
+    bounds = [None, *sorted(set(cuts or [])), None]
+    parts = [rows.where((F.lit(True) if lo is None else F.col("doc_id") > lo) & (F.lit(True) if hi is None else F.col("doc_id") <= hi)) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("lang", "string"), ("n_tokens", "long"))]
+    parts.append(rows.select("lane").distinct().select("lane", *nothing))
+    with mixer.rocksdb(spark, min(int(lanes or 1), int(spark.conf.get("spark.sql.shuffle.partitions")))):
+        for half in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):
+            for part in half:  # later files hold later keys
+                part.write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
+            mixed = mixer.mixed_stream(stream, _TARGETS, "doc_id", "lang")
+            mixer.run_available(mixed, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(mixed.schema).parquet(f"{folder}/out")
+
+
 @query("ss2_refill_order", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn, CAST(substr(source, 4) AS INTEGER) AS source_no FROM documents")
 def refill_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns of a round robin over the sources."""

@@ -328,24 +328,35 @@ def test_arrow_files(spark, tmp_path):
     assert sorted(r["id"] for r in back.collect()) == [1, 1, 2, 2, 3, 3] and back.rdd.getNumPartitions() == 6
 
 
+def test_mixed_stream_resumes_and_matches_the_mixer(spark, sf_dir):
+    from quern.plans import q_sampling
+
+    rows = batching.laned(q_sampling._words(spark, sf_dir), "doc_id", 1024)
+    want = mixing.mix(rows, q_sampling._TARGETS, "doc_id", "lang").collect()
+    got = registry.QUERIES["ss1_mixed_stream"](spark, sf_dir).collect()
+    key = lambda r: (r["lane"], r["order"], r["doc_id"], r["lang"], r["n_tokens"])
+    assert sorted(map(key, got)) == sorted(map(key, want)) and got
+
+
 def test_streams(spark, tmp_path):
     from quern.streaming import mixer
 
     rows = spark.createDataFrame([(i, "xy"[i % 2], 10, 0) for i in range(40)], "id long, source string, n_tokens long, lane long")
     rows.repartition(2).write.parquet(f"{tmp_path}/s")
     stream = mixer.read_parquet_stream(spark, f"{tmp_path}/s", rows.schema, 2)
-    got = mixer.drain(mixer.mixed_stream(stream, {"x": 0.75, "y": 0.25}, "id"), "mixed").collect()
-    assert len({r["id"] for r in got}) == len(got) > 0
-    first = [r["source"] for r in sorted(got, key=lambda r: r["order"])[:20]]
-    assert first.count("x") == pytest.approx(15, abs=2)
-    query = mixer.mixed_stream(stream, {"x": 0.75, "y": 0.25}, "id", idle_ms=500).writeStream.format("memory").queryName("all").start()
-    try:  # rows that wait for a source that ran dry go out when nothing more comes
-        for _ in range(60):
-            if (n := spark.table("all").count()) == 40:
-                break
-            time.sleep(0.5)
-    finally:
-        query.stop()
+    with mixer.rocksdb(spark, 2):
+        got = mixer.drain(mixer.mixed_stream(stream, {"x": 0.75, "y": 0.25}, "id"), "mixed").collect()
+        assert len({r["id"] for r in got}) == len(got) > 0
+        first = [r["source"] for r in sorted(got, key=lambda r: r["order"])[:20]]
+        assert first.count("x") == pytest.approx(15, abs=2)
+        query = mixer.mixed_stream(stream, {"x": 0.75, "y": 0.25}, "id", idle_ms=500).writeStream.format("memory").queryName("all").start()
+        try:  # rows that wait for a source that ran dry go out when nothing more comes
+            for _ in range(60):
+                if (n := spark.table("all").count()) == 40:
+                    break
+                time.sleep(0.5)
+        finally:
+            query.stop()
     assert n == 40 and sorted(r["id"] for r in spark.table("all").collect()) == list(range(40))
     events = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (2, "b", 7)], "id long, source string, n_tokens long").withColumn("at", F.timestamp_seconds(F.col("id") * 60))
     events.write.parquet(f"{tmp_path}/e")
