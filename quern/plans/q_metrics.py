@@ -107,10 +107,9 @@ def sentence_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.sentence_bleu(_pairs(spark, sf_dir), "t", "c").select("doc_id", F.round("bleu", 6).alias("bleu"))
 
 
-@query("ev11_rouge_2", f"SELECT p.doc_id, round(coalesce(m, 0) / CAST(c - 1 AS DOUBLE), 6) AS precision, round(coalesce(m, 0) / CAST(r - 1 AS DOUBLE), 6) AS recall FROM {_PAIRED} p LEFT JOIN {_hits(2)} h ON h.doc_id = p.doc_id WHERE c > 1 AND r > 1")
+@query("ev11_rouge_2", f"SELECT p.doc_id, round(coalesce(m / CAST(nullif(greatest(c - 1, 0), 0) AS DOUBLE), 0), 6) AS precision, round(coalesce(m / CAST(nullif(greatest(r - 1, 0), 0) AS DOUBLE), 0), 6) AS recall FROM {_PAIRED} p LEFT JOIN {_hits(2)} h ON h.doc_id = p.doc_id")
 def rouge_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir).where("size(split(t, ' ')) > 1 and size(split(c, ' ')) > 1")
-    return _rounded(ev.rouge_n(rows, "t", "c", 2), "precision", "recall", digits=6).select("doc_id", "precision", "recall")
+    return _rounded(ev.rouge_n(_pairs(spark, sf_dir), "t", "c", 2), "precision", "recall", digits=6).select("doc_id", "precision", "recall")
 
 
 @query("ev12_rouge_l")

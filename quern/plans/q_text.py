@@ -338,11 +338,13 @@ def pair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", tx.pair_text(F.col("role"), F.col("text")).alias("pair"), tx.score_text(F.col("turn")).alias("score"))
 
 
-_BENCH = "(SELECT item_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS l FROM benchmark))"
+#: All words of the benchmark's items, whatever their letters, and their UTF-8 bytes.
+_BENCH = r"(SELECT item_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT item_id, regexp_extract_all(text, '[^ \t\n\r]+') AS l FROM benchmark))"
+_WORD_BYTES = "list_transform(range(0, strlen({0})), lambda i: CAST('0x' || substr(hex({0}), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))"
 
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0))
     return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(found).alias("at", "w")).select("item_id", (F.col("at") + 1).cast("bigint").alias("pos"), "w")
 
 
@@ -358,6 +360,6 @@ def ngrams_of_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("item_id", "pos", F.array_join("g", "|").alias("g"))
 
 
-@query("tx24_fnv1a32", f"SELECT item_id, pos, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(w, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, b: (xor(h, b) * CAST(16777619 AS BIGINT)) & CAST(4294967295 AS BIGINT)) AS BIGINT) AS h FROM {_BENCH}")
+@query("tx24_fnv1a32", f"SELECT item_id, pos, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {_WORD_BYTES.format('w')}), lambda h, b: (xor(h, b) * CAST(16777619 AS BIGINT)) & CAST(4294967295 AS BIGINT)) AS BIGINT) AS h FROM {_BENCH}")
 def fnv1a32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bench(spark, sf_dir).select("item_id", "pos", tx.fnv1a32(F.col("w")).alias("h"))

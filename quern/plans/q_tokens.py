@@ -56,9 +56,9 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("doc_id", _text(tk.attention_mask(i, 3)).alias("mask"), _text(labels).alias("labels"), tk.count_labelled(labels).alias("labelled"))
 
 
-@query("tk10_shifted", f"SELECT doc_id, array_to_string(list_concat([1], list_slice(ids, 1, len(ids) - 1)), ' ') AS ids FROM {_IDS} WHERE len(ids) > 0")
+@query("tk10_shifted", f"SELECT doc_id, array_to_string(list_concat([1], list_slice(ids, 1, len(ids) - 1)), ' ') AS ids FROM {_IDS}")
 def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ids(spark, sf_dir).where(F.size("ids") > 0).select("doc_id", _text(tk.shift_right(F.col("ids"), 1, 0)).alias("ids"))
+    return _ids(spark, sf_dir).select("doc_id", _text(tk.shift_right(F.col("ids"), 1, 0)).alias("ids"))
 
 
 @query("tk13_content_tokens", "SELECT l_orderkey, l_linenumber % 3 AS segment, count(*) AS n FROM lineitem WHERE l_quantity >= 20 AND l_linenumber % 3 > 0 GROUP BY 1, 2")
@@ -164,9 +164,9 @@ def prefix_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _text(F.col("s.encoder")).alias("encoder"), _text(F.col("s.decoder")).alias("decoder"))
 
 
-@query("tk29_split_at_end", f"SELECT doc_id, CAST(len(list_filter(ids, lambda x: x = 2)) + CAST(ids[len(ids)] <> 2 AS INTEGER) AS INTEGER) AS n FROM {_IDS} WHERE len(ids) > 0")
+@query("tk29_split_at_end", f"SELECT doc_id, CAST(len(list_filter(ids, lambda x: x = 2)) + coalesce(CAST(ids[len(ids)] <> 2 AS INTEGER), 0) AS INTEGER) AS n FROM {_IDS}")
 def split_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ids(spark, sf_dir).where(F.size("ids") > 0).select("doc_id", F.size(tk.split_at(F.col("ids"), 2)).alias("n"))
+    return _ids(spark, sf_dir).select("doc_id", F.size(tk.split_at(F.col("ids"), 2)).alias("n"))
 
 
 @query("tk30_permuted_sentences", "SELECT doc_id, string_agg(s, '|' ORDER BY md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR), CAST(i AS VARCHAR))), i) AS parts FROM (SELECT doc_id, unnest(string_split(text, '.')) AS s, unnest(range(len(string_split(text, '.')))) AS i FROM documents WHERE len(string_split(text, '.')) >= 3) GROUP BY doc_id")
