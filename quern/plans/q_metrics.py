@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions import numeric as nm
 from quern.functions.alignment import hanja_accuracy, hanja_recall
 from quern.operators import metrics as ev
+from quern.operators.relational import row_running
+from quern.plans.q_sampling import WORDS, _words
 from quern.plans.q_text import LETTERS
 from quern.plans.q_tokens import _IDS, _ids
 from quern.plans.sql import U
@@ -232,16 +234,26 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATE = "CASE WHEN x < 0.05 THEN x / 0.05 WHEN x < 0.15 THEN 1.0 WHEN x < 1.0 THEN CASE WHEN x >= 0.8 THEN 0.1 + 0.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(greatest((x - 0.15) / 0.65, 0.0), 1.0))) END ELSE 0.1 END"
 
 
-@query("nm1_learning_rate", f"SELECT CAST(i AS BIGINT) AS step, round({_RATE}, 9) AS rate FROM (SELECT i, i / CAST(100 AS DOUBLE) AS x FROM range(0, 110) t(i))")
+#: Each document with the share of all tokens that a run has seen when it comes.
+_SEEN = f"(SELECT doc_id, CAST(sum(n_tokens) OVER (ORDER BY doc_id) AS DOUBLE) / CAST(sum(n_tokens) OVER () AS DOUBLE) AS x FROM {WORDS})"
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = row_running(_words(spark, sf_dir), "doc_id", "n_tokens", "seen")
+    total = rows.agg(F.sum("n_tokens").cast("double").alias("total"))  # a row
+    return rows.crossJoin(F.broadcast(total)).select("doc_id", (F.col("seen").cast("double") / F.col("total")).alias("x"))
+
+
+@query("nm1_learning_rate", f"SELECT doc_id, round({_RATE}, 9) AS rate FROM {_SEEN}")
 def learning_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rate = nm.learning_rate(F.col("id") / 100.0, 1.0, 0.05, 0.10, 0.1, "cosine", cooldown=0.2)
-    return spark.range(110).select(F.col("id").alias("step"), F.round(rate, 9).alias("rate"))
+    rate = nm.learning_rate(F.col("x"), 1.0, 0.05, 0.10, 0.1, "cosine", cooldown=0.2)
+    return _seen(spark, sf_dir).select("doc_id", F.round(rate, 9).alias("rate"))
 
 
-@query("nm1_learning_rate_rsqrt", "SELECT CAST(i AS BIGINT) AS step, round(CASE WHEN x < 0.05 THEN x / 0.05 WHEN x < 0.15 THEN 1.0 ELSE sqrt(CAST(0.15 AS DOUBLE) / x) END, 9) AS rate FROM (SELECT i, i / CAST(100 AS DOUBLE) AS x FROM range(0, 110) t(i))")
+@query("nm1_learning_rate_rsqrt", f"SELECT doc_id, round(CASE WHEN x < 0.05 THEN x / 0.05 WHEN x < 0.15 THEN 1.0 ELSE sqrt(CAST(0.15 AS DOUBLE) / x) END, 9) AS rate FROM {_SEEN}")
 def learning_rate_rsqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rate = nm.learning_rate(F.col("id") / 100.0, 1.0, 0.05, 0.10, 0.1, "rsqrt")
-    return spark.range(110).select(F.col("id").alias("step"), F.round(rate, 9).alias("rate"))
+    rate = nm.learning_rate(F.col("x"), 1.0, 0.05, 0.10, 0.1, "rsqrt")
+    return _seen(spark, sf_dir).select("doc_id", F.round(rate, 9).alias("rate"))
 
 
 @query("nm2_aligned", "SELECT doc_id, CAST(ceil(n_chars / CAST(128 AS DOUBLE)) * 128 AS BIGINT) AS n FROM documents")

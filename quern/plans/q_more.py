@@ -14,10 +14,11 @@ from quern.operators import corruption as cr
 from quern.operators import relational as rel
 from quern.operators import tasks as ts
 from quern.operators.ranks import hash_rank
+from quern.plans.q_relational import registered_rows, registered_sql
 from quern.plans.q_sampling import WORDS, _words
 from quern.plans.q_text import ENTRIES
 from quern.plans.q_tokens import _IDS, _ids, _text
-from quern.plans.sql import H
+from quern.plans.sql import H, U
 from quern.queryset import query, table
 from quern.sources import readers, sinks
 
@@ -30,14 +31,14 @@ def text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.text_list(spark, path)
 
 
-@query("src13_supervised_sources", "SELECT * FROM (VALUES ('temporal'), ('sts'), ('topics'), ('nli'), ('transcription_articles'), ('transcription_sentences'), ('instruction'), ('summaries'), ('cot'), ('choices')) t(name)")
+@query("src13_supervised_sources", registered_sql([("temporal", "temporal_classification"), ("sts", "sts"), ("topics", "topic_classification"), ("nli", "nli"), ("transcription_articles", "transcription"), ("transcription_sentences", "transcription"), ("instruction", "instruction"), ("summaries", "summarization"), ("cot", "cot"), ("choices", "multiple_choice")]))
 def supervised_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s.name,) for s in config.supervised_sources(sf_dir)], "name string")
+    return registered_rows(spark, sf_dir, config.supervised_sources)
 
 
-@query("src14_eval_sources", "SELECT * FROM (VALUES ('temporal'), ('sts'), ('topics'), ('nli')) t(name)")
+@query("src14_eval_sources", registered_sql([("temporal", "temporal_classification"), ("sts", "sts"), ("topics", "topic_classification"), ("nli", "nli")]))
 def supervised_eval_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s.name,) for s in config.eval_sources(sf_dir)], "name string")
+    return registered_rows(spark, sf_dir, config.eval_sources)
 
 
 @query("src17_head", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 16")
@@ -120,9 +121,11 @@ def morpheme_denoising(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(cr.morpheme_infilling()(F.col("parts"), F.col("doc_id")), "").alias("encoder"), F.array_join("parts", " ").alias("decoder"))
 
 
-@query("cr23_denoiser_configs", "SELECT * FROM (VALUES (CAST(3 AS DOUBLE), CAST(0.15 AS DOUBLE)), (CAST(8 AS DOUBLE), CAST(0.5 AS DOUBLE))) t(mean, ratio)")
+@query("cr23_denoiser_configs", f"SELECT doc_id, CASE WHEN {U('pairs', 'doc_id')} * 2 < 1 THEN CAST(3 AS DOUBLE) ELSE CAST(8 AS DOUBLE) END AS mean, CASE WHEN {U('pairs', 'doc_id')} * 2 < 1 THEN CAST(0.15 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS ratio FROM documents")
 def denoiser_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(config.parse_denoisers("3,8;0.15,0.5"), "mean double, ratio double")
+    """Each document with one of the configurations of a setting's text."""
+    chosen = cr.choose_config(config.parse_denoisers("3,8;0.15,0.5"), "doc_id", seed="pairs")
+    return table(spark, sf_dir, "documents").select("doc_id", chosen["lambda"].alias("mean"), chosen["ratio"].alias("ratio"))
 
 
 @query("ts11_task_adapters", """SELECT conv_id, turn, handler, CASE WHEN handler = 'instruction' THEN 'Follow the instruction.' ELSE role END AS prompt_text, text AS input, CASE WHEN handler = 'summarization' THEN 'short' ELSE role END AS output

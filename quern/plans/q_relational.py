@@ -56,14 +56,35 @@ def choice_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_per_group(checked, 200, "benchmark", "encoder_input").select("encoder_input", "correct_idx", "category", "benchmark")
 
 
-@query("src12_source_registry", """SELECT * FROM (VALUES ('curated', 'mixed', 7), ('web', 'denoising', 2), ('pdf', 'denoising', 2), ('historical', 'denoising', 3), ('sts', 'sts', 5), ('topics', 'topic_classification', 3), ('nli', 'nli', 3)) t(name, data_type, n_columns)""")
+def registered_rows(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """Rows (source_name, data_type, text) of the sources that make(root) gives, read as they say from files that all documents
+    are written to: each document goes to one source, in the columns that its fields name."""
+    sources, docs = make(sinks.shared_folder(spark)), _docs(spark, sf_dir, "doc_id", "text", "lang")
+    for k, s in enumerate(sources):
+        filled = [(F.col("text") if c == s.text_field else F.concat_ws(":", F.lit(c), "lang")).alias(c) for c in s.required_columns]
+        sinks.write_parquet(docs.where(F.col("doc_id") % len(sources) == k).select(*filled), s.pattern.rpartition("/")[0])
+    rows = readers.scan_all(spark, sources)
+    of = lambda s, c: F.when(F.col("source_name") == s.name, c)
+    text = F.coalesce(*(of(s, F.col(s.text_field)) for s in sources))
+    return rows.select("source_name", F.coalesce(*(of(s, F.lit(s.data_type)) for s in sources)).alias("data_type"), text.alias("text"))
+
+
+def registered_sql(sources: list[tuple[str, str]]) -> str:
+    values = ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(sources))
+    return f"SELECT source_name, data_type, text FROM documents JOIN (VALUES {values}) s(k, source_name, data_type) ON doc_id % {len(sources)} = k"
+
+
+@query("src12_source_registry", registered_sql([("curated", "mixed"), ("web", "denoising"), ("pdf", "denoising"), ("historical", "denoising"), ("sts", "sts"), ("topics", "topic_classification"), ("nli", "nli")]))
 def source_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s.name, s.data_type, len(s.required_columns)) for s in config.pretraining_sources(sf_dir)], "name string, data_type string, n_columns int")
+    return registered_rows(spark, sf_dir, config.pretraining_sources)
 
 
-@query("src15_eval_sources", "SELECT * FROM (VALUES ('sts_eval'), ('topics_eval'), ('nli_eval')) t(name)")
+@query("src15_eval_sources", "SELECT 'docs_eval' AS source_name, text FROM benchmark UNION ALL SELECT 'turns_eval', text FROM conversations")
 def eval_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s.name,) for s in config.split_sources(config.pretraining_sources(sf_dir), "eval")], "name string")
+    """Evaluation rows of training sources, of those that have any."""
+    evals = {"docs": "benchmark", "turns": "conversations", "web": None}
+    sources = [config.SourceConfig(n, f"{sf_dir}/documents.parquet", 1.0, "mixed", metadata_field=None, eval_pattern=t and f"{sf_dir}/{t}.parquet") for n, t in evals.items()]
+    return readers.scan_all(spark, config.split_sources(sources, "eval")).select("source_name", "text")
 
 
 @query("src16_all_sources", "SELECT 'docs' AS source_name, doc_id, NULL AS url, length(text) AS n FROM documents UNION ALL SELECT 'pages', page_id, url, NULL FROM pages")
@@ -226,9 +247,12 @@ def byte_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", corruption.byte_eligible(F.col("text"), 2048, 0.1).alias("eligible"))
 
 
-@query("flt11_task_filter", "SELECT * FROM (VALUES ('curated'), ('web'), ('pdf'), ('historical'), ('sts')) t(name)")
+@query("flt11_task_filter", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de', 'fr')")
 def task_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s.name,) for s in config.pretraining_sources(sf_dir, "sts")], "name string")
+    """Documents of the sources that a list of tasks leaves: those of pre-training always, of the others the named one."""
+    kinds = {"en": "mixed", "de": "denoising", "fr": "sts", "es": "nli"}
+    sources = [config.SourceConfig(name, f"{sf_dir}/documents.parquet", 0.25, kind) for name, kind in kinds.items()]
+    return _docs(spark, sf_dir, "doc_id", "lang").where(F.col("lang").isin([s.name for s in config.select_sources(sources, "sts")]))
 
 
 @query("flt12_valid_rows", "SELECT d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL AND d.text IS NOT NULL")
@@ -271,9 +295,12 @@ def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.budget_counts(_docs(spark, sf_dir), "text", 512)
 
 
-@query("flt19_named_sources", "SELECT * FROM (VALUES ('transcription_articles'), ('transcription_sentences')) t(name)")
+@query("flt19_named_sources", "SELECT 'text_documents' AS source_name, text FROM documents UNION ALL SELECT 'text_benchmark', text FROM benchmark")
 def named_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s.name,) for s in config.named_like(config.supervised_sources(sf_dir), "transcription")], "name string")
+    """Rows of the sources whose names have a part."""
+    at = {"text_documents": "documents", "web_pages": "pages", "text_benchmark": "benchmark"}
+    sources = [config.SourceConfig(name, f"{sf_dir}/{t}.parquet", 1.0, "mixed", metadata_field=None) for name, t in at.items()]
+    return readers.scan_all(spark, config.named_like(sources, "text")).select("source_name", "text")
 
 
 # --- joins and membership ----------------------------------------------------------------------------------------
@@ -594,10 +621,11 @@ def top_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest.intersect(table(spark, sf_dir, "labels").select("doc_id")).agg(F.count("*").alias("n"))
 
 
-@query("so6_ordered_dedupe", "SELECT * FROM (VALUES ('text'), ('url'), ('label')) t(name)")
+@query("so6_ordered_dedupe", "SELECT text, source, lang, doc_id FROM documents")
 def ordered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = config.SourceConfig("x", "", 1.0, "nli", target_field="label", extra_columns=("url", "text"))
-    return spark.createDataFrame([(c,) for c in made.required_columns], "name string")
+    """The columns that a source's fields name, each once."""
+    made = config.SourceConfig("x", f"{sf_dir}/documents.parquet", 1.0, "nli", metadata_field="source", target_field="lang", extra_columns=("text", "doc_id", "lang"))
+    return readers.scan_source(spark, made)
 
 
 # --- packing and batches -----------------------------------------------------------------------------------------
@@ -700,9 +728,10 @@ def packed_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.select("l_orderkey", F.col("n_docs").cast("bigint").alias("n_docs"), F.array_join(F.filter("segment_ids", lambda s: s > 0).cast("array<string>"), "").alias("segments"))
 
 
-@query("floor_division", "SELECT e AS x, CAST(floor(e / CAST(5 AS DOUBLE)) AS BIGINT) AS q FROM range(-20, 20) t(e)")
+@query("floor_division", "SELECT l_orderkey, l_linenumber, CAST(floor((l_quantity - 25) / CAST(5 AS DOUBLE)) AS BIGINT) AS q FROM lineitem")
 def floor_division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(-20, 20).select(F.col("id").alias("x"), floor_div(F.col("id"), 5.0).alias("q"))
+    """Also of negative numbers."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", floor_div(F.col("l_quantity").cast("double") - 25, 5.0).alias("q"))
 
 
 @query("ss2_interleaved", "SELECT lang, turn, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents)")

@@ -53,9 +53,13 @@ def slice_and_full_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliced.agg(F.count_if(F.col("host") == 1).alias("slice_rows"), F.count("*").alias("full_rows"))
 
 
-@query("bud1_host_budgets", "SELECT mode, hosts, least(gb / hosts, CAST(30 AS DOUBLE)) AS budget_gb FROM (VALUES ('full', CAST(320 AS DOUBLE)), ('sweep', CAST(10 AS DOUBLE)), ('debug', CAST(1 AS DOUBLE))) m(mode, gb), (VALUES (8), (16)) h(hosts)")
+@query("bud1_host_budgets", "SELECT source, mode, hosts, CAST(least(n, floor(n * least(gb / hosts, CAST(30 AS DOUBLE)) * 1e4 / bytes)) AS BIGINT) AS kept FROM (SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS DOUBLE) AS bytes FROM documents GROUP BY source), (VALUES ('full', CAST(320 AS DOUBLE)), ('sweep', CAST(10 AS DOUBLE)), ('debug', CAST(1 AS DOUBLE))) m(mode, gb), (VALUES (8), (16)) h(hosts)")
 def host_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(m, h, sampling.host_budget_gb(h, m)) for m in sampling.MODE_GB for h in (8, 16)], "mode string, hosts int, budget_gb double")
+    """Rows of each source that a host's budget holds, at ten kilobytes for a gigabyte."""
+    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).cast("double").alias("bytes"))
+    each = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(h).alias("hosts"), F.lit(sampling.host_budget_gb(h, m)).alias("gb")) for m in sampling.MODE_GB for h in (8, 16)))
+    kept = F.least(F.col("n").cast("double"), F.floor(F.col("n") * F.col("b.gb") * 1e4 / F.col("bytes"))).cast("long")
+    return sizes.withColumn("b", F.explode(each)).select("source", "b.mode", "b.hosts", kept.alias("kept"))
 
 
 @query("bud2_source_budgets", "SELECT lang, round(100.0 * n / sum(n) OVER (), 6) AS budget FROM (SELECT lang, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY lang)")

@@ -89,9 +89,12 @@ def extended_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tk.byte_vocabulary(vocab, 100).agg(F.count("*").alias("n"), F.max("token_id").alias("top"))
 
 
-@query("tk16_chat_tokens", "SELECT * FROM (VALUES ('<|system|>', 195), ('<|user|>', 196), ('<|assistant|>', 197), ('<|end_of_turn|>', 198), ('<|think|>', 199)) t(token, token_id)")
+@query("tk16_chat_tokens", "SELECT token, CAST((SELECT max(n_nationkey) FROM nation) + 256 + 96 + i AS INTEGER) AS token_id FROM (VALUES ('<|system|>', 0), ('<|user|>', 1), ('<|assistant|>', 2), ('<|end_of_turn|>', 3), ('<|think|>', 4)) t(token, i)")
 def chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = tk.map_chat_tokens({f"<extra_id_{i}>": 100 + i for i in range(100)})
+    """Chat tokens on the sentinels of a vocabulary that bytes and a hundred sentinels were added to."""
+    vocab = table(spark, sf_dir, "nation").select(F.col("n_name").alias("token"), F.col("n_nationkey").alias("token_id"))
+    sentinels = tk.byte_vocabulary(vocab, 100).where(F.col("token").startswith("<extra_id_")).collect()  # a hundred rows
+    made = tk.map_chat_tokens({r["token"]: r["token_id"] for r in sentinels})
     return spark.createDataFrame(list(made.items()), "token string, token_id int")
 
 
@@ -122,9 +125,13 @@ def byte_spans_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(_text(tk.byte_spans_to_tokens(ids, F.lit(1000), F.lit(300_000)))).alias("ids"))
 
 
-@query("tk24_bucket_batch_sizes", "SELECT * FROM (VALUES (128, 256), (256, 128), (512, 64), (1024, 32), (2048, 16), (4096, 8), (8192, 4)) t(size, batch)")
+@query("tk24_bucket_batch_sizes", f"SELECT size, batch, CAST(count(*) AS BIGINT) AS n, CAST(ceil(count(*) / CAST(batch AS DOUBLE)) AS BIGINT) AS batches FROM (SELECT coalesce((SELECT min(b) FROM (VALUES (128), (256), (512), (1024), (2048), (4096), (8192)) t(b) WHERE b >= len(ids)), 8192) AS size FROM {_IDS}) JOIN (VALUES (128, 256), (256, 128), (512, 64), (1024, 32), (2048, 16), (4096, 8), (8192, 4)) t(s, batch) ON s = size GROUP BY size, batch")
 def bucket_batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s, tk.bucket_batch_size(512, 8, s)) for s in tk.BUCKETS], "size int, batch int")
+    """Documents of each length bucket and the batches that they make at its size."""
+    size = F.element_at(F.array(*map(F.lit, tk.BUCKETS)), tk.bucket_of(F.size("ids")).cast("int") + 1)
+    batch = F.coalesce(*(F.when(F.col("size") == s, F.lit(tk.bucket_batch_size(512, 8, s))) for s in tk.BUCKETS))
+    counts = _ids(spark, sf_dir).select(size.cast("int").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+    return counts.withColumn("batch", batch).select("size", "batch", "n", F.ceil(F.col("n") / F.col("batch")).alias("batches"))
 
 
 @query("tk25_windows", f"SELECT doc_id, array_to_string(CASE WHEN len(ids) > 12 THEN list_slice(ids, s + 1, s + 12) ELSE ids END, ' ') AS ids FROM (SELECT doc_id, ids, CAST(floor({U(42, 'doc_id')} * (len(ids) - 11)) AS INTEGER) AS s FROM {_IDS})")
@@ -248,10 +255,17 @@ def infilling_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(_text(F.col(f"s.{c}")).alias(c) for c in ("input_ids", "labels", "decoder_input_ids")))
 
 
-@query("cr22_empty_batch", "SELECT '0 0 0' AS input_ids, '0 0 0' AS attention_mask, '0 0' AS decoder_input_ids, '-100 -100' AS labels")
+_EMPTIED = f"(SELECT doc_id, ids FROM {_IDS} UNION ALL SELECT item_id, CAST([] AS INTEGER[]) FROM benchmark)"
+
+
+@query("cr22_empty_batch", """SELECT doc_id, CASE WHEN len(ids) = 0 THEN '0 0 0' ELSE array_to_string(list_slice(list_concat(ids, [0, 0, 0]), 1, 3), ' ') END AS input_ids, CASE WHEN len(ids) = 0 THEN '-100 -100' ELSE array_to_string(list_transform(list_slice(list_concat(ids, [0, 0]), 1, 2), lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ' ') END AS labels FROM """ + _EMPTIED)
 def empty_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = spark.range(1).select(tk.empty_row(3, 2, 0).alias("s"))
-    return row.select(*(_text(F.col(f"s.{c}")).alias(c) for c in ("input_ids", "attention_mask", "decoder_input_ids", "labels")))
+    """Rows padded to a batch's length; one without ids is the empty batch's row. Items of a benchmark have no ids here."""
+    rows = _ids(spark, sf_dir).unionByName(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.array().cast("array<int>").alias("ids")))
+    empty = tk.empty_row(3, 2, 0)
+    own = F.struct(tk.pad_to(F.col("ids"), 3, 0).alias("input_ids"), tk.mask_labels(tk.pad_to(F.col("ids"), 2, 0), 0).alias("labels"))
+    made = F.when(F.size("ids") == 0, F.struct(empty["input_ids"].alias("input_ids"), empty["labels"].alias("labels"))).otherwise(own)
+    return rows.select("doc_id", made.alias("s")).select("doc_id", _text(F.col("s.input_ids")).alias("input_ids"), _text(F.col("s.labels")).alias("labels"))
 
 
 @query("cr2_infilled")
