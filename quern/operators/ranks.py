@@ -82,8 +82,26 @@ def key_bucket(df: DataFrame, key: str) -> Column:
     return F.when(of.isNull(), -1).otherwise(bucket)
 
 
-def row_index(df: DataFrame, key: str, groups: list[str] | None = None, name: str = "rn", total: str | None = None, more: list[Column] | None = None) -> DataFrame:
-    """1-based rank by a number or a string (ties by ``more``), cut into buckets of the key."""
+def tied_bucket(df: DataFrame, key: str, tie: str) -> Column:
+    """Buckets of (key, tie), both numbers, that rise with their order: a key that is itself a cut, as any frequent one is, has
+    a bucket of its own, which is cut by the tie-breaker."""
+    cuts_of = lambda c: F.percentile_approx(F.col(c).cast("double"), [i / KEY_BUCKETS for i in range(1, KEY_BUCKETS)], 10_000).alias(c)
+    found = df.select(cuts_of(key), cuts_of(tie)).first()
+    cuts, ties = (sorted(set(found[c] or [])) for c in (key, tie))
+    below = lambda cs, of: F.size(F.filter(F.array(*map(F.lit, cs)), lambda c: c < of)) if cs else F.lit(0)
+    of, by = F.col(key).cast("double"), F.col(tie).cast("double")
+    own = of.isin(cuts) if cuts else F.lit(False)
+    within = F.when(own & by.isNotNull(), below(ties, by) + 1).otherwise(0)
+    return F.when(of.isNull(), -1).otherwise((2 * below(cuts, of) + own.cast("int")) * (KEY_BUCKETS + 1) + within)
+
+
+def row_index(
+    df: DataFrame, key: str, groups: list[str] | None = None, name: str = "rn", total: str | None = None, more: list[Column] | None = None, tie: str | None = None
+) -> DataFrame:
+    """1-based rank by a number or a string (ties by ``more``), cut into buckets of the key. ``tie`` names a number that
+    breaks ties instead; then rows of one frequent key are cut as well."""
+    if tie:
+        return bucketed_rank(df, tied_bucket(df, key, tie), [F.col(key).asc_nulls_first(), F.col(tie).asc_nulls_first()], groups, name, total)
     return bucketed_rank(df, key_bucket(df, key), [F.col(key).asc_nulls_first(), *(more or [])], groups, name, total)
 
 

@@ -92,11 +92,17 @@ def flag_members(df: DataFrame, members: DataFrame, key: str, flag: str, member_
     return df.join(own, F.col(key) == F.col("__m"), "left").withColumn(flag, F.coalesce("__f", F.lit(False))).drop("__m", "__f")
 
 
+def text_digest(text: Column) -> Column:
+    """32 bytes that stand for a text of any length; texts of one digest are equal, and null has none."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def flag_text_members(df: DataFrame, members: DataFrame, text: str, flag: str, member_text: str | None = None) -> DataFrame:
-    """Adds whether an equal text is among the members; a 64-bit hash is the join key, and equality is then checked."""
-    own = members.select(F.col(member_text or text).alias("__m")).where("__m is not null").distinct().withColumns({"__h": F.xxhash64("__m"), "__f": F.lit(True)})
-    joined = df.withColumn("__k", F.xxhash64(text)).join(own, (F.col("__k") == F.col("__h")) & (F.col(text) == F.col("__m")), "left")
-    return joined.withColumn(flag, F.coalesce("__f", F.lit(False))).drop("__k", "__h", "__m", "__f")
+    """Adds whether an equal text is among the members: by their SHA-256 digests, so no text of the members is shuffled, and
+    those of df only where a later step reads them."""
+    own = members.select(text_digest(F.col(member_text or text)).alias("__m")).where("__m is not null").distinct().withColumn("__f", F.lit(True))
+    joined = df.withColumn("__k", text_digest(F.col(text))).join(own, F.col("__k") == F.col("__m"), "left")
+    return joined.withColumn(flag, F.coalesce("__f", F.lit(False))).drop("__k", "__m", "__f")
 
 
 def lookup(df: DataFrame, values: DataFrame, key: str, value: str, default, name: str | None = None) -> DataFrame:

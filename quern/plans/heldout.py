@@ -17,9 +17,9 @@ FRACTIONS = {"train": 0.6, "validation": 0.2, "test": 0.2}
 
 def pool(docs: DataFrame, matched: DataFrame, impure: DataFrame) -> DataFrame:
     """Documents with enough text that are matched and not impure, the first of each text."""
-    kept = docs.where(tx.sufficient_text(F.col("text")))
+    kept = docs.where(tx.sufficient_text(F.col("text"))).select("doc_id", rel.text_digest(F.col("text")).alias("digest"), "lang", "source")
     kept = rel.without(rel.within(kept, matched, "doc_id"), impure, "doc_id")
-    return rel.keep_first(kept.select("doc_id", "text", "lang", "source"), ["text"], [F.col("doc_id")])
+    return rel.keep_first(kept, ["digest"], [F.col("doc_id")])
 
 
 _POOL = r"""
@@ -76,7 +76,7 @@ def bucket_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exclusion_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership of every document by key, else by a text equal to that of a member."""
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", rel.text_digest(F.col("text")).alias("text")), table(spark, sf_dir, "labels")
     found = rel.flag_members(docs, labels, "doc_id", "in_training")
     found = rel.flag_text_members(found, rel.within(docs, labels, "doc_id"), "text", "by_text")
     how = F.when(F.col("in_training"), "key").when(F.col("by_text"), "text").otherwise("none")

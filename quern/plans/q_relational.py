@@ -506,7 +506,8 @@ def first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wn1_keep_first", "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.keep_first(_docs(spark, sf_dir), ["text"], [F.col("doc_id")]).select("doc_id", "lang")
+    rows = _docs(spark, sf_dir, "doc_id", "lang", rel.text_digest(F.col("text")).alias("text"))
+    return rel.keep_first(rows, ["text"], [F.col("doc_id")]).select("doc_id", "lang")
 
 
 @query("wn2_bucket_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) AS rn FROM orders")
@@ -554,7 +555,7 @@ def length_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.operators.ranks import row_index as ranked
 
     rows = _words(spark, sf_dir).withColumn("k", -F.col("n_tokens"))
-    return ranked(rows, "k", None, more=[F.col("doc_id")]).select("doc_id", "rn")
+    return ranked(rows, "k", None, tie="doc_id").select("doc_id", "rn")
 
 
 @query("st3_bucket_order", "SELECT source, n, row_number() OVER (ORDER BY n, source) AS odd_epoch FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")

@@ -449,3 +449,16 @@ def test_common_subsequence():
                 now.append(before[j] + 1 if x == y else max(before[j + 1], now[j]))
             before = now
         assert common_length(a, b) == before[-1]
+
+
+def test_ranks_cut_a_frequent_key(spark):
+    """Half of all rows have one key: the ranks are those of one sort, and no bucket holds more than a small share."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, 7 if i % 2 else rng.choice([None, *range(30)])) for i in rng.sample(range(100_000), 4000)]
+    df = spark.createDataFrame(rows, "id long, k long")
+    got = {r["id"]: r["rn"] for r in ranks.row_index(df, "k", tie="id").collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])), 1)}
+    sizes = df.groupBy(ranks.tied_bucket(df.where("k is not null"), "k", "id").alias("b")).count().where("b >= 0").collect()
+    assert max(r["count"] for r in sizes) < 0.06 * len(rows)
