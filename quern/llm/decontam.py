@@ -12,6 +12,7 @@ index, which is built once per shard and serves all blocks.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -28,6 +29,8 @@ WINDOW = 13
 SHARD_WORDS, SAMPLE = 500_000, 8
 #: Benchmark text of a block, in bytes (a longer item is a block of its own); about ten times that is held in memory.
 BLOCK_BYTES = 2 << 20
+#: Blocks that a task writes, about, so that few of them are not full.
+TASK_BLOCKS = 8
 COLUMNS = ("n_words", "spans", "item_ids")
 
 
@@ -232,17 +235,43 @@ class Shard:
 
 
 def write_blocks(benchmark: DataFrame, folder: str, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[str]:
-    """Writes the benchmark's windows as block files and returns their names; the driver holds one block at a time."""
-    rows = benchmark.select(F.col("item_id").alias("id"), "text").where("text is not null")
+    """Writes the benchmark's windows as block files in one distributed pass and returns their names, all that the driver gets.
+
+    Rows are dealt with a salt, so items that repeat don't meet in one task, and a task cuts what it is given into blocks as
+    it reads. A file has a name of its own for each attempt, so only those of attempts that ended are ever read.
+    """
+    rows = benchmark.select(F.col("item_id").alias("id"), "text", F.monotonically_increasing_id().alias("salt")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts, out = max(1, -(-size // block_bytes)), Folder(folder)
-    for k in range(parts):
-        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
-        temporary, stream = out.write(f"{k:06d}")
-        with stream:
-            stream.write(pickle.dumps(Block([tuple(r) for r in part.collect()], window)))
-        out.settle(temporary, f"{k:06d}")
-    return [f"{k:06d}" for k in range(parts)]
+    tasks = max(1, -(-size // (block_bytes * TASK_BLOCKS)))
+    Folder(folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Folder(folder)
+        for items in _cut(batches, block_bytes):
+            name = uuid.uuid4().hex
+            temporary, stream = out.write(name)
+            with stream:
+                stream.write(pickle.dumps(Block(items, window)))
+            out.settle(temporary, name)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    dealt = rows.repartition(tasks, "id", "salt").select("id", "text")
+    return sorted(r["name"] for r in dealt.mapInArrow(write, "name string").collect())
+
+
+def _cut(batches: Iterable[pa.RecordBatch], block_bytes: int) -> Iterator[list[tuple]]:
+    """The (id, text) rows of batches in lists of at most block_bytes of text; a longer one is alone."""
+    items, size = [], 0
+    for batch in batches:
+        for i, text in zip(*(batch.column(k) for k in range(2)), strict=True):
+            own = len(text.as_buffer())
+            if items and size + own > block_bytes:
+                yield items
+                items, size = [], 0
+            items.append((i.as_py(), text.as_py()))
+            size += own
+    if items:
+        yield items
 
 
 _HELD: dict[tuple[str, str], Block] = {}

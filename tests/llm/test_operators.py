@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import chat, decontam, licences, mainhtml, media, packing, queries, simhash, toxicity, urlfilter, warc
-from quern.llm.common import Scratch, components, words_of
+from quern.llm.common import Scratch, components, scratch_path, words_of
 from tests.llm import brute
 
 LONG = "alpha beta gamma " * 30_000
@@ -250,6 +250,24 @@ def test_index_against_brute_force(texts, items):
         assert (sum(b - a for a, b in decontam.merge(s)), len(m)) == want[k][1:3]
 
 
+def test_benchmark_blocks_in_one_pass(spark):
+    items = spark.createDataFrame([(f"b{k}", f"one two {k} {'w' * (k % 7)}") for k in range(300)] + [("same", "an item that repeats")] * 300, "item_id string, text string")
+    jobs, seen = {}, {}
+    for size in (1 << 20, 200):
+        spark.sparkContext.setJobGroup(f"blocks-{size}", "blocks")
+        folder = scratch_path(spark, "blocks")
+        names = decontam.write_blocks(items, folder, 4, size)
+        jobs[size] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"blocks-{size}"))
+        blocks = [decontam._block(folder, n) for n in names]
+        seen[size] = len(blocks), {(n, tuple(b.words[w] for w in b.windows[k] if w >= 0)) for b in blocks for k in range(len(b.windows)) for n in (b.names[o] for o in b.owners[b.first[k] : b.first[k + 1]])}
+    spark.sparkContext._jsc.sc().clearJobGroup()
+    assert jobs[200] == jobs[1 << 20] and seen[1 << 20][0] == 1 and seen[200][0] > 40
+    assert seen[200][1] == seen[1 << 20][1] and {n for n, _ in seen[200][1]} == {"same"} | {f"b{k}" for k in range(300)}
+    assert decontam.write_blocks(items.limit(0), scratch_path(spark, "blocks")) == []
+    long = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "text": ["ab", "c" * 9, "d", "e"]})
+    assert [[i for i, _ in x] for x in decontam._cut([long], 4)] == [[1], [2], [3, 4]]
+
+
 def test_decontamination_edges(spark, odd):
     items = spark.createDataFrame([(1, "C D e f"), (2, None), (3, ""), (None, "a"), (4, "alpha beta")], "item_id long, text string")
     rows = {r["doc_id"]: r for r in decontam.matches(odd, items).collect()}
