@@ -272,15 +272,3 @@ def margin_stats(df: DataFrame, positive: str, negative: str, margin: float = 0.
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def nearest(queries: DataFrame, pool: DataFrame, vector: str, key: str) -> DataFrame:
-    """Rows (key, nearest, score) of a stated query set against all rows: queries are broadcast in a checked number, and
-    each query's best is an aggregate."""
-    if (n := queries.count()) > 10_000:
-        raise ValueError(f"{n} queries: run them in blocks of 10,000 at most")
-    q = queries.select(F.col(key).alias("__q"), F.col(vector).alias("__v"))
-    pairs = pool.join(F.broadcast(q), F.col(key) != F.col("__q"))
-    score = F.round(cosine(F.col(vector), F.col("__v")), 6)
-    best = F.max(F.struct(score.alias("s"), (-F.col(key)).alias("k"))).alias("__b")
-    return pairs.groupBy("__q").agg(best).select(F.col("__q").alias(key), (-F.col("__b.k")).alias("nearest"), F.col("__b.s").alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import numeric as nm
 from quern.functions.alignment import hanja_accuracy, hanja_recall
 from quern.operators import metrics as ev
+from quern.operators import retrieval
 from quern.operators.relational import row_running
 from quern.plans.q_sampling import WORDS, _words
 from quern.plans.q_text import LETTERS
@@ -226,7 +227,41 @@ _COS = "round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: the stated queries (ids divisible by 100) against all rows."""
     rows = table(spark, sf_dir, "embeddings")
-    return ev.nearest(rows.where("vec_id % 100 = 0"), rows, "embedding", "vec_id")
+    return retrieval.nearest(rows.where("vec_id % 100 = 0"), retrieval.index(rows, "embedding", "vec_id"), "embedding", "vec_id")
+
+
+_SIDES = "SELECT vec_id, label, (vec_id // 100) % 2 AS side, embedding FROM embeddings"
+_CENTRED_SIDES = "SELECT vec_id, label, r.side, list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) - m[i]) AS embedding FROM r JOIN (SELECT side, list(m ORDER BY i) AS m FROM (SELECT side, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT side, unnest(range(1, 65)) AS i, unnest(embedding) AS x FROM r) GROUP BY side, i) GROUP BY side) USING (side)"
+_CROSS = f"SELECT vec_id, side, nearest, score, hit FROM (SELECT a.vec_id, a.side, b.vec_id AS nearest, {_COS} AS score, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS k FROM s a JOIN s b ON a.side <> b.side WHERE a.vec_id % 100 = 0) WHERE k = 1"
+
+
+def _cross_side(rows: DataFrame) -> DataFrame:
+    """Rows (vec_id, side, nearest, score, hit): each stated query's nearest row of the other side, both directions."""
+    out = None
+    for side in (0, 1):
+        cells = retrieval.index(rows.where(F.col("side") != side), "embedding", "vec_id")
+        found = retrieval.nearest(rows.where((F.col("side") == side) & (F.col("vec_id") % 100 == 0)), cells, "embedding", "vec_id").withColumn("side", F.lit(side).cast("long"))
+        out = found if out is None else out.unionByName(found)
+    labels = rows.select("vec_id", "label")
+    own = out.join(labels, "vec_id").join(labels.selectExpr("vec_id AS nearest", "label AS other"), "nearest")
+    return own.select("vec_id", "side", "nearest", "score", (F.col("label") == F.col("other")).alias("hit"))
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumn("side", F.floor(F.col("vec_id") / 100) % 2)
+
+
+@query("ev23_bidirectional", f"WITH s AS ({_SIDES}) {_CROSS}")
+def bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows stand for texts in two scripts by their hundreds; a hit is a nearest row of the same label."""
+    return _cross_side(_sides(spark, sf_dir))
+
+
+@query("ev23_centred_accuracy", f"WITH r AS ({_SIDES}), s AS ({_CENTRED_SIDES}) SELECT side, count(*) AS n, round(avg(CAST(hit AS INTEGER)), 9) AS accuracy FROM ({_CROSS}) GROUP BY side")
+def centred_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after each side's mean is taken off: top-1 accuracy per direction."""
+    found = _cross_side(retrieval.centred(_sides(spark, sf_dir), "embedding", ["side"]))
+    return found.groupBy("side").agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 9).alias("accuracy"))
 
 
 # --- numeric -----------------------------------------------------------------------------------------------------

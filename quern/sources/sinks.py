@@ -27,6 +27,13 @@ def write_parquet(df: DataFrame, path: str, level: int = 9, mode: str = "overwri
     df.write.mode(mode).option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in a new shared folder: computed once, its lineage cut, and still there when an executor is lost."""
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    write_parquet(df, path, level=3)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_parquet_and_csv(df: DataFrame, path: str) -> None:
     """The same rows as parquet and as CSV with a header; the CSV is made from the written parquet."""
     write_parquet(df, f"{path}.parquet")
