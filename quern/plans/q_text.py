@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import script as sc
 from quern.functions import text as tx
+from quern.operators.transcription import transcribed as transcribed_by
 from quern.queryset import query, table
 
 #: A toy dictionary.
@@ -179,6 +180,12 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sc.dictionary(line(words, plain, 0).unionByName(line(later, sc.transcriber(ENTRIES)(F.col("s")), 1)).unionByName(names))
 
 
+@query("ko10_table_transcription")
+def table_transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts by the dictionary that was read from lines; a test holds it against the greedy loop over all entries."""
+    return transcribed_by(_texts(spark, sf_dir), "s", dictionary(spark, sf_dir), "out").select("id", F.md5("out").alias("out"))
+
+
 @query("flt14_kana", f"SELECT s, regexp_matches(s, '[あカ]') AS kana FROM {_WORDS}")
 def kana(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).select("s", sc.has_kana(F.col("s")).alias("kana"))
