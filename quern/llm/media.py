@@ -2,18 +2,20 @@
 
 Corners are found on several scales of a grey picture; each gets an orientation (intensity centroid) and a descriptor of
 binary tests turned by it. Descriptors meet in Hamming tables: the eight blocks of 32 bits are join keys, so two that
-differ in at most seven bits always meet in one, and others by chance (at 16 bits two in three do). Those within the
-distance are matches, and a picture pair with enough of them is kept if one similarity transform explains enough.
-
-In a small bucket all pairs are matches; in a larger one the matches are a spanning forest, each corner with the first
-one within the distance, so a group of thousands of near copies gives a number of matches that grows with its size and
-not with its square. The pairs of a hot bucket are dealt by tiles, so that no task has more than two tiles' rows of it.
+differ in at most seven bits always meet in one, and others by chance (at 16 bits two in three do). A match is two
+corners that are equal in a block and within the distance; a picture pair with enough of them is a link if one similarity
+transform explains enough.
+
+All pairs of every bucket are compared, whatever its size, and each match is listed once, with the first block in which
+the two are equal. The lists of a picture meet in one task, which tries each pair and gives a count of links and a root
+for each picture, so a group of near copies has all its links counted while what follows grows with its size and not
+with its square. The pairs of a hot bucket are dealt by tiles, so that no task has more than two tiles' rows of it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +36,10 @@ BITS, TABLES, BLOCK_BYTES = 256, 8, 4
 RADIUS = 14
 #: Largest Hamming distance of a match, matches a candidate pair needs, inliers of an accepted one, pixels of error.
 MATCH_BITS, LEAST_MATCHES, LEAST_INLIERS, ERROR = 28, 4, 4, 3.0
-#: All pairs of a bucket up to this size are compared; in larger ones each corner is matched once.
+#: Buckets up to this size are compared many at a time.
 SMALL_BUCKET = 16
+#: Pairs of corners that are compared at a time, and matches in one row of a list.
+PAIRS, LIST = 200_000, 128
 #: A bucket with more corners than this is dealt anew by pairs of tiles of about so many.
 HOT_BUCKET, TILE = 16384, 8192
 _POINT = np.dtype([("place", "<f2", 4), ("bits", "u1", BITS // 8)])
@@ -125,8 +129,9 @@ def describe(pictures: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(places[own], bits[own]) for own in (order[b : min(e, b + corners)] for b, e in zip(begin[:-1], begin[1:], strict=True))]
 
 
-def consensus(a: np.ndarray, b: np.ndarray) -> int:
-    """Most matches (rows of corners of either picture) that one similarity transform explains.
+def consensus(a: np.ndarray, b: np.ndarray, enough: int | None = None) -> int:
+    """Most matches (rows of corners of either picture) that one similarity transform explains; with enough, no better
+    transform is looked for once one explains so many.
 
     Each match proposes the transform of its own scale and angle; the best few are fitted again to what they explain
     roughly, and then counted closely. Several matches at one spot count once.
@@ -136,7 +141,7 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
     m = m[(np.abs(m) > 0.3) & (np.abs(m) < 3.4)]
     gap = np.abs((q[None] - q[:, None]) - m[:, None] * (p[None] - p[:, None])) if len(m) == len(p) else None
     if gap is None:
-        return 0 if not len(m) else consensus(*(x[(np.abs(b[:, 2] / a[:, 2]) > 0.3) & (np.abs(b[:, 2] / a[:, 2]) < 3.4)] for x in (a, b)))
+        return 0 if not len(m) else consensus(*(x[(np.abs(b[:, 2] / a[:, 2]) > 0.3) & (np.abs(b[:, 2] / a[:, 2]) < 3.4)] for x in (a, b)), enough)
     best, spots = 0, lambda z: len({(int(x.real) // 3, int(x.imag) // 3) for x in z})
     for i in np.argsort(-(gap <= 3 * ERROR).sum(1), kind="stable")[:4]:
         near = gap[i] <= 3 * ERROR
@@ -149,8 +154,12 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
                 break
             k = (np.conj(u) * v).sum() / size
             off = np.abs(q - q[near].mean() - k * (p - p[near].mean()))
-            near = off <= ERROR * max(1.0, abs(k))
+            before, near = near, off <= ERROR * max(1.0, abs(k))
+            if (near == before).all():
+                break
         best = max(best, min(spots(p[near]), spots(q[near])))
+        if enough and best >= enough:
+            break
     return best
 
 
@@ -184,6 +193,7 @@ def described(pictures: DataFrame) -> DataFrame:
 
 
 MATCHES = "a long, b long, pa long, pb long, large long"
+LISTS = "a long, b array<long>, pa long, pb array<long>, large long"
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -204,13 +214,35 @@ def _forest(bits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
                 yield row, found
 
 
-def _compare(hot: int | None):
+def _compare(hot: int | None, every: bool = False):
     """For rows (block, image_id, point) in order: matches of corners of different pictures, the smaller picture first;
-    of each bucket with more rows than hot only its size, as a, and its block, as large."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pa", pa.int64()), ("pb", pa.int64()), ("large", pa.int64())])
+    of each bucket with more rows than hot only its size, as a, and its block, as large.
 
-    def solve(block, image, points):
+    With every, all matches of any bucket, each in the first block in which the two are equal (the block's last three
+    bits are its number), as lists for a corner; rows have a side more, and two of one side are compared only if it is
+    negative. Without, a bucket of more than SMALL_BUCKET gives a spanning forest, which tells which corners hang together.
+    """
+    kind = pa.list_(pa.int64()) if every else pa.int64()
+    schema = pa.schema([("a", pa.int64()), ("b", kind), ("pa", pa.int64()), ("pb", kind), ("large", pa.int64())])
+
+    def solve(block, image, points, side=None):
         bits, places = np.ascontiguousarray(points["bits"]).view(np.uint64), np.ascontiguousarray(points["place"]).view(np.int64).ravel()
+        words = np.ascontiguousarray(points["bits"]).view(f"u{BLOCK_BYTES}")
+
+        def lists(p, q):
+            ok = (image[p] != image[q]) & ((side[p] < 0) | (side[p] != side[q]))
+            p, q = p[ok], q[ok]
+            same, own = words[p] == words[q], block[p] % TABLES
+            ok = same[np.arange(len(p)), own] & (same.argmax(1) == own)
+            p, q = p[ok], q[ok]
+            order = np.argsort(p, kind="stable")
+            p, q = p[order], q[order]
+            begin = np.flatnonzero(np.append(np.ones(min(1, len(p)), bool), p[1:] != p[:-1]))
+            place = np.arange(len(p)) - np.repeat(begin, np.diff(np.append(begin, len(p))))
+            row = np.flatnonzero(place % LIST == 0)
+            ends = pa.array(np.append(row, len(p)), pa.int32())
+            listed = lambda x: pa.ListArray.from_arrays(ends, pa.array(x[q], pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(image[p[row]]), listed(image), pa.array(places[p[row]]), listed(places), pa.nulls(len(row), pa.int64())], schema=schema)
 
         def matches(p, q):
             ok = image[p] != image[q]
@@ -228,18 +260,24 @@ def _compare(hot: int | None):
             at = lo[n == size]
             i, j = np.triu_indices(size, 1)
             x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            for s in range(0, len(x), 200_000):
-                p, q = x[s : s + 200_000], y[s : s + 200_000]
+            for s in range(0, len(x), PAIRS):
+                p, q = x[s : s + PAIRS], y[s : s + PAIRS]
                 ok = _near(bits[p], bits[q])
                 if ok.any():
-                    yield matches(p[ok], q[ok])
+                    yield (lists if every else matches)(p[ok], q[ok])
         for b, e in zip(*(c[(n > SMALL_BUCKET) & ~over].tolist() for c in (lo, hi)), strict=True):
-            if trees := list(_forest(bits[b:e])):
+            if every:
+                step = max(1, PAIRS // (e - b))
+                for r in range(b, e - 1, step):
+                    p, q = np.nonzero(np.triu(_near(bits[r : min(r + step, e), None], bits[None, r + 1 : e])))
+                    if len(p):
+                        yield lists(p + r, q + r + 1)
+            elif trees := list(_forest(bits[b:e])):
                 p = np.repeat([x for x, _ in trees], [len(y) for _, y in trees])
                 yield matches(p + b, np.concatenate([y for _, y in trees]) + b)
         if over.any():
             k = int(over.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(n[over]), *[pa.nulls(k, pa.int64())] * 3, pa.array(block[lo[over]])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(n[over]), *(pa.nulls(k, f.type) for f in list(schema)[1:4]), pa.array(block[lo[over]])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -247,7 +285,7 @@ def _compare(hot: int | None):
             if not batch.num_rows:
                 continue
             points = np.frombuffer(b"".join(batch.column(2).to_pylist()), _POINT)
-            cols = [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]), points]
+            cols = [*(c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]), points, *(c.to_numpy(zero_copy_only=False) for c in batch.columns[3:])]
             last = cols[0] == cols[0][-1]
             cut = 0 if last.all() else int(len(last) - np.argmin(last[::-1]))
             if cut == 0 and held and held[-1][0][-1] == cols[0][-1]:
@@ -262,41 +300,61 @@ def _compare(hot: int | None):
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows (a, b, pa, pb) in order: the pairs that a transform explains, with their inliers."""
-    pair, ends, out = None, set(), []
-
-    def solve():
-        if len(ends) >= LEAST_MATCHES:
-            p, q = (np.array(e, np.int64).view("<f2").reshape(-1, 4).astype(float) for e in zip(*sorted(ends), strict=True))
-            if (n := consensus(p, q)) >= LEAST_INLIERS:
-                out.append((*pair, n))
-
-    def flush():
-        cols = list(zip(*out, strict=True)) or [()] * 3
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "inliers"])
-
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (a, b, pa, pb) of lists in order of a: of each picture with links that this task finds, their number and the
+    least picture that they lead to. A pair is a link if a transform explains enough of its matches."""
+    parent: dict[int, int] = {}
+    degree: Counter[int] = Counter()
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while (up := parent.get(x, x)) != root:
+            parent[x], x = root, up
+        return root
+
+    def solve(a, b, ends, others):
+        order = np.lexsort((others, ends, b))
+        b, ends, others = b[order], ends[order], others[order]
+        new = np.append(True, (b[1:] != b[:-1]) | (ends[1:] != ends[:-1]) | (others[1:] != others[:-1]))
+        b, p, q = b[new], *(x[new].view("<f2").reshape(-1, 4).astype(float) for x in (ends, others))
+        begin = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+        size = np.diff(np.append(begin, len(b)))
+        for lo, n in zip(begin[size >= LEAST_MATCHES].tolist(), size[size >= LEAST_MATCHES].tolist(), strict=True):
+            if consensus(p[lo : lo + n], q[lo : lo + n], LEAST_INLIERS) >= LEAST_INLIERS:
+                other = int(b[lo])
+                degree.update((a, other))
+                x, y = find(a), find(other)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+
+    own, held = None, []
     for batch in batches:
-        for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (a, b) != pair:
-                if pair:
-                    solve()
-                pair, ends = (a, b), set()
-            ends.add((x, y))
-        if len(out) >= 10_000:
-            yield flush()
-    if pair:
-        solve()
-    yield flush()
+        image, sizes = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
+        cut = np.append(0, np.cumsum(sizes))
+        cols = [batch.column(1).flatten().to_numpy(), np.repeat(batch.column(2).to_numpy(), sizes), batch.column(3).flatten().to_numpy()]
+        begin = np.flatnonzero(np.append(np.ones(min(1, len(image)), bool), image[1:] != image[:-1]))
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(image)], strict=False):
+            if image[lo] != own:
+                if held:
+                    solve(own, *(np.concatenate(c) for c in zip(*held, strict=True)))
+                own, held = int(image[lo]), []
+            held.append([c[cut[lo] : cut[hi]] for c in cols])
+    if held:
+        solve(own, *(np.concatenate(c) for c in zip(*held, strict=True)))
+    found = list(degree)
+    for lo in range(0, len(found), 100_000):
+        part = found[lo : lo + 100_000]
+        cols = (part, list(map(find, part)), [degree[x] for x in part])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["image_id", "root", "d"])
 
 
 def copies(pictures: DataFrame, hot: int = HOT_BUCKET, tile: int = TILE) -> DataFrame:
     """Rows (image_id, class_id, n_links), one per row of pictures (image_id, width, height, pixels).
 
-    class_id is the smallest id that is reachable over links; n_links counts the accepted pairs of a picture's exact
-    copies' first one, and those copies (in groups of near copies not all pairs are tried, see above). Equal pictures are one class from the start and only their first one is
-    compared. Pictures without corners have links to equal ones alone, nulls to none. Null ids are carried with a null
+    class_id is the smallest id that is reachable over links; n_links counts all accepted pairs of a picture's exact
+    copies' first one, and those copies. Equal pictures are one class from the start and only their first one is compared. Pictures without corners have links to equal ones alone, nulls to none. Null ids are carried with a null
     class, repeated ids are one picture each row, an empty table gives no row, and other columns are not read.
     """
     spark = pictures.sparkSession
@@ -309,25 +367,29 @@ def copies(pictures: DataFrame, hot: int = HOT_BUCKET, tile: int = TILE) -> Data
     points = rows.select("image_id", F.explode("points").alias("point"))
     word = lambda k: F.conv(F.hex(F.substring("point", 9 + k * BLOCK_BYTES, BLOCK_BYTES)), 16, 10).cast("long") * 8 + k
     cells = points.join(class_of.select("image_id"), "image_id").select(F.explode(F.array(*(word(k) for k in range(TABLES)))).alias("block"), "image_id", "point")
-    order = ["block", "image_id"]
-    found = kept.keep(cells.repartition("block").sortWithinPartitions(*order).mapInArrow(_compare(hot), MATCHES))
+    order, all_sides = ["block", "image_id"], F.lit(-1).cast("long")
+    found = kept.keep(cells.withColumn("side", all_sides).repartition("block").sortWithinPartitions(*order).mapInArrow(_compare(hot, True), LISTS))
     large = found.where("large is not null").select(F.col("large").alias("block"), F.ceil(F.col("a") / tile).alias("tiles"))
     matched = found.where("large is null")
     if not large.isEmpty():
         # a row of a hot bucket goes to each pair of tiles that its own is in
         own = cells.join(large, "block").withColumn("own", F.pmod(F.xxhash64("image_id", "point"), F.col("tiles")))
         met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        dealt = met.select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "image_id", "point")
-        again = kept.keep(dealt.repartition("block").sortWithinPartitions(*order).mapInArrow(_compare(None), MATCHES))
+        pair = F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other"))
+        table = F.shiftleft(pair, 3).bitwiseOR(F.pmod("block", F.lit(TABLES)))  # the block's number stays in its last bits
+        side = F.when(F.col("own") == F.col("other"), all_sides).otherwise(F.col("own"))
+        dealt = met.select(table.alias("block"), "image_id", "point", side.alias("side"))
+        again = kept.keep(dealt.repartition("block").sortWithinPartitions(*order).mapInArrow(_compare(None, True), LISTS))
         matched = matched.unionByName(again)
     matched = matched.select("a", "b", "pa", "pb")
-    many = matched.groupBy("a", "b").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_MATCHES).select("a", "b")
-    matched = matched.join(many, ["a", "b"], "left_semi")
-    links = kept.keep(matched.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_verify, "a long, b long, inliers long"))
-    roots = components(links.select("a", "b"), scratch)
+    links = kept.keep(matched.repartition("a").sortWithinPartitions("a").mapInArrow(_links, "image_id long, root long, d long"))
+    # tasks name different roots of a group: each picture goes to its least one, and its others do
+    least = kept.keep(links.groupBy("image_id").agg(F.min("root").alias("least"), F.sum("d").alias("d")))
+    others = links.join(least.select("image_id", "least"), "image_id").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct()
+    roots = components(least.select(F.col("image_id").alias("a"), F.col("least").alias("b")).unionByName(others), scratch)
     class_of = kept.keep(class_of.select("image_id").join(roots.withColumnRenamed("node", "image_id"), "image_id", "left").select("image_id", F.coalesce("root", "image_id").alias("cls")))
     scratch.drop()
-    degree = links.select(F.col("a").alias("first_id")).unionByName(links.select(F.col("b").alias("first_id"))).groupBy("first_id").agg(F.count("*").alias("d"))
+    degree = least.select(F.col("image_id").alias("first_id"), "d")
     named = firsts.join(class_of.withColumnRenamed("image_id", "first_id"), "first_id").join(degree, "first_id", "left")
     named = named.select("key", F.col("cls").alias("class_id"), (F.coalesce("d", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     out = ids.join(named, "key", "left")

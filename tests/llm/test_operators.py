@@ -1,6 +1,7 @@
 """The operators against brute force on the smallest tables, round trips, and edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -651,6 +652,38 @@ def test_media_tiles_of_hot_buckets(spark):
     assert {(i, c) for i, c, _ in whole} == {(i, i % 10) for i, _ in rows} and {n for _, _, n in whole} == {5}
 
 
+def test_media_lists_every_match_once():
+    """All pairs within the distance, in a bucket of any size, in the first block in which they are equal and no other."""
+    rng = np.random.default_rng(4)
+    points = np.zeros(300, media._POINT)
+    points["bits"] = rng.integers(0, 256, (300, media.BITS // 8))
+    points["bits"][:, : 2 * media.BLOCK_BYTES] = 7
+    alike = [9, *range(40, 240)]
+    points["bits"][alike] = points["bits"][9]
+    points["bits"][50, -1] ^= 15
+    bits = lambda i: points["bits"][i]
+    want = [(i, j) for i, j in itertools.combinations(range(300), 2) if np.bitwise_count(bits(i) ^ bits(j)).sum() <= media.MATCH_BITS]
+
+    def found(block, side):
+        columns = {"block": [block] * 300, "image_id": list(range(300)), "point": [x.tobytes() for x in points], "side": side}
+        rows = [r for b in media._compare(None, True)([pa.RecordBatch.from_pydict(columns)]) for r in b.to_pylist()]
+        assert all(len(r["b"]) == len(r["pb"]) <= media.LIST for r in rows)
+        return sorted((r["a"], b) for r in rows for b in r["b"])
+
+    assert len(want) == 201 * 200 // 2 and found(8, [-1] * 300) == want
+    assert found(9, [-1] * 300) == []
+    assert found(8, [i % 2 for i in range(300)]) == [(i, j) for i, j in want if (i + j) % 2]
+
+
+@pytest.mark.parametrize("hot", [{}, {"hot": 10, "tile": 7}])
+def test_media_counts_all_links_of_a_large_group(spark, hot):
+    a = media.render(np.random.default_rng(12).normal(0, 0.12, 64).tolist())
+    rows = [(k, np.clip(a.astype(int) + k, 0, 255).astype(np.uint8)) for k in range(24)]
+    frame = [(i, a.shape[1], a.shape[0], bytearray(a.tobytes())) for i, a in rows]
+    pictures = spark.createDataFrame(frame, "image_id long, width int, height int, pixels binary")
+    assert sorted(local(media.copies(pictures, **hot), "image_id", "class_id", "n_links")) == [(k, 0, 23) for k in range(24)]
+
+
 def test_consensus_needs_one_transform():
     rng = np.random.default_rng(2)
     a = np.column_stack([rng.uniform(0, 90, (12, 2)), np.ones(12), rng.uniform(-3, 3, 12)])
