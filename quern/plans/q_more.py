@@ -25,9 +25,10 @@ from quern.sources import readers, sinks
 
 @query("src6_text_list", "SELECT DISTINCT trim(url) AS value FROM pages WHERE trim(url) <> ''")
 def text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trimmed lines without blanks, as a list file is read."""
+    """Trimmed lines without blanks, as a list file is read. Pages can share an address, which the list holds once."""
     path = f"{sinks.shared_folder(spark)}/lines"
-    sinks.write_lines(table(spark, sf_dir, "pages").select(F.concat(F.lit("  "), "url", F.lit(" ")).alias("u")).unionByName(spark.createDataFrame([(" ",)], "u string")), "u", path)
+    urls = table(spark, sf_dir, "pages").select(F.trim("url").alias("u")).distinct().select(F.concat(F.lit("  "), "u", F.lit(" ")).alias("u"))
+    sinks.write_lines(urls.unionByName(spark.createDataFrame([(" ",)], "u string")), "u", path)
     return readers.text_list(spark, path)
 
 

@@ -462,3 +462,12 @@ def test_ranks_cut_a_frequent_key(spark):
     assert got == {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])), 1)}
     sizes = df.groupBy(ranks.tied_bucket(df.where("k is not null"), "k", "id").alias("b")).count().where("b >= 0").collect()
     assert max(r["count"] for r in sizes) < 0.06 * len(rows)
+
+
+def test_text_list_of_pages_that_share_an_address(spark, tmp_path):
+    urls = ["http://a", " http://a", "http://b", "http://a", "", "  ", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert ids(registry.QUERIES["src6_text_list"](spark, str(tmp_path)), "value") == ["http://a", "http://b"]
+    sinks.write_lines(spark.createDataFrame([("x",), (" x",)], "u string"), "u", f"{tmp_path}/u")
+    with pytest.raises(ValueError, match="repeated"):
+        readers.text_list(spark, f"{tmp_path}/u")
