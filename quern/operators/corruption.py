@@ -171,9 +171,20 @@ def sentinel_spans(
     and each is one of all ways to cut them, by hashes of the key. Special ids stay in the encoder, also within a span,
     which they don't break. Without two ids, or with special ones alone, nothing is masked.
     """
+    return bound(ids, lambda own: _spans_of(own, ratio, mean, mark, *key, specials=specials, sentinels=sentinels, seed=seed))
+
+
+def _spans_of(ids: Column, ratio: float, mean: float | Column, mark: Callable[[Column], Column], *key: Column | str, specials: list, sentinels: int, seed: int | str) -> Column:
+    """sentinel_spans of ids that are computed already: they are named once for each span and more."""
     special = lambda x: x.isin(list(specials)) if specials else F.lit(False)
     at = lambda xs, i: F.element_at(xs, i.cast("int"))
-    plain = F.filter(F.transform(ids, lambda x, i: F.when(~special(x), i + 1)), lambda i: i.isNotNull()) if specials else F.transform(ids, lambda x, i: i + 1)
+    every = F.when(F.size(ids) > 0, F.sequence(F.lit(1), F.size(ids))).otherwise(F.array().cast("array<int>"))
+    plain = F.filter(F.transform(ids, lambda x, i: F.when(~special(x), i + 1)), lambda i: i.isNotNull())
+    # most texts hold no special id, and need no walk for their places; array_contains is null where an id is
+    held = F.lit(False)
+    for x in specials:
+        held = held | F.coalesce(F.array_contains(ids, F.lit(x)), F.lit(True))
+    plain = F.when(held, plain).otherwise(every)
     noise = lambda m: F.greatest(F.lit(1), F.least(F.rint(m * F.lit(ratio)).cast("int"), m - 1))
     spread = mean if isinstance(mean, Column) else F.lit(float(mean))
     spans = lambda m, n: F.greatest(F.lit(1), F.least(F.rint(n / spread).cast("int"), F.lit(sentinels - 1), n, m - n))

@@ -471,3 +471,21 @@ def test_text_list_of_pages_that_share_an_address(spark, tmp_path):
     sinks.write_lines(spark.createDataFrame([("x",), (" x",)], "u string"), "u", f"{tmp_path}/u")
     with pytest.raises(ValueError, match="repeated"):
         readers.text_list(spark, f"{tmp_path}/u")
+
+
+def test_morphemes_are_split_once(spark, sf_dir):
+    plan = registry.QUERIES["cr6_morpheme_sentinels"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1  # not anew for each span
+
+
+def test_sentinels_of_null_empty_and_special_tokens(spark):
+    rows = [(1, None), (2, []), (3, ["</s>"]), (4, ["a"]), (5, ["</s>", "</s>"]), (6, ["a", None, "b"]), (7, list("abcd")), (8, ["a", "</s>", "b", "c"])]
+    df = spark.createDataFrame(rows, "id long, p array<string>").select("id", "p", corruption.morpheme_sentinels()(F.col("p"), F.col("id")).alias("s"))
+    got = {r["id"]: (r["s"] and (r["s"]["encoder"], r["s"]["decoder"])) for r in df.collect()}
+    for k in (2, 3, 4, 5):
+        assert got[k] == (dict(rows)[k], [])
+    for k in (7, 8):
+        enc, dec = got[k]
+        put = [y for x in enc for y in (dec[1:] if x == "<extra_id_0>" else [x])]
+        assert dec[0] == "<extra_id_0>" and len(dec) == 2 and [x for x in put if x != "</s>"] == [x for x in dict(rows)[k] if x != "</s>"]
+    assert None not in got[6][1]
