@@ -9,6 +9,7 @@ from quern.functions import script as sc
 from quern.functions import text as tx
 from quern.operators.transcription import transcribed as transcribed_by
 from quern.queryset import query, table
+from quern.sources.sinks import written
 
 #: A toy dictionary.
 ENTRIES = {"美": "미", "術": "술", "女": "녀", "韓": "한", "國": "국", "語": "어", "音": "음", "樂": "락", "音樂": "음악"}
@@ -172,7 +173,11 @@ def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src7_dictionary", rf"SELECT s AS hanja, CASE WHEN length(s) > 3 THEN {_SAID} ELSE translate(s, '美術女韓國語音樂', '미술녀한국어음락') END AS hangul FROM {_WORDS} WHERE regexp_full_match(s, '[{_HANJA}]+')")
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two files of lines: the later one holds the longer words anew; comments and lines without two parts are between."""
-    words = _words(spark, sf_dir).where(sc.is_all_hanja(F.col("s")))
+    return _dictionary(spark, sf_dir, _words(spark, sf_dir))
+
+
+def _dictionary(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
+    words = words.where(sc.is_all_hanja(F.col("s")))
     plain = F.translate("s", "美術女韓國語音樂", "미술녀한국어음락")
     line = lambda rows, said, n: rows.select(F.concat("s", F.lit("\t"), said).alias("value"), F.lit(n).alias("priority"), F.lit(0).alias("position"))
     names = table(spark, sf_dir, "region").select(F.explode(F.array(F.concat(F.lit("# "), "r_name", F.lit("\tx")), F.col("r_name"), F.lit(" "))).alias("value"), F.lit(2).alias("priority"), F.lit(0).alias("position"))
@@ -184,7 +189,8 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_transcription(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of the texts by the dictionary that was read from lines (no entry holds a space); a test holds it against the
     greedy loop over all entries."""
-    return transcribed_by(_words(spark, sf_dir), "s", dictionary(spark, sf_dir), "out").select("s", "out")
+    words = written(_words(spark, sf_dir), "words")  # read three times
+    return transcribed_by(words, "s", _dictionary(spark, sf_dir, words), "out").select("s", "out")
 
 
 @query("flt14_kana", f"SELECT s, regexp_matches(s, '[あカ]') AS kana FROM {_WORDS}")

@@ -34,3 +34,16 @@ def test_longer_entries_and_empty_tables(spark):
     assert said(entries) == {1: "음악락 음에", 2: "여鬼"}
     assert said(entries.limit(0)) == {1: "音樂樂 音A", 2: "女鬼"}
     assert transcribed(rows.limit(0), "t", entries).count() == 0
+
+
+def test_a_dictionary_of_checked_size_moves_no_text(spark, sf_dir):
+    plan = registry.QUERIES["ko10_table_transcription"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # before, each piece of a word that could be an entry was shuffled
+
+
+def test_sent_and_joined_dictionaries_agree(spark, sf_dir, monkeypatch):
+    words, entries = q_text._words(spark, sf_dir).where("length(s) > 3").limit(2000).localCheckpoint(), q_text.dictionary(spark, sf_dir)
+    said = lambda: sorted((r["s"], r["out"]) for r in transcribed(words, "s", entries, "out").collect())
+    sent = said()
+    monkeypatch.setattr(script, "MAX_ENTRIES", 10)
+    assert said() == sent and len(sent) == 2000 and any(a != b for a, b in sent)
