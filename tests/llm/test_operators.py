@@ -710,3 +710,27 @@ def test_oracles(spark, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert sorted(map(str, local(got, *columns))) == sorted(str(r) for r in want.select(*columns).fetchall())
+
+
+def test_texts_that_nothing_asks_for_are_not_shuffled(spark):
+    from quern.llm import ngramjoin
+
+    rows = spark.range(20_000).selectExpr("id * 7 - 70000 AS key", "string(id) AS text")
+    wanted = rows.where("key % 97 = 0").select("key")
+    kept = ngramjoin.perhaps(rows, wanted, "key")
+    assert kept.columns == rows.columns and wanted.join(kept, "key", "left_anti").count() == 0
+    assert wanted.count() <= kept.count() < wanted.count() + 50
+
+
+def test_scratch_frees_shuffles_and_tables(spark):
+    import os
+
+    name, scratch = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", Scratch(spark, "t", True)
+    before = spark.conf.get(name)
+    kept = scratch.keep(spark.range(1000).repartition(7, "id"))
+    other = scratch.keep(kept)
+    folder = scratch.paths[0].removeprefix("file:")
+    assert spark.conf.get(name) == before and os.path.isdir(folder)
+    scratch.free(kept)
+    assert not os.path.exists(folder) and other.count() == 1000 and len(scratch.paths) == 1
+    scratch.drop()
